@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of text that one block of documents holds at most, unless a single text is longer.
-BLOCK_BYTES = 32 << 20
+#: Bytes of text that one slice of a batch holds at most, unless a single text is longer; arrays over it take some 100 times as much.
+BLOCK_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
