@@ -84,6 +84,13 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix((sums[ends] - sums[starts]) * back[starts] + (ends - starts).astype(np.uint64))
 
 
+def run_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each run values[start:end] of 64-bit values, by one rolling sum over all of them."""
+    sums = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * _powers(_POWER, len(values)), out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * _powers(_INVERSE, len(values) + 1)[starts] + (ends - starts).astype(np.uint64))
+
+
 def is_space(data: np.ndarray) -> np.ndarray:
     """Bytes 0x20 and 0x09 to 0x0D."""
     return (data == 0x20) | ((data >= 0x09) & (data <= 0x0D))
