@@ -6,11 +6,13 @@ parts of one bucket meet in one task, where each distinct word is handled once (
 to the blocks in the order of their lists (``assemble``). What is shuffled is one entry for each word and block, not
 one for each occurrence; a very frequent word is one entry in each block.
 
-The blocks are written to the shared checkpoint folder once, so that both uses of them see the same lists.
+A block's name is a hash of all it holds. ``kept`` writes the blocks to the shared checkpoint folder once; without it
+they are worked out twice, from the same scan, and an answer is only ever taken for a block of the same content.
 """
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections import defaultdict
 from collections.abc import Callable, Iterable, Iterator
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 from gridloom.llm.common import partitions, settle, slices
 
 #: Bytes of text in a block, unless a single text is longer.
-BLOCK_TEXT = 32 << 20
+BLOCK_TEXT = 16 << 20
 
 _pack = zstandard.ZstdCompressor(level=3)
 _unpack = zstandard.ZstdDecompressor()
@@ -64,7 +66,7 @@ SCHEMA = "block long, bucket int, keys array<{kind}>, places binary, ends binary
 _BINARY = ("places", "ends", "words", "sizes", "counts")
 
 
-def split(docs: DataFrame, words_of: Callable[[str], Iterable], key: str = "doc_id", text: str = "text", counted: str | None = None) -> DataFrame:
+def split(docs: DataFrame, words_of: Callable[[str], Iterable], key: str = "doc_id", text: str = "text", counted: str | None = None, kept: bool = True) -> DataFrame:
     """Blocks of ``docs``: rows with bucket -1 hold documents, the others a block's words of one bucket.
 
     ``words_of`` gives a text's words, as str or bytes. ``counts`` holds how often a word stands in the block's
@@ -73,27 +75,27 @@ def split(docs: DataFrame, words_of: Callable[[str], Iterable], key: str = "doc_
     buckets = 2 * partitions(docs.sparkSession)
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = 0
         for batch in batches:
             for part in slices(batch, "_text", BLOCK_TEXT):
                 own: dict = defaultdict(count().__next__)
                 found = [np.fromiter(map(own.__getitem__, words_of(t)), np.uint32) for t in part.column(1).to_pylist()]
                 words = [w if isinstance(w, bytes) else w.encode("utf-8", "surrogatepass") for w in own]
                 bucket = np.fromiter((zlib.crc32(w) for w in words), np.uint32, len(words)) % np.uint32(buckets)
-                order = np.argsort(bucket, kind="stable")
-                rank = np.empty(len(words), np.uint32)
-                rank[order] = np.arange(len(words), dtype=np.uint32)
                 flat = np.concatenate(found) if found else np.zeros(0, np.uint32)
                 times = np.zeros(len(words), np.int64)
                 if counted and len(words):
                     mine = np.repeat(np.asarray(part.column(2)), [len(x) for x in found])
                     times = np.bincount(flat[mine], minlength=len(words))
-                # the partition's number and the block's in it name the block
-                from pyspark import TaskContext
-
-                block = (TaskContext.get().partitionId() << 32) + number
-                number += 1
-                rows = [{"block": block, "bucket": -1, "keys": part.column(0).to_pylist(), "places": pack_numbers(rank[flat] if len(flat) else flat), "ends": pack_numbers(np.cumsum([len(x) for x in found]).astype(np.int64))}]
+                # common words get small numbers, which pack better; ``order`` leads from them to the list of words
+                usual = np.argsort(-np.bincount(flat, minlength=len(words)), kind="stable")
+                number = np.empty(len(words), np.uint32)
+                number[usual] = np.arange(len(words), dtype=np.uint32)
+                held = part.column(0).to_pylist(), pack_numbers(number[flat] if len(flat) else flat), pack_numbers(np.cumsum([len(x) for x in found]).astype(np.int64)), pack_numbers(bucket[usual].astype(np.uint32))
+                name = hashlib.blake2b(repr(held).encode(), digest_size=8)
+                name.update(b"\n".join(words))
+                block = int.from_bytes(name.digest(), "big", signed=True)
+                rows = [{"block": block, "bucket": -1, "keys": held[0], "places": held[1], "ends": held[2], "words": held[3]}]
+                order = usual[np.argsort(bucket[usual], kind="stable")]
                 edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
                 for b in np.flatnonzero(np.diff(edges)):
                     at = order[edges[b] : edges[b + 1]]
@@ -102,7 +104,8 @@ def split(docs: DataFrame, words_of: Callable[[str], Iterable], key: str = "doc_
                 yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([pa.field("block", pa.int64()), pa.field("bucket", pa.int32()), pa.field("keys", pa.list_(part.schema.field(0).type)), *(pa.field(n, pa.binary()) for n in _BINARY)]))
 
     lean = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"), *([F.col(counted).alias("_counted")] if counted else []))
-    return settle(lean.mapInArrow(blocks, SCHEMA.format(kind=lean.schema["_key"].dataType.simpleString())))
+    cut = lean.mapInArrow(blocks, SCHEMA.format(kind=lean.schema["_key"].dataType.simpleString()))
+    return settle(cut) if kept else cut
 
 
 def by_bucket(blocks: DataFrame, function: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
@@ -116,11 +119,18 @@ def assemble(blocks: DataFrame, answers: DataFrame, function: Callable[[list, np
     ``answers`` has block and bucket and further binary columns.
     """
     more = [c for c in answers.columns if c not in ("block", "bucket")]
-    held = blocks.where("bucket < 0").select("block", "bucket", "keys", "places", "ends")
+    held = blocks.where("bucket < 0").select("block", "bucket", "keys", "places", "ends", "words")
 
     def join(group: pa.Table) -> pa.Table:
-        rows = sorted(group.to_pylist(), key=lambda r: r["bucket"])
-        own = rows[0]
-        return function(own["keys"], unpack_numbers(own["places"]), unpack_numbers(own["ends"]), rows[1:])
+        at = group["bucket"].to_numpy()
+        found = {r["bucket"]: r for r in group.select(["bucket", *more]).filter(pa.array(at >= 0)).to_pylist()}  # blocks that are alike got the same answers
+        own = group.select(["keys", "places", "ends", "words"]).filter(pa.array(at < 0)).to_pylist()
+        bucket = unpack_numbers(own[0]["words"])
+        if sorted(found) != np.unique(bucket).tolist():
+            raise RuntimeError("answers are missing for a block: its documents were read differently the second time")
+        rank = np.empty(len(bucket), np.int64)
+        rank[np.argsort(bucket, kind="stable")] = np.arange(len(bucket))
+        answers = [found[b] for b in sorted(found)]
+        return pa.concat_tables([function(r["keys"], rank[unpack_numbers(r["places"])], unpack_numbers(r["ends"]), answers) for r in own])
 
     return held.unionByName(answers.select("block", "bucket", *more), allowMissingColumns=True).groupBy("block").applyInArrow(join, schema)
