@@ -1,2 +1,59 @@
-STAGES = []
-def run(spark, sf_dir): raise NotImplementedError
+"""The training-data pipeline: quality rules, near duplicates, benchmark passages, secrets, BPE.
+
+Each stage takes what its predecessor kept and returns the columns of ``documents``; the last returns the digests of
+the encoded texts. Stages handle null ids and texts, empty texts, repeated rows, empty tables and further columns as
+their operators do (see the operators' modules): quality rejects a text without words, near duplicates keep one row
+of each class, a document with a benchmark passage goes, secrets are masked in the text.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+from gridloom.llm import bpe, decontaminate, jaccard, quality, secrets
+from gridloom.llm.common import checkpoint_dir, table
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.filter_quality(docs)
+
+
+def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return jaccard.keep_one(docs)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.remove_leaking(docs, table(spark, sf_dir, "benchmark"))
+
+
+def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return secrets.redact(docs)
+
+
+def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(docs)
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("n-gram Jaccard join", ngram_jaccard),
+    ("benchmark decontamination", benchmark_decontamination),
+    ("secret scans", secret_scans),
+    ("BPE encoding and decoding", bpe_encoding),
+]
+
+#: A random forest, MinHash and a tokenizer can't be stated in SQL; the tests hold each stage against brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages one after another; between them the documents are written to the shared checkpoint folder."""
+    docs, folder = table(spark, sf_dir, "documents"), f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    for number, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if number < len(STAGES) - 1:
+            docs.write.parquet(f"{folder}/{number}")
+            docs = spark.read.parquet(f"{folder}/{number}")
+    return docs
