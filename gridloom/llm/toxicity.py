@@ -1,13 +1,14 @@
 """Operator 8, toxicity by weak supervision.
 
 Voters: a word of a fixed insult list, a text pattern, or a word or word beginning that the labelled training rows
-show to mark toxic texts (counted over all of them). Each votes "toxic" or abstains. A generative label model, with a
+show to mark toxic texts. Each votes "toxic" or abstains. A generative label model, with a
 rate of firing per voter and class, is fitted by EM on the vote patterns of all training documents, where a labelled
 row's class is known and the others' is estimated; voters that fire
 together more than the model explains are taken as correlated and share their weight. A linear classifier over
 hashed words and word beginnings is then trained on posterior labels and scores every text.
 
-Fixed bounds: MAX_MINED voters are mined, from the CANDIDATES features that most toxic training texts hold; the classifier is fitted on SAMPLE documents of either posterior label
+Fixed bounds: MAX_MINED voters are mined, from the CANDIDATES features that most toxic texts hold, of LABELLED labelled
+rows of either label at most (a hash of the id decides which; so these labels can be broadcast); the classifier is fitted on SAMPLE documents of either posterior label
 (a hash of the text decides; all statistics before it cover all training documents).
 
 Cases: a null or empty text has no features and scores what the classifier gives to none; a null id falls in fold 0;
@@ -34,6 +35,7 @@ BEGINNINGS = (4, 5, 6)
 MAX_MINED = 256
 CANDIDATES = 1 << 16
 LEAST_TOXIC = 5
+LABELLED = 20_000
 SAMPLE = 3000
 EM_ROUNDS = 6
 #: Voters with a residual correlation above this share their weight.
@@ -105,12 +107,12 @@ def _toxic_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int64)), pa.array(counts)], ["feature", "n"])
 
 
-def mined_voters(labelled: DataFrame) -> tuple[list[int], float]:
-    """Features that mark toxic texts, the best first, and the share of toxic texts. ``labelled``: _text, _toxic."""
+def mined_voters(labelled: DataFrame) -> list[int]:
+    """Features that mark toxic texts, the best first. ``labelled``: _text, _toxic."""
     sizes = {r[0]: r[1] for r in labelled.groupBy("_toxic").agg(F.count("*")).collect()}
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
     if not toxic:
-        return [], 0.0
+        return []
     counts = labelled.where("_toxic = 1").select("_text").mapInArrow(_toxic_features, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_TOXIC)
     rows = sorted((r[0], r[1]) for r in counts.orderBy(F.desc("n"), "feature").limit(CANDIDATES).collect())
     keys, held = np.array([r[0] for r in rows], np.uint64), np.array([r[1] for r in rows], np.float64)
@@ -130,7 +132,7 @@ def mined_voters(labelled: DataFrame) -> tuple[list[int], float]:
         other[r[0]] = r[1]
     lift = (held / toxic - other / max(1, clean)) / np.sqrt((held + other + 1) / (toxic + clean))
     best = [i for i in np.argsort(-lift, kind="stable") if held[i] > other[i]]
-    return [int(keys[i]) for i in best[:MAX_MINED]], toxic / (toxic + clean)
+    return [int(keys[i]) for i in best[:MAX_MINED]]
 
 
 class Voters:
@@ -244,9 +246,13 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     spark = docs.sparkSession
     lean = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     marks = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.max(label).cast("int").alias("_toxic"))
-    mined, prior = mined_voters(lean.join(marks, "_key").select("_text", "_toxic"))
-    if not prior:
+    marked = {r[0]: r[1] for r in marks.groupBy("_toxic").agg(F.count("*")).collect()}
+    if not marked.get(1):
         return None
+    prior = marked[1] / sum(marked.values())
+    draw = F.pmod(F.xxhash64("_key"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    some = marks.where(draw < F.when(F.col("_toxic") == 1, min(1.0, LABELLED / marked[1])).otherwise(min(1.0, LABELLED / max(1, marked.get(0, 0)))))
+    mined = mined_voters(lean.join(F.broadcast(some), "_key").select("_text", "_toxic"))
     voters = spark.sparkContext.broadcast(Voters(mined))
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
