@@ -1 +1 @@
-
+"""Operators on asset tables: topology, connectivity, mapping, validation, objects, ranking."""

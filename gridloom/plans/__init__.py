@@ -1 +1 @@
-
+"""The registered queries, each with its SQL twin."""

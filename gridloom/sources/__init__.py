@@ -1 +1 @@
-
+"""Readers of asset tables and sectioned text."""
