@@ -1,0 +1,361 @@
+"""Each operator against brute force on small fixtures, and on the cases its docstring defines."""
+
+import hashlib
+import math
+import os
+import random
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from gridloom.llm import bpe, decontaminate, jaccard, language, likelihood, quality, secrets, sharding, substrings, toxicity
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+#: Further columns whose names the operators use themselves.
+CLASH = "shard int, gid string, class_id string, _key string, _text string, _row string, value string, score string, word string, block int"
+WORDS = [a + b for a in ("ra", "to", "mi", "le", "sun", "per", "gan", "vo") for b in ("", "l", "ne", "ri", "das")]
+ODD = [(None, "no id here at all", None, None, None), (900, None, None, None, None), (901, "", "en", "s", 0), (902, " \n\t ", "en", "s", 3), (903, "é́ 𝒳 <|endoftext|> 'tis  it's\n\n x", "en", None, 9), (904, "same row", "en", "s", 8), (904, "same row", "en", "s", 8)]
+
+
+def prose(rng, n):
+    return " ".join(rng.choice(WORDS) + rng.choice(["", "", "", ".", ",", ".\n"]) for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def rows():
+    rng = random.Random(0)
+    texts = [prose(rng, rng.randrange(3, 120)) for _ in range(60)]
+    for i in range(12):  # near copies, copies, a long text
+        words = texts[i].split(" ")
+        words[len(words) // 2] = "changed"
+        texts += [texts[i], " ".join(words)]
+    texts.append(prose(rng, 6000))
+    texts.append("go " * 400)
+    return [(i, t, "en", f"src{i % 5}", len(t)) for i, t in enumerate(texts)] + ODD
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    wide = [(*r, *([7] + ["x"] * 8 + [1])) for r in rows]
+    return spark.createDataFrame(wide, f"{DOCS}, {CLASH}").repartition(3).cache()
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], f"{DOCS}, {CLASH}")
+
+
+def words(text):
+    return [w.decode() for w in (text or "").encode().split()]
+
+
+def by_row(df, *columns):
+    return sorted(tuple(r[c] for c in columns) for r in df.select(*columns).collect() if r[columns[0]] is not None)
+
+
+def test_sharding(spark, docs, rows, none):
+    got = sharding.assign(docs, 4).collect()
+    assert len(got) == len(rows)
+    slots = defaultdict(list)
+    for r in got:
+        slots[r["shard"]].append(r["slot"])
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert max(map(len, slots.values())) - min(map(len, slots.values())) <= 1
+    sizes = Counter((i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t, *_ in rows)
+    assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in got) == sizes
+    assert sharding.assign(none, 4).count() == 0
+    hot = spark.createDataFrame([(i, "copy" if i < 300 else f"own {i}") for i in range(900)], "doc_id long, text string")
+    held = Counter(r["shard"] for r in sharding.assign(hot, 8).collect() if r["doc_id"] < 300)
+    assert len(held) <= 5  # a third of all rows needs three shards
+
+
+def test_likelihood(spark, docs, rows, none):
+    import public_tokenizers
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    marked = docs.select("doc_id", "text", (F.coalesce(F.col("doc_id") % 4, F.lit(0)) != 0).alias("_learn"))
+    got = likelihood.score_texts(marked, path).collect()
+    assert len(got) == len(rows)
+    token = lambda t: [*(t or "").encode().lower().split(), "end"]
+    count = Counter(w for i, t, *_ in rows if (i or 0) % 4 for w in token(t))
+    total, seen = sum(count.values()), len(count)
+    want = defaultdict(list)
+    for i, t, *_ in rows:
+        want[i].append((len(token(t)), sum(count[w] > 0 for w in token(t)), sum(math.log10((count[w] + 0.1) / (total + 0.1 * (seen + 1))) for w in token(t))))
+    for r in got:
+        assert r["train_tokens"] == total and r["score"] < 0
+        assert any((r["n_tokens"], r["n_known"]) == w[:2] and r["base_score"] == pytest.approx(w[2]) for w in want[r["doc_id"]])
+    assert likelihood.score_texts(none.withColumn("_learn", F.lit(True)), path).count() == 0
+    # the forward recursion against all segmentations, one by one
+    own = likelihood.trie(path)
+    log_p = np.log(np.random.default_rng(0).dirichlet(np.ones(len(own.at))))
+    scores = likelihood.node_scores(own, log_p)
+
+    def slow(raw):
+        alpha = [0.0] + [-math.inf] * len(raw)
+        for i in range(len(raw)):
+            node = 1
+            for j in range(i, len(raw)):
+                node = own.step[node, own.column[raw[j]]]
+                if not node:
+                    break
+                alpha[j + 1] = np.logaddexp(alpha[j + 1], alpha[i] + scores[node])
+        return alpha[-1]
+
+    some = [b"the", b"a", "über𝒳".encode(), b"x" * 300, b""]
+    assert likelihood.marginal(some, own, scores) == pytest.approx([slow(likelihood.WORD_MARK + w) for w in some])
+
+
+def _distance(pattern, text):
+    row = list(range(len(pattern) + 1))
+    best = row[-1]
+    for c in text:
+        new = [0]
+        for i in range(1, len(row)):
+            new.append(min(row[i] + 1, new[-1] + 1, row[i - 1] + (pattern[i - 1] != c)))
+        row = new
+        best = min(best, row[-1])
+    return best
+
+
+def test_decontamination(spark, none):
+    rng = random.Random(2)
+    items = [(i, prose(rng, 20)) for i in range(6)] + [(6, None), (7, " "), (8, "tiny")]
+    texts = []
+    for k in range(40):
+        t = list(rng.choice(items[:6])[1])
+        for _ in range(rng.randrange(0, 16)):
+            at = rng.randrange(len(t))
+            t[at : at + rng.randrange(0, 2)] = rng.choice(["", "q", "zz"])
+        texts.append((k, prose(rng, 10) + "\n " + "".join(t).upper() + "  " + prose(rng, 10)))
+    table = spark.createDataFrame([*texts, (100, None), (101, ""), (None, items[0][1]), (102, "a tiny one")], "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r for r in decontaminate.find_leaks(table, bench).collect()}
+    assert (None, 0) in got and (102, 8) in got
+    for k, t in texts:
+        for i, item in items[:6]:
+            near, most = _distance(decontaminate.normal(item), decontaminate.normal(t)), decontaminate.budget(decontaminate.normal(item))
+            assert ((k, i) in got) == (near <= most)
+            if near <= most:
+                r = got[k, i]
+                assert r["distance"] == near
+                assert _distance(decontaminate.normal(item), decontaminate.normal(t[r["start"] : r["end"]])) == near
+    kept = {r["doc_id"] for r in decontaminate.remove_leaking(table, bench).collect()}
+    assert kept == {k for k, _ in texts if not any(a == k for a, _ in got)} | {100, 101}
+    assert decontaminate.find_leaks(none, bench).count() == 0
+    assert decontaminate.find_leaks(table, bench.where("false")).count() == 0
+    assert decontaminate.remove_leaking(none, bench).columns == none.columns
+
+
+def test_language(spark, docs, rows, none):
+    rng = random.Random(4)
+    tongues = {"aa": "kal mon tiru sel", "bb": "über straße können", "cc": "привет как дела"}
+    train = [(i, " ".join(rng.choices(tongues[k].split(), k=30)), k) for i, k in enumerate(sorted(tongues) * 10)]
+    model = language.train(spark.createDataFrame(train, "doc_id long, text string, lang string").select("lang", "text"))
+    asked = spark.createDataFrame([(i, " ".join(rng.choices(tongues[k].split(), k=8)), k) for i, k in enumerate(sorted(tongues) * 5)], "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r for r in language.identify(asked, model).collect()}
+    assert all(got[r["doc_id"]]["lang_pred"] == r["lang"] for r in asked.collect())
+    odd = language.identify(docs, model).collect()
+    assert len(odd) == len(rows)
+    letters = {i: any(c.isalpha() for c in t or "") for i, t, *_ in rows}
+    assert all((r["lang_pred"] == "und") == (not letters[r["doc_id"]]) and 0 <= r["score"] <= 1 for r in odd)
+    assert language.identify(none, model).count() == 0
+    assert {r["lang_pred"] for r in language.identify(docs, language.train(none.select("lang", "text"))).collect()} == {"und"}
+
+
+def test_bpe(docs, rows, none):
+    from tokenizers import Tokenizer
+
+    path, pattern = bpe.byte_bpe_50k()
+    own = Tokenizer.from_file(path)
+    want = Counter()
+    for i, t, *_ in rows:
+        ids = own.encode(t or "", add_special_tokens=False).ids
+        want[i, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(own.decode(ids, skip_special_tokens=False).encode()).hexdigest()] += 1
+    assert Counter(tuple(r) for r in bpe.round_trip(docs).collect()) == want
+    back = bpe.decode(bpe.encode(docs, path, pattern), path)
+    assert Counter((r["doc_id"], r["decoded"]) for r in back.collect()) == Counter((i, t or "") for i, t, *_ in rows)
+    assert bpe.round_trip(none).count() == 0
+
+
+def test_secrets(spark, docs, rows, none):
+    rng = random.Random(6)
+    key = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(40))
+    planted = {i: key() for i in range(30)}
+    texts = [(i, f'{prose(rng, 8)} token = "{k}" {prose(rng, 8)}', f"src/{i}") for i, k in planted.items()]
+    clean = [(100 + i, prose(rng, 10) + " commit " + key() + " unquotedandverylongword " + str(rng.randrange(10**16, 10**17)), f"src/{i}") for i in range(30)]
+    table = spark.createDataFrame([*texts, *clean, (200, None, None), (None, "", None)], "doc_id long, text string, source string")
+    found = secrets.scan(table).collect()
+    got = {(r["_key"], r["value"]) for r in found if r["is_secret"]}
+    assert got == set(planted.items())
+    text = {i: t for i, t, _ in [*texts, *clean]}
+    assert all(text[r["_key"]][r["start"] : r["start"] + len(r["value"])] == r["value"] for r in found)
+    masked = {r["doc_id"]: r["text"] for r in secrets.redact(table).collect()}
+    assert all(masked[i] == text[i].replace(planted[i], "[SECRET]") for i in planted)
+    assert all(masked[i] == text[i] for i in text if i >= 100) and masked[200] is None and masked[None] == ""
+    assert secrets.redact(docs).count() == len(rows) and secrets.redact(docs).columns == docs.columns
+    assert secrets.scan(none).count() == 0
+
+
+def test_quality(docs, rows, none):
+    def slow(text):
+        w, lines = words(text), [x for x in (text or "").split("\n") if words(x)]
+        out = {"n_words": len(w), "word_chars": sum(map(len, w)), "n_symbols": sum((text or "").count(c) for c in "#*$%&|<>"), "line_chars": sum(map(len, lines))}
+        seen, again = set(), []
+        for x in lines:
+            again += [x] if x in seen else []
+            seen.add(x)
+        out |= {"n_dup_lines": len(again), "dup_line_chars": sum(map(len, again))}
+        for n in (3, *quality.GRAM_LIMITS):
+            runs = [tuple(w[i : i + n]) for i in range(len(w) - n + 1)]
+            times = Counter(runs)
+            hit = {j for i, r in enumerate(runs) if times[r] > 1 for j in range(i, i + n)}
+            out["n_repeat_words" if n == 3 else f"dup_chars_{n}"] = len(hit) if n == 3 else sum(len(w[j]) for j in hit)
+        return out
+
+    base, kept = quality.verdict()
+    got = quality.measures(docs, ["doc_id", "text"]).withColumn("base", base).withColumn("kept", kept).collect()
+    assert len(got) == len(rows)
+    passing = Counter()
+    for r in got:
+        want = slow(r["_c1"])
+        assert {m: r[f"_{m}"] for m in quality.MEASURES} == want
+        failed = want["n_words"] < 50 or 100 * want["n_repeat_words"] > 50 * want["n_words"]
+        good = not failed and 100 * want["dup_line_chars"] <= 20 * want["line_chars"] and all(100 * want[f"dup_chars_{n}"] <= k * want["word_chars"] for n, k in quality.GRAM_LIMITS.items())
+        assert (r["base"], r["kept"]) == (failed, good)
+        passing[r["_c0"]] += good
+    left = quality.filter_quality(docs)
+    assert left.columns == docs.columns
+    assert Counter(r["doc_id"] for r in left.collect()) == +passing
+    assert quality.filter_quality(none).count() == 0
+
+
+def test_toxicity(spark, docs, rows, none):
+    rng = random.Random(8)
+    bad = ["idiot", "grumblex", "grumblety", "snarfo"]
+    texts, marks = [], []
+    for i in range(400):
+        w = [rng.choice(WORDS) for _ in range(40)]
+        if i % 5 == 0:
+            for _ in range(3):
+                w[rng.randrange(40)] = rng.choice(bad)
+        texts.append((i, " ".join(w)))
+        marks.append((i, 1, int(i % 5 == 0)))
+    table, labels = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame([*marks, (None, 1, 1), (5, None, None), (9999, 1, 1)], "doc_id long, quality int, toxic int")
+    model = toxicity.train(table.where("doc_id % 3 <> 1"), labels.where("doc_id % 3 <> 1"))
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(table, model).collect()}
+    held = [i for i in got if i % 3 == 1]
+    assert all((got[i] >= 0.7) == (i % 5 == 0) for i in held)
+    odd = toxicity.score(docs, model).collect()
+    assert len(odd) == len(rows) and all(0 <= r["score"] <= 1 for r in odd)
+    assert toxicity.train(table, labels.where("toxic = 0")) is None
+    assert {r["score"] for r in toxicity.score(docs, None).collect()} == {0.0}
+    assert toxicity.score(none, model).count() == 0
+
+
+def _grams(text):
+    w = words(text)
+    return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
+
+
+def test_jaccard(docs, rows, none):
+    sets = [(i, _grams(t)) for i, t, *_ in rows]
+    different = {s for _, s in sets if s}
+    link = {s: {o for o in different if o != s and 5 * len(s & o) >= 4 * len(s | o)} for s in different}
+    label = {s: s for s in different}
+    part = {}
+    for s in different:
+        if s not in part:
+            todo, seen = [s], {s}
+            while todo:
+                for o in link[todo.pop()]:
+                    if o not in seen:
+                        seen.add(o)
+                        todo.append(o)
+            least = min((i for i, x in sets if x in seen and i is not None), default=None)
+            part |= dict.fromkeys(seen, least)
+    got = jaccard.classes(docs).collect()
+    assert len(got) == len(rows) and label
+    want = Counter((i, part[s] if s else i, len(link[s]) if s else 0, sum(x == s for _, x in sets) if s else 1, len(s)) for i, s in sets)
+    assert Counter((r["doc_id"], r["class_id"], r["n_links"], r["n_copies"], r["n_grams"]) for r in got) == want
+    left = jaccard.keep_one(docs)
+    assert left.columns == docs.columns
+    kept = Counter(r["doc_id"] for r in left.collect())
+    firsts = {part[s] for _, s in sets if s}
+    assert kept == Counter([*firsts, *(i for i, s in sets if not s)])
+    assert jaccard.classes(none).count() == 0 and jaccard.keep_one(none).count() == 0
+    assert 1 - (1 - 0.8**jaccard.ROWS) ** jaccard.BANDS >= jaccard.TARGET_RECALL
+
+
+def test_jaccard_over_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK_TEXTS", 8)
+    rng = random.Random(1)
+    base = [rng.choice(WORDS) + str(i) for i in range(200)]
+    texts = []
+    for i in range(50):
+        w = list(base)
+        w[rng.randrange(200)] = f"x{i}"
+        texts.append((i, " ".join(w)))
+    got = jaccard.classes(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    sets = {i: _grams(t) for i, t in texts}
+    assert {r["class_id"] for r in got} == {0}
+    assert all(r["n_links"] == sum(j != r["doc_id"] and 5 * len(sets[r["doc_id"]] & s) >= 4 * len(sets[r["doc_id"]] | s) for j, s in sets.items()) for r in got)
+
+
+def test_substrings(spark, docs, rows, none):
+    rng = random.Random(3)
+    passage = ". ".join(" ".join(rng.choice(WORDS) for _ in range(9)) for _ in range(7)) + "."
+    texts = [(i, f"{prose(rng, 40)}.\n{passage} {prose(rng, 30)}" if i % 3 == 0 else prose(rng, 60)) for i in range(12)]
+    got = {r["doc_id"]: r for r in substrings.remove_repeats(spark.createDataFrame([*texts, (50, None), (51, "")], "doc_id long, text string")).collect()}
+    assert passage in got[0]["clean_text"] and got[0]["n_removed"] == 0
+    for i, t in texts[1:]:
+        assert (got[i]["n_removed"] > 0) == (i % 3 == 0)
+        assert len(got[i]["clean_text"]) + sum(map(len, got[i]["removed"])) == len(t)
+        if i % 3 == 0:
+            assert passage[:60] not in got[i]["clean_text"] and got[i]["first_ids"] == [0]
+    assert got[50]["clean_text"] is None and got[51]["clean_text"] == ""
+    assert substrings.remove_repeats(docs).count() == len(rows)
+    assert substrings.remove_repeats(none).count() == 0
+    # spans of one text against a plain loop
+    text = prose(rng, 500) + " " + " ".join(rng.choice(WORDS) for _ in range(80))
+    owner, _, _, bounds, hashes = substrings.sentences(pa.array([text, "", text]))
+    first, last, span = substrings.spans(owner, bounds, hashes)
+    counts = np.diff(bounds)
+    half = len(owner) // 2
+    want = []
+    for i in range(half):
+        n = 0
+        for j in range(i, half):
+            n += counts[j]
+            if n >= substrings.SPAN_WORDS and j > i:
+                want.append((i, j))
+                break
+    assert list(zip(first, last, strict=True))[: len(want)] == want and len(first) == 2 * len(want)
+    assert (span[: len(want)] == span[len(want) :]).all()
+
+
+def test_stages(spark, docs, rows, none, tmp_path):
+    spark.createDataFrame([(0, rows[0][1]), (1, "not there at all in any of them")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    plain = docs.select("doc_id", "text", "lang", "source", "n_chars")
+    for start in (plain, none.select(plain.columns)):
+        now = start
+        for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            now = stage(spark, now, str(tmp_path))
+            if i < 4:
+                assert now.columns == plain.columns
+            folder = f"{tmp_path}/{i}-{start is plain}"
+            now.write.parquet(folder)
+            now = spark.read.parquet(folder)
+        assert now.count() == 0 if start is not plain else now.count() > 0
+    assert [n for n, _ in corpus_pipeline.STAGES][0] == "quality rules"
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables here")
+def test_pipeline_runs(spark):
+    got = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    assert got.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and got.count() > 0
