@@ -84,7 +84,7 @@ def preorder(segment: DataFrame, rounds: int = 64) -> DataFrame:
             grown = settle(grown.withColumn("up", F.when(F.size(F.array_distinct("path")) == F.size("path"), F.col("up"))))
         state = grown
     lost = F.size(F.array_distinct("path")) < F.size("path")
-    place = F.row_number().over(Window.partitionBy("feeder").orderBy(lost, "path", "id"))
+    place = F.row_number().over(Window.partitionBy("feeder").orderBy(lost, F.when(~lost, F.col("path")), "id"))
     return state.select("feeder", "id", place.alias("place"), F.when(lost, F.lit(None)).otherwise(F.size("path") - 1).cast("int").alias("depth"))
 
 
