@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.functions import geometry, normalize
+from gridloom.functions import geodesy, geometry, normalize
 from gridloom.plans.testbed import Grid, with_grid
 
 _LIST = lambda words: ", ".join(f"'{w}'" for w in words)
@@ -104,7 +104,24 @@ def x_lonlat(spark, sf_dir):
     return _raw(spark, sf_dir).select("k", x.alias("x"), y.alias("y")).where("x IS NOT NULL").select("k", F.round(lon, 7).alias("lon"), F.round(lat, 7).alias("lat"))
 
 
-QUERIES = {f.__name__: f for f in (x_identifier, x_name, x_number, x_voltage_token, x_unit_convert, x_xy_text, x_switch_state, x_service_state, x_token, x_safe_name, x_object_key, x_load_power, x_output_value, x_header_parts, x_unit_label, x_wkt_length, x_lonlat)}
+def x_reproject(spark, sf_dir):
+    """Coordinates taken to longitude and latitude and back again, to the centimetre."""
+    x, y = normalize.xy_from_text(F.col("raw_xy"))
+    lon, lat = geometry.utm_to_lonlat(F.col("x"), F.col("y"), 18, True)
+    there = _raw(spark, sf_dir).select("k", x.alias("x"), y.alias("y")).where("x IS NOT NULL").select("k", lon.alias("lon"), lat.alias("lat"))
+    x2, y2 = geodesy.lonlat_to_utm(F.col("lon"), F.col("lat"), 18, True)
+    return there.select("k", F.round(x2, 2).alias("x"), F.round(y2, 2).alias("y"))
+
+
+def x_geodesic(spark, sf_dir):
+    """Geodesic metres between the places of neighbouring rows' texts, a kilometre north of each other on the plane."""
+    x, y = normalize.xy_from_text(F.col("raw_xy"))
+    a, b = geometry.utm_to_lonlat(F.col("x"), F.col("y"), 18, True), geometry.utm_to_lonlat(F.col("x"), F.col("y") + 1000.0, 18, True)
+    points = _raw(spark, sf_dir).select("k", x.alias("x"), y.alias("y")).where("x IS NOT NULL").select("k", a[0].alias("lon1"), a[1].alias("lat1"), b[0].alias("lon2"), b[1].alias("lat2"))
+    return points.select("k", F.round(geodesy.geodesic_metres(F.col("lon1"), F.col("lat1"), F.col("lon2"), F.col("lat2")), 3).alias("metres"))
+
+
+QUERIES = {f.__name__: f for f in (x_reproject, x_geodesic, x_identifier, x_name, x_number, x_voltage_token, x_unit_convert, x_xy_text, x_switch_state, x_service_state, x_token, x_safe_name, x_object_key, x_load_power, x_output_value, x_header_parts, x_unit_label, x_wkt_length, x_lonlat)}
 
 _NUMBER = "CASE WHEN contains({0}, ',') AND NOT contains({0}, '.') THEN replace({0}, ',', '.') ELSE {0} END"
 _NUM = "try_cast(" + _NUMBER.format(r"regexp_replace(raw_number, '\s', '', 'g')") + " AS DOUBLE)"
@@ -136,3 +153,18 @@ FROM (SELECT *, CASE WHEN pf >= 0 THEN 1.0 ELSE -1.0 END AS sign_, greatest(abs(
     "x_unit_label": with_grid("SELECT k, CASE WHEN k % 4 = 3 AND k % 5 <> 4 THEN NULL ELSE CASE k % 5 WHEN 0 THEN 'm' WHEN 1 THEN 'kW' WHEN 2 THEN 'kvar' WHEN 3 THEN 'km' END END AS unit FROM raw", "raw"),
     "x_wkt_length": with_grid("SELECT k, CASE k % 3 WHEN 0 THEN 3 ELSE 1 END::INTEGER AS n_points, round(CASE k % 3 WHEN 0 THEN sqrt((k % 100 - 3) * (k % 100 - 3) + 16.0) + abs(k % 50 + 0.5 - 4) ELSE 0 END, 6) AS length, CAST(k % 100 AS DOUBLE) AS x1, CASE k % 3 WHEN 0 THEN k % 50 + 0.5 ELSE 7 END::DOUBLE AS y2 FROM raw WHERE k % 3 <> 2", "raw"),
 }
+
+_A, _F = 6378137.0, 1 / 298.257223563
+_E2 = _F * (2 - _F)
+_EP2, _E1 = _E2 / (1 - _E2), (1 - (1 - _E2) ** 0.5) / (1 + (1 - _E2) ** 0.5)
+SQL["x_reproject"] = with_grid(f"SELECT k, round({_X}, 2) AS x, round({_Y}, 2) AS y FROM raw WHERE {_X} IS NOT NULL", "raw")
+# the same published series, step by step
+SQL["x_lonlat"] = with_grid(
+    f"""+p0 AS (SELECT k, {_X} AS x, ({_Y} - 10000000) / 0.9996 / {_A * (1 - _E2 / 4 - 3 * _E2**2 / 64 - 5 * _E2**3 / 256)!r} AS mu FROM raw WHERE {_X} IS NOT NULL),
+p1 AS (SELECT k, x, mu + {3 * _E1 / 2 - 27 * _E1**3 / 32!r} * sin(2 * mu) + {21 * _E1**2 / 16 - 55 * _E1**4 / 32!r} * sin(4 * mu) + {151 * _E1**3 / 96!r} * sin(6 * mu) + {1097 * _E1**4 / 512!r} * sin(8 * mu) AS p FROM p0),
+p2 AS (SELECT *, sin(p) AS s, cos(p) AS c, tan(p) AS t, {_EP2!r} * cos(p) ** 2 AS c1, tan(p) ** 2 AS t1, 1 - {_E2!r} * sin(p) ** 2 AS w FROM p1),
+p3 AS (SELECT *, {_A!r} / sqrt(w) AS n1, {_A * (1 - _E2)!r} / (w * sqrt(w)) AS r1, (x - 500000) / ({_A!r} / sqrt(w) * 0.9996) AS d FROM p2)
+SELECT k, round(degrees((d - (1 + 2 * t1 + c1) * d ** 3 / 6 + (5 - 2 * c1 + 28 * t1 - 3 * c1 ** 2 + 8 * {_EP2!r} + 24 * t1 ** 2) * d ** 5 / 120) / c) - 75, 7) AS lon,
+  round(degrees(p - n1 * t / r1 * (d ** 2 / 2 - (5 + 3 * t1 + 10 * c1 - 4 * c1 ** 2 - 9 * {_EP2!r}) * d ** 4 / 24 + (61 + 90 * t1 + 298 * c1 + 45 * t1 ** 2 - 252 * {_EP2!r} - 3 * c1 ** 2) * d ** 6 / 720)), 7) AS lat FROM p3""",
+    "raw",
+)
