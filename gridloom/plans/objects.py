@@ -44,7 +44,7 @@ def rule_pfm(spark, sf_dir):
     return V.duplicate_keys(_named(Grid(spark, sf_dir)), ["class", "parent", "name"], "PFM003", "object")
 
 
-def rule_dgs(spark, sf_dir):
+def rule_tables(spark, sf_dir):
     """References of cubicles to terminals that are not in the terminals' table."""
     g = Grid(spark, sf_dir)
     cub = obj_cubicles(spark, sf_dir)
@@ -100,7 +100,7 @@ def diagram_parents(spark, sf_dir):
     return O.diagram_parents(member, g.bus)
 
 
-QUERIES = {f.__name__: f for f in (obj_folders, obj_terminals, obj_lines, obj_cubicles, obj_unique_names, rule_pfm, rule_dgs, table_lines, summary_objects, elec_line_impedance, elec_transformer_sc, diagram_fit, diagram_layout_choice, diagram_parents)}
+QUERIES = {f.__name__: f for f in (obj_folders, obj_terminals, obj_lines, obj_cubicles, obj_unique_names, rule_pfm, rule_tables, table_lines, summary_objects, elec_line_impedance, elec_transformer_sc, diagram_fit, diagram_layout_choice, diagram_parents)}
 
 _FOLD = "CASE WHEN system_id IS NULL THEN 'GRID:net:GRID' ELSE 'GRID:net:' || system_id END"
 _CUB = "cub AS (" + " UNION ALL ".join(f"SELECT '{k}' AS object_type, id AS object_id, {i} AS index, {r} AS bus FROM {k}" for k, rs in (("line", ("from_bus", "to_bus")), ("transformer", ("hv_bus", "lv_bus")), ("switch", ("from_bus", "to_bus")), ("load", ("bus_id",)), ("source", ("bus_id",)), ("generator", ("bus_id",))) for i, r in enumerate(rs)) + "), cubs AS (SELECT 'GRID:cub:' || object_type || '_' || object_id || '_' || index AS key, 'GRID:bus:' || bus AS parent, object_type, object_id, index FROM cub)"
@@ -115,7 +115,7 @@ SQL = {
     "obj_unique_names": f"""WITH {_NAMED}, a AS (SELECT *, row_number() OVER (PARTITION BY class, parent, name ORDER BY id) AS r FROM obj), b AS (SELECT *, CASE WHEN r = 1 THEN name ELSE id END AS n2 FROM a)
 SELECT class, parent, id, CASE WHEN k = 1 THEN n2 ELSE left(n2, 36) || '_' || k END AS name FROM (SELECT *, row_number() OVER (PARTITION BY class, parent, n2 ORDER BY r, id) AS k FROM b)""",
     "rule_pfm": f"WITH {_NAMED} SELECT 'PFM003' AS code, 'ERROR' AS severity, 'objects' AS category, 'object' AS object_type, class || '/' || parent || '/' || name AS object_id, CAST(count(*) AS VARCHAR) AS detail FROM obj GROUP BY class, parent, name HAVING count(*) > 1",
-    "rule_dgs": with_grid("+" + _CUB + " SELECT 'DGS004' AS code, 'ERROR' AS severity, 'objects' AS category, 'cubicle' AS object_type, key AS object_id, parent AS detail FROM cubs WHERE parent NOT IN (SELECT 'GRID:bus:' || id FROM bus)", "bus", *_ELS),
+    "rule_tables": with_grid("+" + _CUB + " SELECT 'DGS004' AS code, 'ERROR' AS severity, 'objects' AS category, 'cubicle' AS object_type, key AS object_id, parent AS detail FROM cubs WHERE parent NOT IN (SELECT 'GRID:bus:' || id FROM bus)", "bus", *_ELS),
     "table_lines": with_grid(f"SELECT 'GRID:line:' || l.id AS \"FID(a:40)\", l.name AS \"loc_name(a:40)\", {_FOLD} AS \"fold_id(p)\", round(length_km, 6) AS \"dline(r)\", CAST(NOT in_service AS INTEGER) AS \"outserv(i)\" FROM line l LEFT JOIN bus b ON b.id = from_bus", "bus", "line"),
     "summary_objects": with_grid("+" + _CUB + " SELECT object_type, count(*) AS n FROM cubs GROUP BY 1", *_ELS),
     "elec_line_impedance": with_grid("SELECT l.id, round(r1_ohm_per_km * length_km, 6) AS r_ohm, round(x1_ohm_per_km * length_km, 6) AS x_ohm, round(c1_nf_per_km * length_km, 6) AS c_nf FROM line l JOIN line_type t ON t.id = l.type_id", "line", "line_type"),
