@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridloom.llm.common import table
+from gridloom.llm.common import table, trim, trimmed
 from gridloom.llm.wordtable import assemble, by_bucket, pack_numbers, split, unpack_numbers, unpack_words
 
 _loaded: dict = {}
@@ -98,6 +98,7 @@ def encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text:
         return out + cut(text[at:])
 
     def encode_bucket(group: pa.Table) -> pa.Table:
+        trim()
         tokenizer, ids_of = vocabulary(path), {}
         lists = [unpack_words(w.as_py(), s.as_py()) for w, s in zip(group["words"], group["sizes"], strict=True)]
         distinct = list(dict.fromkeys(w for words in lists for w in words))
@@ -146,6 +147,7 @@ def decoded_texts(ids: pa.Array, path: str) -> Iterator[str]:
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """Adds the text that ``ids`` stand for, as column ``decoded``."""
 
+    @trimmed
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(batch.schema.get_field_index("ids"))
@@ -157,6 +159,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 def digests(encoded: DataFrame, path: str, key: str = "doc_id") -> DataFrame:
     """(key, n_tokens, ids_sha256, decoded_sha256): of the ids, and of the text that they decode to."""
 
+    @trimmed
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(1)

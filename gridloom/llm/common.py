@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
 import tempfile
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one slice of a batch holds at most, unless a single text is longer; arrays over it take some 100 times as much.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +56,24 @@ def as_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[ends[0] : ends[-1]] if len(ends) else whole, ends - ends[0] if len(ends) else np.zeros(1, np.int64)
 
 
+def trim() -> None:
+    """Gives this worker's free memory back to the system: Spark keeps idle workers for the stages to come."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def trimmed(function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """A function over batches that trims the worker when it has ended."""
+
+    @functools.wraps(function)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from function(batches)
+        trim()
+
+    return run
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Scatters 64-bit values (the splitmix64 finaliser)."""
     x = x ^ (x >> np.uint64(30))

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridloom.llm.common import slices, table
+from gridloom.llm.common import slices, table, trimmed
 
 #: Edits allowed per character of the item.
 ERROR_RATE = 0.08
@@ -185,6 +185,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
     for block in item_blocks(benchmark, item, item_text):
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
+        @trimmed
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(shared.value)
             for batch in batches:
@@ -209,19 +210,19 @@ _REST = [pa.field(n, pa.int32()) for n in NAMES[2:5]] + [pa.field(n, pa.int64())
 def remove_leaking(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows of ``docs``, as they are, that hold none of the items."""
     names = docs.columns
+    at = names.index(text)
     for block in item_blocks(benchmark, item, item_text):
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
+        @trimmed
         def clean(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(shared.value)
             for batch in batches:
-                for part in slices(batch, "_text"):
-                    free = pa.array([not matcher.hits(normal(t)) for t in part.column(1).to_pylist()], pa.bool_())
-                    yield part.select([0]).filter(free)
+                for part in slices(batch, f"_f{at}"):
+                    yield part.filter(pa.array([not matcher.hits(normal(t)) for t in part.column(at).to_pylist()], pa.bool_()))
 
-        packed = docs.select(F.struct(*(F.col(f"`{c}`").alias(f"f{i}") for i, c in enumerate(names))).alias("_row"), F.col(text).alias("_text"))
-        kept = packed.mapInArrow(clean, T.StructType([packed.schema["_row"]]))
-        docs = kept.select(*(F.col(f"_row.f{i}").alias(c) for i, c in enumerate(names)))
+        plain = docs.select(*(F.col(f"`{c}`").alias(f"_f{i}") for i, c in enumerate(names)))
+        docs = plain.mapInArrow(clean, plain.schema).select(*(F.col(f"_f{i}").alias(c) for i, c in enumerate(names)))
     return docs
 
 

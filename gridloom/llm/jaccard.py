@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import as_bytes, mix, partitions, settle, slices, span_hashes, table, word_spans
+from gridloom.llm.common import as_bytes, mix, partitions, settle, slices, span_hashes, table, trim, trimmed, word_spans
 from gridloom.operators.components import connected_components
 
 WORDS = 5
@@ -112,6 +112,7 @@ def set_keys(grams: np.ndarray, bounds: np.ndarray) -> list[bytes | None]:
     return out
 
 
+@trimmed
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, "_text"):
@@ -190,6 +191,7 @@ def _verify(group: pa.Table) -> pa.Table:
             out_gid.append(gids[i])
             out_links.append(int(links[i]))
             out_other.append(gids[find(i)])
+    trim()
     return pa.table({"gid": pa.array(out_gid, pa.binary()), "links": pa.array(out_links, pa.int64()), "other": pa.array(out_other, pa.binary())})
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridloom.llm.common import as_bytes, mix, slices, span_hashes, table, word_spans
+from gridloom.llm.common import as_bytes, mix, slices, span_hashes, table, trimmed, word_spans
 
 #: n-gram length: per cent of word characters that duplicated n-grams may hold.
 GRAM_LIMITS = {5: 15, 6: 14, 7: 13, 8: 12, 9: 11, 10: 10}
@@ -97,6 +97,7 @@ def measure(texts: pa.Array) -> dict[str, np.ndarray]:
     return out
 
 
+@trimmed
 def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, "_text"):
@@ -124,11 +125,20 @@ def verdict() -> tuple[F.Column, F.Column]:
 
 def filter_quality(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns as they are, whose text passes the base rule and every limit."""
-    spare = "_whole"
     names = docs.columns
-    packed = docs.select(F.struct(*(F.col(f"`{c}`").alias(f"f{i}") for i, c in enumerate(names))).alias(spare), F.col(text).alias("_t"))
-    judged = measures(packed, [spare], text="_t").where(verdict()[1])
-    return judged.select(*(F.col(f"_c0.f{i}").alias(c) for i, c in enumerate(names)))
+    at = names.index(text)
+    plain = docs.select(*(F.col(f"`{c}`").alias(f"_f{i}") for i, c in enumerate(names)))
+
+    @trimmed
+    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, f"_f{at}"):
+                found = measure(part.column(at))
+                yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(found[m]) for m in MEASURES)], [*part.schema.names, *(f"_{m}" for m in MEASURES)])
+
+    schema = T.StructType([*plain.schema.fields, *(T.StructField(f"_{m}", T.LongType()) for m in MEASURES)])
+    kept = plain.mapInArrow(judged, schema).where(verdict()[1])
+    return kept.select(*(F.col(f"_f{i}").alias(c) for i, c in enumerate(names)))
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

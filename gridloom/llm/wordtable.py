@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import partitions, settle, slices
+from gridloom.llm.common import partitions, settle, slices, trim, trimmed
 
 #: Bytes of text in a block, unless a single text is longer.
 BLOCK_TEXT = 16 << 20
@@ -74,6 +74,7 @@ def split(docs: DataFrame, words_of: Callable[[str], Iterable], key: str = "doc_
     """
     buckets = 2 * partitions(docs.sparkSession)
 
+    @trimmed
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "_text", BLOCK_TEXT):
@@ -131,6 +132,7 @@ def assemble(blocks: DataFrame, answers: DataFrame, function: Callable[[list, np
         rank = np.empty(len(bucket), np.int64)
         rank[np.argsort(bucket, kind="stable")] = np.arange(len(bucket))
         answers = [found[b] for b in sorted(found)]
+        trim()
         return pa.concat_tables([function(r["keys"], rank[unpack_numbers(r["places"])], unpack_numbers(r["ends"]), answers) for r in own])
 
     return held.unionByName(answers.select("block", "bucket", *more), allowMissingColumns=True).groupBy("block").applyInArrow(join, schema)
