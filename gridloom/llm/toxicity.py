@@ -1,15 +1,16 @@
 """Operator 8, toxicity by weak supervision.
 
 Voters: a word of a fixed insult list, a text pattern, or a word or word beginning that the labelled training rows
-show to mark toxic texts. Each votes "toxic" or abstains. A generative label model, with a
+show to mark toxic texts (counted over all of them). Each votes "toxic" or abstains. A generative label model, with a
 rate of firing per voter and class, is fitted by EM on the vote patterns of all training documents, where a labelled
 row's class is known and the others' is estimated; voters that fire
 together more than the model explains are taken as correlated and share their weight. A linear classifier over
 hashed words and word beginnings is then trained on posterior labels and scores every text.
 
-Fixed bounds: MAX_MINED voters are mined, from the CANDIDATES features that most toxic texts hold, of LABELLED labelled
-rows of either label at most (a hash of the id decides which; so these labels can be broadcast); the classifier is fitted on SAMPLE documents of either posterior label
+Fixed bounds: MAX_MINED voters are mined, the best by lift of all features that LEAST_TOXIC toxic texts hold; the classifier is fitted on SAMPLE documents of either posterior label
 (a hash of the text decides; all statistics before it cover all training documents).
+A bitmap of SIEVE_BITS bits keeps most texts without a label from the join with the labels; where it is full more texts
+are shuffled, none is lost.
 
 Cases: a null or empty text has no features and scores what the classifier gives to none; a null id falls in fold 0;
 null labels and labels of unknown ids are not used, of several labels of one id the largest counts; repeated rows
@@ -33,9 +34,8 @@ BITS = 40
 #: Bytes of a word that a beginning has.
 BEGINNINGS = (4, 5, 6)
 MAX_MINED = 256
-CANDIDATES = 1 << 16
 LEAST_TOXIC = 5
-LABELLED = 20_000
+SIEVE_BITS = 1 << 26
 SAMPLE = 3000
 EM_ROUNDS = 6
 #: Voters with a residual correlation above this share their weight.
@@ -100,39 +100,47 @@ def patterns(texts: pa.Array, insulted: np.ndarray) -> np.ndarray:
     return np.stack([upper > 2 * lower, 20 * marks > np.maximum(1, np.diff(ends)), addressed], axis=1)
 
 
-def _toxic_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def labelled_texts(lean: DataFrame, marks: DataFrame) -> DataFrame:
+    """(_text, _toxic) of every row of ``lean`` (_key, _text) whose key is in ``marks`` (_key, _toxic)."""
+    bit = F.pmod(F.xxhash64("_key"), F.lit(SIEVE_BITS))
+    bits = marks.select(bit.alias("_bit")).groupBy(F.floor(F.col("_bit") / 64).cast("int").alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(_bit % 64 AS INT))")).alias("bits")).toArrow()  # SIEVE_BITS / 64 rows at most
+    sieve = np.zeros(SIEVE_BITS // 64, np.uint64)
+    sieve[np.asarray(bits["at"])] = np.asarray(bits["bits"]).view(np.uint64)
+    shared = lean.sparkSession.sparkContext.broadcast(sieve)
+
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.asarray(batch.column(2))
+            held = (shared.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)
+            yield batch.select([0, 1]).filter(pa.array(held == 1))
+
+    some = lean.select("_text", "_key", bit.alias("_bit")).mapInArrow(sift, f"_text string, _key {lean.schema['_key'].dataType.simpleString()}")
+    return some.join(marks.hint("merge"), "_key").select("_text", "_toxic")
+
+
+def _label_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(feature, toxic and clean texts that hold it); feature -1 stands for the texts themselves."""
     for batch in batches:
         for part in slices(batch, "_text"):
-            found, counts = np.unique(features(part.column(0))[0], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int64)), pa.array(counts)], ["feature", "n"])
+            found, bounds = features(part.column(0))
+            toxic = np.asarray(part.column(1)) == 1
+            keys, place = np.unique(found, return_inverse=True)
+            held = np.bincount(place, minlength=len(keys))
+            one = np.bincount(place[np.repeat(toxic, np.diff(bounds))], minlength=len(keys))
+            rows = np.append(keys.astype(np.int64), -1), np.append(one, toxic.sum()), np.append(held - one, (~toxic).sum())
+            yield pa.RecordBatch.from_arrays([pa.array(r.astype(np.int64)) for r in rows], ["feature", "one", "zero"])
 
 
 def mined_voters(labelled: DataFrame) -> list[int]:
     """Features that mark toxic texts, the best first. ``labelled``: _text, _toxic."""
-    sizes = {r[0]: r[1] for r in labelled.groupBy("_toxic").agg(F.count("*")).collect()}
-    toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
-    if not toxic:
+    counts = labelled.mapInArrow(_label_counts, "feature long, one long, zero long").groupBy("feature").agg(F.sum("one").alias("one"), F.sum("zero").alias("zero"))
+    counts = settle(counts.where((F.col("feature") < 0) | (F.col("one") >= LEAST_TOXIC) & (F.col("one") > F.col("zero"))))
+    sizes = counts.where("feature < 0").first()
+    if sizes is None or not sizes["one"]:
         return []
-    counts = labelled.where("_toxic = 1").select("_text").mapInArrow(_toxic_features, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_TOXIC)
-    rows = sorted((r[0], r[1]) for r in counts.orderBy(F.desc("n"), "feature").limit(CANDIDATES).collect())
-    keys, held = np.array([r[0] for r in rows], np.uint64), np.array([r[1] for r in rows], np.float64)
-    shared = labelled.sparkSession.sparkContext.broadcast(keys)
-
-    def clean_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros(len(shared.value), np.int64)
-        for batch in batches:
-            for part in slices(batch, "_text"):
-                at = lookup(shared.value, features(part.column(0))[0])
-                sums += np.bincount(at[at >= 0], minlength=len(sums))
-        at = np.flatnonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(sums[at])], ["place", "n"])
-
-    other = np.zeros(len(keys))
-    for r in labelled.where("_toxic = 0").select("_text").mapInArrow(clean_features, "place int, n long").groupBy("place").agg(F.sum("n")).collect():  # CANDIDATES rows at most
-        other[r[0]] = r[1]
-    lift = (held / toxic - other / max(1, clean)) / np.sqrt((held + other + 1) / (toxic + clean))
-    best = [i for i in np.argsort(-lift, kind="stable") if held[i] > other[i]]
-    return [int(keys[i]) for i in best[:MAX_MINED]]
+    toxic, clean = sizes["one"], sizes["zero"]
+    lift = (F.col("one") / toxic - F.col("zero") / max(1, clean)) / F.sqrt((F.col("one") + F.col("zero") + 1) / (toxic + clean))
+    return [r[0] for r in counts.where("feature >= 0").orderBy(lift.desc(), "feature").select("feature").limit(MAX_MINED).collect()]
 
 
 class Voters:
@@ -250,9 +258,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     if not marked.get(1):
         return None
     prior = marked[1] / sum(marked.values())
-    draw = F.pmod(F.xxhash64("_key"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    some = marks.where(draw < F.when(F.col("_toxic") == 1, min(1.0, LABELLED / marked[1])).otherwise(min(1.0, LABELLED / max(1, marked.get(0, 0)))))
-    mined = mined_voters(lean.join(F.broadcast(some), "_key").select("_text", "_toxic"))
+    mined = mined_voters(labelled_texts(lean, marks))
     voters = spark.sparkContext.broadcast(Voters(mined))
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

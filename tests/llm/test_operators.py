@@ -258,6 +258,17 @@ def test_toxicity(spark, docs, rows, none):
     assert toxicity.score(none, model).count() == 0
 
 
+def test_toxicity_counts_every_label(spark, monkeypatch):
+    # 5 toxic texts among 45,000 hold a word, at ids over all of the range; a sample of 20,000 misses it
+    rare = {9000 * i + 1 for i in range(5)}
+    texts = spark.range(90_000).select("id", F.when(F.col("id").isin(*rare), "vexorg ample").when(F.col("id") % 2 == 1, "ample").otherwise("plain").alias("text"))
+    marks = spark.range(90_000).select("id", (F.col("id") % 2).cast("int").alias("toxic"))
+    seen, start = [], toxicity.Voters.__init__
+    monkeypatch.setattr(toxicity.Voters, "__init__", lambda self, mined: seen.extend(mined) or start(self, mined))
+    toxicity.train(texts, marks, key="id")
+    assert {toxicity.word_hash("ample"), toxicity.word_hash("vexorg")} <= set(seen)
+
+
 def _grams(text):
     w = words(text)
     return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
