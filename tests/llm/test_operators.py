@@ -350,6 +350,23 @@ def test_substrings(spark, docs, rows, none):
     assert (span[: len(want)] == span[len(want) :]).all()
 
 
+def test_substrings_begin_anywhere(spark):
+    rng = random.Random(10)
+    made = iter(range(10**6))
+    text = lambda n, share: [f"w{next(made)}" + rng.choice("!?.") * (rng.random() < share) for _ in range(n)]
+    texts, passages = [], []
+    for i in range(400):
+        share = rng.choice((0, 0.03, 0.05, 0.08, 0.15))
+        passages.append(text(51, share))
+        for j in range(2):  # fused with other words, mid-sentence on both sides
+            texts.append((2 * i + j, " ".join([*text(rng.randrange(40), share), *passages[i], *text(rng.randrange(40), share)])))
+    got = {r["doc_id"]: r for r in substrings.remove_repeats(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    for i, passage in enumerate(passages):
+        assert got[2 * i]["n_removed"] == 0 and got[2 * i + 1]["first_ids"] == [2 * i]
+        gone = words(" ".join(got[2 * i + 1]["removed"]))
+        assert len(gone) >= 25 and gone == [w for w in passage if w in set(gone)]
+
+
 def test_stages(spark, docs, rows, none, tmp_path):
     spark.createDataFrame([(0, rows[0][1]), (1, "not there at all in any of them")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     plain = docs.select("doc_id", "text", "lang", "source", "n_chars")
