@@ -6,6 +6,8 @@ never walked: it is a join on the component label of the right subgraph.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -176,10 +178,10 @@ def branch_facts(edge: DataFrame, member: DataFrame, stops: DataFrame) -> DataFr
     return sizes.join(facts, "branch").select("branch", "edge_count", "start_bus", "end_bus", (F.col("start_bus").isNull() | (F.col("start_bus") == F.col("end_bus"))).alias("closed"))
 
 
-def propagate_labels(edge: DataFrame, labels: DataFrame, rounds: int = 1000) -> DataFrame:
+def propagate_labels(edge: DataFrame, labels: DataFrame) -> DataFrame:
     """(bus, label, distance): the nearest label, the smaller of equally near ones. ``labels``: bus, label.
 
-    Components with one label take it by a join; only the others go through rounds.
+    Components with one label take it by a join; only the others go through rounds, until one adds nothing.
     """
     parts = connected_components(edge)
     marked = labels.join(parts.withColumnRenamed("node", "bus"), "bus")
@@ -188,7 +190,7 @@ def propagate_labels(edge: DataFrame, labels: DataFrame, rounds: int = 1000) ->
     many = parts.join(kinds.where("n > 1"), "component").select(F.col("node").alias("bus"))
     side = settle(ends(edge.select("src", "dst", F.lit("").alias("key"), F.lit("").alias("object_type"))).join(many, "bus", "left_semi").select("bus", "other").distinct())
     reached = settle(labels.join(many, "bus", "left_semi").groupBy("bus").agg(F.min("label").alias("label")).withColumn("distance", F.lit(0)))
-    for step in range(1, rounds + 1):
+    for step in count(1):
         fresh = reached.where(F.col("distance") == step - 1).join(side, "bus").groupBy(F.col("other").alias("bus")).agg(F.min("label").alias("label")).join(reached.select("bus"), "bus", "left_anti")
         fresh = settle(fresh.withColumn("distance", F.lit(step)))
         if fresh.isEmpty():

@@ -1,3 +1,4 @@
+import inspect
 import random
 from collections import defaultdict
 
@@ -122,6 +123,10 @@ def test_labels_go_to_the_nearest(spark):
     assert got == {"a": "F2", "b": "F2", "c": "F1", "d": "F1", "x": "F9", "y": "F9"}
 
 
+def test_labels_have_no_last_round():
+    assert "rounds" not in inspect.signature(topology.propagate_labels).parameters
+
+
 def test_mapping(spark):
     raw = spark.createDataFrame([(1, "1", "A", "B", "120,5", None), (2, "1.0", "A", "B", "10", None), (3, "3", "A", "A", "10", None), (4, "4", None, "B", "10", None), (5, "5", "A", "B", "x", None), (6, "1", "Z", "B", "1", None)], "n int, cod string, desde string, hasta string, m string, extra string")
     mapping = LayerMapping("line", {"id": "cod", "from_bus": "desde", "to_bus": "hasta", "length_km": "m"}, {"length_km": "m"}, {"nominal_voltage_kv": 10.0, "in_service": True})

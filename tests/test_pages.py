@@ -11,6 +11,19 @@ def test_positions(spark):
     assert got["b"] == (5.0, 2.0) and got["lost"][0] == 10.0 + diagrams.STEP_X and len(got) == 4
 
 
+def test_positions_of_a_long_feeder(spark):
+    bus = spark.createDataFrame([("b00", 3.0, 4.0), *((f"b{i:02}", None, None) for i in range(1, 56))], "id string, x double, y double")
+    side = spark.createDataFrame([p for i in range(55) for p in ((f"b{i:02}", f"b{i + 1:02}"), (f"b{i + 1:02}", f"b{i:02}"))], "bus string, other string")
+    got = {(r["x"], r["y"]) for r in diagrams.fill_positions(bus, side).collect()}
+    assert got == {(3.0, 4.0)}
+
+
+def test_lost_buses_have_their_own_spots(spark):
+    bus = spark.createDataFrame([("a", 10.0, 4.0), *((f"z{i:04}", None, None) for i in range(1500))], "id string, x double, y double")
+    got = {r["id"]: (r["x"], r["y"]) for r in diagrams.fill_positions(bus, spark.createDataFrame([], "bus string, other string")).collect()}
+    assert len(got) == 1501 and all(got[f"z{i:04}"] == (10.0 + (i + 1) * diagrams.STEP_X, 4.0) for i in range(1500))
+
+
 def test_levels(spark):
     side = spark.createDataFrame([("a", "b"), ("b", "a"), ("b", "c"), ("c", "b"), ("a", "d"), ("d", "a")], "bus string, other string")
     depth = diagrams.levels(side, spark.createDataFrame([("p", "a")], "page string, bus string"))
