@@ -1,11 +1,15 @@
 """Operator 6, secret scans: candidates by patterns, false positives removed by a random forest.
 
-Candidates are runs of 16 or more characters of keys, digests and encoded bytes. A random forest judges each by its
+Candidates are runs of 16 or more characters of keys, digests and encoded bytes; quoted or assigned values of 8 or more
+characters beside a credential's name (the last part of a name split at _ and -); private-key blocks, passwords in
+addresses (user:password@host) and the secret parts of webhook addresses. A random forest judges each by its
 length, character transitions (how often the class of character changes, how many neighbours are letter pairs of
 ordinary words), dictionary coverage (share of letters in runs that are words of the corpus), path (the source's
 kind), and neighbouring words (the word before, an assignment sign, quotes). It is trained on labelled findings: a
-finding is labelled secret where a strict rule holds (a credential's name, an assignment and a quoted value, or the
-fixed form of a known kind of key), else not. The forest never sees the rule's verdict, only the features.
+finding is labelled secret where a strict rule holds (a credential's name, an assignment and a value of digits and
+other characters, or the fixed form of a known kind of key), and not secret where nothing speaks for it (no name, no
+assignment, no quotes); what the rule can't decide is not trained on. The forest never sees the rule's verdict, only
+the features. A fixed form (private-key block, password in an address, webhook) is a secret by its form alone.
 
 Only DataFrame expressions and Spark's own forest run here.
 
@@ -13,7 +17,7 @@ Fixed bounds: the forest is fitted on TRAIN_FINDINGS findings of either label at
 
 Cases: a null or empty text has no candidate; ids and sources may be null; repeated rows are reported one by one and
 candidates of a text in order; texts of any length are scanned whole; without findings of both labels nothing is
-removed by the forest and the strict rule decides; an empty table gives an empty result; other columns are not read.
+removed by the forest and the strict rule decides (what it leaves open is no secret); an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -27,10 +31,21 @@ from pyspark.sql import functions as F
 
 from gridloom.llm.common import settle, table
 
-#: A candidate and up to 40 characters before it; what it may hold is what keys, digests and base64 hold.
-CANDIDATE = r"(?<![A-Za-z0-9+/_\-])([A-Za-z0-9+/_\-]{16,}={0,2})(?![A-Za-z0-9+/_\-=])"
-#: Names of credentials, as the word before a candidate.
-NAMES = ("token", "secret", "password", "passwd", "pwd", "key", "apikey", "api_key", "access_key", "secret_key", "auth", "credential", "bearer")
+#: Names of credentials, as the last part of the word before a candidate.
+NAMES = ("token", "secret", "secrets", "password", "passwd", "passphrase", "pwd", "pass", "key", "apikey", "auth", "credential", "credentials", "bearer")
+#: What stands between a credential's name and its value, in the lookbehinds below.
+_NAMED = r"(?i:(?<![A-Za-z])(?:" + "|".join(NAMES) + r"))[\"']?\s{0,3}[:=][=>]?\s{0,3}"
+#: Forms that are secrets without a name.
+BLOCK = r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY(?: BLOCK)?-----[\s\S]*?-----END [A-Z ]{0,40}PRIVATE KEY(?: BLOCK)?-----"
+ADDRESS = r"(?<=:)(?<=://[^\s/:@]{0,64}:)[^\s/@]+(?=@[A-Za-z0-9\[])"
+WEBHOOK = r"(?<=/)(?<=hooks\.slack\.com/services/|discord\.com/api/webhooks/|discordapp\.com/api/webhooks/)[A-Za-z0-9_/\-]{16,}"
+#: A candidate; a bare one holds what keys, digests and base64 hold.
+CANDIDATE = (
+    f"({BLOCK}|{ADDRESS}|{WEBHOOK}"
+    rf"|(?<=\")(?<={_NAMED}\")[^\"\r\n]{{8,}}+(?=\")|(?<=')(?<={_NAMED}')[^'\r\n]{{8,}}+(?=')"
+    rf"|(?<=[:=>\s])(?<={_NAMED})[^\s\"',;]{{8,}}"
+    r"|(?<![A-Za-z0-9+/_\-])(?!(?<=hooks\.slack\.)com/services/|(?<=discord\.|discordapp\.)com/api/webhooks/)[A-Za-z0-9+/_\-]{16,}={0,2}(?![A-Za-z0-9+/_\-=]))"
+)
 #: Fixed forms of published kinds of keys.
 KNOWN = r"^(AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9\-]{10,}|sk_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_\-]{35})$"
 #: Path parts that hold samples rather than live keys.
@@ -41,7 +56,7 @@ TRAIN_FINDINGS = 20_000
 LEAST_LENGTH = 16
 TREES, DEPTH = 20, 6
 #: Characters kept around a candidate for its neighbours.
-CONTEXT = 48
+CONTEXT = 96
 FEATURES = ("length", "digit_share", "upper_share", "hex_share", "switches", "usual_pairs", "distinct_share", "covered", "sample_path", "named", "assigned", "quoted", "word_before")
 THRESHOLD = 0.5
 
@@ -68,7 +83,7 @@ def described(found: DataFrame, vocabulary: DataFrame) -> DataFrame:
     runs = keyed.select("_id", F.explode(F.regexp_extract_all(F.lower("value"), F.lit("[a-z]{2,}"), F.lit(0))).alias("word"))
     covered = runs.join(vocabulary, "word").groupBy("_id").agg(F.sum(F.length("word")).alias("n_covered"))
     classes = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace("value", "[0-9]", "0"), "[a-z]", "a"), "[A-Z]", "A"), "[^0aA]", "-")
-    name = F.lower(F.regexp_extract("before", r"([A-Za-z_\-]+)[\"']?\s*[:=]?\s*[\"']?$", 1))
+    name = F.lower(F.regexp_extract("before", r"([A-Za-z_\-]+)[\"']?\s*(?:[:=][=>]?)?\s*[\"']?$", 1))
     pairs = F.size(F.regexp_extract_all(F.lower("value"), F.lit("(?=(" + "|".join(USUAL_PAIRS) + "))"), F.lit(1)))
     return keyed.join(covered, "_id", "left").select(
         "_key", "_path", "n", "start", "value", "before", "after",
@@ -81,8 +96,8 @@ def described(found: DataFrame, vocabulary: DataFrame) -> DataFrame:
         (F.size(F.array_distinct(F.split("value", ""))) / F.length("value")).alias("distinct_share"),
         (F.coalesce("n_covered", F.lit(0)) / F.length("value")).alias("covered"),
         F.coalesce(F.regexp_like("_path", F.lit(SAMPLE_PATHS)), F.lit(False)).cast("double").alias("sample_path"),
-        name.isin(*NAMES).cast("double").alias("named"),
-        F.regexp_like("before", F.lit(r"[:=]\s*[\"']?$")).cast("double").alias("assigned"),
+        F.regexp_extract(name, "([a-z]*)$", 1).isin(*NAMES).cast("double").alias("named"),
+        F.regexp_like("before", F.lit(r"[:=]>?\s*[\"']?$")).cast("double").alias("assigned"),
         (F.regexp_like("before", F.lit("[\"']$")) & F.regexp_like("after", F.lit("^[\"']"))).cast("double").alias("quoted"),
         F.regexp_like("before", F.lit(r"[A-Za-z]\s*$")).cast("double").alias("word_before"),
         name.alias("name"),
@@ -90,9 +105,18 @@ def described(found: DataFrame, vocabulary: DataFrame) -> DataFrame:
 
 
 def labelled(features: DataFrame) -> DataFrame:
-    """Adds ``label``: 1 where the strict rule holds, else 0. Findings labelled by people can take this one's place."""
-    strict = (F.col("named") == 1) & (F.col("assigned") == 1) & (F.col("quoted") == 1) & (F.col("digit_share") >= 0.2) & (F.col("sample_path") == 0)
-    return features.withColumn("label", (strict | F.regexp_like("value", F.lit(KNOWN))).cast("double"))
+    """Adds ``label``: 1 where the strict rule holds, 0 where nothing speaks for a secret, else null. Findings labelled by people can take this one's place."""
+    mixed = (F.col("digit_share") >= 0.1) & (F.col("digit_share") < 1) & ~F.regexp_like("value", F.lit(r"\s"))
+    strict = (F.col("named") == 1) & (F.col("assigned") == 1) & mixed
+    nothing = (F.col("named") == 0) & (F.col("assigned") == 0) & (F.col("quoted") == 0)
+    return features.withColumn("label", F.when(strict | fixed_form() | F.regexp_like("value", F.lit(KNOWN)), 1.0).when(nothing, 0.0))
+
+
+def fixed_form() -> Column:
+    """Whether a finding is a private-key block, a password in an address or a webhook's secret part."""
+    address = F.regexp_like("before", F.lit(r"://[^\s/:@]*:$")) & F.regexp_like("after", F.lit("^@"))
+    webhook = F.regexp_like("before", F.lit(r"(hooks\.slack\.com/services|discord(app)?\.com/api/webhooks)/$"))
+    return F.col("value").startswith("-----BEGIN ") | address | webhook
 
 
 def words_of_corpus(docs: DataFrame, found: DataFrame, text: str = "text") -> DataFrame:
@@ -104,6 +128,7 @@ def words_of_corpus(docs: DataFrame, found: DataFrame, text: str = "text") -> Da
 
 def train(findings: DataFrame) -> PipelineModel | None:
     """The forest, fitted on labelled findings; None unless both labels occur."""
+    findings = findings.where("label IS NOT NULL")
     sizes = {r[0]: r[1] for r in findings.groupBy("label").agg(F.count("*")).collect()}
     if len(sizes) < 2:
         return None
@@ -118,9 +143,10 @@ def train(findings: DataFrame) -> PipelineModel | None:
 def judge(features: DataFrame, model: PipelineModel | None) -> DataFrame:
     """Adds ``score``, the forest's probability of a secret, and ``is_secret``."""
     if model is None:
-        scored = labelled(features).withColumn("score", F.col("label"))
+        scored = labelled(features).withColumn("score", F.coalesce("label", F.lit(0.0))).drop("label")
     else:
         scored = model.transform(features).withColumn("score", F.element_at(vector_to_array("probability"), 2)).drop("features", "rawPrediction", "probability", "prediction")
+    scored = scored.withColumn("score", F.when(fixed_form(), 1.0).otherwise(F.col("score")))
     return scored.withColumn("is_secret", F.col("score") >= THRESHOLD)
 
 
