@@ -13,11 +13,20 @@ from pyspark.sql import functions as F
 CHUNK_EDGES = 1 << 19
 
 
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder that the session names; a folder of this machine only where the session runs on it alone."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return context.getCheckpointDir()
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Cuts the lineage with a reliable checkpoint in the folder that the session names."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

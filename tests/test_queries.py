@@ -2,6 +2,7 @@
 
 import os
 
+import pandas
 import pytest
 
 import __spark_entry__ as entry
@@ -21,7 +22,7 @@ def sql():
 
 
 def _rows(frame):
-    text = lambda v: "" if v is None or v != v else f"{v + 0.0:.6f}" if isinstance(v, float) else str(v)
+    text = lambda v: "" if v is None or v is pandas.NA or v != v else f"{v + 0.0:.6f}" if isinstance(v, float) else str(v)
     return sorted("|".join(text(v) for v in r) for r in frame[sorted(frame.columns)].astype(object).itertuples(index=False))
 
 
