@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Edges that one local contraction holds in memory.
@@ -30,37 +33,74 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def store(df: DataFrame) -> DataFrame:
+    """As ``settle``, but written as Parquet, which packs columns; rows may come back in other partitions."""
+    at = f"{checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
+def numbered(rows: DataFrame, *order: str) -> DataFrame:
+    """``rows`` with ``number``, from 1 in the order of the columns, by ranges of rows whose sizes are added up; no task sees all rows."""
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    dealt = settle(dealt.select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("_at")))
+    sizes = dealt.groupBy("_part").agg(F.count("*").alias("_n"))  # one row for each partition
+    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    return dealt.join(F.broadcast(before), "_part").withColumn("number", F.col("_before") + F.col("_at") + 1).drop("_part", "_at", "_before")
+
+
+class Frontiers:
+    """The rounds of a search, each written once to the shared folder and read back alone or all together."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder, self.rounds = spark, f"{checkpoint_dir(spark)}/frontiers-{uuid.uuid4().hex}", 0
+
+    def add(self, rows: DataFrame) -> DataFrame:
+        at = f"{self.folder}/{self.rounds}"
+        self.rounds += 1
+        rows.write.parquet(at)
+        return self.spark.read.schema(rows.schema).parquet(at)
+
+    def all(self, schema) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(f"{self.folder}/*")
+
+
 def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Replaces a run of edges by stars around the smallest node of each of its components."""
-    parent: dict = {}
-    kind, seen = None, 0
+    """Replaces runs of edges by stars around the smallest node of each of their components.
 
-    def root(x):
-        while parent[x] != x:
-            parent[x] = x = parent[parent[x]]
-        return x
+    Labels go down along all edges at once and are then shortened (each label takes its own label's), until none moves.
+    """
+    held: list[pa.RecordBatch] = []
 
     def stars() -> pa.RecordBatch:
-        pairs = [(n, root(n)) for n in parent]
-        pairs = [p for p in pairs if p[0] != p[1]]
-        parent.clear()
-        return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], kind), pa.array([p[1] for p in pairs], kind)], ["u", "v"])
+        run = pa.Table.from_batches(held)
+        n = len(run)
+        nodes = pa.chunked_array([*run.column(0).chunks, *run.column(1).chunks]).combine_chunks().dictionary_encode()
+        names = nodes.dictionary.take(order := pc.sort_indices(nodes.dictionary))
+        rank = np.empty(len(names), np.int64)
+        rank[np.asarray(order)] = np.arange(len(names))
+        ends = rank[np.asarray(nodes.indices)]
+        u, v, label = ends[:n], ends[n:], np.arange(len(names))
+        while True:
+            low = np.minimum(label[u], label[v])
+            moved = label.copy()
+            for side in (u, v):  # both ends, and the roots that they had
+                np.minimum.at(moved, side, low)
+                np.minimum.at(moved, label[side], low)
+            while (moved[moved] != moved).any():
+                moved = moved[moved]
+            if (moved == label).all():
+                break
+            label = moved
+        own = np.flatnonzero(label != np.arange(len(names)))
+        held.clear()
+        return pa.RecordBatch.from_arrays([names.take(pa.array(own)), names.take(pa.array(label[own]))], ["u", "v"])
 
     for batch in batches:
-        kind = batch.schema.field(0).type
-        for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            parent.setdefault(u, u)
-            parent.setdefault(v, v)
-            a, b = root(u), root(v)
-            if a < b:
-                parent[b] = a
-            elif b < a:
-                parent[a] = b
-        seen += batch.num_rows
-        if seen >= CHUNK_EDGES:
-            seen = 0
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= CHUNK_EDGES:
             yield stars()
-    if parent:
+    if any(b.num_rows for b in held):
         yield stars()
 
 

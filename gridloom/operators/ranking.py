@@ -2,49 +2,75 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions.normalize import token
-from gridloom.operators.components import settle
+from gridloom.operators.components import Frontiers, settle
+
+#: Points that others are held against at once.
+BLOCK = 4096
 
 
-#: Points that all others are held against first.
-STRONG = 256
+def _apart(points: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Which points none of ``others`` dominates."""
+    keep = np.ones(len(points), bool)
+    step = max(1, (1 << 24) // max(1, others.size))
+    for i in range(0, len(points), step):
+        p = points[i : i + step, None, :]
+        keep[i : i + step] = ~((others >= p).all(2) & (others > p).any(2)).any(1)
+    return keep
 
 
 def pareto_front(df: DataFrame, key: str, objectives: list[str]) -> DataFrame:
-    """Rows that no other row dominates: at least as high in every objective and higher in one.
+    """Rows that no other row dominates: at least as high in every objective and higher in one. Nulls are never in the front.
 
-    Rows are thinned to one per distinct point, then to those that none of STRONG points with the largest sums
-    dominates; only what is left, the candidates, is compared with itself.
+    Rows are thinned to one per distinct point, each task keeps what its own points don't dominate, and the points left
+    are then held against each other in blocks of BLOCK, one pass each: what is broadcast never grows.
     """
-    points = df.groupBy(*objectives).agg(F.count("*").alias("_n"))
-    strong = points.orderBy(sum((F.col(o) for o in objectives), F.lit(0.0)).desc(), *objectives).limit(STRONG)
-    left = _undominated(points, F.broadcast(strong), objectives)  # a fixed number of rows, which rule out most others
-    front = _undominated(settle(left), left, objectives)
-    return df.join(front, objectives, "left_semi").select(key, *objectives)
-
-
-def _undominated(points: DataFrame, others: DataFrame, objectives: list[str]) -> DataFrame:
-    other = others.select(*(F.col(o).alias(f"_{o}") for o in objectives))
-    no_worse, better = F.lit(True), F.lit(False)
-    for o in objectives:
-        no_worse &= F.col(f"_{o}") >= F.col(o)
-        better |= F.col(f"_{o}") > F.col(o)
-    return points.join(other, no_worse & better, "left_anti").select(*objectives)
-
-
-def front_ranks(df: DataFrame, key: str, objectives: list[str], most: int = 1000) -> DataFrame:
-    """(key, objectives, front): front 1 is the Pareto front, front 2 that of the rest, and so on up to ``most``."""
-    rest, out = settle(df.select(key, *objectives)), None
-    for rank in range(1, most + 1):
-        front = settle(pareto_front(rest, key, objectives).withColumn("front", F.lit(rank)))
-        out = front if out is None else out.unionAll(front)
-        rest = settle(rest.join(front.select(key), key, "left_anti"))
-        if rest.isEmpty():
-            break
-    return out
+    points = df.select(*(F.col(o).cast("double").alias(o) for o in objectives)).dropna().distinct()
+
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = np.zeros((0, len(objectives)))
+        for batch in batches:
+            mine = np.stack([np.asarray(c) for c in batch.columns], 1)
+            mine = mine[np.argsort(-mine.sum(1), kind="stable")]
+            for i in range(0, len(mine), BLOCK):
+                part = mine[i : i + BLOCK]
+                part = part[_apart(part, best)]
+                best = np.concatenate([best, part[_apart(part, part)]])
+            if len(best) > BLOCK:  # what is found later may dominate what was found before
+                yield pa.RecordBatch.from_arrays([pa.array(best[:, j]) for j in range(len(objectives))], objectives)
+                best = best[:BLOCK]
+        if len(best):
+            yield pa.RecordBatch.from_arrays([pa.array(best[:, j]) for j in range(len(objectives))], objectives)
+
+    left = settle(points.mapInArrow(local, points.schema).distinct())
+    blocks = -(-left.count() // BLOCK)
+    for b in range(blocks):
+        rows = left.where(F.pmod(F.xxhash64(*objectives), F.lit(blocks)) == b).toArrow()  # about BLOCK rows
+        shared = df.sparkSession.sparkContext.broadcast(np.stack([np.asarray(c) for c in rows.columns], 1) if len(rows) else np.zeros((0, len(objectives))))
+
+        def against(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.filter(pa.array(_apart(np.stack([np.asarray(c) for c in batch.columns], 1), shared.value)))
+
+        left = settle(left.mapInArrow(against, left.schema))
+    return df.join(left, [df[o].cast("double") == left[o] for o in objectives], "left_semi").select(key, *objectives)
+
+
+def front_ranks(df: DataFrame, key: str, objectives: list[str]) -> DataFrame:
+    """(key, objectives, front): front 1 is the Pareto front, front 2 that of the rest, and so on to the last."""
+    rounds, rest, rank, schema = Frontiers(df.sparkSession), settle(df.select(key, *objectives).dropna(subset=objectives)), 0, None
+    while not rest.isEmpty():
+        rank += 1
+        front = rounds.add(pareto_front(rest, key, objectives).withColumn("front", F.lit(rank)))
+        schema, rest = front.schema, settle(rest.join(front.select(key), key, "left_anti"))
+    return rounds.all(schema) if rank else rest.withColumn("front", F.lit(0))
 
 
 def crowding(df: DataFrame, key: str, objectives: list[str], front: str = "front") -> DataFrame:

@@ -6,12 +6,10 @@ never walked: it is a join on the component label of the right subgraph.
 
 from __future__ import annotations
 
-from itertools import count
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.operators.components import connected_components, settle
+from gridloom.operators.components import Frontiers, connected_components, numbered, settle
 
 EDGE = ("key", "object_type", "object_id", "src", "dst", "conductive")
 
@@ -52,21 +50,33 @@ def active_sources(source: DataFrame, bus: DataFrame) -> DataFrame:
     return source.where("in_service").join(bus.select(F.col("id").alias("bus_id")), "bus_id", "left_semi").select(F.col("id").alias("source_id"), F.col("bus_id").alias("bus"))
 
 
-def island_facts(labels: DataFrame, edge: DataFrame, sources: DataFrame) -> DataFrame:
-    """One row for each island, numbered by smallest bus: buses, edges, sources, energised, radial, independent loops."""
+def island_sums(labels: DataFrame, edge: DataFrame, sources: DataFrame) -> DataFrame:
+    """One row for each island: buses, edges, sources, energised, radial, independent loops."""
     n_bus = labels.groupBy("component").agg(F.count("*").alias("bus_count"))
     label = labels.withColumnRenamed("bus", "src")
     wires = conductive(edge).join(label, "src").select("component", F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"))
     n_edge = wires.groupBy("component", "a", "b").agg(F.count("*").alias("n")).groupBy("component").agg(F.sum("n").alias("edge_count"), F.count(F.when(F.col("a") != F.col("b"), 1)).alias("pair_count"))
     fed = sources.join(labels, "bus").groupBy("component").agg(F.count("*").alias("source_count"), F.array_join(F.array_sort(F.collect_list("source_id")), ",").alias("source_ids"))
     facts = n_bus.join(n_edge, "component", "left").join(fed, "component", "left").na.fill(0, ["edge_count", "pair_count", "source_count"]).na.fill("", ["source_ids"])
-    number = F.row_number().over(Window.orderBy("component"))  # one row for each island
     return facts.select(
-        F.concat(F.lit("ISLAND_"), F.lpad(number.cast("string"), 4, "0")).alias("island_id"), "component", "bus_count", "edge_count", "source_count", "source_ids",
+        "component", "bus_count", "edge_count", "source_count", "source_ids",
         (F.col("source_count") > 0).alias("energized"), (F.col("edge_count") == F.col("bus_count") - 1).alias("radial"), (F.col("pair_count") - F.col("bus_count") + 1).alias("loop_count"),
     )
 
 
+def island_facts(labels: DataFrame, edge: DataFrame, sources: DataFrame) -> DataFrame:
+    """``island_sums`` with ids, numbered by smallest bus."""
+    facts = numbered(island_sums(labels, edge, sources), "component")
+    text = F.col("number").cast("string")
+    return facts.select(F.concat(F.lit("ISLAND_"), F.when(F.col("number") < 10_000, F.lpad(text, 4, "0")).otherwise(text)).alias("island_id"), *(c for c in facts.columns if c != "number"))
+
+
+def edges_within(edge: DataFrame, buses: DataFrame) -> DataFrame:
+    """(object_type, object_id, key) of the edges both of whose ends are in ``buses`` (bus)."""
+    ids = buses.select("bus").distinct()
+    return edge.join(ids.withColumnRenamed("bus", "src"), "src", "left_semi").join(ids.withColumnRenamed("bus", "dst"), "dst", "left_semi").select("object_type", "object_id", "key")
+
+
 def isolated(bus: DataFrame, edge: DataFrame) -> DataFrame:
     return bus.select(F.col("id").alias("bus")).join(ends(conductive(edge)).select("bus"), "bus", "left_anti")
 
@@ -84,6 +94,14 @@ def source_trace(labels: DataFrame, edge: DataFrame, sources: DataFrame) -> tupl
     return buses, wires
 
 
+def source_totals(labels: DataFrame, edge: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """How many buses and edges each source reaches, and the first and last of them: counted once for each island."""
+    of = sources.join(labels, "bus").select("source_id", "component")
+    buses = labels.groupBy("component").agg(F.count("*").alias("n_buses"), F.min("bus").alias("first_bus"), F.max("bus").alias("last_bus"))
+    wires = conductive(edge).join(labels.withColumnRenamed("bus", "src"), "src").groupBy("component").agg(F.count("*").alias("n_edges"), F.min("key").alias("first_edge"), F.max("key").alias("last_edge"))
+    return of.join(buses, "component").drop("component"), of.join(wires, "component").drop("component")
+
+
 def parallel_groups(edge: DataFrame) -> DataFrame:
     """Bus pairs with more than one conductive element."""
     pairs = conductive(edge).groupBy(F.least("src", "dst").alias("bus_a"), F.greatest("src", "dst").alias("bus_b"))
@@ -150,8 +168,43 @@ class Feeders:
         return direct.unionAll(back).unionAll(behind).unionAll(self._other_sources()).distinct()
 
     def overlaps(self) -> DataFrame:
-        """Buses without a source in more than one feeder."""
-        return self.buses().join(self.stops, "bus", "left_anti").groupBy("bus").agg(F.count("*").alias("n_feeders"), F.array_join(F.array_sort(F.collect_list("feeder")), ",").alias("feeders")).where("n_feeders > 1")
+        """Buses without a source in more than one feeder: counted once for each component."""
+        shared = self.roots.where("component IS NOT NULL").groupBy("component").agg(F.count("*").alias("n_feeders"), F.array_join(F.array_sort(F.collect_list("feeder")), ",").alias("feeders")).where("n_feeders > 1")
+        return self.labels.join(shared, "component").select("bus", "n_feeders", "feeders")
+
+    def members(self) -> tuple[DataFrame, DataFrame]:
+        """Feeders in their compact form: (feeder, component) and (bus, component); buses of sources apart."""
+        return self.roots.select("feeder", "component"), self.labels
+
+    def facts(self, bus: DataFrame) -> DataFrame:
+        """(feeder, n_buses, n_edges, has_cycle, label): sizes by component, a cycle where edges are as many as buses, and the feeder id of the root bus."""
+        inside = self.labels.groupBy("component").agg(F.count("*").alias("n"))
+        wires = self.allowed.join(self.labels.withColumnRenamed("bus", "src"), "src").join(self.labels.select(F.col("bus").alias("dst")), "dst").groupBy("component").agg(F.count("*").alias("e"))
+        rim = self.rim.where("component IS NOT NULL").groupBy("component", "bus").agg(F.count("*").alias("k"))
+        ends_ = rim.groupBy("component").agg(F.count("*").alias("stops"), F.sum("k").alias("cuts"))
+        own = rim.withColumnRenamed("bus", "source_bus")
+        rows = self.roots.join(inside, "component", "left").join(wires, "component", "left").join(ends_, "component", "left").join(own, ["component", "source_bus"], "left")
+        zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+        sized = rows.select("feeder", "root", F.when(F.col("component").isNull(), 2).otherwise(zero("n") + zero("stops")).alias("n_buses"), F.when(F.col("component").isNull(), 1).otherwise(zero("e") + zero("cuts") - zero("k") + 1).alias("n_edges"))
+        label = bus.select(F.col("id").alias("root"), F.col("feeder_id").alias("label"))
+        return sized.join(label, "root", "left").select("feeder", "n_buses", "n_edges", (F.col("n_edges") >= F.col("n_buses")).alias("has_cycle"), "label")
+
+
+def unstopped_feeders(labels: DataFrame, edge: DataFrame, sources: DataFrame, cross_transformers: bool = False) -> DataFrame:
+    """(feeder, bus) of traces that go on through other sources' buses: for each source, the components of its island without its own bus."""
+    wires = conductive(edge).where(F.col("src") != F.col("dst"))
+    allowed = wires if cross_transformers else wires.where("object_type <> 'transformer'")
+    of = sources.join(labels, "bus").select("source_id", F.col("bus").alias("at"), "component")
+    wide = allowed.join(labels.withColumnRenamed("bus", "src"), "src").join(of, "component")
+    name = lambda c: F.concat("source_id", F.lit("|"), c)
+    inner = wide.where((F.col("src") != F.col("at")) & (F.col("dst") != F.col("at")))
+    found = settle(connected_components(inner.select(name("src").alias("src"), name("dst").alias("dst"))))
+    side = ends(allowed).join(of.select("source_id", F.col("at").alias("bus")), "bus")
+    roots = side.select(name("key").alias("feeder"), "source_id", F.col("bus").alias("at"), "other", name("other").alias("node"))
+    near = roots.join(found, "node", "left").select("feeder", "source_id", "at", "other", F.coalesce("component", "node").alias("component"))
+    members = near.join(found, "component").select("feeder", F.substring_index("node", "|", -1).alias("bus"))
+    own = near.select("feeder", F.explode(F.array("at", "other")).alias("bus"))
+    return members.unionAll(own).distinct()
 
 
 def branches(edge: DataFrame, stops: DataFrame) -> DataFrame:
@@ -179,7 +232,7 @@ def branch_facts(edge: DataFrame, member: DataFrame, stops: DataFrame) -> DataFr
 
 
 def propagate_labels(edge: DataFrame, labels: DataFrame) -> DataFrame:
-    """(bus, label, distance): the nearest label, the smaller of equally near ones. ``labels``: bus, label.
+    """(bus, label): the nearest label, the smaller of equally near ones. ``labels``: bus, label.
 
     Components with one label take it by a join; only the others go through rounds, until one adds nothing.
     """
@@ -189,12 +242,80 @@ def propagate_labels(edge: DataFrame, labels: DataFrame) -> DataFrame:
     single = parts.join(kinds.where("n = 1"), "component").select(F.col("node").alias("bus"), "label")
     many = parts.join(kinds.where("n > 1"), "component").select(F.col("node").alias("bus"))
     side = settle(ends(edge.select("src", "dst", F.lit("").alias("key"), F.lit("").alias("object_type"))).join(many, "bus", "left_semi").select("bus", "other").distinct())
-    reached = settle(labels.join(many, "bus", "left_semi").groupBy("bus").agg(F.min("label").alias("label")).withColumn("distance", F.lit(0)))
-    for step in count(1):
-        fresh = reached.where(F.col("distance") == step - 1).join(side, "bus").groupBy(F.col("other").alias("bus")).agg(F.min("label").alias("label")).join(reached.select("bus"), "bus", "left_anti")
-        fresh = settle(fresh.withColumn("distance", F.lit(step)))
-        if fresh.isEmpty():
-            break
-        reached = settle(reached.unionAll(fresh))
+    # the neighbours of a frontier lie in it, in the one before, or are new
+    rounds = Frontiers(edge.sparkSession)
+    before, now = None, rounds.add(labels.join(many, "bus", "left_semi").groupBy("bus").agg(F.min("label").alias("label")))
+    schema = now.schema
+    while not now.isEmpty():
+        fresh = now.join(side, "bus").groupBy(F.col("other").alias("bus")).agg(F.min("label").alias("label")).join(now.select("bus"), "bus", "left_anti")
+        before, now = now, rounds.add(fresh if before is None else fresh.join(before.select("bus"), "bus", "left_anti"))
     alone = labels.join(parts.select(F.col("node").alias("bus")), "bus", "left_anti").groupBy("bus").agg(F.min("label").alias("label"))
-    return single.unionAll(reached.select("bus", "label")).unionAll(alone)
+    return single.unionAll(rounds.all(schema).select("bus", "label")).unionAll(alone)
+
+
+#: The feeder of buses without one, and what buses made from geometry are called.
+ORPHAN, MADE = "__ORPHAN__", "GEO_"
+
+
+def geometry_inventory(bus: DataFrame) -> DataFrame:
+    """One row (inventory): whether there are buses made from geometry, and no feeder id that two buses share."""
+    shared = bus.where("feeder_id IS NOT NULL").groupBy("feeder_id").agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n") >= 2, F.lit(False)).alias("real"))
+    made = bus.agg(F.coalesce(F.bool_or(F.col("id").startswith(MADE)), F.lit(False)).alias("made"))
+    return made.crossJoin(shared).select((F.col("made") & ~F.col("real")).alias("inventory"))  # one row each
+
+
+def feeder_heads(bus: DataFrame, line: DataFrame, source: DataFrame) -> DataFrame:
+    """(bus): buses of sources and buses whose id is a feeder id; without any, buses where lines only begin; without any, the smallest bus."""
+    ids = bus.select(F.col("id").alias("bus"))
+    named = source.select(F.col("bus_id").alias("bus")).unionAll(bus.select(F.col("feeder_id").alias("bus"))).distinct()
+    roots = line.select(F.col("from_bus").alias("bus")).join(line.select(F.col("to_bus").alias("bus")), "bus", "left_anti").distinct()
+    least = bus.agg(F.min("id").alias("bus")).where("bus IS NOT NULL")
+    ranked = ids.join(named, "bus", "left_semi").withColumn("rank", F.lit(1)).unionAll(ids.join(roots, "bus", "left_semi").withColumn("rank", F.lit(2))).unionAll(least.withColumn("rank", F.lit(3)))
+    best = ranked.agg(F.min("rank").alias("best"))  # one row
+    return ranked.crossJoin(F.broadcast(best)).where("rank = best").select("bus")
+
+
+def equivalent_sources(bus: DataFrame, line: DataFrame, source: DataFrame) -> DataFrame:
+    """(id, name, bus_id, nominal_voltage_kv): a source for each feeder head without one; a geometry inventory without a source gets one in all."""
+    inventory = F.broadcast(geometry_inventory(bus))
+    seed = bus.select(F.min(F.when(~F.col("id").startswith(MADE), F.col("id"))).alias("a"), F.min("id").alias("b")).select(F.coalesce("a", "b").alias("bus")).where("bus IS NOT NULL")
+    none = source.agg(F.count("*").alias("n")).where("n = 0").drop("n")
+    heads = feeder_heads(bus, line, source).crossJoin(inventory).where("NOT inventory").select("bus").unionAll(seed.crossJoin(none).crossJoin(inventory).where("inventory").select("bus"))
+    free = heads.join(source.select(F.col("bus_id").alias("bus")), "bus", "left_anti")
+    taken = source.select(F.col("id").alias("bus"), F.lit(True).alias("taken")).distinct()
+    rows = free.join(taken, "bus", "left").join(bus.select(F.col("id").alias("bus"), "nominal_voltage_kv"), "bus")
+    return rows.select(F.when(F.col("taken"), F.concat(F.lit("EQ_"), "bus")).otherwise(F.col("bus")).alias("id"), F.left(F.concat(F.lit("Equiv_"), "bus"), F.lit(40)).alias("name"), F.col("bus").alias("bus_id"), "nominal_voltage_kv")
+
+
+def feeder_membership(bus: DataFrame, line: DataFrame, transformer: DataFrame, source: DataFrame) -> DataFrame:
+    """(bus, feeder): that of the smallest head in the bus's component of lines and transformers, in service or not; else its own feeder id; else none.
+
+    A head's feeder is its own feeder id or its bus. In a geometry inventory, or without a line or transformer, no bus has a feeder.
+    """
+    wires = line.select(F.col("from_bus").alias("src"), F.col("to_bus").alias("dst")).unionAll(transformer.select("hv_bus", "lv_bus"))
+    found = connected_components(wires)
+    labels = settle(bus.select(F.col("id").alias("bus"), "feeder_id").join(found.withColumnRenamed("node", "bus"), "bus", "left").withColumn("component", F.coalesce("component", "bus")))
+    heads = feeder_heads(bus, line, source).join(labels, "bus").groupBy("component").agg(F.min_by(F.coalesce("feeder_id", "bus"), "bus").alias("head"))
+    bare = geometry_inventory(bus).crossJoin(wires.agg(F.count("*").alias("n"))).select((F.col("inventory") | (F.col("n") == 0)).alias("bare"))  # one row
+    rows = labels.join(heads, "component", "left").crossJoin(F.broadcast(bare))
+    return rows.select("bus", F.when(F.col("bare"), F.lit(ORPHAN)).otherwise(F.coalesce("head", "feeder_id", F.lit(ORPHAN))).alias("feeder"))
+
+
+def report(bus: DataFrame, line: DataFrame, transformer: DataFrame, switch: DataFrame, source: DataFrame, cross_transformers: bool = False) -> dict[str, DataFrame]:
+    """The whole topology of a network, each part lazy: edges and labels are worked out once."""
+    edge = settle(known_ends(edges(line, transformer, switch), bus))
+    sources = settle(active_sources(source, bus))
+    labels = settle(islands_of_buses(bus, edge))
+    live = energized(labels, sources)
+    open_ = open_boundaries(switch, live)
+    stops = open_.select(F.explode(F.array("from_bus", "to_bus")).alias("bus")).unionAll(sources.select("bus")).distinct()
+    feeders, member = Feeders(bus, edge, sources, cross_transformers), settle(branches(edge, stops))
+    return {
+        "islands": island_facts(labels, edge, sources), "traces": source_totals(labels, edge, sources)[0], "feeders": feeders.facts(bus), "branches": branch_facts(edge, member, stops), "parallel": parallel_groups(edge),
+        "boundaries": open_, "overlaps": feeders.overlaps(), "energized": live, "deenergized": labels.select("bus").join(live, "bus", "left_anti"),
+    }
+
+
+def is_radial(islands: DataFrame) -> DataFrame:
+    """One row (radial): whether there is an energised island and all of them are trees."""
+    return islands.agg(F.coalesce(F.bool_and(F.when(F.col("energized"), F.col("radial"))), F.lit(False)).alias("radial"))

@@ -27,8 +27,8 @@ class Profile:
     zero_sequence: bool = False
     readiness: bool = False
     radial: bool = False
-    voltage_tolerance_kv: float = 0.01
-    relative_tolerance: float = 0.01
+    voltage_tolerance_kv: float = 1e-6
+    relative_tolerance: float = 1e-6
 
 
 PROFILES = {
@@ -61,11 +61,21 @@ def dangling(df: DataFrame, role: str, target: DataFrame) -> DataFrame:
     return df.where(F.col(role).isNotNull()).join(target.select(F.col("id").alias(role)), role, "left_anti")
 
 
+#: Rule, element and the column that must name a bus.
+BUS_ROLES = (
+    ("NET001", "line", "from_bus"), ("NET001", "line", "to_bus"), ("NET002", "transformer", "hv_bus"), ("NET002", "transformer", "lv_bus"), ("NET003", "switch", "from_bus"), ("NET003", "switch", "to_bus"),
+    ("NET004", "load", "bus_id"), ("NET005", "source", "bus_id"), ("NET007", "generator", "bus_id"),
+)
+
+
 def references(g) -> DataFrame:
-    bus = g.bus
-    parts = [issue(dangling(getattr(g, kind), role, bus), code, "ERROR", "reference", kind, "id", role) for code, kind, role in (
-        ("NET001", "line", "from_bus"), ("NET001", "line", "to_bus"), ("NET002", "transformer", "hv_bus"), ("NET002", "transformer", "lv_bus"), ("NET003", "switch", "from_bus"), ("NET003", "switch", "to_bus"),
-        ("NET004", "load", "bus_id"), ("NET005", "source", "bus_id"), ("NET007", "generator", "bus_id"))]
+    """References to buses and substations that aren't there: all roles of all elements in one anti join."""
+    bus, rows = g.bus, []
+    for kind in dict.fromkeys(k for _, k, _ in BUS_ROLES):
+        roles = F.array(*(F.struct(F.lit(code).alias("code"), F.lit(role).alias("role"), F.col(role).alias("bus")) for code, k, role in BUS_ROLES if k == kind))
+        rows.append(getattr(g, kind).select(F.lit(kind).alias("kind"), "id", F.explode(roles).alias("r")).select("kind", "id", "r.*"))
+    lost = dangling(union(rows), "bus", bus)
+    parts = [lost.select("code", F.lit("ERROR").alias("severity"), F.lit("reference").alias("category"), F.col("kind").alias("object_type"), F.col("id").alias("object_id"), F.col("role").alias("detail"))]
     parts.append(issue(dangling(bus, "substation_id", g.substation), "NET008", "ERROR", "reference", "bus", "id", "substation_id"))
     empty = bus.agg(F.count("*").alias("n")).where("n = 0").withColumn("id", F.lit(None).cast("string"))
     parts.append(issue(empty, "NET006", "ERROR", "reference", "network", "id"))
@@ -89,7 +99,7 @@ def data_quality(tables: dict[str, DataFrame], coordinates: bool = False) -> Dat
     return union(parts)
 
 
-def voltages(g, tolerance: float = 0.01) -> DataFrame:
+def voltages(g, tolerance: float = 1e-6) -> DataFrame:
     """Elements whose voltage isn't that of their bus; switches between voltages."""
     kv = g.bus.select(F.col("id").alias("_bus"), F.col("nominal_voltage_kv").alias("_kv"))
 
@@ -109,28 +119,33 @@ def voltages(g, tolerance: float = 0.01) -> DataFrame:
 
 
 def library(g, profile: Profile, unknown: str = "WARNING") -> DataFrame:
-    """Instances against their types, which are few and broadcast by the planner where it sees fit."""
+    """Instances in service against their types, which are few and broadcast by the planner where it sees fit; without a library, whether the profile wants one."""
+    if g.line_type is None and g.transformer_type is None:
+        wanted = g.line.sparkSession.range(1 if profile.library else 0).select(F.lit(None).cast("string").alias("id"))
+        return issue(wanted, "LIB001", "ERROR", "library", "library", "id")
     lt = g.line_type.select(F.col("id").alias("type_id"), F.col("nominal_voltage_kv").alias("t_kv"), F.col("r0_ohm_per_km").alias("t_r0"), F.lit(True).alias("known"))
-    line = g.line.where("type_id IS NOT NULL").join(lt, "type_id", "left")
+    line = g.line.where("in_service AND type_id <> ''").join(lt, "type_id", "left")
     tt = g.transformer_type.select(F.col("id").alias("type_id"), F.col("hv_voltage_kv").alias("t_hv"), F.col("lv_voltage_kv").alias("t_lv"), F.col("rated_power_mva").alias("t_mva"), F.col("uk0_percent").alias("t_uk0"), F.lit(True).alias("known"))
-    trafo = g.transformer.where("type_id IS NOT NULL").join(tt, "type_id", "left")
+    trafo = g.transformer.where("in_service AND type_id <> ''").join(tt, "type_id", "left")
     kv, rel = profile.voltage_tolerance_kv, profile.relative_tolerance
-    parts = [
-        issue(line.where("known IS NULL"), "LIB101", unknown, "library", "line", "id", F.col("type_id")),
-        issue(line.where(F.abs(F.col("nominal_voltage_kv") - F.col("t_kv")) > kv), "LIB102", "ERROR", "library", "line", "id", F.col("type_id")),
-        issue(trafo.where("known IS NULL"), "LIB201", unknown, "library", "transformer", "id", F.col("type_id")),
-        issue(trafo.where(F.abs(F.col("hv_voltage_kv") - F.col("t_hv")) > kv), "LIB202", "ERROR", "library", "transformer", "id", F.col("type_id")),
-        issue(trafo.where(F.abs(F.col("lv_voltage_kv") - F.col("t_lv")) > kv), "LIB203", "ERROR", "library", "transformer", "id", F.col("type_id")),
-        issue(trafo.where(F.abs(F.col("rated_power_mva") - F.col("t_mva")) > rel * F.greatest(F.abs("rated_power_mva"), F.abs("t_mva"))), "LIB204", "ERROR", "library", "transformer", "id", F.col("type_id")),
-    ]
-    if profile.zero_sequence:
-        parts += [issue(line.where("known AND t_r0 IS NULL"), "LIB103", "ERROR", "library", "line", "id", F.col("type_id")), issue(trafo.where("known AND t_uk0 IS NULL"), "LIB205", "ERROR", "library", "transformer", "id", F.col("type_id"))]
-    return union(parts)
+    apart = lambda a, b, absolute, relative: F.abs(F.col(a) - F.col(b)) > F.greatest(F.lit(absolute), F.lit(relative) * F.greatest(F.abs(a), F.abs(b)))
+    zero = F.lit(profile.zero_sequence)
+    of_line = {"LIB101": F.col("known").isNull(), "LIB102": apart("nominal_voltage_kv", "t_kv", kv, 0.0), "LIB103": zero & F.col("known") & F.col("t_r0").isNull()}
+    of_trafo = {"LIB201": F.col("known").isNull(), "LIB202": apart("hv_voltage_kv", "t_hv", kv, 0.0), "LIB203": apart("lv_voltage_kv", "t_lv", kv, 0.0), "LIB204": apart("rated_power_mva", "t_mva", 0.0, rel), "LIB205": zero & F.col("known") & F.col("t_uk0").isNull()}
+
+    def broken(df: DataFrame, kind: str, rules: dict[str, Column]) -> DataFrame:
+        """All rules over one join: each row gives an issue for each rule that it breaks."""
+        codes = F.explode(F.filter(F.array(*(F.when(rule, F.lit(code)) for code, rule in rules.items())), lambda x: x.isNotNull())).alias("_code")
+        rows = df.select("id", "type_id", codes)
+        severity = F.when(F.col("_code").isin("LIB101", "LIB201"), unknown).otherwise("ERROR")
+        return rows.select(F.col("_code").alias("code"), severity.alias("severity"), F.lit("library").alias("category"), F.lit(kind).alias("object_type"), F.col("id").alias("object_id"), F.col("type_id").alias("detail"))
+
+    return broken(line, "line", of_line).unionAll(broken(trafo, "transformer", of_trafo))
 
 
 def topology(g, labels: DataFrame, edge: DataFrame, sources: DataFrame, overlaps: DataFrame | None = None) -> DataFrame:
     live = T.energized(labels, sources)
-    islands = T.island_facts(labels, edge, sources)
+    islands = T.island_sums(labels, edge, sources)
     crossing = T.open_boundaries(g.switch, live).where("from_energized <> to_energized")
     dead = labels.select("bus").join(live, "bus", "left_anti").crossJoin(F.broadcast(g.source.agg(F.count("*").alias("n")).where("n > 0")))  # one row
     parts = [
@@ -148,7 +163,7 @@ def topology(g, labels: DataFrame, edge: DataFrame, sources: DataFrame, overlaps
 
 def readiness(g, labels: DataFrame, edge: DataFrame, sources: DataFrame, overlaps: DataFrame | None = None, radial: bool = False) -> DataFrame:
     one = lambda df, test: df.where(test).withColumn("_id", F.lit("network"))
-    islands = T.island_facts(labels, edge, sources)
+    islands = T.island_sums(labels, edge, sources)
     facts = islands.agg(F.count(F.when(~F.col("energized"), 1)).alias("dead"), F.count(F.when(F.col("energized"), 1)).alias("live"), F.count(F.when(F.col("energized") & ~F.col("radial"), 1)).alias("meshed"))
     parts = [
         issue(one(g.source.agg(F.count(F.when(F.col("in_service"), 1)).alias("n")), "n = 0"), "RDY001", "ERROR", "readiness", "network", "_id"),

@@ -14,10 +14,16 @@ class Net:
     def __init__(self, spark, sf_dir):
         g = self.grid = Grid(spark, sf_dir)
         self.bus = g.bus
-        self.edge = T.known_ends(T.edges(g.line, g.transformer, g.switch), g.bus)
+        self._edge = None
         self.sources = T.active_sources(g.source, g.bus)
         self._labels = None
 
+    @property
+    def edge(self):
+        if self._edge is None:  # written once: components, counts and traces all read it
+            self._edge = T.settle(T.known_ends(T.edges(self.grid.line, self.grid.transformer, self.grid.switch), self.bus))
+        return self._edge
+
     @property
     def labels(self):
         if self._labels is None:
@@ -59,12 +65,12 @@ def graph_deenergized(spark, sf_dir):
 
 def graph_source_trace_buses(spark, sf_dir):
     n = Net(spark, sf_dir)
-    return T.source_trace(n.labels, n.edge, n.sources)[0].groupBy("source_id").agg(F.count("*").alias("n_buses"), F.min("bus").alias("first_bus"), F.max("bus").alias("last_bus"))
+    return T.source_totals(n.labels, n.edge, n.sources)[0]
 
 
 def graph_source_trace_edges(spark, sf_dir):
     n = Net(spark, sf_dir)
-    return T.source_trace(n.labels, n.edge, n.sources)[1].groupBy("source_id").agg(F.count("*").alias("n_edges"), F.min("key").alias("first_edge"), F.max("key").alias("last_edge"))
+    return T.source_totals(n.labels, n.edge, n.sources)[1]
 
 
 def _feeders(spark, sf_dir, cross=False):
@@ -112,14 +118,8 @@ def graph_branches(spark, sf_dir):
 
 
 def graph_feeder_membership(spark, sf_dir):
-    """The feeder of every bus: that of its line and transformer component's first head, else its own, else none."""
-    n = Net(spark, sf_dir)
-    wires = n.edge.where("object_type <> 'switch'")
-    labels = T.settle(T.islands_of_buses(n.bus, wires))
-    heads = n.sources.select("bus").unionAll(n.bus.where("id = feeder_id").select("id")).distinct()
-    owner = heads.join(labels, "bus").groupBy("component").agg(F.min("bus").alias("head"))
-    own = n.bus.select(F.col("id").alias("bus"), "feeder_id")
-    return labels.join(owner, "component", "left").join(own, "bus").select("bus", F.coalesce("head", "feeder_id", F.lit("ORPHAN")).alias("feeder"))
+    g = Grid(spark, sf_dir)
+    return T.feeder_membership(g.bus, g.line, g.transformer, g.source)
 
 
 def graph_label_propagation(spark, sf_dir):
@@ -172,7 +172,7 @@ SQL = {
     "graph_islands": _g(_C + _S + """, nb AS (SELECT component, count(*) AS bus_count FROM lab GROUP BY 1),
 ne AS (SELECT component, count(*) AS edge_count, count(DISTINCT CASE WHEN src <> dst THEN least(src, dst) || '|' || greatest(src, dst) END) AS pair_count FROM wire JOIN lab ON bus = src GROUP BY 1),
 ns AS (SELECT component, count(*) AS source_count, string_agg(source_id, ',' ORDER BY source_id) AS source_ids FROM src JOIN lab USING (bus) GROUP BY 1)
-SELECT 'ISLAND_' || right('0000' || CAST(row_number() OVER (ORDER BY component) AS VARCHAR), 4) AS island_id, component, bus_count, coalesce(edge_count, 0) AS edge_count, coalesce(source_count, 0) AS source_count, coalesce(source_ids, '') AS source_ids,
+SELECT 'ISLAND_' || lpad(CAST(row_number() OVER (ORDER BY component) AS VARCHAR), greatest(4, length(CAST(row_number() OVER (ORDER BY component) AS VARCHAR)))::INTEGER, '0') AS island_id, component, bus_count, coalesce(edge_count, 0) AS edge_count, coalesce(source_count, 0) AS source_count, coalesce(source_ids, '') AS source_ids,
   coalesce(source_count, 0) > 0 AS energized, coalesce(edge_count, 0) = bus_count - 1 AS radial, coalesce(pair_count, 0) - bus_count + 1 AS loop_count FROM nb LEFT JOIN ne USING (component) LEFT JOIN ns USING (component)"""),
     "graph_isolated": _g(_W + " SELECT id AS bus FROM bus WHERE id NOT IN (SELECT bus FROM side)"),
     "graph_energized": _g(_C + _S + _LIVE + " SELECT bus FROM live"),
@@ -194,8 +194,9 @@ link AS (SELECT a.key AS x, b.key AS y FROM side a JOIN side b ON a.bus = b.bus
 br(x, y) AS (SELECT key, key FROM wire WHERE src <> dst UNION SELECT r.x, l.y FROM br r JOIN link l ON l.x = r.y), mem AS (SELECT x AS key, min(y) AS branch FROM br GROUP BY 1)
 SELECT branch, count(DISTINCT key) AS edge_count, min(CASE WHEN bus NOT IN (SELECT bus FROM inner_) THEN bus END) AS start_bus, max(CASE WHEN bus NOT IN (SELECT bus FROM inner_) THEN bus END) AS end_bus,
   coalesce(min(CASE WHEN bus NOT IN (SELECT bus FROM inner_) THEN bus END) = max(CASE WHEN bus NOT IN (SELECT bus FROM inner_) THEN bus END), TRUE) AS closed FROM mem JOIN side USING (key) GROUP BY 1"""),
-    "graph_feeder_membership": _g(_W + _S + _reach("flab", "SELECT bus, other FROM side WHERE object_type <> 'switch'") + """, head AS (SELECT component, min(bus) AS head FROM flab WHERE bus IN (SELECT bus FROM src UNION SELECT id FROM bus WHERE id = feeder_id) GROUP BY 1)
-SELECT f.bus, coalesce(head, feeder_id, 'ORPHAN') AS feeder FROM flab f LEFT JOIN head USING (component) JOIN bus b ON b.id = f.bus"""),
+    "graph_feeder_membership": _g("any_ AS (SELECT from_bus AS a, to_bus AS b FROM line UNION ALL SELECT to_bus, from_bus FROM line UNION ALL SELECT hv_bus, lv_bus FROM transformer UNION ALL SELECT lv_bus, hv_bus FROM transformer)"
+        + _reach("flab", "SELECT a AS bus, b AS other FROM any_") + """, head AS (SELECT component, arg_min(coalesce(feeder_id, id), id) AS feeder FROM flab JOIN bus ON id = flab.bus WHERE id IN (SELECT bus_id FROM source UNION SELECT feeder_id FROM bus WHERE feeder_id IS NOT NULL) GROUP BY 1)
+SELECT f.bus, coalesce(h.feeder, feeder_id, '__ORPHAN__') AS feeder FROM flab f LEFT JOIN head h USING (component) JOIN bus b ON b.id = f.bus"""),
     "graph_label_propagation": _g(_W + """, w2 AS (SELECT bus, other FROM side WHERE object_type <> 'switch'),
 near(bus, label, d) AS (SELECT id, feeder_id, 0 FROM bus WHERE feeder_id IS NOT NULL UNION SELECT w2.other, n.label, n.d + 1 FROM near n JOIN w2 ON w2.bus = n.bus WHERE n.d < 40),
 best AS (SELECT bus, min(d) AS d FROM near GROUP BY 1) SELECT bus, min(label) AS label FROM near JOIN best USING (bus, d) GROUP BY 1"""),

@@ -14,7 +14,7 @@ DEFAULT_KV = 22.9
 def _spans(g: Grid):
     """Ends of spans: each line's ends near, but not on, the places of its buses."""
     b = g.bus.select(F.col("id").alias("bus"), "x", "y")
-    shift = (F.substring("id", 2, 12).cast("long") % 7).cast("double") * 25.0 - 75.0
+    shift = (F.substring("id", 2, 18).cast("long") % 7).cast("double") * 25.0 - 75.0
     line = g.line.withColumn("shift", shift)
     a = line.select("id", F.lit("from").alias("side"), F.col("from_bus").alias("bus"), "shift").unionAll(line.select("id", F.lit("to"), F.col("to_bus"), -F.col("shift")))
     return a.join(b, "bus").select("id", "side", (F.col("x") + F.col("shift")).alias("x"), "y")
@@ -47,7 +47,7 @@ def join_nearest_line_type(spark, sf_dir):
     """Type of every line: its own if known, else the nearest voltage within 0.5 kV, else a synthetic type."""
     g = Grid(spark, sf_dir)
     types = g.line_type.select(F.col("id").alias("type_id"), F.col("nominal_voltage_kv").alias("kv"))
-    line = g.line.select("id", "type_id", F.when(F.substring("id", 2, 12).cast("long") % 3 == 0, 10.3).when(F.substring("id", 2, 12).cast("long") % 7 == 0, 33.0).otherwise(F.col("nominal_voltage_kv")).alias("kv"))
+    line = g.line.select("id", "type_id", F.when(F.substring("id", 2, 18).cast("long") % 3 == 0, 10.3).when(F.substring("id", 2, 18).cast("long") % 7 == 0, 33.0).otherwise(F.col("nominal_voltage_kv")).alias("kv"))
     volts = line.select("kv").distinct()
     best = volts.crossJoin(F.broadcast(types.select(F.col("type_id").alias("near"), F.col("kv").alias("type_kv")))).where(F.abs(F.col("kv") - F.col("type_kv")) <= 0.5)  # distinct voltages against a library
     best = best.groupBy("kv").agg(F.min(F.struct(F.abs(F.col("kv") - F.col("type_kv")).alias("off"), F.col("near"))).alias("b")).select("kv", "b.near")

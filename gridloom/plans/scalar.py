@@ -127,7 +127,7 @@ _NUMBER = "CASE WHEN contains({0}, ',') AND NOT contains({0}, '.') THEN replace(
 _NUM = "try_cast(" + _NUMBER.format(r"regexp_replace(raw_number, '\s', '', 'g')") + " AS DOUBLE)"
 _VT = r"regexp_extract(raw_voltage, '^\s*([+-]?\d+(?:[.,]\d+)?)\s*([kK]?[vV])?\s*$', {})"
 _KV = "try_cast(replace(" + _VT.format(1) + ", ',', '.') AS DOUBLE) * CASE WHEN lower(" + _VT.format(2) + ") = 'v' THEN 0.001 ELSE 1.0 END"
-_XYP = r"X\s*[-–:]\s*(-?[0-9]+(?:[.,][0-9]+)?).*?Y\s*[-–:]\s*(-?[0-9]+(?:[.,][0-9]+)?)"
+_XYP = r"(?i)X\s*[-–:]\s*([+-]?[0-9]+(?:[.,][0-9]+)?)[,;\s]+Y\s*[-–:]\s*([+-]?[0-9]+(?:[.,][0-9]+)?)"
 _X = f"try_cast(replace(regexp_extract(raw_xy, '{_XYP}', 1), ',', '.') AS DOUBLE)"
 _Y = f"try_cast(replace(regexp_extract(raw_xy, '{_XYP}', 2), ',', '.') AS DOUBLE)"
 _CLEAN = r"regexp_replace(regexp_replace(regexp_replace(trim(coalesce(raw_name, '')), '[:*?=\",\\~|\n\r!]+', '_', 'g'), '_+', '_', 'g'), '^[._]+|[._]+$', '', 'g')"
