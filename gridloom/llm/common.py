@@ -5,7 +5,6 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import functools
-import tempfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.operators.components import checkpoint_dir, settle, store  # noqa: F401
+
 #: Bytes of text that one slice of a batch holds at most, unless a single text is longer; arrays over it take some 100 times as much.
 BLOCK_BYTES = 1 << 20
 
@@ -26,23 +27,62 @@ def fold(column: str, parts: int) -> Column:
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(parts), F.lit(0))
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; only where none is named, a folder for this session."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return context.getCheckpointDir()
+def partitions(spark: SparkSession, least: int = 1) -> int:
+    return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Writes ``df`` to the shared checkpoint folder and goes on from there."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+#: A key is hot that more than one in HOT_SHARE rows hold, so there are fewer than HOT_SHARE hot keys.
+HOT_SHARE = 512
 
 
-def partitions(spark: SparkSession, least: int = 1) -> int:
-    return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
+class Spread:
+    """Rows ready to be joined by ``key`` with tables of few rows for each key, where one key may hold any share of them.
+
+    Rows of hot keys, and rows without a key, are dealt by a hash of the row over as many tasks as a shuffle has, and
+    what is joined to hot keys goes to each of these. Hot keys are fewer than HOT_SHARE, so they are broadcast.
+    """
+
+    def __init__(self, rows: DataFrame, key: str):
+        self.key, self.salts = key, partitions(rows.sparkSession)
+        sizes = settle(rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1"))
+        total = rows.count()
+        self.hot = settle(sizes.where(F.col("_n") > total / HOT_SHARE).select(F.col(key).alias("_hot")))
+        plain = [c for c, t in rows.dtypes if not t.startswith("map")]
+        salt = F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c in plain)), F.lit(self.salts))
+        marked = rows.join(F.broadcast(self.hot), F.col(key) == F.col("_hot"), "left")
+        self.rows = marked.withColumn("_salt", F.when(F.col("_hot").isNotNull() | F.col(key).isNull(), salt).otherwise(0)).drop("_hot")
+
+    def join(self, facts: DataFrame, how: str = "inner") -> DataFrame:
+        copied = facts.join(F.broadcast(self.hot), F.col(self.key) == F.col("_hot"), "left")
+        copied = copied.withColumn("_salt", F.explode(F.when(F.col("_hot").isNotNull(), F.expr(f"sequence(0L, {self.salts - 1}L)")).otherwise(F.expr("array(0L)")))).drop("_hot")
+        return self.rows.join(copied, [self.key, "_salt"], how).drop("_salt")
+
+
+def spread_join(rows: DataFrame, facts: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``facts`` by ``key``, hot keys dealt over all tasks (see ``Spread``)."""
+    return Spread(rows, key).join(facts, how)
+
+
+#: Bits of a sieve (8 MB).
+SIEVE_BITS = 1 << 26
+
+
+def sieve(values: DataFrame, column: str):
+    """A broadcast bitmap of fixed size in which the bit of every value of ``column`` (long) is set; see ``sifted``.
+
+    Where it is full it lets more through, but it never holds a value of its own back.
+    """
+    bit = F.pmod(F.col(column), F.lit(SIEVE_BITS))
+    words = values.select(bit.alias("_bit")).groupBy(F.floor(F.col("_bit") / 64).cast("int").alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(_bit % 64 AS INT))")).alias("bits")).toArrow()  # SIEVE_BITS / 64 rows at most
+    held = np.zeros(SIEVE_BITS // 64, np.uint64)
+    held[np.asarray(words["at"])] = np.asarray(words["bits"]).view(np.uint64)
+    return values.sparkSession.sparkContext.broadcast(held)
+
+
+def sifted(held: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Whether the sieve lets each of the 64-bit values through."""
+    at = np.mod(values.view(np.int64), np.int64(SIEVE_BITS))
+    return ((held[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)) == 1
 
 
 def as_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

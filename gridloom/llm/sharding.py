@@ -1,20 +1,22 @@
 """Operator 1, sharding by balanced label propagation.
 
-Documents are linked through groups (of equal texts, unless a table of links is given). Every document starts in a
-shard by hash. In each round a group's members look at the shards of their neighbours: each wants to move to the
-shard that holds more of its group than its own does and still has room. A shard takes in what its quota of free
-places allows: small groups' movers together, large groups' movers one by one, by hash. So a group that fits in one
-shard gathers there, and one that doesn't fills a few shards. Unlinked documents, which cut nothing wherever they
-are, then fill the rooms that are left, and a last pass gives every document its place in one order over all shards
-(shard, then unlinked, linked, unlinked documents), cut into shards whose row counts differ by one at most.
+Documents are linked through groups: those of equal texts, or those of a table of links, in which a document may be in
+any number of groups. Every document starts in a shard by hash. In each round every linked document counts its
+neighbours in each shard (a sum over its groups) and wants to move where most of them are and there is still room. A
+shard takes in what its quota of free places allows: the movers of a small group together, those of a large group one
+by one, by hash. So a group that fits in one shard gathers there, and one that doesn't fills a few shards. Unlinked
+documents, which cut nothing wherever they are, then fill the rooms that are left, and a last pass gives every document
+its place in one order over all shards (shard, then unlinked, linked, unlinked documents), cut into shards whose row
+counts differ by one at most.
 
 All state is per document or per (group, shard) and stays in Spark; the driver sees a few numbers for each shard.
-A group of any size is handled through sums, never listed. Everything is DataFrame expressions.
+A group of any size is handled through sums, never listed, and the documents of a hot group are dealt over all tasks.
+Everything is DataFrame expressions.
 
-Cases: a null text counts as empty (size 1) and null texts are linked like equal ones; repeated rows are rows of
-their own, in places next to each other; null ids are placed like others; texts of any length are only hashed and
-measured; with fewer rows than shards some shards stay empty; an empty table gives an empty result; other columns
-are not read.
+Cases: a null text counts as empty (size 1) and null texts are linked like equal ones; rows alike in id and text are one
+node of as much weight, and get places next to each other; null ids are placed like others; links of unknown ids or
+without a group are not used; texts of any length are only hashed and measured; with fewer rows than shards some shards
+stay empty; an empty table gives an empty result; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import partitions, settle, table
+from gridloom.llm.common import Spread, partitions, settle, spread_join, table
 
 ROUNDS = 6
 #: Movers of a group go together if they fill this share of the room at most.
@@ -38,63 +40,75 @@ def _pick(values: list[float], shard: str) -> Column:
     return F.element_at(F.from_json(F.lit(str([float(v) for v in values])), "array<double>"), F.col(shard) + 1)
 
 
-def _loads(linked: DataFrame, shards: int) -> list[int]:
-    out = [0] * shards
-    for r in linked.groupBy("shard").agg(F.count("*")).collect():  # a row for each shard
-        out[r[0]] = r[1]
-    return out
-
-
-def propagate(linked: DataFrame, shards: int, capacity: float, rounds: int = ROUNDS) -> DataFrame:
-    """Moves linked documents (columns group, shard and others) towards their neighbours' shards."""
-    linked = settle(linked)
+def propagate(member: DataFrame, shards: int, capacity: float, rounds: int = ROUNDS) -> DataFrame:
+    """(node, shard) after moving nodes towards their neighbours' shards; ``member``: (node, group, weight, shard), each node and group once."""
+    first = F.row_number().over(Window.partitionBy("node").orderBy("group")) == 1
+    spread = Spread(settle(member.withColumn("own", F.when(first, F.col("weight")).otherwise(0))), "group")
+    spread.rows = settle(spread.rows)
     for step in range(rounds):
-        room = [max(0.0, capacity - n) for n in _loads(linked, shards)]
-        cells = linked.groupBy("group", "shard").agg(F.count("*").alias("held"))
-        goals = cells.groupBy("group").agg(F.max(F.struct((_pick(room, "shard") >= 1).alias("free"), "held", (-F.col("shard")).alias("back"))).alias("goal"))
-        goals = goals.where("goal.free").select("group", F.col("goal.held").alias("most"), (-F.col("goal.back")).alias("target"))
-        moves = cells.join(goals, "group").where((F.col("shard") != F.col("target")) & ((F.col("held") < F.col("most")) | ((F.col("held") == F.col("most")) & (F.col("shard") > F.col("target")))))
-        moves = settle(moves.select("group", "shard", "target", "held"))
-        wanted = [0.0] * shards
-        for r in moves.groupBy("target").agg(F.sum("held")).collect():  # a row for each shard at most
-            wanted[r[0]] = float(r[1])
-        if not sum(wanted):
+        loads = {r[0]: r[1] for r in spread.rows.groupBy("shard").agg(F.sum("own")).collect()}  # a row for each shard at most
+        room = [max(0.0, capacity - loads.get(i, 0)) for i in range(shards)]
+        cells = spread.rows.groupBy("group", "shard").agg(F.sum("weight").alias("held")).withColumnRenamed("shard", "there")
+        near = spread.join(cells).withColumnRenamed("shard", "home").repartition("node")  # a row for each shard that holds some of the group
+        votes = near.groupBy("node", "weight", "home", "there").agg(F.sum("held").alias("held"), F.max(F.struct("held", "group")).alias("lead"), F.count("*").alias("groups"))
+        votes = votes.withColumn("held", F.col("held") - F.when(F.col("there") == F.col("home"), F.col("weight") * F.col("groups")).otherwise(0))
+        goal = F.max(F.when((F.col("there") == F.col("home")) | (_pick(room, "there") >= 1), F.struct("held", (-F.col("there")).alias("back"), "lead.group")))
+        goals = votes.groupBy("node", "weight", "home").agg(goal.alias("goal"), F.max(F.when(F.col("there") == F.col("home"), F.col("held"))).alias("stay"))
+        goals = goals.select("node", "weight", "home", (-F.col("goal.back")).alias("target"), F.col("goal.group").alias("lead"), F.col("goal.held").alias("most"), "stay")
+        moves = settle(goals.where((F.col("target") != F.col("home")) & ((F.col("most") > F.col("stay")) | (F.col("most") == F.col("stay")) & (F.col("target") < F.col("home")))))
+        wanted = {r[0]: r[1] for r in moves.groupBy("target").agg(F.sum("weight")).collect()}  # a row for each shard at most
+        if not wanted:
             break
-        quota = [min(1.0, a / b) if b else 0.0 for a, b in zip(room, wanted, strict=True)]
-        whole = F.col("held") <= F.lit(TOGETHER) * _pick(room, "target")
-        moves = moves.select("group", "shard", "target", _pick(quota, "target").alias("quota"), whole.alias("whole"))
-        draw = F.when(F.col("whole"), _unit("group", F.lit(step))).otherwise(_unit("key", "order", F.lit(step)))
-        joined = linked.join(moves, ["group", "shard"], "left")
-        linked = settle(joined.select(*(c for c in linked.columns if c != "shard"), F.when(F.col("target").isNotNull() & (draw < F.col("quota")), F.col("target")).otherwise(F.col("shard")).alias("shard")))
-    return linked
+        quota = [min(1.0, room[i] / wanted[i]) if i in wanted else 0.0 for i in range(shards)]
+        bands = moves.groupBy("lead", "target").agg(F.sum("weight").alias("band"))
+        large = bands.where(F.col("band") > F.greatest(F.lit(1), F.lit(TOGETHER) * _pick(room, "target"))).select("lead", "target", F.lit(True).alias("large"))
+        draw = F.when(F.col("large"), _unit("node", F.lit(step))).otherwise(_unit("lead", F.lit(step)))
+        taken = moves.join(large, ["lead", "target"], "left").where(draw < _pick(quota, "target")).select("node", "target")
+        spread.rows = settle(spread.rows.join(taken, "node", "left").withColumn("shard", F.coalesce("target", "shard")).drop("target"))
+    return spread.rows.where("own > 0").select("node", "weight", "shard")
+
+
+def cut(member: DataFrame) -> tuple[int, int]:
+    """(links whose two ends lie in different shards, all links): every two rows of a group are a link. ``member``: group, weight, shard."""
+    cells = member.groupBy("group", "shard").agg(F.sum("weight").cast("decimal(38,0)").alias("held"))
+    groups = cells.groupBy("group").agg(F.sum("held").alias("n"), F.sum(F.col("held") * F.col("held")).alias("squares"))
+    r = groups.agg(F.sum(F.col("n") * F.col("n") - F.col("squares")), F.sum(F.col("n") * F.col("n") - F.col("n"))).first()
+    return int(r[0] or 0) // 2, int(r[1] or 0) // 2
 
 
 def assign(docs: DataFrame, shards: int, key: str = "doc_id", text: str = "text", links: DataFrame | None = None) -> DataFrame:
     """(key, size, text_crc32, shard, slot) of every row; counts of the shards differ by one at most.
 
-    ``links``: (key, group), at most one group for each key; without it the rows with equal texts are a group.
+    ``links``: (key, group), any number of groups for a key; without it the rows with equal texts are a group.
     """
     spark = docs.sparkSession
     words = F.coalesce(F.col(text), F.lit(""))
-    base = docs.select(F.col(key).alias("key"), (F.octet_length(words) + 1).cast("long").alias("size"), F.crc32(words.cast("binary")).alias("crc"), F.md5(words.cast("binary")).alias("group"))
-    if links is not None:
-        own = links.select(F.col(key).alias("_key"), F.col("group").cast("string").alias("_group"))
-        base = base.join(own, F.col("key").eqNullSafe(F.col("_key")), "left").withColumn("group", F.coalesce("_group", "group")).drop("_key", "_group")
-    base = settle(base.withColumn("order", F.xxhash64("key", "crc", "group")))
+    digest = F.md5(words.cast("binary"))
+    base = docs.select(F.col(key).alias("key"), (F.octet_length(words) + 1).cast("long").alias("size"), F.crc32(words.cast("binary")).alias("crc"), digest.alias("text_md5"))
+    base = settle(base.withColumn("node", F.concat_ws("/", F.xxhash64("key").cast("string"), "text_md5")))
     total = base.count()
-    groups = base.groupBy("group").agg(F.count("*").alias("n")).where("n > 1").select("group")
-    linked = propagate(base.join(groups, "group").withColumn("shard", F.pmod(F.xxhash64("key", "order"), F.lit(shards)).cast("int")), shards, total / shards)
+    every = base.groupBy("node").agg(F.first("key").alias("key"), F.first("text_md5").alias("text_md5"), F.count("*").alias("weight"))
+    if links is None:
+        groups = every.groupBy("text_md5").agg(F.sum("weight").alias("n")).where("n > 1").select("text_md5")
+        member = spread_join(settle(every), groups, "text_md5").select("node", "weight", F.col("text_md5").alias("group"))
+    else:
+        asked = links.select(F.col(key).alias("_key"), F.col("group").cast("string").alias("group")).where("group IS NOT NULL").distinct()
+        member = every.join(asked, F.col("key").eqNullSafe(F.col("_key"))).select("node", "weight", "group")
+    member = settle(member.withColumn("shard", F.pmod(F.xxhash64("node"), F.lit(shards)).cast("int")))
+    tied = member.groupBy("node").agg(F.min("group").alias("group"))
+    placed = settle(propagate(member, shards, total / shards))
 
     # unlinked documents fill the rooms, half of them before a shard's linked ones and half after
-    room = [max(0.0, total / shards - n) for n in _loads(linked, shards)]
+    loads = {r[0]: r[1] for r in placed.groupBy("shard").agg(F.sum("weight")).collect()}  # a row for each shard at most
+    room = [max(0.0, total / shards - loads.get(i, 0)) for i in range(shards)]
     upto = [sum(room[: i + 1]) / max(1e-9, sum(room)) for i in range(shards - 1)]
-    draw = _unit("order", F.lit("fill"))
-    free = base.join(groups, "group", "left_anti").withColumn("shard", sum(((draw >= c).cast("int") for c in upto), F.lit(0)))
-    free = free.withColumn("part", F.when(_unit("order", F.lit("side")) < 0.5, 0).otherwise(2))
-    columns = ["key", "size", "crc", "group", "order", "shard", "part"]
-    every = linked.withColumn("part", F.lit(1)).select(*columns).unionAll(free.select(*columns))
+    draw = _unit("node", F.lit("fill"))
+    rows = base.join(placed.join(tied, "node").select("node", F.col("shard").alias("_shard"), "group"), "node", "left")
+    filled = sum(((draw >= c).cast("int") for c in upto), F.lit(0))
+    side = F.when(F.col("_shard").isNotNull(), 1).when(_unit("node", F.lit("side")) < 0.5, 0).otherwise(2)
+    every = rows.select("key", "size", "crc", "node", "group", F.coalesce("_shard", filled).alias("shard"), side.alias("part"))
 
-    line = ["shard", "part", "group", "key", "order", "size"]
+    line = ["shard", "part", "group", "key", "node", "size"]
     dealt = every.repartitionByRange(partitions(spark), *line).sortWithinPartitions(*line)
     dealt = settle(dealt.select("key", "size", "crc", F.spark_partition_id().alias("piece"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("at")))
     pieces = dealt.groupBy("piece").agg(F.count("*").alias("n"))  # a row for each partition
