@@ -1,12 +1,12 @@
 """Operator 5, BPE encoding and decoding through a distinct-word table.
 
 Texts are split into the words of the vocabulary's own pattern; each distinct word is encoded once in each bucket
-(see ``wordtable``), the ids come back by position, and decoding looks every id up in the table from id to piece,
-whose size is that of the vocabulary.
+(see ``wordtable``), the ids come back by position, and decoding joins every id with the table from id to piece. That
+table has the size of the vocabulary, so it is broadcast, and the join is a lookup of all of a text's ids at once.
 
 Cases: a null or empty text has no ids and decodes to the empty text; the vocabulary's special tokens are recognised
 in texts, as its library does; texts of any length are encoded whole; null ids and repeated rows pass through row by
-row; an empty table gives an empty result; other columns are not read.
+row; an empty table gives an empty result; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -84,6 +84,11 @@ def splitter(pattern: str) -> Callable[[str], list[str]]:
 
 def encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, ids) of every row; ``pattern`` is the vocabulary's split pattern."""
+    return _encoded(docs, path, pattern, key, text, lambda keys, ids: pa.table({"_key": keys, "ids": ids.cast(pa.list_(pa.int32()))}), "ids array<int>")
+
+
+def _encoded(docs: DataFrame, path: str, pattern: str, key: str, text: str, finish: Callable[[pa.Array, pa.Array], pa.Table], more: str) -> DataFrame:
+    """What ``finish(keys, ids)`` makes of the rows of each block: its column ``_key``, renamed to the key, and those in ``more``."""
     special = "|".join(regex.escape(t.content) for t in vocabulary(path).get_added_tokens_decoder().values() if t.special)
     special_at = regex.compile(special) if special else None
     cut = splitter(pattern)
@@ -100,15 +105,15 @@ def encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text:
     def encode_bucket(group: pa.Table) -> pa.Table:
         trim()
         tokenizer, ids_of = vocabulary(path), {}
-        lists = [unpack_words(w.as_py(), s.as_py()) for w, s in zip(group["words"], group["sizes"], strict=True)]
-        distinct = list(dict.fromkeys(w for words in lists for w in words))
-        for i in range(0, len(distinct), 10_000):
-            part = distinct[i : i + 10_000]
-            for w, e in zip(part, tokenizer.encode_batch([w.decode("utf-8", "surrogatepass") for w in part], add_special_tokens=False), strict=True):
-                ids_of[w] = e.ids
+        for w, s in zip(group["words"], group["sizes"], strict=True):
+            fresh = [x for x in unpack_words(w.as_py(), s.as_py()) if x not in ids_of]
+            for i in range(0, len(fresh), 10_000):
+                part = fresh[i : i + 10_000]
+                for x, e in zip(part, tokenizer.encode_batch([x.decode("utf-8", "surrogatepass") for x in part], add_special_tokens=False), strict=True):
+                    ids_of[x] = e.ids
         rows = []
-        for block, bucket, words in zip(group["block"].to_pylist(), group["bucket"].to_pylist(), lists, strict=True):
-            ids = [ids_of[w] for w in words]
+        for block, bucket, w, s in zip(group["block"].to_pylist(), group["bucket"].to_pylist(), group["words"], group["sizes"], strict=True):
+            ids = [ids_of[x] for x in unpack_words(w.as_py(), s.as_py())]
             rows.append({"block": block, "bucket": bucket, "ids": pack_numbers(np.array([x for i in ids for x in i], np.uint32)), "n_ids": pack_numbers(np.array([len(i) for i in ids], np.uint32))})
         return pa.Table.from_pylist(rows, schema=pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("ids", pa.binary()), ("n_ids", pa.binary())]))
 
@@ -121,7 +126,7 @@ def encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text:
         totals = np.concatenate([[0], np.cumsum(sizes[places])]).astype(np.int64)
         offsets = totals[np.concatenate([[0], ends])]
         flat = np.concatenate(parts) if parts else np.zeros(0, np.int32)
-        return pa.table({"_key": pa.array(keys, key_type), "ids": pa.LargeListArray.from_arrays(pa.array(offsets, pa.int64()), pa.array(flat)).cast(pa.list_(pa.int32()))})
+        return finish(pa.array(keys, key_type), pa.LargeListArray.from_arrays(pa.array(offsets, pa.int64()), pa.array(flat)))
 
     from pyspark.sql.pandas.types import to_arrow_type
 
@@ -129,12 +134,12 @@ def encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text:
     kind = docs.schema[key].dataType.simpleString()
     blocks = split(docs, words_of, key, text, kept=False)
     answers = by_bucket(blocks, encode_bucket, "block long, bucket int, ids binary, n_ids binary")
-    return assemble(blocks, answers, put_together, f"_key {kind}, ids array<int>").withColumnRenamed("_key", key)
+    return assemble(blocks, answers, put_together, f"_key {kind}, {more}").withColumnRenamed("_key", key)
 
 
-def decoded_texts(ids: pa.Array, path: str) -> Iterator[str]:
-    """The text of each row's ids; bytes that are no UTF-8 become U+FFFD."""
-    pieces, bounds = byte_pieces(path)
+def decoded_texts(ids: pa.Array, table_: tuple[np.ndarray, np.ndarray]) -> Iterator[str]:
+    """The text of each row's ids, joined with the table of pieces; bytes that are no UTF-8 become U+FFFD."""
+    pieces, bounds = table_
     flat, offsets = np.asarray(ids.values), np.asarray(ids.offsets)
     for a, b in zip(offsets, offsets[1:], strict=False):
         parts = []
@@ -146,31 +151,28 @@ def decoded_texts(ids: pa.Array, path: str) -> Iterator[str]:
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """Adds the text that ``ids`` stand for, as column ``decoded``."""
+    shared = encoded.sparkSession.sparkContext.broadcast(byte_pieces(path))
 
     @trimmed
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(batch.schema.get_field_index("ids"))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(decoded_texts(ids, path), pa.string())], [*batch.schema.names, "decoded"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(decoded_texts(ids, shared.value), pa.string())], [*batch.schema.names, "decoded"])
 
     return encoded.mapInArrow(texts, T.StructType([*encoded.schema.fields, T.StructField("decoded", T.StringType())]))
 
 
-def digests(encoded: DataFrame, path: str, key: str = "doc_id") -> DataFrame:
-    """(key, n_tokens, ids_sha256, decoded_sha256): of the ids, and of the text that they decode to."""
+def digests(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, n_tokens, ids_sha256, decoded_sha256): of the ids, and of the text that they decode to, block by block."""
+    shared = docs.sparkSession.sparkContext.broadcast(byte_pieces(path))
 
-    @trimmed
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column(1)
-            flat, offsets = np.asarray(ids.values).astype("<u4"), np.asarray(ids.offsets)
-            one = [hashlib.sha256(flat[a:b].tobytes()).hexdigest() for a, b in zip(offsets, offsets[1:], strict=False)]
-            two = [hashlib.sha256(t.encode()).hexdigest() for t in decoded_texts(ids, path)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets).astype(np.int64)), pa.array(one, pa.string()), pa.array(two, pa.string())], ["_key", "n_tokens", "ids_sha256", "decoded_sha256"])
+    def hashed(keys: pa.Array, ids: pa.Array) -> pa.Table:
+        flat, offsets = np.asarray(ids.values).view("<u4"), np.asarray(ids.offsets)
+        one = [hashlib.sha256(flat[a:b]).hexdigest() for a, b in zip(offsets, offsets[1:], strict=False)]
+        two = [hashlib.sha256(t.encode()).hexdigest() for t in decoded_texts(ids, shared.value)]
+        return pa.table({"_key": keys, "n_tokens": pa.array(np.diff(offsets).astype(np.int64)), "ids_sha256": pa.array(one, pa.string()), "decoded_sha256": pa.array(two, pa.string())})
 
-    lean = encoded.select(F.col(key).alias("_key"), "ids")
-    kind = lean.schema["_key"].dataType.simpleString()
-    return lean.mapInArrow(hashed, f"_key {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("_key", key)
+    return _encoded(docs, path, pattern, key, text, hashed, "n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def byte_bpe_50k() -> tuple[str, str]:
@@ -182,7 +184,7 @@ def byte_bpe_50k() -> tuple[str, str]:
 def round_trip(docs: DataFrame) -> DataFrame:
     """Encodes and decodes every row's text: doc_id, n_tokens, ids_sha256, decoded_sha256."""
     path, pattern = byte_bpe_50k()
-    return digests(encode(docs, path, pattern), path)
+    return digests(docs, path, pattern)
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

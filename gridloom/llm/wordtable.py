@@ -7,7 +7,9 @@ to the blocks in the order of their lists (``assemble``). What is shuffled is on
 one for each occurrence; a very frequent word is one entry in each block.
 
 A block's name is a hash of all it holds. ``kept`` writes the blocks to the shared checkpoint folder once; without it
-they are worked out twice, from the same scan, and an answer is only ever taken for a block of the same content.
+they are worked out twice: each partition's rows are put in one order first, so that blocks are the same whatever order
+they arrive in, and an answer is only ever taken for a block of the same content. The number of buckets follows from the
+size of the texts, so that what one task holds of the word lists does not grow with the input.
 """
 
 from __future__ import annotations
@@ -27,7 +29,9 @@ from pyspark.sql import functions as F
 from gridloom.llm.common import partitions, settle, slices, trim, trimmed
 
 #: Bytes of text in a block, unless a single text is longer.
-BLOCK_TEXT = 16 << 20
+BLOCK_TEXT = 8 << 20
+#: Bytes of text whose words share a bucket, on average.
+BUCKET_TEXT = 64 << 20
 
 _pack = zstandard.ZstdCompressor(level=3)
 _unpack = zstandard.ZstdDecompressor()
@@ -72,7 +76,8 @@ def split(docs: DataFrame, words_of: Callable[[str], Iterable], key: str = "doc_
     ``words_of`` gives a text's words, as str or bytes. ``counts`` holds how often a word stands in the block's
     documents where column ``counted`` is true. Null texts have no words.
     """
-    buckets = 2 * partitions(docs.sparkSession)
+    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    buckets = max(2 * partitions(docs.sparkSession), -(-size // BUCKET_TEXT))
 
     @trimmed
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,6 +110,8 @@ def split(docs: DataFrame, words_of: Callable[[str], Iterable], key: str = "doc_
                 yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([pa.field("block", pa.int64()), pa.field("bucket", pa.int32()), pa.field("keys", pa.list_(part.schema.field(0).type)), *(pa.field(n, pa.binary()) for n in _BINARY)]))
 
     lean = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"), *([F.col(counted).alias("_counted")] if counted else []))
+    if not kept:
+        lean = lean.sortWithinPartitions(F.xxhash64("_key", "_text"), "_key", "_text")
     cut = lean.mapInArrow(blocks, SCHEMA.format(kind=lean.schema["_key"].dataType.simpleString()))
     return settle(cut) if kept else cut
 
