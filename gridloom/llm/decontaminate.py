@@ -6,13 +6,13 @@ items are searched at once (Aho-Corasick), and each hit's surroundings are verif
 edit distance. Verification climbs from the piece: a run of j neighbouring pieces may hold j - 1 edits, and if a run
 is within its budget, so is one of its halves; a chance hit ends at the first run of two.
 
-The items are taken in blocks of bounded size; each block is one pass over the documents, so that what the tasks
-receive never grows with the benchmark.
+The items are taken in blocks of about 4 MB; each block is one pass over the documents, so that what the driver and
+the tasks hold never grows with the benchmark.
 
 Cases: a null or blank item matches nothing; an item of under 13 characters must match exactly; repeated items are
 reported each; a null or empty text has no match; ids may be null; texts of any length are searched whole; repeated
 rows are reported one by one; an empty benchmark or an empty table gives an empty result (and removes nothing);
-other columns are not read.
+other columns are not read, whatever their names, and ``remove_leaking`` gives them back as they are.
 """
 
 from __future__ import annotations
@@ -24,8 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from gridloom.llm.common import slices, table, trimmed
+from gridloom.llm.common import settle, slices, table, trimmed
 
 #: Edits allowed per character of the item.
 ERROR_RATE = 0.08
@@ -181,6 +182,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
     """One row for each document and item found in it: key, item, distance, budget, n_passages, and where the nearest passage begins and ends in the text."""
     lean = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
     out = "_key {}, _item {}, distance int, budget int, n_passages int, start long, end long".format(lean.schema["_key"].dataType.simpleString(), benchmark.schema[item].dataType.simpleString())
+    item_type = to_arrow_type(benchmark.schema[item].dataType)
     found = None
     for block in item_blocks(benchmark, item, item_text):
         shared = docs.sparkSession.sparkContext.broadcast(block)
@@ -194,7 +196,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
                     for i, near, start, end, n in matcher.hits(normal(t)):
                         rows.append((k, matcher.items[i][0], near, matcher.items[i][2], n, *raw_place(t, start, end)))
                 if rows:
-                    yield pa.RecordBatch.from_pylist([dict(zip(NAMES, r, strict=True)) for r in rows], schema=pa.schema([pa.field("_key", batch.schema.field(0).type), pa.field("_item", pa.scalar(rows[0][1]).type), *_REST]))
+                    yield pa.RecordBatch.from_pylist([dict(zip(NAMES, r, strict=True)) for r in rows], schema=pa.schema([pa.field("_key", batch.schema.field(0).type), pa.field("_item", item_type), *_REST]))
 
         part = lean.mapInArrow(search, out)
         found = part if found is None else found.unionAll(part)
@@ -211,7 +213,9 @@ def remove_leaking(docs: DataFrame, benchmark: DataFrame, text: str = "text", it
     """The rows of ``docs``, as they are, that hold none of the items."""
     names = docs.columns
     at = names.index(text)
-    for block in item_blocks(benchmark, item, item_text):
+    for i, block in enumerate(item_blocks(benchmark, item, item_text)):
+        if i:  # what the passes before left is written, so that a task runs one pass
+            docs = settle(docs)
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
         @trimmed

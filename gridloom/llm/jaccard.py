@@ -7,9 +7,9 @@ target recall at the similarity asked for.
 
 Candidates are brought together by component: the band hashes' links (each to its bucket's smallest member, never
 all pairs) are contracted to components, a component's texts go out in blocks of bounded size, and each pair of
-blocks is one task, which compares the signatures of its texts and verifies every candidate pair on the full n-gram
-sets. So each text of a small component is sent once, no pair is ever a row, and a component of any size is whole.
-Verified links are counted for each class and contracted to classes of linked documents.
+blocks that share a band's hash is one task, which compares the signatures of its texts and verifies every candidate
+pair on the full n-gram sets. So each text of a small component is sent once, no pair is ever a row, and a component of
+any size is whole. Verified links are counted for each class and contracted to classes of linked documents.
 
 Cases: a null or empty text, or one without a word, has no n-grams and is linked to nothing, not even to its like;
 repeated rows and equal texts are copies; null ids are carried (a class whose smallest id is asked for ignores
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import as_bytes, mix, partitions, settle, slices, span_hashes, table, trim, trimmed, word_spans
+from gridloom.llm.common import as_bytes, mix, partitions, settle, slices, span_hashes, spread_join, table, trim, trimmed, word_spans
 from gridloom.operators.components import connected_components
 
 WORDS = 5
@@ -195,6 +195,24 @@ def _verify(group: pa.Table) -> pa.Table:
     return pa.table({"gid": pa.array(out_gid, pa.binary()), "links": pa.array(out_links, pa.int64()), "other": pa.array(out_other, pa.binary())})
 
 
+def _block_pairs(large: DataFrame) -> DataFrame:
+    """The texts of each pair of blocks that share a band's hash: bundle, comp, low, high, block, gid, text.
+
+    ``large``: gid, comp, blocks (how many the component needs), text, bands. Texts of the same first band share a
+    cell, which is cut into blocks of bounded size; so most pairs that are alike lie in one block, and blocks of a
+    component that have nothing in common never meet.
+    """
+    cell = F.struct("comp", F.pmod(F.col("bands")[0], F.col("blocks")).alias("cell"))
+    large = settle(large.select("gid", "comp", "text", "bands", cell.alias("cell")))
+    sizes = large.groupBy("cell").agg(F.ceil(F.greatest(F.count("*") / BLOCK_TEXTS, F.sum(F.octet_length("text")) / BLOCK_BYTES)).alias("parts"))
+    block = F.col("cell.cell") * (1 << 30) + F.pmod(F.xxhash64("gid"), F.col("parts"))
+    placed = settle(spread_join(large, sizes, "cell").select("gid", "comp", "text", "bands", block.alias("block")))
+    held = settle(placed.select("comp", "block", F.posexplode("bands").alias("band", "hash")).distinct())
+    both = held.withColumnRenamed("block", "low").join(held.withColumnRenamed("block", "high"), ["comp", "band", "hash"]).where("low <= high").select("comp", "low", "high").distinct()
+    asked = both.select("comp", "low", "high", F.explode(F.array_distinct(F.array("low", "high"))).alias("block"))
+    return asked.join(placed, ["comp", "block"]).select(F.xxhash64("comp", "low", "high").alias("bundle"), "comp", "low", "high", "block", "gid", "text")
+
+
 def join_similar(docs: DataFrame, key: str = "doc_id", text: str = "text", extra: dict[str, F.Column] | None = None) -> DataFrame:
     """One row for each row of ``docs``: key, gid (its n-gram set), class_gid (its class of linked sets), n_copies, n_links, n_grams.
 
@@ -217,25 +235,25 @@ def join_similar(docs: DataFrame, key: str = "doc_id", text: str = "text", extra
     texts = settle(held.join(firsts, held["_key"].eqNullSafe(firsts["_key"]) & (held["_hash"] == firsts["_hash"])).select("gid", F.col("component").alias("comp"), "text"))
     sizes = texts.groupBy("comp").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("size"))
     sizes = sizes.select("comp", F.ceil(F.greatest(F.col("n") / BLOCK_TEXTS, F.col("size") / BLOCK_BYTES)).cast("int").alias("blocks"))
-    placed = texts.join(sizes, "comp").withColumn("block", F.pmod(F.xxhash64("gid"), F.col("blocks")).cast("int"))
-    pairs = placed.select("gid", "comp", "block", "text", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"), "blocks")
-    tasks = pairs.select("gid", "comp", "block", "text", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"), "blocks")
+    sized = spread_join(texts, sizes, "comp")
     bundles = 8 * partitions(spark)
-    tasks = tasks.withColumn("bundle", F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("comp"), F.lit(bundles))).otherwise(F.xxhash64("comp", "low", "high")))
+    whole = F.pmod(F.xxhash64("comp"), F.lit(bundles))
+    small = sized.where("blocks = 1").select(whole.alias("bundle"), "comp", F.lit(0).cast("long").alias("low"), F.lit(0).cast("long").alias("high"), F.lit(0).cast("long").alias("block"), "gid", "text")
+    tasks = small.unionAll(_block_pairs(sized.where("blocks > 1").join(sets.select("gid", "bands"), "gid")))
     found = settle(tasks.select("bundle", "comp", "low", "high", "block", "gid", "text").groupBy("bundle").applyInArrow(_verify, "gid binary, links long, other binary"))
 
     links = found.groupBy("gid").agg(F.sum("links").alias("n_links"))
     classes = connected_components(found.select(F.col("gid").alias("src"), F.col("other").alias("dst"))).withColumnRenamed("node", "gid")
     known = sets.select("gid", "n_copies").join(links, "gid", "left").join(classes, "gid", "left")
     known = known.select("gid", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component", "gid").alias("class_gid"))
-    return signed.join(known, "gid", "left").withColumnRenamed("_key", key).drop("bands", "_hash")
+    return spread_join(signed.drop("bands"), known, "gid", "left").withColumnRenamed("_key", key).drop("_hash")
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, class_id, n_links, n_copies, n_grams) of every row; class_id is the smallest key of the class."""
-    found = join_similar(docs, key, text)
+    found = settle(join_similar(docs, key, text))
     least = found.where("class_gid is not null").groupBy("class_gid").agg(F.min(key).alias("class_id"))
-    named = found.join(least, "class_gid", "left")
+    named = spread_join(found, least, "class_gid", "left")
     return named.select(key, F.when(F.col("class_gid").isNull(), F.col(key)).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"), "n_grams")
 
 

@@ -8,7 +8,7 @@ tasks as a broadcast, and a text's score is the product of its sparse bucket cou
 Cases: a null text, or one without a letter, gets ``und`` and score 0; a null language is not learned from; a null
 id falls in fold 0; texts of any length are used whole; ties go to the language that sorts first; repeated rows are
 scored one by one; with nothing to learn from every text gets ``und``; an empty table gives an empty result; other
-columns are not read.
+columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,8 +24,8 @@ from gridloom.llm.common import fold, settle, slices, table
 
 GRAMS = (1, 2, 3)
 BUCKETS = 1 << 15
-#: The broadcast matrix has this many cells at most (16 MB); more languages get fewer buckets.
-MAX_CELLS = 1 << 22
+#: More languages than this are an error: the broadcast matrix has a row for each bucket and a column for each language, 32 MB at most.
+MAX_LANGUAGES = 256
 SMOOTHING = 0.1
 SLICE = 4 << 20
 
@@ -87,19 +87,15 @@ def train(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
     """
     partial = labelled.select("lang", "text").mapInArrow(_count, "lang string, bucket int, n long")
     summed = settle(partial.groupBy("lang", "bucket").agg(F.sum("n").alias("n")))
-    langs = [r[0] for r in summed.select("lang").distinct().orderBy("lang").limit(MAX_CELLS // 64 + 1).collect()]
-    if len(langs) > MAX_CELLS // 64:
-        raise ValueError(f"more than {MAX_CELLS // 64} languages")
-    buckets = BUCKETS
-    while buckets * len(langs) > MAX_CELLS:
-        buckets //= 2
-    folded = summed.withColumn("bucket", F.when(F.col("bucket") == BUCKETS, buckets).otherwise(F.col("bucket") % buckets)).groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    counts, index = np.zeros((buckets + 1, len(langs))), {x: i for i, x in enumerate(langs)}
-    for lang, bucket, n in folded.collect():  # MAX_CELLS rows at most
-        counts[bucket, index[lang]] = n
+    langs = [r[0] for r in summed.select("lang").distinct().orderBy("lang").limit(MAX_LANGUAGES + 1).collect()]
+    if len(langs) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    counts, index = np.zeros((BUCKETS + 1, len(langs))), {x: i for i, x in enumerate(langs)}
+    cells = summed.toArrow()  # (BUCKETS + 1) * MAX_LANGUAGES rows at most
+    counts[np.asarray(cells["bucket"]), np.array([index[x] for x in cells["lang"].to_pylist()], np.int64)] = np.asarray(cells["n"])
     matrix = np.empty_like(counts)
     if langs:
-        matrix[:-1] = np.log(counts[:-1] + SMOOTHING) - np.log(counts[:-1].sum(0) + SMOOTHING * buckets)
+        matrix[:-1] = np.log(counts[:-1] + SMOOTHING) - np.log(counts[:-1].sum(0) + SMOOTHING * BUCKETS)
         matrix[-1] = np.log(counts[-1]) - np.log(counts[-1].sum())
     return langs, matrix
 

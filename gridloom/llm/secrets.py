@@ -6,10 +6,10 @@ addresses (user:password@host) and the secret parts of webhook addresses. A rand
 length, character transitions (how often the class of character changes, how many neighbours are letter pairs of
 ordinary words), dictionary coverage (share of letters in runs that are words of the corpus), path (the source's
 kind), and neighbouring words (the word before, an assignment sign, quotes). It is trained on labelled findings: a
-finding is labelled secret where a strict rule holds (a credential's name, an assignment and a value of digits and
-other characters, or the fixed form of a known kind of key), and not secret where nothing speaks for it (no name, no
-assignment, no quotes); what the rule can't decide is not trained on. The forest never sees the rule's verdict, only
-the features. A fixed form (private-key block, password in an address, webhook) is a secret by its form alone.
+finding is labelled by people (``labels``); without these, secret where a strict rule holds (a credential's name, an
+assignment and a value of digits and other characters, or the fixed form of a known kind of key), and not secret where
+nothing speaks for it (no name, no assignment, no quotes); what the rule can't decide is not trained on. A fixed form
+(private-key block, password in an address, webhook) is a secret by its form alone.
 
 Only DataFrame expressions and Spark's own forest run here.
 
@@ -17,7 +17,8 @@ Fixed bounds: the forest is fitted on TRAIN_FINDINGS findings of either label at
 
 Cases: a null or empty text has no candidate; ids and sources may be null; repeated rows are reported one by one and
 candidates of a text in order; texts of any length are scanned whole; without findings of both labels nothing is
-removed by the forest and the strict rule decides (what it leaves open is no secret); an empty table gives an empty result; other columns are not read.
+removed by the forest and the labels decide (what they leave open is no secret); an empty table gives an empty result;
+other columns are not read, whatever their names, and ``redact`` gives them back as they are.
 """
 
 from __future__ import annotations
@@ -53,7 +54,6 @@ SAMPLE_PATHS = r"(?i)(^|[/._\-])(test|tests|example|examples|sample|samples|docs
 #: Two-letter pairs that ordinary words hold often.
 USUAL_PAIRS = "th he in er an re on at en nd ti es or te of ed is it al ar st to nt ng se ha as ou io le ve co me de hi ri ro ic ne ea ra ce li ch ll be ma si om ur".split()
 TRAIN_FINDINGS = 20_000
-LEAST_LENGTH = 16
 TREES, DEPTH = 20, 6
 #: Characters kept around a candidate for its neighbours.
 CONTEXT = 96
@@ -61,16 +61,24 @@ FEATURES = ("length", "digit_share", "upper_share", "hex_share", "switches", "us
 THRESHOLD = 0.5
 
 
-def candidates(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str = "source") -> DataFrame:
-    """One row for each candidate: _key, _path, n (place among the text's candidates), start, value, before, after."""
-    lean = docs.select(F.col(key).alias("_key"), (F.col(path) if path in docs.columns else F.lit(None)).cast("string").alias("_path"), F.col(text).alias("_text"))
+def values_of(text: str | Column) -> Column:
+    """A text's candidates in order; null without any."""
+    return F.when(F.regexp_like(text, F.lit(CANDIDATE)), F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(1)))
+
+
+def candidates(found: DataFrame) -> DataFrame:
+    """One row for each candidate: _key, _path, _row, n (place among the row's candidates), start, value, before, after.
+
+    ``found``: _key, _path, _row (a number for each row), _text, _values (see ``values_of``).
+    """
     # split at the candidates: the pieces between them and the candidates alternate
-    found = lean.where(F.regexp_like("_text", F.lit(CANDIDATE))).select("_key", "_path", F.monotonically_increasing_id().alias("_row"), F.regexp_extract_all("_text", F.lit(CANDIDATE), F.lit(1)).alias("values"), F.split("_text", CANDIDATE).alias("gaps"))
-    rows = found.select("_key", "_path", "_row", F.posexplode(F.arrays_zip("values", F.slice("gaps", 1, F.size("values")).alias("lead"), F.slice("gaps", 2, F.size("values")).alias("trail"))).alias("n", "x"))
-    value, upto = F.col("x.values"), F.length("x.lead") + F.length("x.values")
-    sizes = rows.select("_key", "_path", "_row", F.col("n").cast("int").alias("n"), upto.alias("_upto"), value.alias("value"), F.right(F.col("x.lead"), F.lit(CONTEXT)).alias("before"), F.left(F.col("x.trail"), F.lit(CONTEXT)).alias("after"))
+    held = found.where("_values IS NOT NULL").select("_key", "_path", "_row", "_values", F.split("_text", CANDIDATE).alias("_gaps"))
+    zipped = F.arrays_zip(F.col("_values").alias("value"), F.slice("_gaps", 1, F.size("_values")).alias("lead"), F.slice("_gaps", 2, F.size("_values")).alias("trail"))
+    rows = held.select("_key", "_path", "_row", F.posexplode(zipped).alias("n", "x"))
+    upto = F.length("x.lead") + F.length("x.value")
+    sizes = rows.select("_key", "_path", "_row", F.col("n").cast("int").alias("n"), upto.alias("_upto"), F.col("x.value").alias("value"), F.right(F.col("x.lead"), F.lit(CONTEXT)).alias("before"), F.left(F.col("x.trail"), F.lit(CONTEXT)).alias("after"))
     whole = Window.partitionBy("_row").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    return sizes.select("_key", "_path", "n", (F.sum("_upto").over(whole) - F.length("value")).alias("start"), "value", "before", "after")
+    return sizes.select("_key", "_path", "_row", "n", (F.sum("_upto").over(whole) - F.length("value")).alias("start"), "value", "before", "after")
 
 
 def _share(pattern: str) -> Column:
@@ -79,14 +87,14 @@ def _share(pattern: str) -> Column:
 
 def described(found: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """Adds the features. ``vocabulary``: (word), lower-case words of the corpus that candidates' letter runs are looked up in."""
-    keyed = found.withColumn("_id", F.struct("_key", "n", "start", "value", "before"))
+    keyed = found.withColumn("_id", F.struct("_row", "n"))
     runs = keyed.select("_id", F.explode(F.regexp_extract_all(F.lower("value"), F.lit("[a-z]{2,}"), F.lit(0))).alias("word"))
     covered = runs.join(vocabulary, "word").groupBy("_id").agg(F.sum(F.length("word")).alias("n_covered"))
     classes = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace("value", "[0-9]", "0"), "[a-z]", "a"), "[A-Z]", "A"), "[^0aA]", "-")
     name = F.lower(F.regexp_extract("before", r"([A-Za-z_\-]+)[\"']?\s*(?:[:=][=>]?)?\s*[\"']?$", 1))
     pairs = F.size(F.regexp_extract_all(F.lower("value"), F.lit("(?=(" + "|".join(USUAL_PAIRS) + "))"), F.lit(1)))
     return keyed.join(covered, "_id", "left").select(
-        "_key", "_path", "n", "start", "value", "before", "after",
+        "_key", "_path", "_row", "n", "start", "value", "before", "after",
         F.length("value").cast("double").alias("length"),
         _share("0-9").alias("digit_share"),
         _share("A-Z").alias("upper_share"),
@@ -104,8 +112,15 @@ def described(found: DataFrame, vocabulary: DataFrame) -> DataFrame:
     )
 
 
-def labelled(features: DataFrame) -> DataFrame:
-    """Adds ``label``: 1 where the strict rule holds, 0 where nothing speaks for a secret, else null. Findings labelled by people can take this one's place."""
+def labelled(features: DataFrame, labels: DataFrame | None = None, key: str = "doc_id") -> DataFrame:
+    """Adds ``label``, 1 for a secret and 0 for none; null findings are not trained on.
+
+    ``labels``: (key, start, label), findings that people have judged; of several judgements of one the largest counts.
+    Without it a rule judges: 1 where it holds, 0 where nothing speaks for a secret.
+    """
+    if labels is not None:
+        judged = labels.select(F.col(key).alias("_key2"), F.col("start").cast("long").alias("_start"), F.col("label").cast("double").alias("label")).groupBy("_key2", "_start").agg(F.max("label").alias("label"))
+        return features.join(judged, F.col("_key").eqNullSafe(F.col("_key2")) & (F.col("start") == F.col("_start")), "left").drop("_key2", "_start")
     mixed = (F.col("digit_share") >= 0.1) & (F.col("digit_share") < 1) & ~F.regexp_like("value", F.lit(r"\s"))
     strict = (F.col("named") == 1) & (F.col("assigned") == 1) & mixed
     nothing = (F.col("named") == 0) & (F.col("assigned") == 0) & (F.col("quoted") == 0)
@@ -143,31 +158,43 @@ def train(findings: DataFrame) -> PipelineModel | None:
 def judge(features: DataFrame, model: PipelineModel | None) -> DataFrame:
     """Adds ``score``, the forest's probability of a secret, and ``is_secret``."""
     if model is None:
-        scored = labelled(features).withColumn("score", F.coalesce("label", F.lit(0.0))).drop("label")
+        scored = features.withColumn("score", F.coalesce("label", F.lit(0.0)))
     else:
         scored = model.transform(features).withColumn("score", F.element_at(vector_to_array("probability"), 2)).drop("features", "rawPrediction", "probability", "prediction")
+    scored = scored.drop("label")
     scored = scored.withColumn("score", F.when(fixed_form(), 1.0).otherwise(F.col("score")))
     return scored.withColumn("is_secret", F.col("score") >= THRESHOLD)
 
 
-def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str = "source") -> DataFrame:
-    """All candidates with their features, score and verdict."""
-    found = settle(candidates(docs, key, text, path))
-    features = settle(described(found, words_of_corpus(docs, found, text)))
-    return judge(features, train(labelled(features)))
-
-
-def redact(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str = "source", mark: str = "[SECRET]") -> DataFrame:
-    """The rows of ``docs``, as they are but for secrets in the text, each replaced by ``mark``."""
-    found = scan(docs, key, text, path).where("is_secret").select("value").distinct()
-    lean = docs.select("*", F.when(F.regexp_like(F.col(text), F.lit(CANDIDATE)), F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(CANDIDATE), F.lit(1)))).alias("_values"))
-    # a text's values are looked up once each; its row comes back by a hash of the whole row
-    row = F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns))
-    held = lean.where("_values is not null").select(row.alias("_row"), F.explode("_values").alias("value")).distinct().join(found, "value").groupBy("_row").agg(F.array_sort(F.collect_set("value"), lambda a, b: F.length(b) - F.length(a)).alias("_found"))
-    clean = lean.where("_values is null").select(*(F.col(f"`{c}`") for c in docs.columns))
-    checked = lean.where("_values is not null").withColumn("_row", row).join(held, "_row", "left")
-    masked = F.aggregate(F.coalesce("_found", F.array().cast("array<string>")), F.col(text), lambda acc, v: F.replace(acc, v, F.lit(mark)))
-    return clean.unionByName(checked.select(*(masked.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns)))
+def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str = "source", labels: DataFrame | None = None) -> DataFrame:
+    """All candidates with their features, score and verdict; ``labels``: see ``labelled``."""
+    of = (F.col(path) if path in docs.columns else F.lit(None)).cast("string")
+    rows = docs.select(F.col(key).alias("_key"), of.alias("_path"), F.monotonically_increasing_id().alias("_row"), F.col(text).alias("_text"))
+    return _judged(rows.withColumn("_values", values_of("_text")), labels, key)
+
+
+def _judged(rows: DataFrame, labels: DataFrame | None, key: str) -> DataFrame:
+    found = settle(candidates(rows))
+    features = settle(labelled(described(found, words_of_corpus(rows, found, "_text")), labels, key))
+    return judge(features, train(features))
+
+
+def redact(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str = "source", mark: str = "[SECRET]", labels: DataFrame | None = None) -> DataFrame:
+    """The rows of ``docs``, as they are but for secrets in the text, each replaced by ``mark`` where it stands."""
+    names = docs.columns
+    column = lambda c: F.col(f"_doc.f{names.index(c)}") if c in names else F.lit(None).cast("string")
+    # written once with a number for each row: the pattern runs once over a text, and verdicts find the row again
+    doc = F.struct(*(F.col(f"`{c}`").alias(f"f{i}") for i, c in enumerate(names)))
+    whole = settle(docs.select(doc.alias("_doc"), F.monotonically_increasing_id().alias("_row"), values_of(F.col(f"`{text}`")).alias("_values")))
+    rows = whole.select(column(key).alias("_key"), column(path).cast("string").alias("_path"), "_row", column(text).alias("_text"), "_values")
+    secret = _judged(rows, labels, key).where("is_secret").groupBy("_row").agg(F.collect_set("n").alias("_secret"))  # no more than a text's candidates
+    checked = whole.where("_values IS NOT NULL").join(secret, "_row")
+    gaps, last = F.split(column(text), CANDIDATE), F.size("_values")
+    parts = F.transform(F.arrays_zip(F.slice(gaps, 1, last).alias("gap"), F.col("_values").alias("value")), lambda x, i: F.concat(x["gap"], F.when(F.array_contains("_secret", i), F.lit(mark)).otherwise(x["value"])))
+    masked = checked.select("_doc", F.concat(F.array_join(parts, ""), F.element_at(gaps, -1)).alias("_masked"))
+    kept = whole.where("_values IS NULL").select("_doc", F.lit(None).cast("string").alias("_masked"))
+    left = whole.where("_values IS NOT NULL").join(secret, "_row", "left_anti").select("_doc", F.lit(None).cast("string").alias("_masked"))
+    return kept.unionAll(left).unionAll(masked).select(*((F.coalesce("_masked", column(c)) if c == text else column(c)).alias(c) for c in names))
 
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

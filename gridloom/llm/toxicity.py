@@ -9,7 +9,7 @@ hashed words and word beginnings is then trained on posterior labels and scores
 
 Fixed bounds: MAX_MINED voters are mined, the best by lift of all features that LEAST_TOXIC toxic texts hold; the classifier is fitted on SAMPLE documents of either posterior label
 (a hash of the text decides; all statistics before it cover all training documents).
-A bitmap of SIEVE_BITS bits keeps most texts without a label from the join with the labels; where it is full more texts
+A bitmap of fixed size keeps most texts without a label from the join with the labels; where it is full more texts
 are shuffled, none is lost.
 
 Cases: a null or empty text has no features and scores what the classifier gives to none; a null id falls in fold 0;
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import as_bytes, fold, mix, settle, slices, span_hashes, table
+from gridloom.llm.common import as_bytes, fold, mix, settle, sieve, sifted, slices, span_hashes, table
 
 #: Bits of a feature's hash.
 BITS = 40
@@ -35,7 +35,6 @@ BITS = 40
 BEGINNINGS = (4, 5, 6)
 MAX_MINED = 256
 LEAST_TOXIC = 5
-SIEVE_BITS = 1 << 26
 SAMPLE = 3000
 EM_ROUNDS = 6
 #: Voters with a residual correlation above this share their weight.
@@ -102,19 +101,13 @@ def patterns(texts: pa.Array, insulted: np.ndarray) -> np.ndarray:
 
 def labelled_texts(lean: DataFrame, marks: DataFrame) -> DataFrame:
     """(_text, _toxic) of every row of ``lean`` (_key, _text) whose key is in ``marks`` (_key, _toxic)."""
-    bit = F.pmod(F.xxhash64("_key"), F.lit(SIEVE_BITS))
-    bits = marks.select(bit.alias("_bit")).groupBy(F.floor(F.col("_bit") / 64).cast("int").alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(_bit % 64 AS INT))")).alias("bits")).toArrow()  # SIEVE_BITS / 64 rows at most
-    sieve = np.zeros(SIEVE_BITS // 64, np.uint64)
-    sieve[np.asarray(bits["at"])] = np.asarray(bits["bits"]).view(np.uint64)
-    shared = lean.sparkSession.sparkContext.broadcast(sieve)
+    shared = sieve(marks.select(F.xxhash64("_key").alias("_id")), "_id")
 
     def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = np.asarray(batch.column(2))
-            held = (shared.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)
-            yield batch.select([0, 1]).filter(pa.array(held == 1))
+            yield batch.select([0, 1]).filter(pa.array(sifted(shared.value, np.asarray(batch.column(2)))))
 
-    some = lean.select("_text", "_key", bit.alias("_bit")).mapInArrow(sift, f"_text string, _key {lean.schema['_key'].dataType.simpleString()}")
+    some = lean.select("_text", "_key", F.xxhash64("_key").alias("_id")).mapInArrow(sift, f"_text string, _key {lean.schema['_key'].dataType.simpleString()}")
     return some.join(marks.hint("merge"), "_key").select("_text", "_toxic")
 
 
