@@ -36,6 +36,14 @@ def resolve(candidates: DataFrame, keys: list[str], tie: float) -> DataFrame:
     return ranked.select(*keys, F.when(clear, F.col("bus_id")).alias("bus_id"), "distance")
 
 
+def suggestions(candidates: DataFrame, keys: list[str], tie: float) -> DataFrame:
+    """(keys, n, candidates) of the points that ``resolve`` leaves open: their candidates by distance, each (bus_id, distance_m)."""
+    item = F.struct("distance", "bus_id")
+    lists = candidates.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("_all"))  # buses within the tolerance of one point
+    open_ = lists.where((F.size("_all") > 1) & (F.try_element_at("_all", F.lit(2))["distance"] - F.col("_all")[0]["distance"] <= tie))
+    return open_.select(*keys, F.size("_all").cast("long").alias("n"), F.transform("_all", lambda c: F.struct(c["bus_id"].alias("bus_id"), F.round(c["distance"], 3).cast("decimal(18,3)").alias("distance_m"))).alias("candidates"))
+
+
 def apply_ends(line: DataFrame, resolved: DataFrame) -> DataFrame:
     """Lines with unresolved ends filled in. ``resolved``: id, side ('from' or 'to'), bus_id."""
     sides = resolved.groupBy("id").agg(F.max(F.when(F.col("side") == "from", F.col("bus_id"))).alias("_from"), F.max(F.when(F.col("side") == "to", F.col("bus_id"))).alias("_to"))
@@ -63,66 +71,82 @@ def hierarchical_ends(own: Column, parent: Column, feeder: Column, start: Column
     return F.coalesce(start, F.when(root, feeder).otherwise(parent)), F.coalesce(end, own)
 
 
-def preorder(segment: DataFrame, rounds: int = 64) -> DataFrame:
-    """Place of every segment (feeder, id, parent, sequence text ``id``) in its feeder's hierarchy, parents first.
+def preorder(segment: DataFrame) -> DataFrame:
+    """Place of every segment (feeder, id, parent) in its feeder's hierarchy, parents first.
 
-    Ancestor paths grow by pointer doubling; segments on a cycle come last.
+    Ancestor paths grow by pointer doubling; a path longer than its feeder has segments is a cycle, whose segments come
+    last.
     """
-    keyed = segment.select("feeder", "id", "parent")
+    sizes = segment.groupBy("feeder").agg(F.count("*").alias("n"))
+    keyed = segment.select("feeder", "id", "parent").join(sizes, "feeder")
     known = keyed.select("feeder", F.col("id").alias("parent"), F.lit(True).alias("_known"))
-    state = keyed.join(known, ["feeder", "parent"], "left").select("feeder", "id", F.when(F.col("_known") & (F.col("parent") != F.col("id")), F.col("parent")).alias("up"), F.array("id").alias("path"))
-    state = settle(state)
-    for _ in range(rounds):
-        if state.where("up IS NOT NULL").isEmpty():
-            break
+    state = settle(keyed.join(known, ["feeder", "parent"], "left").select("feeder", "id", "n", F.when(F.col("_known") & (F.col("parent") != F.col("id")), F.col("parent")).alias("up"), F.array("id").alias("path")))
+    while not state.where("up IS NOT NULL").isEmpty():
         above = state.select("feeder", F.col("id").alias("up"), F.col("up").alias("_up"), F.col("path").alias("_path"))
         joined = state.join(above, ["feeder", "up"], "left")
-        loop = F.size("path") > 100_000
-        grown = settle(joined.select("feeder", "id", F.when(~loop, F.col("_up")).alias("up"), F.when(F.col("up").isNotNull(), F.concat("_path", "path")).otherwise(F.col("path")).alias("path")))
-        cyclic = grown.where(F.col("up").isNotNull() & F.array_contains("path", F.col("up")) & (F.size(F.array_distinct("path")) < F.size("path")))
-        if not cyclic.isEmpty():
-            grown = settle(grown.withColumn("up", F.when(F.size(F.array_distinct("path")) == F.size("path"), F.col("up"))))
-        state = grown
-    lost = F.size(F.array_distinct("path")) < F.size("path")
+        longer = F.when(F.col("up").isNotNull(), F.concat("_path", "path")).otherwise(F.col("path"))
+        grown = joined.select("feeder", "id", "n", "_up", longer.alias("path"))
+        state = settle(grown.select("feeder", "id", "n", F.when(F.size("path") <= F.col("n"), F.col("_up")).alias("up"), "path"))
+    lost = F.size("path") > F.col("n")
     place = F.row_number().over(Window.partitionBy("feeder").orderBy(lost, F.when(~lost, F.col("path")), "id"))
     return state.select("feeder", "id", place.alias("place"), F.when(lost, F.lit(None)).otherwise(F.size("path") - 1).cast("int").alias("depth"))
 
 
 def chain(points: DataFrame) -> DataFrame:
-    """Ordered points (feeder, id, seq, x, y) of each feeder with the distance run so far.
+    """(feeder, place, id, x, y, at): ordered points (feeder, id, seq, x, y) of each feeder with the distance run so far.
 
     A point equal (to 1e-6) to the last kept one is dropped; feeders of fewer than two points give none.
     """
-    item = F.struct("seq", "id", "x", "y")
-    kept = F.aggregate(
-        F.array_sort(F.collect_list(item)),
-        F.array().cast("array<struct<id:string,x:double,y:double,at:double>>"),
-        lambda acc, p: F.when(
-            (F.size(acc) > 0) & (F.abs(F.try_element_at(acc, F.lit(-1))["x"] - p["x"]) <= 1e-6) & (F.abs(F.try_element_at(acc, F.lit(-1))["y"] - p["y"]) <= 1e-6), acc
-        ).otherwise(F.concat(acc, F.array(F.struct(p["id"].cast("string").alias("id"), p["x"].alias("x"), p["y"].alias("y"), F.when(F.size(acc) > 0, F.try_element_at(acc, F.lit(-1))["at"] + distance(F.try_element_at(acc, F.lit(-1))["x"], F.try_element_at(acc, F.lit(-1))["y"], p["x"], p["y"])).otherwise(F.lit(0.0)).alias("at"))))),
-    )
-    return points.groupBy("feeder").agg(kept.alias("chain")).where(F.size("chain") >= 2)
+    order = Window.partitionBy("feeder").orderBy("seq", "id", "x", "y")
+    rows = settle(points.select("feeder", "seq", F.col("id").cast("string").alias("id"), "x", "y"))
+    while True:  # again only where points creep, each within reach of the one before but not of the last kept
+        x0, y0 = F.lag("x").over(order), F.lag("y").over(order)
+        marked = rows.withColumn("_x0", x0).withColumn("_y0", y0).withColumn("_same", F.coalesce((F.abs(F.col("x") - F.col("_x0")) <= 1e-6) & (F.abs(F.col("y") - F.col("_y0")) <= 1e-6), F.lit(False)))
+        # of a run of equal points the second goes; longer runs lose one of two each time
+        odd = F.sum(F.when(F.col("_same"), 0).otherwise(1)).over(order)
+        marked = marked.withColumn("_run", odd).withColumn("_nth", F.row_number().over(Window.partitionBy("feeder", "_run").orderBy("seq", "id", "x", "y")))
+        first = Window.partitionBy("feeder", "_run").orderBy("_nth")
+        near = (F.abs(F.col("x") - F.first("x").over(first)) <= 1e-6) & (F.abs(F.col("y") - F.first("y").over(first)) <= 1e-6) & (F.col("_nth") > 1)
+        judged = settle(marked.withColumn("_near", near))
+        rows = judged.where("NOT _near").select("feeder", "seq", "id", "x", "y")
+        if judged.where("_nth > 1 AND NOT _near").isEmpty():
+            break
+    step = F.coalesce(distance(F.lag("x").over(order), F.lag("y").over(order), F.col("x"), F.col("y")), F.lit(0.0))
+    run = F.sum("_step").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    placed = rows.withColumn("_step", step).select("feeder", (F.row_number().over(order) - 1).alias("place"), "id", "x", "y", run.alias("at"), F.count("*").over(Window.partitionBy("feeder")).alias("_n"))
+    return placed.where("_n >= 2").drop("_n")
 
 
 def assign_to_chain(chains: DataFrame, segment: DataFrame) -> DataFrame:
     """Chain points at which each segment (feeder, id, place, length) begins and ends.
 
     Lengths run along the chain in the order of ``place``, cut at its end; a missing length is an even share. An end
-    goes to the nearest point (the lower of two equally near) and behind its start where the chain allows it.
+    goes to the nearest point (the lower of two equally near) and behind its start where the chain allows it. Ends and
+    points are put in one order by distance, so that an end's neighbours are the last point before and the next after.
     """
-    path = F.col("chain")[F.size("chain") - 1]["at"]
-    rows = segment.join(chains.select("feeder", "chain"), "feeder").withColumn("_path", path)
-    rows = rows.withColumn("_n", F.count("*").over(Window.partitionBy("feeder")))
-    rows = rows.withColumn("_length", F.coalesce("length", F.col("_path") / F.col("_n")))
+    whole = chains.groupBy("feeder").agg(F.max("at").alias("_path"), F.max("place").alias("_last"))
+    sizes = segment.groupBy("feeder").agg(F.count("*").alias("_n"))
+    rows = segment.join(whole, "feeder").join(sizes, "feeder").withColumn("_length", F.coalesce("length", F.col("_path") / F.col("_n")))
     run = F.sum("_length").over(Window.partitionBy("feeder").orderBy("place").rowsBetween(Window.unboundedPreceding, 0))
-    rows = rows.withColumn("_to", F.least("_path", run)).withColumn("_from", F.least(F.col("_path"), run - F.col("_length")))
+    rows = settle(rows.withColumn("_run", run).select("feeder", "id", "place", "_path", "_last", F.least("_path", "_run").alias("_to"), F.least(F.col("_path"), F.col("_run") - F.col("_length")).alias("_from")))
+    asked = rows.select("feeder", "id", F.explode(F.array(F.struct(F.lit("i").alias("side"), F.col("_from").alias("d")), F.struct(F.lit("j").alias("side"), F.col("_to").alias("d")))).alias("e")).select("feeder", "id", "e.side", "e.d", F.lit(None).cast("struct<at:double,place:int>").alias("p"))
+    points = chains.select("feeder", F.lit(None).cast("string").alias("id"), F.lit(None).cast("string").alias("side"), F.col("at").alias("d"), F.struct("at", F.col("place").cast("int").alias("place")).alias("p"))
+    order = Window.partitionBy("feeder").orderBy("d")
+    both = asked.unionByName(points).withColumn("_lo", F.last("p", True).over(order)).withColumn("_hi", F.first("p", True).over(order.rangeBetween(0, Window.unboundedFollowing)))
+    near = F.when(F.col("_hi").isNull() | (F.col("d") - F.col("_lo.at") <= F.col("_hi.at") - F.col("d")), F.col("_lo.place")).otherwise(F.col("_hi.place"))
+    found = both.where("side IS NOT NULL").select("feeder", "id", "side", F.coalesce(near, F.lit(0)).alias("at")).groupBy("feeder", "id").agg(F.max(F.when(F.col("side") == "i", F.col("at"))).alias("_i0"), F.max(F.when(F.col("side") == "j", F.col("at"))).alias("_j0"))
+    rows = rows.join(found, ["feeder", "id"])
+    end = lambda d, c: F.when(F.col(d) <= 0, 0).when(F.col(d) >= F.col("_path"), F.col("_last")).otherwise(F.col(c))
+    rows = rows.withColumn("_i", end("_from", "_i0")).withColumn("_j", end("_to", "_j0"))
+    rows = rows.withColumn("_j", F.when((F.col("_j") <= F.col("_i")) & (F.col("_i") < F.col("_last")), F.col("_i") + 1).otherwise(F.col("_j")))
+    rows = rows.withColumn("_i", F.when((F.col("_j") == F.col("_i")) & (F.col("_i") > 0), F.col("_i") - 1).otherwise(F.col("_i")))
+    names = chains.select("feeder", "place", "id")
+    out = rows.join(names.toDF("feeder", "_i", "from_bus"), ["feeder", "_i"]).join(names.toDF("feeder", "_j", "to_bus"), ["feeder", "_j"])
+    return out.select("feeder", "id", "place", "from_bus", "to_bus", F.round("_from", 6).alias("from_at"), F.round("_to", 6).alias("to_at"))
 
-    def nearest(d: Column) -> Column:
-        steps = F.transform("chain", lambda p, i: F.struct(F.abs(p["at"] - d).alias("off"), i.alias("i")))
-        return F.when(d <= 0, F.lit(0)).when(d >= F.col("_path"), F.size("chain") - 1).otherwise(F.array_min(steps)["i"])
 
-    rows = rows.withColumn("_i", nearest(F.col("_from"))).withColumn("_j0", nearest(F.col("_to")))
-    last = F.size("chain") - 1
-    rows = rows.withColumn("_j", F.when((F.col("_j0") <= F.col("_i")) & (F.col("_i") < last), F.col("_i") + 1).otherwise(F.col("_j0")))
-    rows = rows.withColumn("_i", F.when((F.col("_j") == F.col("_i")) & (F.col("_i") > 0), F.col("_i") - 1).otherwise(F.col("_i")))
-    return rows.select("feeder", "id", "place", F.col("chain")[F.col("_i")]["id"].alias("from_bus"), F.col("chain")[F.col("_j")]["id"].alias("to_bus"), F.round("_from", 6).alias("from_at"), F.round("_to", 6).alias("to_at"))
+def chain_counts(chains: DataFrame, segment: DataFrame, assigned: DataFrame) -> DataFrame:
+    """One row: feeders_linked, lines_updated and lines_skipped (those of feeders without a chain)."""
+    linked = chains.select("feeder").distinct().join(segment.select("feeder").distinct(), "feeder").agg(F.count("*").alias("feeders_linked"))
+    done = assigned.agg(F.count("*").alias("lines_updated"))
+    return linked.crossJoin(done).crossJoin(segment.agg(F.count("*").alias("_n"))).select("feeders_linked", "lines_updated", (F.col("_n") - F.col("lines_updated")).alias("lines_skipped"))  # one row each

@@ -30,7 +30,7 @@ def join_placeholder_buses(spark, sf_dir):
     g = Grid(spark, sf_dir)
     asked = lambda df, bus, kv: df.select(F.col(bus).alias("id"), (F.col(kv) if isinstance(kv, str) else F.lit(kv)).alias("kv"))
     refs = asked(g.line, "from_bus", "nominal_voltage_kv").unionAll(asked(g.line, "to_bus", "nominal_voltage_kv")).unionAll(asked(g.transformer, "hv_bus", "hv_voltage_kv")).unionAll(asked(g.transformer, "lv_bus", "lv_voltage_kv"))
-    refs = refs.unionAll(asked(g.switch, "from_bus", DEFAULT_KV)).unionAll(asked(g.switch, "to_bus", DEFAULT_KV)).unionAll(asked(g.load, "bus_id", DEFAULT_KV)).unionAll(asked(g.source, "bus_id", "nominal_voltage_kv"))
+    refs = refs.unionAll(asked(g.switch, "from_bus", DEFAULT_KV)).unionAll(asked(g.switch, "to_bus", DEFAULT_KV)).unionAll(asked(g.load, "bus_id", DEFAULT_KV)).unionAll(asked(g.source, "bus_id", "nominal_voltage_kv")).unionAll(asked(g.generator, "bus_id", DEFAULT_KV))
     return refs.groupBy("id").agg(F.max("kv").alias("nominal_voltage_kv")).join(g.bus.select("id"), "id", "left_anti")
 
 
@@ -79,11 +79,15 @@ def join_snapped_buses(spark, sf_dir):
     return connect.snap_spans(_spans(g), g.bus, TOLERANCE)[1]
 
 
+_SEGMENTS = """SELECT concat('F', CAST(o_custkey AS VARCHAR(20))) AS feeder, lpad(CAST(o_orderkey AS VARCHAR(20)), 15, '0') AS id, CASE WHEN up IS NULL THEN '0' ELSE lpad(CAST(up AS VARCHAR(20)), 15, '0') END AS parent, CASE WHEN o_orderkey % 11 <> 0 THEN CAST(o_orderkey % 40 + 10 AS DOUBLE) END AS length
+ FROM (SELECT a.o_custkey, a.o_orderkey, b.o_orderkey AS up FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM {orders}) a LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM {orders}) b ON b.o_custkey = a.o_custkey AND b.n = a.n DIV 2)"""
+_POINTS = """SELECT concat('F', CAST(o_custkey AS VARCHAR(20))) AS feeder, concat(lpad(CAST(o_orderkey AS VARCHAR(20)), 15, '0'), '-', CAST(l_linenumber AS VARCHAR(5))) AS id, n * 10 + l_linenumber AS seq, CAST(n * 30 AS DOUBLE) AS x, CAST(n % 2 * 40 AS DOUBLE) AS y
+ FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM {orders}) JOIN (SELECT DISTINCT l_orderkey, l_linenumber FROM {lineitem}) ON l_orderkey = o_orderkey"""
+
+
 def _segments(g: Grid):
-    """A hierarchy of segments per feeder: each customer's parent is a third of its number."""
-    c = g.table("customer")
-    key = F.col("c_custkey")
-    return c.select(F.concat(F.lit("F"), (key % 5).cast("string")).alias("feeder"), F.lpad(key.cast("string"), 9, "0").alias("id"), F.lpad((key % 5 + 5 * F.floor(F.floor(key / 5) / 3)).cast("string"), 9, "0").alias("parent"), F.when(key % 11 != 0, (key % 40 + 10).cast("double")).alias("length"))
+    """A hierarchy of segments for each customer, whose orders make a binary tree."""
+    return g.spark.sql(_SEGMENTS, orders=g.table("orders"))
 
 
 def hierarchy_endpoints(spark, sf_dir):
@@ -98,20 +102,26 @@ def hierarchy_order(spark, sf_dir):
 
 
 def _points(g: Grid):
-    key = F.col("s_suppkey")
-    p = g.table("supplier").select(F.concat(F.lit("F"), (key % 5).cast("string")).alias("feeder"), F.lpad(key.cast("string"), 9, "0").alias("id"), F.floor(key / 10).cast("int").alias("seq"), (F.floor(key / 10) * 30.0).alias("x"), (F.floor(key / 10) % 2 * 40.0).alias("y"))
-    return p
+    """Points of a customer's chain: the items of an order stand at one place."""
+    return g.spark.sql(_POINTS, orders=g.table("orders"), lineitem=g.table("lineitem"))
 
 
 def chain_points(spark, sf_dir):
-    c = connect.chain(_points(Grid(spark, sf_dir)))
-    return c.select("feeder", F.posexplode("chain").alias("place", "p")).select("feeder", "place", "p.id", F.round("p.at", 6).alias("run_at"))
+    return connect.chain(_points(Grid(spark, sf_dir))).select("feeder", "place", "id", F.round("at", 6).alias("run_at"))
+
+
+def _assigned(g):
+    segment = connect.settle(_segments(g).join(connect.preorder(_segments(g)).select("feeder", "id", "place"), ["feeder", "id"]))
+    chains = connect.settle(connect.chain(_points(g)))
+    return chains, segment, connect.assign_to_chain(chains, segment)
 
 
 def chain_assign(spark, sf_dir):
-    g = Grid(spark, sf_dir)
-    segment = _segments(g).join(connect.preorder(_segments(g)).select("feeder", "id", "place"), ["feeder", "id"])
-    return connect.assign_to_chain(connect.chain(_points(g)), segment)
+    return _assigned(Grid(spark, sf_dir))[2]
+
+
+def chain_totals(spark, sf_dir):
+    return connect.chain_counts(*_assigned(Grid(spark, sf_dir)))
 
 
 def join_sections_found(spark, sf_dir):
@@ -123,23 +133,23 @@ def join_sections_found(spark, sf_dir):
     return both.agg(F.count("*").alias("n_asked"), F.count("hit").alias("n_found"), F.round(F.count("hit") / F.count("*"), 6).alias("ratio"))
 
 
-QUERIES = {f.__name__: f for f in (join_missing_endpoints, join_placeholder_buses, join_voltage_code, join_nearest_line_type, join_spatial_radius, join_spatial_resolved, join_span_snap, join_snapped_buses, hierarchy_endpoints, hierarchy_order, chain_points, chain_assign, join_sections_found)}
+QUERIES = {f.__name__: f for f in (join_missing_endpoints, join_placeholder_buses, join_voltage_code, join_nearest_line_type, join_spatial_radius, join_spatial_resolved, join_span_snap, join_snapped_buses, hierarchy_endpoints, hierarchy_order, chain_points, chain_assign, chain_totals, join_sections_found)}
 
 _SPAN = """shifted AS (SELECT *, CAST(CAST(substr(id, 2) AS BIGINT) % 7 AS DOUBLE) * 25 - 75 AS shift FROM line),
 span AS (SELECT s.id, 'from' AS side, x + shift AS x, y FROM shifted s JOIN bus b ON b.id = from_bus UNION ALL SELECT s.id, 'to', x - shift, y FROM shifted s JOIN bus b ON b.id = to_bus),
 cand AS (SELECT s.id, side, b.id AS bus_id, sqrt((s.x - b.x) * (s.x - b.x) + (s.y - b.y) * (s.y - b.y)) AS distance FROM span s JOIN bus b ON abs(s.x - b.x) <= 60 AND abs(s.y - b.y) <= 60),
 near AS (SELECT *, row_number() OVER w AS r, lead(distance) OVER w AS second FROM cand WHERE distance <= 60 WINDOW w AS (PARTITION BY id, side ORDER BY distance, bus_id))"""
 _SNAP = _SPAN + ", snap AS (SELECT s.id, s.side, s.x, s.y, coalesce(bus_id, 'GEO_' || CAST(CAST(round_even(s.x, 0) AS BIGINT) AS VARCHAR) || '_' || CAST(CAST(round_even(s.y, 0) AS BIGINT) AS VARCHAR)) AS bus_id, bus_id IS NULL AS created FROM span s LEFT JOIN (SELECT * FROM near WHERE r = 1) n ON n.id = s.id AND n.side = s.side)"
-_SEG = "seg AS (SELECT concat('F', c_custkey % 5) AS feeder, lpad(CAST(c_custkey AS VARCHAR), 9, '0') AS id, lpad(CAST(c_custkey % 5 + 5 * ((c_custkey // 5) // 3) AS VARCHAR), 9, '0') AS parent, CASE WHEN c_custkey % 11 <> 0 THEN CAST(c_custkey % 40 + 10 AS DOUBLE) END AS length FROM customer)"
+_SEG = "seg AS (" + _SEGMENTS.replace("{orders}", "orders").replace("a.n DIV 2", "a.n // 2") + ")"
 _ORD = _SEG + ", pre(feeder, id, path) AS (SELECT feeder, id, [id] FROM seg WHERE parent = id OR parent NOT IN (SELECT id FROM seg) UNION ALL SELECT s.feeder, s.id, list_append(p.path, s.id) FROM pre p JOIN seg s ON s.parent = p.id AND s.feeder = p.feeder AND s.parent <> s.id), ord AS (SELECT feeder, id, row_number() OVER (PARTITION BY feeder ORDER BY path) AS place, len(path) - 1 AS depth FROM pre)"
-_CHAIN = """pt AS (SELECT concat('F', s_suppkey % 5) AS feeder, lpad(CAST(s_suppkey AS VARCHAR), 9, '0') AS id, s_suppkey // 10 AS seq, (s_suppkey // 10) * 30.0 AS x, (s_suppkey // 10) % 2 * 40.0 AS y FROM supplier),
-kept AS (SELECT feeder, min(id) AS id, seq, x, y FROM pt GROUP BY feeder, seq, x, y),
+_CHAIN = "pt AS (" + _POINTS.replace("{orders}", "orders").replace("{lineitem}", "lineitem") + """),
+kept AS (SELECT feeder, min(id) AS id, min(seq) AS seq, x, y FROM pt GROUP BY feeder, x, y),
 step AS (SELECT *, row_number() OVER w - 1 AS place, coalesce(sqrt((x - lag(x) OVER w) ** 2 + (y - lag(y) OVER w) ** 2), 0) AS d FROM kept WINDOW w AS (PARTITION BY feeder ORDER BY seq)),
 chain AS (SELECT feeder, place, id, sum(d) OVER (PARTITION BY feeder ORDER BY place) AS run_at, count(*) OVER (PARTITION BY feeder) AS n FROM step)"""
 SQL = {
     "join_missing_endpoints": with_grid("SELECT id, CAST(22.9 AS DOUBLE) AS nominal_voltage_kv FROM (SELECT from_bus AS id FROM line UNION SELECT to_bus FROM line) WHERE id NOT IN (SELECT id FROM bus)", "bus", "line"),
     "join_placeholder_buses": with_grid("""SELECT id, max(kv) AS nominal_voltage_kv FROM (SELECT from_bus AS id, nominal_voltage_kv AS kv FROM line UNION ALL SELECT to_bus, nominal_voltage_kv FROM line UNION ALL SELECT hv_bus, hv_voltage_kv FROM transformer UNION ALL SELECT lv_bus, lv_voltage_kv FROM transformer
-UNION ALL SELECT from_bus, 22.9 FROM switch UNION ALL SELECT to_bus, 22.9 FROM switch UNION ALL SELECT bus_id, 22.9 FROM load UNION ALL SELECT bus_id, nominal_voltage_kv FROM source) WHERE id NOT IN (SELECT id FROM bus) GROUP BY id""", "bus", "line", "transformer", "switch", "load", "source"),
+UNION ALL SELECT from_bus, 22.9 FROM switch UNION ALL SELECT to_bus, 22.9 FROM switch UNION ALL SELECT bus_id, 22.9 FROM load UNION ALL SELECT bus_id, nominal_voltage_kv FROM source UNION ALL SELECT bus_id, 22.9 FROM generator) WHERE id NOT IN (SELECT id FROM bus) GROUP BY id""", "bus", "line", "transformer", "switch", "load", "source", "generator"),
     "join_voltage_code": "SELECT k, round(coalesce(try_cast(code AS DOUBLE), kv), 6) AS kv FROM (SELECT c_custkey AS k, CASE WHEN c_custkey % 3 = 0 THEN '13.2' ELSE concat('K', c_custkey % 12) END AS code FROM customer) LEFT JOIN (SELECT concat('K', n_nationkey % 10) AS code, arg_max(n_nationkey * 1.5 + 6, n_nationkey) AS kv FROM nation GROUP BY 1) USING (code)",
     "join_nearest_line_type": with_grid("""SELECT l.id, coalesce((SELECT t.id FROM line_type t WHERE t.id = l.type_id), (SELECT arg_min(t.id, (abs(t.nominal_voltage_kv - l.kv), t.id)) FROM line_type t WHERE abs(t.nominal_voltage_kv - l.kv) <= 0.5), 'FALLBACK_' || CAST(CAST(round(l.kv) AS INTEGER) AS VARCHAR) || 'kV') AS type_id
 FROM (SELECT id, type_id, CASE WHEN CAST(substr(id, 2) AS BIGINT) % 3 = 0 THEN 10.3::DOUBLE WHEN CAST(substr(id, 2) AS BIGINT) % 7 = 0 THEN 33.0::DOUBLE ELSE nominal_voltage_kv END AS kv FROM line) l""", "line", "line_type"),
@@ -156,5 +166,6 @@ run AS (SELECT *, sum(l) OVER (PARTITION BY feeder ORDER BY place ROWS UNBOUNDED
 n1 AS (SELECT ft.*, CASE WHEN f <= 0 THEN 0 WHEN f >= path THEN last ELSE (SELECT arg_min(c.place, (abs(c.run_at - f), c.place)) FROM chain c WHERE c.feeder = ft.feeder) END AS i, CASE WHEN t <= 0 THEN 0 WHEN t >= path THEN last ELSE (SELECT arg_min(c.place, (abs(c.run_at - t), c.place)) FROM chain c WHERE c.feeder = ft.feeder) END AS j0 FROM ft),
 n2 AS (SELECT *, CASE WHEN j0 <= i AND i < last THEN i + 1 ELSE j0 END AS j FROM n1), n3 AS (SELECT * REPLACE (CASE WHEN j = i AND i > 0 THEN i - 1 ELSE i END AS i) FROM n2)
 SELECT n3.feeder, n3.id, n3.place::INTEGER AS place, a.id AS from_bus, b.id AS to_bus, round(f, 6) AS from_at, round(t, 6) AS to_at FROM n3 JOIN chain a ON a.feeder = n3.feeder AND a.place = i JOIN chain b ON b.feeder = n3.feeder AND b.place = j""",
+    "chain_totals": f"WITH {_SEG}, {_CHAIN}, ok AS (SELECT DISTINCT feeder FROM chain WHERE n >= 2) SELECT (SELECT count(*) FROM ok WHERE feeder IN (SELECT feeder FROM seg)) AS feeders_linked, count(*) FILTER (feeder IN (SELECT feeder FROM ok)) AS lines_updated, count(*) FILTER (feeder NOT IN (SELECT feeder FROM ok)) AS lines_skipped FROM seg",
     "join_sections_found": with_grid("SELECT count(*) AS n_asked, count(h.bus_id) AS n_found, round(count(h.bus_id) / count(*), 6) AS ratio FROM (SELECT DISTINCT bus_id FROM load) a LEFT JOIN (SELECT to_bus AS bus_id FROM line UNION SELECT from_bus FROM line) h USING (bus_id)", "load", "line"),
 }

@@ -153,7 +153,9 @@ def test_spatial(spark):
 def test_chain(spark):
     points = spark.createDataFrame([("F1", "P1", 1, 0.0, 0.0), ("F1", "P2", 2, 100.0, 0.0), ("F1", "P2b", 3, 100.0, 0.0), ("F1", "P3", 4, 200.0, 0.0), ("F2", "Q", 1, 0.0, 0.0)], "feeder string, id string, seq int, x double, y double")
     chains = connect.chain(points)
-    assert [[p["id"] for p in r["chain"]] for r in chains.collect()] == [["P1", "P2", "P3"]]
+    assert [(r["feeder"], r["id"], r["at"]) for r in chains.orderBy("place").collect()] == [("F1", "P1", 0.0), ("F1", "P2", 100.0), ("F1", "P3", 200.0)]
+    creeping = spark.createDataFrame([("F", f"p{i}", i, i * 4e-7, 0.0) for i in range(9)], "feeder string, id string, seq int, x double, y double")
+    assert [r["id"] for r in connect.chain(creeping).orderBy("place").collect()] == ["p0", "p3", "p6"]
     tree = connect.preorder(spark.createDataFrame([("F1", "T2", "T1"), ("F1", "T1", None), ("F1", "X", "Y"), ("F1", "Y", "X")], "feeder string, id string, parent string"))
     assert [r["id"] for r in tree.orderBy("place").collect()] == ["T1", "T2", "X", "Y"]
     segments = spark.createDataFrame([("F1", "T1", 1, 100.0), ("F1", "T2", 2, 100.0)], "feeder string, id string, place int, length double")
