@@ -240,7 +240,9 @@ def join_similar(docs: DataFrame, key: str = "doc_id", text: str = "text", extra
     whole = F.pmod(F.xxhash64("comp"), F.lit(bundles))
     small = sized.where("blocks = 1").select(whole.alias("bundle"), "comp", F.lit(0).cast("long").alias("low"), F.lit(0).cast("long").alias("high"), F.lit(0).cast("long").alias("block"), "gid", "text")
     tasks = small.unionAll(_block_pairs(sized.where("blocks > 1").join(sets.select("gid", "bands"), "gid")))
-    found = settle(tasks.select("bundle", "comp", "low", "high", "block", "gid", "text").groupBy("bundle").applyInArrow(_verify, "gid binary, links long, other binary"))
+    # a number of partitions that isn't reduced: the work of a task is in its pairs, not in its bytes
+    tasks = tasks.select("bundle", "comp", "low", "high", "block", "gid", "text").repartition(2 * partitions(spark), "bundle")
+    found = settle(tasks.groupBy("bundle").applyInArrow(_verify, "gid binary, links long, other binary"))
 
     links = found.groupBy("gid").agg(F.sum("links").alias("n_links"))
     classes = connected_components(found.select(F.col("gid").alias("src"), F.col("other").alias("dst"))).withColumnRenamed("node", "gid")
