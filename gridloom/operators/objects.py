@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions.normalize import object_key, safe_name
+from gridloom.operators.components import settle
 
 DEFAULT_NETWORK = "GRID"
 
@@ -47,15 +48,23 @@ def cubicles(branches: dict[str, tuple[DataFrame, str, str]], shunts: dict[str,
 
 
 def unique_names(objects: DataFrame) -> DataFrame:
-    """Names made unique within (class, parent): of equal names all but the first take the source id, then numbers.
+    """Names made unique within (class, parent): every member of a group of equal names takes its source id.
 
+    Where a name is taken already, the later object (by ``id``) takes its source id, then that with 2, 3 and so on.
     ``objects``: class, parent, id, name.
     """
-    group = Window.partitionBy("class", "parent", "name").orderBy("id")
-    first = objects.withColumn("_rank", F.row_number().over(group)).withColumn("_name", F.when(F.col("_rank") == 1, F.col("name")).otherwise(safe_name(F.col("id"))))
-    again = Window.partitionBy("class", "parent", "_name").orderBy("_rank", "id")
-    rank = F.row_number().over(again)
-    return first.withColumn("_again", rank).select("class", "parent", "id", F.when(F.col("_again") == 1, F.col("_name")).otherwise(F.concat(F.left("_name", F.lit(36)), F.lit("_"), F.col("_again").cast("string"))).alias("name"))
+    scope = Window.partitionBy("class", "parent", "name")
+    own = objects.withColumn("name", safe_name(F.col("name"))).withColumn("_n", F.count("*").over(scope))
+    step = F.when(F.col("_n") > 1, 1).otherwise(0)  # 0: the name, 1: the source id, more: with a number
+    rows = settle(own.select("class", "parent", "id", "name", step.alias("_step")))
+    place = Window.partitionBy("class", "parent", "_name").orderBy("id")
+    while True:
+        fallback = safe_name(F.col("id"))
+        name = F.when(F.col("_step") == 0, F.col("name")).when(F.col("_step") == 1, fallback).otherwise(safe_name(F.concat(fallback, F.lit("_"), F.col("_step").cast("string"))))
+        ranked = settle(rows.withColumn("_name", name).withColumn("_late", F.row_number().over(place) > 1))
+        if ranked.where("_late").isEmpty():
+            return ranked.select("class", "parent", "id", F.col("_name").alias("name"))
+        rows = ranked.withColumn("_step", F.col("_step") + F.col("_late").cast("int")).drop("_name", "_late")
 
 
 def class_table(df: DataFrame, columns: list[tuple[str, F.Column]]) -> DataFrame:

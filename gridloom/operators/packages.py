@@ -5,15 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: A date of six or eight digits in a file name.
-DATE_TOKEN = r"(?:^|[^0-9])(\d{6}|\d{8})(?:[^0-9]|$)"
+#: A date of this century between separators in a file name: year first, with or without marks, or day first with marks.
+DATE_TOKEN = r"(?:^|[_\s.-])(20\d{2}[-_.]?\d{2}[-_.]?\d{2}|\d{2}[-_.]\d{2}[-_.]20\d{2})(?=$|[_\s.-])"
 
 
 def with_tokens(files: DataFrame, name: str = "name") -> DataFrame:
-    """Adds stem, the name without date and suffix, and token, its date or null."""
-    token = F.regexp_extract(F.col(name), DATE_TOKEN, 1)
-    base = F.regexp_replace(F.lower(F.col(name)), r"\.[a-z0-9]+$", "")
-    return files.withColumn("token", F.when(token != "", token)).withColumn("stem", F.regexp_replace(base, r"_?(\d{8}|\d{6})(?=[^0-9]|$)", ""))
+    """Adds stem, the name without date and suffix, and token, its date as year, month and day, or null."""
+    base = F.regexp_replace(F.lower(F.col(name)), r"\.[a-z]+[0-9]?$", "")
+    digits = F.regexp_replace(F.regexp_extract(base, DATE_TOKEN, 1), "[^0-9]", "")
+    day_first = F.regexp_extract(base, DATE_TOKEN, 1).rlike(r"^\d{2}[-_.]")
+    token = F.when(day_first, F.concat(F.substring(digits, 5, 4), F.substring(digits, 3, 2), F.substring(digits, 1, 2))).otherwise(digits)
+    return files.withColumn("token", F.when(digits != "", token)).withColumn("stem", F.regexp_replace(base, DATE_TOKEN, ""))
 
 
 def newest_copies(files: DataFrame, name: str = "name") -> DataFrame:

@@ -32,7 +32,7 @@ def obj_cubicles(spark, sf_dir):
 def _named(g):
     """Loads under the segment of their customer as parent, with names that many share."""
     o = g.table("orders")
-    return o.select(F.lit("ElmLod").alias("class"), F.concat(F.lit("P"), (F.col("o_custkey") % 20).cast("string")).alias("parent"), F.lpad(F.col("o_orderkey").cast("string"), 9, "0").alias("id"), F.col("o_orderpriority").alias("name"))
+    return o.select(F.lit("ElmLod").alias("class"), F.concat(F.lit("P"), (F.col("o_custkey") % 20).cast("string")).alias("parent"), F.lpad(F.col("o_orderkey").cast("string"), 15, "0").alias("id"), F.when(F.col("o_totalprice") > 400000, F.concat(F.lit("Own "), F.col("o_orderkey").cast("string"))).otherwise(F.col("o_orderpriority")).alias("name"))
 
 
 def obj_unique_names(spark, sf_dir):
@@ -105,15 +105,14 @@ QUERIES = {f.__name__: f for f in (obj_folders, obj_terminals, obj_lines, obj_cu
 _FOLD = "CASE WHEN system_id IS NULL THEN 'GRID:net:GRID' ELSE 'GRID:net:' || system_id END"
 _CUB = "cub AS (" + " UNION ALL ".join(f"SELECT '{k}' AS object_type, id AS object_id, {i} AS index, {r} AS bus FROM {k}" for k, rs in (("line", ("from_bus", "to_bus")), ("transformer", ("hv_bus", "lv_bus")), ("switch", ("from_bus", "to_bus")), ("load", ("bus_id",)), ("source", ("bus_id",)), ("generator", ("bus_id",))) for i, r in enumerate(rs)) + "), cubs AS (SELECT 'GRID:cub:' || object_type || '_' || object_id || '_' || index AS key, 'GRID:bus:' || bus AS parent, object_type, object_id, index FROM cub)"
 _ELS = ("line", "transformer", "switch", "load", "source", "generator")
-_NAMED = "obj AS (SELECT 'ElmLod' AS class, concat('P', o_custkey % 20) AS parent, lpad(CAST(o_orderkey AS VARCHAR), 9, '0') AS id, o_orderpriority AS name FROM orders)"
+_NAMED = "obj AS (SELECT 'ElmLod' AS class, concat('P', o_custkey % 20) AS parent, lpad(CAST(o_orderkey AS VARCHAR), 15, '0') AS id, CASE WHEN o_totalprice > 400000 THEN 'Own ' || o_orderkey ELSE o_orderpriority END AS name FROM orders)"
 _PAGE = "pg AS (SELECT *, coalesce(system_id, 'ORPHAN') AS page FROM bus)"
 SQL = {
     "obj_folders": with_grid("SELECT DISTINCT 'GRID:net:' || system_id AS key, system_id AS name FROM bus WHERE system_id IS NOT NULL UNION ALL SELECT 'GRID:net:GRID', 'GRID'", "bus"),
     "obj_terminals": with_grid(f"SELECT 'GRID:bus:' || b.id AS key, b.id, b.name, CASE WHEN s.id IS NOT NULL THEN 'GRID:sub:' || s.id ELSE {_FOLD} END AS parent, nominal_voltage_kv FROM bus b LEFT JOIN substation s ON s.id = substation_id", "bus", "substation"),
     "obj_lines": with_grid(f"SELECT 'GRID:line:' || l.id AS key, {_FOLD} AS parent, 'GRID:type:' || type_id AS type, round(length_km, 6) AS length_km, CAST(NOT in_service AS INTEGER) AS outserv FROM line l LEFT JOIN bus b ON b.id = from_bus", "bus", "line"),
     "obj_cubicles": with_grid("+" + _CUB + " SELECT * FROM cubs", *_ELS),
-    "obj_unique_names": f"""WITH {_NAMED}, a AS (SELECT *, row_number() OVER (PARTITION BY class, parent, name ORDER BY id) AS r FROM obj), b AS (SELECT *, CASE WHEN r = 1 THEN name ELSE id END AS n2 FROM a)
-SELECT class, parent, id, CASE WHEN k = 1 THEN n2 ELSE left(n2, 36) || '_' || k END AS name FROM (SELECT *, row_number() OVER (PARTITION BY class, parent, n2 ORDER BY r, id) AS k FROM b)""",
+    "obj_unique_names": f"WITH {_NAMED} SELECT class, parent, id, CASE WHEN count(*) OVER (PARTITION BY class, parent, name) > 1 THEN id ELSE name END AS name FROM obj",
     "rule_pfm": f"WITH {_NAMED} SELECT 'PFM003' AS code, 'ERROR' AS severity, 'objects' AS category, 'object' AS object_type, class || '/' || parent || '/' || name AS object_id, CAST(count(*) AS VARCHAR) AS detail FROM obj GROUP BY class, parent, name HAVING count(*) > 1",
     "rule_tables": with_grid("+" + _CUB + " SELECT 'DGS004' AS code, 'ERROR' AS severity, 'objects' AS category, 'cubicle' AS object_type, key AS object_id, parent AS detail FROM cubs WHERE parent NOT IN (SELECT 'GRID:bus:' || id FROM bus)", "bus", *_ELS),
     "table_lines": with_grid(f"SELECT 'GRID:line:' || l.id AS \"FID(a:40)\", l.name AS \"loc_name(a:40)\", {_FOLD} AS \"fold_id(p)\", round(length_km, 6) AS \"dline(r)\", CAST(NOT in_service AS INTEGER) AS \"outserv(i)\" FROM line l LEFT JOIN bus b ON b.id = from_bus", "bus", "line"),

@@ -8,7 +8,7 @@ from gridloom.operators import packages as P
 from gridloom.plans.testbed import Grid
 
 _NAMES = """SELECT concat('c', CAST(o_custkey AS VARCHAR(20))) AS package, CASE o_orderkey % 3 WHEN 0 THEN 'network' WHEN 1 THEN 'loads' ELSE 'unknown' END AS role,
- concat(CASE o_orderkey % 4 WHEN 0 THEN 'RED_' WHEN 1 THEN 'carga_' WHEN 2 THEN 'foto_red_' ELSE 'tramo_' END, CAST(o_custkey % 200 AS VARCHAR(20)), 'x', CASE WHEN o_orderkey % 7 = 0 THEN '' ELSE concat('_', CAST(20240000 + o_orderkey % 12 * 100 + 101 AS VARCHAR(20))) END, '.txt') AS name, o_orderkey FROM {orders}"""
+ concat(CASE o_orderkey % 4 WHEN 0 THEN 'RED_' WHEN 1 THEN 'carga_' WHEN 2 THEN 'foto_red_' ELSE 'tramo_' END, CAST(o_custkey % 200 AS VARCHAR(20)), 'x', CASE WHEN o_orderkey % 7 = 0 THEN '' ELSE CASE o_orderkey % 3 WHEN 0 THEN concat('_', CAST(20240000 + o_orderkey % 12 * 100 + 101 AS VARCHAR(20))) WHEN 1 THEN concat('_2024-', lpad(CAST(o_orderkey % 12 + 1 AS VARCHAR(20)), 2, '0'), '-01') ELSE concat('_01.', lpad(CAST(o_orderkey % 12 + 1 AS VARCHAR(20)), 2, '0'), '.2024') END END, CASE WHEN o_orderkey % 40 = 3 THEN '_123456' ELSE '' END, '.txt') AS name, o_orderkey FROM {orders}"""
 INCLUDE, SKIP = ("red", "tramo", "carga"), ("foto",)
 
 
@@ -35,7 +35,7 @@ def files_packages(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (files_tokens, files_newest, files_relevant, files_packages)}
 
-_F = "f AS (SELECT *, regexp_extract(name, '_(\\d{8})\\.', 1) AS token, regexp_replace(regexp_replace(lower(name), '\\.txt$', ''), '_\\d{8}$', '') AS stem FROM (" + _NAMES.replace("{orders}", "orders") + "))"
+_F = "f AS (SELECT *, CASE WHEN o_orderkey % 7 = 0 THEN '' ELSE CAST(20240000 + o_orderkey % 12 * 100 + 101 AS VARCHAR) END AS token, regexp_replace(regexp_replace(lower(name), '\\.txt$', ''), '_(\\d{8}|2024-\\d\\d-01|01\\.\\d\\d\\.2024)(_|$)', '\\2') AS stem FROM (" + _NAMES.replace("{orders}", "orders") + "))"
 SQL = {
     "files_tokens": f"WITH {_F} SELECT o_orderkey, stem, token FROM f",
     "files_newest": f"WITH {_F} SELECT stem, name FROM (SELECT *, row_number() OVER (PARTITION BY stem ORDER BY token <> '', token DESC, name) AS r FROM (SELECT DISTINCT stem, name, token FROM f)) WHERE r = 1",

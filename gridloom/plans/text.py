@@ -43,8 +43,13 @@ def text_header(spark, sf_dir):
     return S.header(S.in_context(_lines(spark, sf_dir))).select("file", F.col("entries")["DATE"].alias("date"), F.col("entries")["VERSION"].alias("version"))
 
 
+# A file for each customer: what it holds follows from the segment and the nation.
+_FILES = """SELECT concat('c', CAST(c_custkey AS VARCHAR(20))) AS file, value FROM {customer} CROSS JOIN (SELECT 0 AS o, '[GENERAL]' AS value UNION ALL SELECT 1, 'VERSION = 4.7' UNION ALL SELECT 2, '[Node]' UNION ALL SELECT 3, '[CUSTOMER LOADS]' UNION ALL SELECT 4, '[Import Mode]' UNION ALL SELECT 5, 'a,b') h
+ WHERE o = 5 OR (o = 0 AND c_nationkey % 5 <> 1) OR (o = 1 AND c_nationkey % 5 <> 2) OR (o = 2 AND c_mktsegment = 'BUILDING') OR (o = 3 AND c_mktsegment IN ('BUILDING', 'MACHINERY')) OR (o = 4 AND c_mktsegment = 'FURNITURE')"""
+
+
 def text_roles(spark, sf_dir):
-    return S.roles(_lines(spark, sf_dir))
+    return S.roles(spark.sql(_FILES, customer=Grid(spark, sf_dir).table("customer")))
 
 
 def text_networks(spark, sf_dir):
@@ -65,6 +70,6 @@ SQL = {
     "text_nodes": "SELECT concat('r', n_regionkey) AS file, concat('N', c_custkey) AS NodeID, CAST(c_custkey % 100 AS VARCHAR) AS CoordX, CASE WHEN c_custkey % 9 = 0 THEN '' ELSE '7' END AS CoordY FROM customer JOIN nation ON c_nationkey = n_nationkey",
     "text_values": f"SELECT DISTINCT concat('N', o_custkey) AS value FROM {_J}",
     "text_header": "SELECT concat('r', r_regionkey) AS file, '2026-03-08' AS date, '4.7' AS version FROM region",
-    "text_roles": "SELECT concat('r', r_regionkey) AS file, 'network' AS role FROM region",
+    "text_roles": "SELECT concat('c', c_custkey) AS file, CASE WHEN c_mktsegment = 'FURNITURE' THEN 'equipment_import_config' WHEN c_nationkey % 5 IN (1, 2) THEN 'unknown' WHEN c_mktsegment = 'BUILDING' THEN 'network' WHEN c_mktsegment = 'MACHINERY' THEN 'loads' ELSE 'network' END AS role FROM customer",
     "text_networks": f"SELECT concat('S', o_orderkey) AS SectionID, CASE WHEN o_custkey % 3 = 0 THEN concat('NET_N', o_custkey) WHEN (o_orderkey % 50) % 3 = 0 AND EXISTS (SELECT 1 FROM customer k WHERE k.c_custkey = o_orderkey % 50) THEN concat('NET_N', o_orderkey % 50) ELSE '' END AS NetworkID FROM {_J}",
 }

@@ -62,9 +62,12 @@ def header(context: DataFrame, name: str = "GENERAL") -> DataFrame:
 
 
 def roles(lines: DataFrame) -> DataFrame:
-    """(file, role): network, loads or unknown, by the sections a file holds."""
-    has = lambda s: F.bool_or(F.upper(F.trim("value")) == s)
-    return lines.groupBy("file").agg(F.when(has("[NODE]") | has("[SECTION]"), "network").when(has("[LOADS]") | has("[CUSTOMER LOADS]"), "loads").otherwise("unknown").alias("role"))
+    """(file, role) by the sections that a file holds: an import configuration, network or loads; network also for an export with a version and none of these, else unknown."""
+    v = F.upper(F.trim("value"))
+    has = lambda *names: F.bool_or(v.isin(*(f"[{n}]" for n in names)))
+    export = has("GENERAL") & F.bool_or(v.rlike(r"^(CYMDIST_)?VERSION\s*="))
+    role = F.when(has("IMPORT MODE"), "equipment_import_config").when(~export, "unknown").when(has("NODE", "SECTION"), "network").when(has("LOADS", "CUSTOMER LOADS"), "loads").otherwise("network")
+    return lines.groupBy("file").agg(role.alias("role"))
 
 
 def fill_networks(node: DataFrame, sections: DataFrame, head: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -163,9 +163,9 @@ def test_chain(spark):
 
 
 def test_unique_names(spark):
-    rows = spark.createDataFrame([("L", "p", "1", "n"), ("L", "p", "2", "n"), ("L", "p", "3", "2"), ("L", "q", "4", "n")], "class string, parent string, id string, name string")
-    got = [(r["parent"], r["name"]) for r in objects.unique_names(rows).collect()]
-    assert len(set(got)) == 4
+    rows = spark.createDataFrame([("L", "p", "1", "n"), ("L", "p", "2", "n"), ("L", "p", "3", "2"), ("L", "q", "4", "n"), ("L", "p", "5", "1_2"), ("L", "p", "6", "a:b")], "class string, parent string, id string, name string")
+    got = {(r["parent"], r["id"]): r["name"] for r in objects.unique_names(rows).collect()}
+    assert got == {("p", "1"): "1", ("p", "2"): "2", ("p", "3"): "3", ("q", "4"): "n", ("p", "5"): "1_2", ("p", "6"): "a_b"}
 
 
 def test_reports(spark):
