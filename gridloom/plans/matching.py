@@ -1,4 +1,4 @@
-"""Queries that give tables roles, weigh candidate mappings and check type libraries."""
+"""Queries that give tables roles and weigh candidate mappings."""
 
 from __future__ import annotations
 
@@ -59,17 +59,7 @@ def match_choice(spark, sf_dir):
     return R.topsis(rows, "candidate", {"coverage": 3.0, "lexical": 2.0, "uniqueness": 1.0, "compactness": 1.0}).select("candidate", F.round("closeness", 5).alias("closeness"))
 
 
-def library_checks(spark, sf_dir):
-    """Rows of a line-type library that can't be used, with the reason; types come from the parts."""
-    key = F.col("p_partkey")
-    types = Grid(spark, sf_dir).table("part").select(F.concat(F.lit("T"), (key - F.when(key % 97 == 5, 1).otherwise(0)).cast("string")).alias("id"), F.when(key % 11 == 0, -0.1).otherwise(0.2).alias("r1"), F.when(key % 13 == 0, 0.0).otherwise(200.0).alias("amps"), F.when(key % 7 != 0, 0.3).alias("r0"), F.when(key % 5 != 0, 0.9).alias("x0"), (key % 4).cast("int").alias("phases"))
-    reason = F.coalesce(F.when(F.col("r1") <= 0, "r1"), F.when(F.col("amps") <= 0, "rated_current"), F.when(F.col("r0").isNull() != F.col("x0").isNull(), "zero_sequence"), F.when(~F.col("phases").isin(1, 2, 3), "phases"))
-    bad = types.select("id", reason.alias("reason")).where("reason IS NOT NULL")
-    twice = types.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id", F.lit("duplicate"))
-    return bad.unionAll(twice).groupBy("reason").agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
-
-
-QUERIES = {f.__name__: f for f in (match_roles, match_allowed, match_objectives, match_choice, library_checks)}
+QUERIES = {f.__name__: f for f in (match_roles, match_allowed, match_objectives, match_choice)}
 
 _T = "t AS (" + " UNION ALL ".join(f"SELECT '{t}' AS \"table\" FROM {t} HAVING count(*) > 0" for t in TABLES) + "), m AS (SELECT * FROM (VALUES " + ", ".join(f"('{r}', '{x}')" for r, names in MARKERS.items() for x in names) + ") v(role, a))"
 _SC = """, sc AS (SELECT "table", role, max(CASE WHEN c = a THEN 1.0 WHEN starts_with(c, a) OR starts_with(a, c) THEN 0.72 + 0.20 * least(length(c), length(a)) / greatest(length(c), length(a)) WHEN length(a) >= 3 AND contains(c, a) THEN 0.68 + 0.24 * length(a) / length(c) WHEN length(c) >= 3 AND contains(a, c) THEN 0.68 + 0.24 * length(c) / length(a) ELSE 0 END::DOUBLE) AS score FROM (SELECT *, "table" AS c FROM t, m) GROUP BY 1, 2)"""
@@ -84,5 +74,3 @@ _CAND = _CAT + """, cand AS (SELECT candidate, 'e' || (h % 3) AS entity, 'f' ||
 _OBJ = {"coverage": 3, "lexical": 2, "uniqueness": 1, "compactness": 1}
 SQL["match_objectives"] = f"WITH {_CAND} SELECT * FROM obj"
 SQL["match_choice"] = f"WITH {_CAND}, n AS (SELECT candidate, " + ", ".join(f"{o} / sqrt(sum({o} * {o}) OVER ()) * {w} / 7 AS {o}" for o, w in _OBJ.items()) + " FROM obj), d AS (SELECT candidate, " + ", ".join(f"sqrt({' + '.join(f'({o} - {fn}({o}) OVER ()) ** 2' for o in _OBJ)}) AS {name}" for fn, name in (("max", "best"), ("min", "worst"))) + " FROM n) SELECT candidate, round(worst / (best + worst), 5) AS closeness FROM d"
-SQL["library_checks"] = """WITH p AS (SELECT 'T' || (p_partkey - CASE WHEN p_partkey % 97 = 5 THEN 1 ELSE 0 END) AS id, CASE WHEN p_partkey % 11 = 0 THEN 'r1' WHEN p_partkey % 13 = 0 THEN 'rated_current' WHEN (p_partkey % 7 = 0) <> (p_partkey % 5 = 0) THEN 'zero_sequence' WHEN p_partkey % 4 = 0 THEN 'phases' END AS reason FROM part)
-SELECT reason, count(*) AS n, min(id) AS first_id FROM (SELECT id, reason FROM p WHERE reason IS NOT NULL UNION ALL SELECT id, 'duplicate' FROM p GROUP BY id HAVING count(*) > 1) GROUP BY 1"""
