@@ -12,6 +12,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from gridloom.functions.normalize import token
 from gridloom.operators.ranking import prefix_score
@@ -23,7 +24,7 @@ CORE_DROPS = ("loads", "generators", "switches")
 LINE_MARKS = ("tramo", "line", "section")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def similarity(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """The share of two texts that matching blocks make up."""
     for a, b in pairs:

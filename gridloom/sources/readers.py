@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.functions.geometry import path_from_wkt
@@ -43,24 +43,95 @@ def read_points(df: DataFrame, x: str = "x", y: str = "y") -> tuple[DataFrame, D
     return cast.where(whole), cast.where(~whole)
 
 
+def read_jdbc_geometry(spark: SparkSession, url: str, query: str, geometry: str, name: str = "points", **options: str) -> DataFrame:
+    """A query of a spatial database whose column ``geometry`` is text (``ST_AsText`` on the server); its path comes as ``name``."""
+    return with_path(read_jdbc(spark, url, query=query, **options), geometry, name)
+
+
 def read_geojson(spark: SparkSession, path: str) -> DataFrame:
-    """(properties, kind, points) of each feature; points and lines become arrays of (x, y)."""
+    """(properties, kind, parts, points) of each feature.
+
+    ``parts`` are its points, lines or rings as arrays of (x, y), those of a multi-geometry one after another, and
+    ``points`` all of them in one array; both are null without a geometry.
+    """
     schema = "features array<struct<properties:map<string,string>,geometry:struct<type:string,coordinates:string>>>"
     feature = spark.read.schema(schema).json(path, multiLine=True).select(F.explode("features").alias("f"))
-    pairs = F.when(F.col("f.geometry.type") == "Point", F.array(F.from_json("f.geometry.coordinates", "array<double>"))).when(F.col("f.geometry.type") == "LineString", F.from_json("f.geometry.coordinates", "array<array<double>>"))
-    return feature.select(F.col("f.properties").alias("properties"), F.col("f.geometry.type").alias("kind"), F.transform(pairs, lambda p: F.struct(p[0].alias("x"), p[1].alias("y"))).alias("points"))
+    kind, text = F.col("f.geometry.type"), F.col("f.geometry.coordinates")
+    line, lines = "array<array<double>>", "array<array<array<double>>>"
+    raw = (
+        F.when(kind == "Point", F.array(F.array(F.from_json(text, "array<double>"))))
+        .when(kind.isin("LineString", "MultiPoint"), F.array(F.from_json(text, line)))
+        .when(kind.isin("MultiLineString", "Polygon"), F.from_json(text, lines))
+        .when(kind == "MultiPolygon", F.flatten(F.from_json(text, f"array<{lines}>")))
+    )
+    parts = F.transform(raw, lambda part: F.transform(part, lambda p: F.struct(p[0].alias("x"), p[1].alias("y"))))
+    return feature.select(F.col("f.properties").alias("properties"), kind.alias("kind"), parts.alias("parts"), F.flatten(parts).alias("points"))
+
+
+def _pairs(text: Column, between: str, within: str) -> Column:
+    """An array of (x, y) of a text of coordinates."""
+    items = F.filter(F.split(F.trim(text), between), lambda p: p != "")
+    return F.transform(items, lambda p: F.struct(F.split(p, within)[0].try_cast("double").alias("x"), F.try_element_at(F.split(p, within), F.lit(2)).try_cast("double").alias("y")))
+
+
+def read_kml(spark: SparkSession, path: str) -> DataFrame:
+    """(name, kind, points) of each placemark with a point or a line."""
+    schema = "name string, Point struct<coordinates: string>, LineString struct<coordinates: string>"
+    rows = spark.read.format("xml").option("rowTag", "Placemark").schema(schema).load(path)
+    text = F.coalesce("Point.coordinates", "LineString.coordinates")
+    return rows.select("name", F.when(F.col("Point").isNotNull(), "Point").when(F.col("LineString").isNotNull(), "LineString").alias("kind"), _pairs(text, r"\s+", ",").alias("points"))
+
+
+def read_gml(spark: SparkSession, path: str, row_tag: str, geometry: str, fields: str = "") -> DataFrame:
+    """``fields`` (a schema text) and points of each element ``row_tag``, whose element ``geometry`` holds a line's or point's position list."""
+    shape = "struct<LineString: struct<posList: string>, Point: struct<pos: string>>"
+    rows = spark.read.format("xml").option("rowTag", row_tag).option("ignoreNamespace", True).schema(", ".join(filter(None, [fields, f"`{geometry}` {shape}"]))).load(path)
+    text = F.coalesce(f"{geometry}.LineString.posList", f"{geometry}.Point.pos")
+    numbers = F.filter(F.split(F.trim(text), r"\s+"), lambda n: n != "")
+    points = F.transform(F.sequence(F.lit(0), F.floor(F.size(numbers) / 2).cast("int") - 1), lambda i: F.struct(F.get(numbers, 2 * i).try_cast("double").alias("x"), F.get(numbers, 2 * i + 1).try_cast("double").alias("y")))
+    return rows.withColumn("points", F.when(F.size(numbers) >= 2, points)).drop(geometry)
+
+
+def read_layers(spark: SparkSession, paths: dict[str, str], reader=None) -> Catalog:
+    """Files as a catalog, each under the name that it is given."""
+    out = Catalog()
+    for name, path in paths.items():
+        out.add(name, (reader or read_geojson)(spark, path))
+    return out
 
 
 def with_path(df: DataFrame, wkt: str, name: str = "points") -> DataFrame:
     return df.withColumn(name, path_from_wkt(F.col(wkt)))
 
 
+# Kinds of input by address and by suffix.
+SCHEMES = ("postgresql", "postgres", "mssql", "oracle", "sqlite", "mysql", "mariadb")
+SUFFIXES = {
+    "csv": ("csv", "tsv"), "vector": ("shp", "gpkg", "geojson", "json", "gml", "kml"), "parquet": ("parquet", "pq"), "database": ("sqlite", "sqlite3", "db"), "spreadsheet": ("xlsx", "xlsm", "xls"), "backup": ("bak",), "script": ("sql",),
+}
+
+
+def input_kind(uri: Column, head: Column) -> Column:
+    """The kind of an input by its address, its suffix or its first characters; ``text`` is a sectioned export, ``settings`` its configuration."""
+    scheme = F.lower(F.regexp_extract(uri, r"^([A-Za-z0-9]+)(\+[A-Za-z0-9]+)?:", 1))
+    suffix = F.lower(F.regexp_extract(uri, r"\.([A-Za-z0-9]+)$", 1))
+    out = F.when(scheme.isin(*SCHEMES), "database")
+    for kind, suffixes in SUFFIXES.items():
+        out = out.when(suffix.isin(*suffixes), kind)
+    out = out.when((suffix == "txt") & head.contains("[GENERAL]") & head.contains("VERSION"), "text").when((suffix == "txt") & head.contains("[IMPORT MODE]"), "settings")
+    out = out.when(head.startswith("SQLite format 3"), "database").when(head.startswith("TAPE"), "backup").when(head.startswith("PAR1"), "parquet")
+    return out.otherwise("unknown")
+
+
 def manifest(spark: SparkSession, path: str) -> DataFrame:
-    """(path, length, kind) of files: by suffix, else by the first bytes."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length", F.decode(F.substring("content", 1, 16), "ISO-8859-1").alias("magic"))
-    suffix = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
-    kind = F.when(suffix.isin("csv", "tsv", "parquet", "json", "geojson", "txt", "kml", "gml", "xml"), suffix).when(F.col("magic").startswith("SQLite format 3"), F.when(suffix == "gpkg", "gpkg").otherwise("sqlite")).when(F.col("magic").startswith("TAPE"), "backup").when(F.col("magic").startswith("PAR1"), "parquet").otherwise("unknown")
-    return files.where(~F.col("path").rlike("/output/")).select("path", "length", kind.alias("kind"))
+    """(path, length, kind) of all files below a folder that an engine can read or name."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length", F.decode(F.substring("content", 1, 4096), "ISO-8859-1").alias("head"))
+    return files.select("path", "length", input_kind(F.col("path"), F.col("head")).alias("kind"))
+
+
+def detectable(files: DataFrame) -> DataFrame:
+    """The files of a manifest that hold data: those of a known kind outside output folders, in the order of their paths without case."""
+    return files.where(~F.col("path").rlike("/output/") & ~F.col("kind").isin("unknown", "script")).orderBy(F.lower("path"))
 
 
 @dataclass
@@ -91,8 +162,14 @@ class Catalog:
 
 
 def write_issues(issues: DataFrame, folder: str, most: int = 5000) -> None:
-    """All issues as Parquet, and the first ``most`` of the report's order as JSON."""
+    """All issues as Parquet, the first ``most`` of the report's order as JSON, and whether that left some out."""
     from gridloom.operators.validate import in_order
 
     issues.write.mode("overwrite").parquet(f"{folder}/issues")
     in_order(issues, most).write.mode("overwrite").json(f"{folder}/report")
+    write_report(issues.agg(F.count("*").alias("n"), (F.count("*") > most).alias("truncated")), f"{folder}/summary")
+
+
+def write_report(rows: DataFrame, folder: str) -> None:
+    """A report (profile, connectivity, proposal or any other rows) as JSON, a line for each row."""
+    rows.write.mode("overwrite").json(folder)
