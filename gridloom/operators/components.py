@@ -14,8 +14,6 @@ from pyspark.sql import functions as F
 
 #: Edges that one local contraction holds in memory.
 CHUNK_EDGES = 1 << 19
-#: A node is hot that more than one in HOT_SHARE edges have.
-HOT_SHARE = 512
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -106,29 +104,17 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield stars()
 
 
-def _with_least(edges: DataFrame, key: str, total: int) -> DataFrame:
-    """Edges with ``m``, the smallest neighbour that the node in column ``key`` has below it, or null.
-
-    Edges of hot nodes (more than one in HOT_SHARE of all, so there are fewer than HOT_SHARE) are dealt by their other
-    end over as many tasks as a shuffle has.
-    """
-    salts, other = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), "u" if key == "v" else "v"
-    hot = F.broadcast(edges.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > total / HOT_SHARE).select(F.col(key).alias("hot")))
-    left = edges.join(hot, F.col(key) == F.col("hot"), "left").withColumn("salt", F.when(F.col("hot").isNotNull(), F.pmod(F.xxhash64(other), F.lit(salts))).otherwise(0)).drop("hot")
-    least = edges.groupBy(F.col("u").alias("k")).agg(F.min("v").alias("m")).join(hot, F.col("k") == F.col("hot"), "left")
-    least = least.withColumn("salt", F.explode(F.when(F.col("hot").isNotNull(), F.expr(f"sequence(0L, {salts - 1}L)")).otherwise(F.expr("array(0L)")))).drop("hot").withColumnRenamed("k", key)
-    return left.join(least, [key, "salt"], "left")
-
-
-def _large_star(edges: DataFrame, total: int) -> DataFrame:
-    """Of edges with u > v: each u goes to the smallest of v and v's neighbours."""
-    return _with_least(edges, "v", total).select("u", F.coalesce("m", "v").alias("v"))
+def _large_star(edges: DataFrame) -> DataFrame:
+    both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    return both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
 
 
-def _small_star(edges: DataFrame, total: int) -> DataFrame:
-    """Of edges with u > v: u's smaller neighbours, and u, go to the smallest of them."""
-    moved = _with_least(edges, "u", total).where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionAll(edges.groupBy("u").agg(F.min("v").alias("v")))
+def _small_star(edges: DataFrame) -> DataFrame:
+    """``edges`` with u > v."""
+    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    moved = edges.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return moved.unionAll(least.select("u", F.col("m").alias("v")))
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", contract: bool = True) -> DataFrame:
@@ -136,7 +122,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", c
 
     Each round is two aggregations and two joins on the current stars; rounds grow with the logarithm of the
     longest path. ``contract`` first merges the edges that lie in the same partition. A star's centre has as many edges
-    as its component has nodes; they are dealt over all tasks.
+    as its component has nodes: short rows, whose join AQE splits where they are many.
     """
     u, v = F.col(f"`{src}`"), F.col(f"`{dst}`")
     current = edges.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).where(u.isNotNull() & v.isNotNull() & (u != v))
@@ -148,7 +134,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", c
         if now == mark or not now[0]:
             break
         mark = now
-        current = settle(_small_star(settle(_large_star(current, now[0]).distinct()), now[0]).distinct())
+        current = settle(_small_star(_large_star(current)).distinct())
     members = current.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return members.unionAll(current.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
