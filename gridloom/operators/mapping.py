@@ -71,15 +71,15 @@ def _read(kind: str, c: Column, unit: str | None, fallback: Column) -> Column:
 def map_layer(df: DataFrame, mapping: LayerMapping, row: str) -> tuple[DataFrame, DataFrame]:
     """(accepted, rejected): the entity's rows, and (layer, row_id, reason) of the others.
 
-    ``row`` orders the raw rows: of several with the same raw id the first counts. Ids that only become equal when
-    they are normalised are rejected, all but the first.
+    ``row`` orders the raw rows: of several with the same raw id the first counts; rows without one are each their own,
+    and rejected. Ids that only become equal when they are normalised are rejected, all but the first.
     """
     spec = ENTITIES[mapping.entity]
     missing = [c for c in mapping.fields.values() if c not in df.columns]
     if missing:
         raise ValueError(f"columns not in the layer: {', '.join(missing)}")
     raw_id = F.col(mapping.fields["id"])
-    first = df.withColumn("_rank", F.row_number().over(Window.partitionBy(raw_id.cast("string")).orderBy(row))).where("_rank = 1")
+    first = df.withColumn("_rank", F.row_number().over(Window.partitionBy(raw_id.cast("string"), F.when(raw_id.isNull(), F.col(row))).orderBy(row))).where("_rank = 1")
     ident = normalize.identifier(raw_id.cast("string"))
     columns, reasons = [], []
     for name, (kind, required) in spec.items():
@@ -99,7 +99,7 @@ def map_layer(df: DataFrame, mapping: LayerMapping, row: str) -> tuple[DataFrame
     built = first.select(F.col(row).cast("string").alias("_row"), F.col(row).alias("_order"), *columns)
     for reason, rule in INVARIANTS.get(mapping.entity, {}).items():
         reasons.append(F.when(~F.coalesce(F.expr(rule), F.lit(True)), F.lit(reason)))
-    same = F.row_number().over(Window.partitionBy("id").orderBy("_order"))
+    same = F.row_number().over(Window.partitionBy("id", F.when(F.col("id").isNull(), F.col("_order"))).orderBy("_order"))
     judged = built.withColumn("_same", same).withColumn("_reason", F.coalesce(*reasons, F.when(F.col("_same") > 1, F.lit("id: duplicate"))))
     accepted = judged.where("_reason IS NULL").select(*spec)
     rejected = judged.where("_reason IS NOT NULL").select(F.lit(mapping.entity).alias("layer"), F.col("_row").alias("row_id"), F.col("_reason").alias("reason"))

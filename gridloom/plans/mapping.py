@@ -8,7 +8,7 @@ from gridloom.operators.mapping import LayerMapping, map_layer
 from gridloom.plans.testbed import Grid
 
 _RAW = {
-    "bus": ("customer", """SELECT c_custkey AS row_no, CASE WHEN c_custkey % 20 = 19 THEN concat(CAST(c_custkey - 1 AS VARCHAR(20)), '.0') WHEN c_custkey % 31 = 0 THEN ' ' ELSE CAST(c_custkey AS VARCHAR(20)) END AS cod, c_name AS nombre,
+    "bus": ("customer", """SELECT c_custkey AS row_no, CASE WHEN c_custkey % 20 = 19 THEN concat(CAST(c_custkey - 1 AS VARCHAR(20)), '.0') WHEN c_custkey % 62 = 0 THEN NULL WHEN c_custkey % 31 = 0 THEN ' ' ELSE CAST(c_custkey AS VARCHAR(20)) END AS cod, c_name AS nombre,
  CASE c_custkey % 6 WHEN 0 THEN '22,9 kV' WHEN 1 THEN '10000 V' WHEN 2 THEN '0' WHEN 3 THEN NULL WHEN 4 THEN 'n/d' ELSE '10' END AS tension FROM {t}"""),
     "line": ("orders", """SELECT o_orderkey AS row_no, CAST(o_orderkey AS VARCHAR(20)) AS cod, CASE WHEN o_orderkey % 17 = 0 THEN NULL ELSE CAST(o_custkey AS VARCHAR(20)) END AS desde, CAST(CASE WHEN o_orderkey % 13 = 0 THEN o_custkey ELSE o_orderkey % 977 + 100000000 END AS VARCHAR(20)) AS hasta,
  CASE o_orderkey % 5 WHEN 0 THEN '120,5' WHEN 1 THEN '0' WHEN 2 THEN 'x' ELSE CAST(o_orderkey % 400 + 1 AS VARCHAR(20)) END AS metros, CASE o_orderkey % 4 WHEN 0 THEN 'EXISTENTE' WHEN 1 THEN 'retirado' WHEN 2 THEN NULL ELSE 'ACTIVO' END AS estado FROM {t}"""),
@@ -75,7 +75,7 @@ QUERIES = {f.__name__: f for f in (map_buses, map_lines, map_loads, map_switches
 
 _D = {e: f"{e}_raw AS ({text.replace('{t}', table)})" for e, (table, text) in _RAW.items()}
 _B = {
-    "bus": "SELECT row_no, CASE WHEN trim(cod) <> '' THEN regexp_replace(trim(cod), '\\.0$', '') END AS id, nombre AS name, CASE tension WHEN '22,9 kV' THEN 22.9 WHEN '10000 V' THEN 10.0 WHEN 'n/d' THEN 22.9 WHEN '10' THEN 10.0 ELSE 22.9 END::DOUBLE AS nominal_voltage_kv FROM (SELECT *, row_number() OVER (PARTITION BY cod ORDER BY row_no) AS k FROM bus_raw) WHERE k = 1",
+    "bus": "SELECT row_no, CASE WHEN trim(cod) <> '' THEN regexp_replace(trim(cod), '\\.0$', '') END AS id, nombre AS name, CASE tension WHEN '22,9 kV' THEN 22.9 WHEN '10000 V' THEN 10.0 WHEN 'n/d' THEN 22.9 WHEN '10' THEN 10.0 ELSE 22.9 END::DOUBLE AS nominal_voltage_kv FROM (SELECT *, row_number() OVER (PARTITION BY cod, CASE WHEN cod IS NULL THEN row_no END ORDER BY row_no) AS k FROM bus_raw) WHERE k = 1",
     "line": "SELECT row_no, cod AS id, desde, hasta, try_cast(replace(metros, ',', '.') AS DOUBLE) / 1000 AS km, CASE estado WHEN 'retirado' THEN FALSE ELSE TRUE END AS in_service FROM line_raw",
     "load": "SELECT row_no, cod AS id, nullif(nodo, '') AS bus_id, coalesce(try_cast(kw AS DOUBLE), 0) / 1000 AS p, coalesce(try_cast(replace(kvar, ',', '.') AS DOUBLE), 0) / 1000 AS q FROM load_raw",
     "switch": "SELECT row_no, cod AS id, desde, hasta, CASE posicion WHEN 'ABIERTO' THEN FALSE WHEN 'c' THEN TRUE WHEN '' THEN TRUE END AS closed FROM switch_raw",
