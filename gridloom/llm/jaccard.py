@@ -206,7 +206,7 @@ def _block_pairs(large: DataFrame) -> DataFrame:
     large = settle(large.select("gid", "comp", "text", "bands", cell.alias("cell")))
     sizes = large.groupBy("cell").agg(F.ceil(F.greatest(F.count("*") / BLOCK_TEXTS, F.sum(F.octet_length("text")) / BLOCK_BYTES)).alias("parts"))
     block = F.col("cell.cell") * (1 << 30) + F.pmod(F.xxhash64("gid"), F.col("parts"))
-    placed = settle(spread_join(large, sizes, "cell").select("gid", "comp", "text", "bands", block.alias("block")))
+    placed = settle(large.join(sizes, "cell").select("gid", "comp", "text", "bands", block.alias("block")))
     held = settle(placed.select("comp", "block", F.posexplode("bands").alias("band", "hash")).distinct())
     both = held.withColumnRenamed("block", "low").join(held.withColumnRenamed("block", "high"), ["comp", "band", "hash"]).where("low <= high").select("comp", "low", "high").distinct()
     asked = both.select("comp", "low", "high", F.explode(F.array_distinct(F.array("low", "high"))).alias("block"))
@@ -235,20 +235,18 @@ def join_similar(docs: DataFrame, key: str = "doc_id", text: str = "text", extra
     texts = settle(held.join(firsts, held["_key"].eqNullSafe(firsts["_key"]) & (held["_hash"] == firsts["_hash"])).select("gid", F.col("component").alias("comp"), "text"))
     sizes = texts.groupBy("comp").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("size"))
     sizes = sizes.select("comp", F.ceil(F.greatest(F.col("n") / BLOCK_TEXTS, F.col("size") / BLOCK_BYTES)).cast("int").alias("blocks"))
-    sized = spread_join(texts, sizes, "comp")
+    sized = texts.join(sizes, "comp")
     bundles = 8 * partitions(spark)
     whole = F.pmod(F.xxhash64("comp"), F.lit(bundles))
     small = sized.where("blocks = 1").select(whole.alias("bundle"), "comp", F.lit(0).cast("long").alias("low"), F.lit(0).cast("long").alias("high"), F.lit(0).cast("long").alias("block"), "gid", "text")
     tasks = small.unionAll(_block_pairs(sized.where("blocks > 1").join(sets.select("gid", "bands"), "gid")))
-    # a number of partitions that isn't reduced: the work of a task is in its pairs, not in its bytes
-    tasks = tasks.select("bundle", "comp", "low", "high", "block", "gid", "text").repartition(2 * partitions(spark), "bundle")
     found = settle(tasks.groupBy("bundle").applyInArrow(_verify, "gid binary, links long, other binary"))
 
     links = found.groupBy("gid").agg(F.sum("links").alias("n_links"))
     classes = connected_components(found.select(F.col("gid").alias("src"), F.col("other").alias("dst"))).withColumnRenamed("node", "gid")
     known = sets.select("gid", "n_copies").join(links, "gid", "left").join(classes, "gid", "left")
     known = known.select("gid", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component", "gid").alias("class_gid"))
-    return spread_join(signed.drop("bands"), known, "gid", "left").withColumnRenamed("_key", key).drop("_hash")
+    return signed.drop("bands").join(known, "gid", "left").withColumnRenamed("_key", key).drop("_hash")
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
