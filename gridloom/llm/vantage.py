@@ -4,13 +4,16 @@ The largest inner product is made the smallest angle: a vector shorter than the
 that brings it to length M, a query gets none, and then the inner product falls as the angle grows. Angles obey the
 triangle inequality, so what a tree node knows of its rows (their least and largest angle to its vantage point) bounds
 the angle between them and a query from below. A node is left out if ``factor`` times its bound is no better than the
-query's k-th neighbour so far: with a factor of one nothing near is ever left out, with a larger one more is.
+query's k-th neighbour so far: with a factor of one nothing near is ever left out, with a larger one more is. How much
+a factor loses depends on how the vectors lie, so unless it is given each shard's tree has its own, the largest at which
+some of the queries at hand, compared with all of the shard's rows, keep RECALL of their neighbours.
 
 The top of the tree is fitted on a bounded sample (SAMPLE rows, of the least hashes), and every row goes down it to a
 shard of some SHARD_ROWS rows; a shard that has far more, such as one vector that a third of all rows hold, is split
 by a hash of the id. Each shard has a tree of its own, down to leaves of LEAF rows. A query searches its own shard
-first; the k-th neighbour found there rules out most other shards by the bounds of the top tree (where vectors lie in
-groups; where they lie evenly in many dimensions no bound rules out much), and the rest are searched in a second round.
+first; the k-th neighbour found there rules out other shards by the exact bounds of the top tree (most of them where
+vectors lie in groups; where they lie evenly in many dimensions no bound rules out much), and the rest are searched in a
+second round.
 Queries go to shards in blocks, so a task holds one shard and one block. In a task all vantage points of a tree are
 compared with all queries at once, and then each query visits the leaves by ascending bound.
 
@@ -35,8 +38,11 @@ from pyspark.sql import functions as F
 
 from gridloom.llm.common import settle, table
 
-#: How much more is left out than the triangle inequality allows; 1 is exact. Of the 20 nearest among 10 000 vectors that lie evenly in 64 dimensions it finds 0.98, where 7 finds 0.76.
-FACTOR = 4.0
+#: Share of a shard's neighbours that its factor is chosen to find, queries that it is measured on (one in so many, and so many at least), and neighbours that it takes to measure it.
+RECALL = 0.97
+MEASURED = 8
+LEAST_MEASURED = 64
+LEAST_FOUND = 20
 #: Rows of the sample that the top of the tree is fitted on, and bytes that it has at most.
 SAMPLE = 1 << 16
 SAMPLE_BYTES = 1 << 25
@@ -151,8 +157,8 @@ def _asking(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.column_stack([rows / norms, np.zeros(len(rows))]), norms[:, 0]
 
 
-def search(rows: np.ndarray, ids: np.ndarray, queries: np.ndarray, own: np.ndarray, least: np.ndarray, longest: float, k: int, factor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, row's id, score) of the k nearest rows of each query, by one tree over ``rows``; only scores of ``least`` or more matter."""
+def search(rows: np.ndarray, ids: np.ndarray, queries: np.ndarray, own: np.ndarray, least: np.ndarray, longest: float, k: int, factor: float | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row's id, score) of the k nearest rows of each query, by one tree over ``rows``; only scores of ``least`` or more matter. Without a factor it is measured."""
     order = np.lexsort((ids, *rows.T[::-1]))
     rows, ids = rows[order], ids[order]
     fresh = np.ones(len(rows), bool)
@@ -165,14 +171,25 @@ def search(rows: np.ndarray, ids: np.ndarray, queries: np.ndarray, own: np.ndarr
     kept = ~again & (alike <= k)
     tree = grow(_lifted(rows[first], longest), LEAF)
     unit, norms = _asking(queries)
-    bounds = tree.bounds(unit) * factor
-    visit = np.argsort(bounds, axis=1, kind="stable")
     owner = np.empty(len(first), np.int64)
     for i, leaf in enumerate(tree.leaves):
         owner[leaf] = i
     usable = np.flatnonzero(kept)
     usable = usable[np.argsort(owner[group[usable]], kind="stable")]
     each = np.split(usable, np.cumsum(np.bincount(owner[group[usable]], minlength=len(tree.leaves)))[:-1])  # all rows of each leaf
+    bounds = tree.bounds(unit)
+    if factor is None:
+        some = np.unique(np.linspace(0, len(queries) - 1, max(LEAST_MEASURED, len(queries) // MEASURED)).astype(np.int64))
+        rough = queries[some] @ rows[usable].T
+        rough[ids[usable][None, :] == own[some][:, None]] = -np.inf
+        bar = np.partition(rough, len(usable) - k, axis=1)[:, len(usable) - k] if len(usable) > k else np.full(len(some), -np.inf)
+        bar = np.maximum(bar, least[some])
+        i, j = np.nonzero((rough >= bar[:, None]) & (rough > -np.inf))
+        reach = np.arccos(np.clip(bar / (norms[some] * longest), -1, 1))
+        allowed = reach[i] / np.maximum(bounds[some[i], owner[group[usable[j]]]], 1e-12)
+        factor = max(1.0, float(np.quantile(allowed, 1 - RECALL, method="lower"))) if len(allowed) >= LEAST_FOUND else 1.0
+    bounds *= factor
+    visit = np.argsort(bounds, axis=1, kind="stable")
     worst = least.astype(float)
     best = (np.zeros(0, np.int64), np.zeros(0, ids.dtype), np.zeros(0))
     allowance = 1e-12 * norms * longest * max(1, rows.shape[1])
@@ -209,8 +226,11 @@ def search(rows: np.ndarray, ids: np.ndarray, queries: np.ndarray, own: np.ndarr
     return tuple(c[keep] for c in best)
 
 
-def nearest(vectors: DataFrame, asked: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", factor: float = FACTOR) -> DataFrame:
-    """(query_id, rank, key, score): the k nearest rows of ``vectors`` of each row of ``asked``, a table of the same kind."""
+def nearest(vectors: DataFrame, asked: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", factor: float | None = None) -> DataFrame:
+    """(query_id, rank, key, score): the k nearest rows of ``vectors`` of each row of ``asked``, a table of the same kind.
+
+    ``factor``: 1 for exact search, more for less work; without it each shard measures its own.
+    """
     spark = vectors.sparkSession
     good = lambda df: _usable(df, key, vector)
     base, queries = good(vectors), good(asked).dropDuplicates(["_id", "_mark"])
@@ -284,7 +304,7 @@ def nearest(vectors: DataFrame, asked: DataFrame, k: int, key: str = "vec_id", v
             for batch in batches:
                 unit, norms = _asking(_matrix(batch.column(2), width))
                 limit = np.arccos(np.clip(np.asarray(batch.column(4)) / (norms * longest), -1, 1)) + SLACK
-                wanted = top.value.bounds(unit) * factor <= limit[:, None]
+                wanted = top.value.bounds(unit) * (factor or 1.0) <= limit[:, None]
                 wanted[np.arange(len(unit)), np.asarray(batch.column(3))] = False
                 i, shard = np.nonzero(wanted)
                 at = pa.array(i)
