@@ -43,6 +43,8 @@ BLOCKS = 1 << 18
 LANES = 8
 #: Lengths from here on share a filter, so that there are few filters whatever the lengths.
 LONG = 64
+#: Words whose edits one task generates.
+TASK_WORDS = 1 << 15
 #: Letters of the words that are edited together; an array over their edits takes some 100 times as many bytes.
 LETTERS = 1 << 16
 
@@ -224,9 +226,10 @@ def near_pairs(words: DataFrame) -> DataFrame:
     length = F.least(F.length("word"), F.lit(LONG))
     counts = {r[0]: r[1] for r in words.groupBy(length.alias("length")).count().collect()}  # LONG rows at most
     known = words.select(F.col("word").alias("other"), F.col("n").alias("other_n"))
+    dealt = words.repartition(max(1, math.ceil(sum(counts.values()) / TASK_WORDS)))
     out = None
     for held in passes(counts):
-        found = candidates(words, held).join(known, "other").select("word", "n", "other", "other_n")
+        found = candidates(dealt, held).join(known, "other").select("word", "n", "other", "other_n")
         out = found if out is None else out.unionAll(found)
     return out if out is not None else words.join(known, F.lit(False))
 
