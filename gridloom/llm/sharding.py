@@ -2,12 +2,15 @@
 
 Documents are linked through groups: those of equal texts, or those of a table of links, in which a document may be in
 any number of groups. Every document starts in a shard by hash. In each round every linked document counts its
-neighbours in each shard (a sum over its groups) and wants to move where most of them are and there is still room. A
-shard takes in what its quota of free places allows: the movers of a small group together, those of a large group one
-by one, by hash. So a group that fits in one shard gathers there, and one that doesn't fills a few shards. Unlinked
-documents, which cut nothing wherever they are, then fill the rooms that are left, and a last pass gives every document
-its place in one order over all shards (shard, then unlinked, linked, unlinked documents), cut into shards whose row
-counts differ by one at most.
+neighbours in each shard (a sum over its groups) and wants to move where most of them are, or, where it can't, where
+most of them are among the shards with room. Between each two shards a quota says what share of the wishes is granted:
+the largest for which every shard takes in no more than its free places and those that its own leavers free, so shards
+that are full exchange documents. The movers of a small group go together, those of a large group one by one, by hash.
+At first a shard may hold a quarter more than its share; as that slack shrinks, a shard that is too full sends some of
+its groups, each as a whole, to shards with room. So a group that fits in one shard gathers there, and one that doesn't
+fills a few shards. Unlinked documents, which cut nothing wherever they are, then fill the rooms that are left, and a
+last pass gives every document its place in one order over all shards (shard, then unlinked, linked, unlinked
+documents), cut into shards whose row counts differ by one at most: at each of these cuts one group may be parted.
 
 All state is per document or per (group, shard) and stays in Spark; the driver sees a few numbers for each shard.
 A group of any size is handled through sums, never listed, and the documents of a hot group are dealt over all tasks.
@@ -26,9 +29,11 @@ from pyspark.sql import functions as F
 
 from gridloom.llm.common import Spread, partitions, settle, spread_join, table
 
-ROUNDS = 6
-#: Movers of a group go together if they fill this share of the room at most.
-TOGETHER = 1 / 16
+ROUNDS = 12
+#: By how much a shard may be too full in the first round; in the last two by nothing.
+SLACK = 0.25
+#: Movers of a group go together if the group fills this share of a shard at most.
+TOGETHER = 1 / 4
 
 
 def _unit(*columns) -> Column:
@@ -37,7 +42,21 @@ def _unit(*columns) -> Column:
 
 
 def _pick(values: list[float], shard: str) -> Column:
-    return F.element_at(F.from_json(F.lit(str([float(v) for v in values])), "array<double>"), F.col(shard) + 1)
+    return F.element_at(F.from_json(F.lit(str([float(v) for v in values])), "array<double>"), F.expr(f"int({shard}) + 1"))
+
+
+def _quotas(wanted: list[list[float]], room: list[float]) -> list[list[float]]:
+    """The shares of the wishes (from shard, to shard) that can be granted, where leavers free places for others."""
+    every = range(len(room))
+    share = [1.0 for _ in every]
+    for _ in range(200):  # shares only fall, to the largest that fit
+        flow = [[wanted[a][b] * share[b] for b in every] for a in every]
+        spare = [max(0.0, room[b] + sum(flow[b])) for b in every]
+        into = [sum(flow[a][b] for a in every) for b in every]
+        if all(into[b] <= spare[b] + 1e-6 for b in every):
+            break
+        share = [share[b] * min(1.0, spare[b] / into[b]) if into[b] else share[b] for b in every]
+    return [share for _ in every]  # alike from all shards
 
 
 def propagate(member: DataFrame, shards: int, capacity: float, rounds: int = ROUNDS) -> DataFrame:
@@ -45,26 +64,50 @@ def propagate(member: DataFrame, shards: int, capacity: float, rounds: int = ROU
     first = F.row_number().over(Window.partitionBy("node").orderBy("group")) == 1
     spread = Spread(settle(member.withColumn("own", F.when(first, F.col("weight")).otherwise(0))), "group")
     spread.rows = settle(spread.rows)
+    large = settle(spread.rows.groupBy("group").agg(F.sum("weight").alias("held")).where(F.col("held") > TOGETHER * capacity).select("group", F.lit(True).alias("large")))
+    every = range(shards)
     for step in range(rounds):
-        loads = {r[0]: r[1] for r in spread.rows.groupBy("shard").agg(F.sum("own")).collect()}  # a row for each shard at most
-        room = [max(0.0, capacity - loads.get(i, 0)) for i in range(shards)]
-        cells = spread.rows.groupBy("group", "shard").agg(F.sum("weight").alias("held")).withColumnRenamed("shard", "there")
+        full = capacity * (1 + SLACK * max(0.0, 1 - step / max(1, rounds - 2)))
+        held = {r[0]: r[1] for r in spread.rows.groupBy("shard").agg(F.sum("own")).collect()}  # a row for each shard at most
+        loads = [float(held.get(i, 0)) for i in every]
+        room = [full - n for n in loads]
+        cells = spread.rows.groupBy("group", "shard").agg(F.sum("weight").alias("held")).join(large, "group", "left").withColumnRenamed("shard", "there")
         near = spread.join(cells).withColumnRenamed("shard", "home").repartition("node")  # a row for each shard that holds some of the group
-        votes = near.groupBy("node", "weight", "home", "there").agg(F.sum("held").alias("held"), F.max(F.struct("held", "group")).alias("lead"), F.count("*").alias("groups"))
-        votes = votes.withColumn("held", F.col("held") - F.when(F.col("there") == F.col("home"), F.col("weight") * F.col("groups")).otherwise(0))
-        goal = F.max(F.when((F.col("there") == F.col("home")) | (_pick(room, "there") >= 1), F.struct("held", (-F.col("there")).alias("back"), "lead.group")))
-        goals = votes.groupBy("node", "weight", "home").agg(goal.alias("goal"), F.max(F.when(F.col("there") == F.col("home"), F.col("held"))).alias("stay"))
-        goals = goals.select("node", "weight", "home", (-F.col("goal.back")).alias("target"), F.col("goal.group").alias("lead"), F.col("goal.held").alias("most"), "stay")
-        moves = settle(goals.where((F.col("target") != F.col("home")) & ((F.col("most") > F.col("stay")) | (F.col("most") == F.col("stay")) & (F.col("target") < F.col("home")))))
-        wanted = {r[0]: r[1] for r in moves.groupBy("target").agg(F.sum("weight")).collect()}  # a row for each shard at most
-        if not wanted:
+        votes = near.groupBy("node", "weight", "home", "there").agg(F.sum("held").alias("held"), F.max(F.struct("held", "group", "large")).alias("lead"), F.count("*").alias("groups"))
+        own = F.col("there") == F.col("home")
+        votes = votes.withColumn("held", F.col("held") - F.when(own, F.col("weight") * F.col("groups")).otherwise(0))
+        goal = F.struct("held", (-F.col("there")).alias("back"), "lead")
+        goals = votes.groupBy("node", "weight", "home").agg(F.max(goal).alias("best"), F.max(F.when(own | (_pick(room, "there") >= 1), goal)).alias("open"), F.max(F.when(own, goal)).alias("stay"))
+        crowd = lambda c: F.when(F.col(f"{c}.lead.large"), F.col("node")).otherwise(F.col(f"{c}.lead.group").cast("string"))
+        better = lambda c: (-F.col(f"{c}.back") != F.col("home")) & ((F.col(f"{c}.held") > F.col("stay.held")) | ((F.col(f"{c}.held") == F.col("stay.held")) & (-F.col(f"{c}.back") < F.col("home"))))
+        wish = lambda c: F.when(better(c), -F.col(f"{c}.back"))
+        wishes = settle(goals.select("node", "weight", "home", wish("best").alias("one"), wish("open").alias("two"), crowd("best").alias("crowd_one"), crowd("open").alias("crowd_two"), crowd("stay").alias("crowd")))
+        asked = wishes.groupBy("home", "one", "two").agg(F.sum("weight")).collect()  # shards to the power of three at most
+        wanted, second = [[0.0] * shards for _ in every], [[0.0] * shards for _ in every]
+        for home, one, _, n in asked:
+            if one is not None:
+                wanted[home][one] += n
+        grant = _quotas(wanted, room)
+        room = [room[i] + sum(wanted[i][b] * grant[i][b] - wanted[b][i] * grant[b][i] for b in every) for i in every]
+        for home, one, two, n in asked:
+            if two is not None:
+                second[home][two] += n * (1 - (grant[home][one] if one is not None else 0))
+        more = _quotas(second, room)
+        room = [room[i] + sum(second[i][b] * more[i][b] - second[b][i] * more[b][i] for b in every) for i in every]
+        over = [min(1.0, max(0.0, -room[i]) / max(1.0, loads[i])) for i in every]
+        free = [max(0.0, r) for r in room]
+        upto = [sum(free[: i + 1]) / max(1e-9, sum(free)) for i in range(shards - 1)]
+        if not asked or (not any(map(any, wanted)) and not any(o * n >= 1 for o, n in zip(over, loads, strict=True))):
             break
-        quota = [min(1.0, room[i] / wanted[i]) if i in wanted else 0.0 for i in range(shards)]
-        bands = moves.groupBy("lead", "target").agg(F.sum("weight").alias("band"))
-        large = bands.where(F.col("band") > F.greatest(F.lit(1), F.lit(TOGETHER) * _pick(room, "target"))).select("lead", "target", F.lit(True).alias("large"))
-        draw = F.when(F.col("large"), _unit("node", F.lit(step))).otherwise(_unit("lead", F.lit(step)))
-        taken = moves.join(large, ["lead", "target"], "left").where(draw < _pick(quota, "target")).select("node", "target")
-        spread.rows = settle(spread.rows.join(taken, "node", "left").withColumn("shard", F.coalesce("target", "shard")).drop("target"))
+        granted = lambda shares, c: _pick([x for row in shares for x in row], f"home * {shards} + {c}")
+        away = sum(((_unit("crowd", F.lit(step), F.lit("where")) >= c).cast("int") for c in upto), F.lit(0))
+        target = (
+            F.when(F.col("one").isNotNull() & (_unit("crowd_one", F.lit(step)) < granted(grant, "one")), F.col("one"))
+            .when(F.col("two").isNotNull() & (_unit("crowd_two", F.lit(step), F.lit("two")) < granted(more, "two")), F.col("two"))
+            .when(_unit("crowd", F.lit(step), F.lit("out")) < _pick(over, "home"), away)
+        )
+        taken = wishes.select("node", target.alias("target")).where("target IS NOT NULL")
+        spread.rows = settle(spread.rows.join(taken, "node", "left").withColumn("shard", F.coalesce("target", "shard").cast("int")).drop("target"))
     return spread.rows.where("own > 0").select("node", "weight", "shard")
 
 
