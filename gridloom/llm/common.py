@@ -31,30 +31,28 @@ def partitions(spark: SparkSession, least: int = 1) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-#: A key is hot that more than one in HOT_SHARE rows hold, so there are fewer than HOT_SHARE hot keys.
-HOT_SHARE = 512
-
-
 class Spread:
     """Rows ready to be joined by ``key`` with tables of few rows for each key, where one key may hold any share of them.
 
-    Rows of hot keys, and rows without a key, are dealt by a hash of the row over as many tasks as a shuffle has, and
-    what is joined to hot keys goes to each of these. Hot keys are fewer than HOT_SHARE, so they are broadcast.
+    A key is hot that holds over half of a task's mean rows, so there are at most twice as many hot keys as tasks. Its
+    rows are dealt by a hash of the row over as many tasks as they would fill, and what is joined to it goes to each of
+    these: twice as many copies as tasks in all, and one for each hot key. Rows without a key are dealt over all tasks.
     """
 
     def __init__(self, rows: DataFrame, key: str):
-        self.key, self.salts = key, partitions(rows.sparkSession)
+        self.key, tasks = key, partitions(rows.sparkSession)
         sizes = settle(rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1"))
-        total = rows.count()
-        self.hot = settle(sizes.where(F.col("_n") > total / HOT_SHARE).select(F.col(key).alias("_hot")))
+        share = max(1.0, rows.count() / (2 * tasks))
+        self.hot = settle(sizes.where(F.col("_n") > share).select(F.col(key).alias("_hot"), F.ceil(F.col("_n") / share).cast("int").alias("_salts")))
         plain = [c for c, t in rows.dtypes if not t.startswith("map")]
-        salt = F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c in plain)), F.lit(self.salts))
+        drawn = F.xxhash64(*(F.col(f"`{c}`") for c in plain))
         marked = rows.join(F.broadcast(self.hot), F.col(key) == F.col("_hot"), "left")
-        self.rows = marked.withColumn("_salt", F.when(F.col("_hot").isNotNull() | F.col(key).isNull(), salt).otherwise(0)).drop("_hot")
+        salts = F.coalesce("_salts", F.when(F.col(key).isNull(), tasks).otherwise(1))
+        self.rows = marked.withColumn("_salt", F.pmod(drawn, salts).cast("int")).drop("_hot", "_salts")
 
     def join(self, facts: DataFrame, how: str = "inner") -> DataFrame:
         copied = facts.join(F.broadcast(self.hot), F.col(self.key) == F.col("_hot"), "left")
-        copied = copied.withColumn("_salt", F.explode(F.when(F.col("_hot").isNotNull(), F.expr(f"sequence(0L, {self.salts - 1}L)")).otherwise(F.expr("array(0L)")))).drop("_hot")
+        copied = copied.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_hot", "_salts")
         return self.rows.join(copied, [self.key, "_salt"], how).drop("_salt")
 
 

@@ -4,7 +4,9 @@ A test item of m characters (lower case, white space collapsed) may differ from
 k = 8 per cent of m. Cut into k + 1 pieces, at least one piece of every such passage is exact, so all pieces of all
 items are searched at once (Aho-Corasick), and each hit's surroundings are verified with Myers' bit-parallel
 edit distance. Verification climbs from the piece: a run of j neighbouring pieces may hold j - 1 edits, and if a run
-is within its budget, so is one of its halves; a chance hit ends at the first run of two.
+is within its budget, so is one of its halves; a chance hit ends at the first run of two. Starts that lie close together,
+as those of an item that repeats itself, are verified as one stretch, and of passages that overlap the nearest counts;
+an item's distance is that of its nearest passage, the first of equally near ones.
 
 The items are taken in blocks of about 4 MB; each block is one pass over the documents, so that what the driver and
 the tasks hold never grows with the benchmark.
@@ -128,30 +130,34 @@ class Matcher:
                     starts.setdefault(i, set()).add(start)
         out = []
         for i, found in starts.items():
-            _, item, k, bits = self.items[i]
-            m, best, count, done = len(item), None, 0, -1
-            for at in sorted(found):
-                if at < done:  # lies in the passage just verified
-                    continue
-                if at >= 0 and text.startswith(item, at):
-                    hit = (0, at, at + m)
-                elif not k:
-                    continue
+            passages: list[tuple[int, int, int]] = []
+            for hit in self._verified(i, sorted(found), text):
+                if passages and hit[1] < passages[-1][2] - self.items[i][2]:  # the same passage: its nearest part counts
+                    passages[-1] = min(passages[-1], hit)
                 else:
-                    low = max(0, at - k)
-                    near, stop = nearest_end(item, bits, text[low : max(0, at + m + k)])
-                    if near > k:
-                        continue
-                    back, size = nearest_end(item[::-1], pattern_bits(item[::-1]), text[low : low + stop][::-1])
-                    hit = (near, low + stop - size, low + stop)
-                count += 1
-                done = hit[2] - k
-                if best is None or hit[0] < best[0]:
-                    best = hit
-            if best:
-                out.append((i, *best, count))
+                    passages.append(hit)
+            if passages:
+                out.append((i, *min(passages), len(passages)))
         return out
 
+    def _verified(self, i: int, starts: list[int], text: str) -> Iterator[tuple[int, int, int]]:
+        """(distance, start, end) of the nearest part around each run of starts that lie within the budget of each other."""
+        _, item, k, bits = self.items[i]
+        m, begin = len(item), 0
+        for end in range(1, len(starts) + 1):
+            if end < len(starts) and starts[end] - starts[end - 1] <= k:
+                continue
+            run, begin = starts[begin:end], end
+            exact = next((at for at in run if at >= 0 and text.startswith(item, at)), None)
+            if exact is not None:
+                yield 0, exact, exact + m
+            elif k:
+                low = max(0, run[0] - k)
+                near, stop = nearest_end(item, bits, text[low : max(0, run[-1] + m + k)])
+                if near <= k:
+                    _, size = nearest_end(item[::-1], pattern_bits(item[::-1]), text[low : low + stop][::-1])
+                    yield near, low + stop - size, low + stop
+
 
 def raw_place(text: str, start: int, end: int) -> tuple[int, int]:
     """Where characters start to end of the normal text lie in the text itself."""

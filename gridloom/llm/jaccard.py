@@ -37,6 +37,8 @@ MAX_HASHES = 128
 #: Texts and bytes of one block of a component.
 BLOCK_TEXTS = 256
 BLOCK_BYTES = 4 << 20
+#: Bytes of the texts that one task verifies, on average.
+BUNDLE_BYTES = 8 << 20
 
 
 def banding(similarity: float, recall: float, most: int) -> tuple[int, int]:
@@ -236,7 +238,7 @@ def join_similar(docs: DataFrame, key: str = "doc_id", text: str = "text", extra
     sizes = texts.groupBy("comp").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("size"))
     sizes = sizes.select("comp", F.ceil(F.greatest(F.col("n") / BLOCK_TEXTS, F.col("size") / BLOCK_BYTES)).cast("int").alias("blocks"))
     sized = texts.join(sizes, "comp")
-    bundles = 8 * partitions(spark)
+    bundles = max(8 * partitions(spark), math.ceil((texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / BUNDLE_BYTES))
     whole = F.pmod(F.xxhash64("comp"), F.lit(bundles))
     small = sized.where("blocks = 1").select(whole.alias("bundle"), "comp", F.lit(0).cast("long").alias("low"), F.lit(0).cast("long").alias("high"), F.lit(0).cast("long").alias("block"), "gid", "text")
     tasks = small.unionAll(_block_pairs(sized.where("blocks > 1").join(sets.select("gid", "bands"), "gid")))

@@ -2,8 +2,9 @@
 
 Texts are lower-cased, every run of characters that are no letters becomes one space, and all n-grams of one to
 three characters are hashed into buckets. Training counts (language, bucket) over all labelled documents of the
-training folds are summed in Spark; the smoothed log-probability matrix, whose size has a fixed bound, goes to the
-tasks as a broadcast, and a text's score is the product of its sparse bucket counts and that matrix.
+training folds are summed in Spark; the smoothed log-probability matrix goes to the tasks as broadcasts of bounded size,
+one for each 256 languages, and a text's scores are the products of its sparse bucket counts and these. With more than
+256 languages one pass follows another in the same tasks, each carrying the best score and the sum so far.
 
 Cases: a null text, or one without a letter, gets ``und`` and score 0; a null language is not learned from; a null
 id falls in fold 0; texts of any length are used whole; ties go to the language that sorts first; repeated rows are
@@ -24,9 +25,13 @@ from gridloom.llm.common import fold, settle, slices, table
 
 GRAMS = (1, 2, 3)
 BUCKETS = 1 << 15
-#: More languages than this are an error: the broadcast matrix has a row for each bucket and a column for each language, 32 MB at most.
-MAX_LANGUAGES = 256
+#: Languages of one block: its broadcast matrix has a row for each bucket and a column for each of them, 32 MB at most.
+BLOCK_LANGUAGES = 256
+#: Languages that a task counts at a time, 256 KB each.
+COUNTED = 128
 SMOOTHING = 0.1
+#: The language of a text without a letter.
+UNKNOWN = "und"
 SLICE = 4 << 20
 
 _letters: list[np.ndarray] = []
@@ -68,63 +73,86 @@ def gram_counts(texts: list[str | None], buckets: int) -> Iterator[tuple[np.ndar
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums: dict[str, np.ndarray] = {}
+
+    def counted() -> Iterator[pa.RecordBatch]:
+        for lang, own in sums.items():
+            at = np.flatnonzero(own)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(own[at])], ["lang", "bucket", "n"])
+        sums.clear()
+
     for batch in batches:
         for part in slices(batch, "text", SLICE):
             for lang, found in zip(part.column(0).to_pylist(), gram_counts(part.column(1).to_pylist(), BUCKETS), strict=True):
                 if found is not None:
+                    if lang not in sums and len(sums) == COUNTED:
+                        yield from counted()
                     own = sums.setdefault(lang, np.zeros(BUCKETS + 1, np.int64))
                     own[found[0]] += found[1]
                     own[BUCKETS] += 1
-    for lang, own in sums.items():
-        at = np.flatnonzero(own)
-        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(own[at])], ["lang", "bucket", "n"])
+    yield from counted()
 
 
-def train(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
-    """Languages in order and the matrix of log-probabilities, (buckets + 1) x languages; its last row is the prior.
+def train(labelled: DataFrame) -> list[tuple[list[str], np.ndarray]]:
+    """Blocks of languages in order, each with its matrix of log-probabilities, (buckets + 1) x languages; its last row is the prior.
 
     ``labelled`` has columns lang and text.
     """
-    partial = labelled.select("lang", "text").mapInArrow(_count, "lang string, bucket int, n long")
+    partial = labelled.where("lang IS NOT NULL").select("lang", "text").mapInArrow(_count, "lang string, bucket int, n long")
     summed = settle(partial.groupBy("lang", "bucket").agg(F.sum("n").alias("n")))
-    langs = [r[0] for r in summed.select("lang").distinct().orderBy("lang").limit(MAX_LANGUAGES + 1).collect()]
-    if len(langs) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    counts, index = np.zeros((BUCKETS + 1, len(langs))), {x: i for i, x in enumerate(langs)}
-    cells = summed.toArrow()  # (BUCKETS + 1) * MAX_LANGUAGES rows at most
-    counts[np.asarray(cells["bucket"]), np.array([index[x] for x in cells["lang"].to_pylist()], np.int64)] = np.asarray(cells["n"])
-    matrix = np.empty_like(counts)
-    if langs:
+    texts = {r[0]: r[1] for r in summed.where(F.col("bucket") == BUCKETS).select("lang", "n").orderBy("lang").collect()}  # a row for each language
+    names, every = list(texts), sum(texts.values())
+    blocks = []
+    for begin in range(0, len(names), BLOCK_LANGUAGES):
+        langs = names[begin : begin + BLOCK_LANGUAGES]
+        counts, index = np.zeros((BUCKETS + 1, len(langs))), {x: i for i, x in enumerate(langs)}
+        cells = summed.where(F.col("lang").between(langs[0], langs[-1])).toArrow()  # (BUCKETS + 1) * BLOCK_LANGUAGES rows at most
+        counts[np.asarray(cells["bucket"]), np.array([index[x] for x in cells["lang"].to_pylist()], np.int64)] = np.asarray(cells["n"])
+        matrix = np.empty(counts.shape, np.float32)
         matrix[:-1] = np.log(counts[:-1] + SMOOTHING) - np.log(counts[:-1].sum(0) + SMOOTHING * BUCKETS)
-        matrix[-1] = np.log(counts[-1]) - np.log(counts[-1].sum())
-    return langs, matrix
+        matrix[-1] = np.log(counts[-1]) - np.log(every)
+        blocks.append((langs, matrix))
+    return blocks
 
 
-def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, lang_pred, score) for each row: the likeliest language and its posterior probability."""
-    langs, matrix = model
-    shared = docs.sparkSession.sparkContext.broadcast((langs, matrix.astype(np.float32)))
+def _scored(shared, last: bool):
+    """A pass over the documents with one block of languages: the likeliest so far, its log-probability, and the sum of all against it."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        langs, matrix = shared.value
-        buckets = len(matrix) - 1
+        langs, matrix = shared.value if shared is not None else ([], np.zeros((BUCKETS + 1, 0), np.float32))
         for batch in batches:
             for part in slices(batch, "_text", SLICE):
-                best, sure = [], []
-                for found in gram_counts(part.column(1).to_pylist(), buckets):
-                    if found is None or not langs:
-                        best.append("und")
-                        sure.append(0.0)
-                        continue
-                    log_p = matrix[-1].astype(np.float64) + found[1].astype(np.float64) @ matrix[found[0]].astype(np.float64)
-                    i = int(np.argmax(log_p))
-                    best.append(langs[i])
-                    sure.append(float(1.0 / np.exp(log_p - log_p[i]).sum()))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(best, pa.string()), pa.array(sure, pa.float64())], ["_key", "lang_pred", "score"])
-
-    lean = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
-    kind = lean.schema["_key"].dataType.simpleString()
-    return lean.mapInArrow(score, f"_key {kind}, lang_pred string, score double").withColumnRenamed("_key", key)
+                names, tops, sums = [], [], []
+                so_far = zip(*(part.column(i).to_pylist() for i in (2, 3, 4)), strict=True)
+                for found, (name, top, total) in zip(gram_counts(part.column(1).to_pylist(), len(matrix) - 1), so_far, strict=True):
+                    if found is not None and langs:
+                        log_p = matrix[-1].astype(np.float64) + found[1].astype(np.float64) @ matrix[found[0]].astype(np.float64)
+                        i = int(np.argmax(log_p))
+                        highest = max(top, float(log_p[i]))
+                        total = total * np.exp(top - highest) + float(np.exp(log_p - highest).sum())
+                        name, top = (langs[i], highest) if log_p[i] > top else (name, top)
+                    names.append(name)
+                    tops.append(top)
+                    sums.append(total)
+                names = pa.array(names, pa.string())
+                if last:
+                    sure = [1 / total if total else 0.0 for total in sums]
+                    yield pa.RecordBatch.from_arrays([part.column(0), names, pa.array(sure, pa.float64())], ["_key", "lang_pred", "score"])
+                else:
+                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), names, pa.array(tops, pa.float64()), pa.array(sums, pa.float64())], part.schema.names)
+
+    return score
+
+
+def identify(docs: DataFrame, model: list[tuple[list[str], np.ndarray]], key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, lang_pred, score) for each row: the likeliest language and its posterior probability."""
+    context = docs.sparkSession.sparkContext
+    rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"), F.lit(UNKNOWN).alias("_lang"), F.lit(float("-inf")).alias("_top"), F.lit(0.0).alias("_sum"))
+    kind = rows.schema["_key"].dataType.simpleString()
+    for at, block in enumerate(model or [None]):
+        last = at + 1 >= len(model)
+        shared = context.broadcast(block) if block is not None else None
+        rows = rows.mapInArrow(_scored(shared, last), f"_key {kind}, lang_pred string, score double" if last else f"_key {kind}, _text string, _lang string, _top double, _sum double")
+    return rows.withColumnRenamed("_key", key)
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

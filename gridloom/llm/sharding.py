@@ -29,7 +29,9 @@ from pyspark.sql import functions as F
 
 from gridloom.llm.common import Spread, partitions, settle, spread_join, table
 
-ROUNDS = 12
+ROUNDS = 8
+#: Rounds end before when fewer than one in so many linked rows would move.
+STILL = 500
 #: By how much a shard may be too full in the first round; in the last two by nothing.
 SLACK = 0.25
 #: Movers of a group go together if the group fills this share of a shard at most.
@@ -62,16 +64,16 @@ def _quotas(wanted: list[list[float]], room: list[float]) -> list[list[float]]:
 def propagate(member: DataFrame, shards: int, capacity: float, rounds: int = ROUNDS) -> DataFrame:
     """(node, shard) after moving nodes towards their neighbours' shards; ``member``: (node, group, weight, shard), each node and group once."""
     first = F.row_number().over(Window.partitionBy("node").orderBy("group")) == 1
-    spread = Spread(settle(member.withColumn("own", F.when(first, F.col("weight")).otherwise(0))), "group")
+    sizes = member.groupBy("group").agg(F.sum("weight").alias("_w")).where(F.col("_w") > TOGETHER * capacity).select("group", F.lit(True).alias("large"))
+    spread = Spread(settle(spread_join(settle(member.withColumn("own", F.when(first, F.col("weight")).otherwise(0))), sizes, "group", "left")), "group")
     spread.rows = settle(spread.rows)
-    large = settle(spread.rows.groupBy("group").agg(F.sum("weight").alias("held")).where(F.col("held") > TOGETHER * capacity).select("group", F.lit(True).alias("large")))
+    held = {r[0]: r[1] for r in spread.rows.groupBy("shard").agg(F.sum("own")).collect()}  # a row for each shard at most
     every = range(shards)
+    loads = [float(held.get(i, 0)) for i in every]
     for step in range(rounds):
         full = capacity * (1 + SLACK * max(0.0, 1 - step / max(1, rounds - 2)))
-        held = {r[0]: r[1] for r in spread.rows.groupBy("shard").agg(F.sum("own")).collect()}  # a row for each shard at most
-        loads = [float(held.get(i, 0)) for i in every]
         room = [full - n for n in loads]
-        cells = spread.rows.groupBy("group", "shard").agg(F.sum("weight").alias("held")).join(large, "group", "left").withColumnRenamed("shard", "there")
+        cells = spread.rows.groupBy("group", "shard").agg(F.sum("weight").alias("held")).withColumnRenamed("shard", "there")
         near = spread.join(cells).withColumnRenamed("shard", "home").repartition("node")  # a row for each shard that holds some of the group
         votes = near.groupBy("node", "weight", "home", "there").agg(F.sum("held").alias("held"), F.max(F.struct("held", "group", "large")).alias("lead"), F.count("*").alias("groups"))
         own = F.col("there") == F.col("home")
@@ -83,6 +85,8 @@ def propagate(member: DataFrame, shards: int, capacity: float, rounds: int = ROU
         wish = lambda c: F.when(better(c), -F.col(f"{c}.back"))
         wishes = settle(goals.select("node", "weight", "home", wish("best").alias("one"), wish("open").alias("two"), crowd("best").alias("crowd_one"), crowd("open").alias("crowd_two"), crowd("stay").alias("crowd")))
         asked = wishes.groupBy("home", "one", "two").agg(F.sum("weight")).collect()  # shards to the power of three at most
+        loads = [float(sum(n for home, _, _, n in asked if home == i)) for i in every]
+        room = [full - n for n in loads]
         wanted, second = [[0.0] * shards for _ in every], [[0.0] * shards for _ in every]
         for home, one, _, n in asked:
             if one is not None:
@@ -97,8 +101,10 @@ def propagate(member: DataFrame, shards: int, capacity: float, rounds: int = ROU
         over = [min(1.0, max(0.0, -room[i]) / max(1.0, loads[i])) for i in every]
         free = [max(0.0, r) for r in room]
         upto = [sum(free[: i + 1]) / max(1e-9, sum(free)) for i in range(shards - 1)]
-        if not asked or (not any(map(any, wanted)) and not any(o * n >= 1 for o, n in zip(over, loads, strict=True))):
+        moving = sum(wanted[a][b] * grant[a][b] + second[a][b] * more[a][b] for a in every for b in every) + sum(o * n for o, n in zip(over, loads, strict=True))
+        if moving * STILL < sum(loads):
             break
+        loads = [full - r for r in room]  # as expected
         granted = lambda shares, c: _pick([x for row in shares for x in row], f"home * {shards} + {c}")
         away = sum(((_unit("crowd", F.lit(step), F.lit("where")) >= c).cast("int") for c in upto), F.lit(0))
         target = (

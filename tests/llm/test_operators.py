@@ -76,6 +76,24 @@ def test_sharding(spark, docs, rows, none):
     assert len(held) <= 5  # a third of all rows needs three shards
 
 
+@pytest.mark.parametrize("more", [0, 2000])
+def test_sharding_cuts_no_clean_groups(spark, more):
+    """32 groups of 30 that fit in 8 shards, with and without unlinked documents."""
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(960 + more)], "doc_id long, text string")
+    table = spark.createDataFrame([(i, f"g{i // 30}") for i in range(960)], "doc_id long, group string")
+    got = sharding.assign(docs, 8, links=table)
+    sizes = Counter(r["shard"] for r in got.collect())
+    assert max(sizes.values()) - min(sizes.values()) <= 1
+    cut, links = sharding.cut(table.join(got, "doc_id").select("group", F.lit(1).alias("weight"), "shard"))
+    assert links == 32 * 435 and cut <= 7 * 225  # one group at each of the seven borders at most
+
+
+def test_quotas_let_full_shards_exchange():
+    quota = sharding._quotas([[0, 10, 0], [10, 0, 0], [0, 5, 0]], [0.0, 0.0, 0.0])
+    assert quota[0][1] == pytest.approx(quota[2][1]) and 10 * quota[0][1] + 5 * quota[2][1] <= 10 * quota[1][0] + 1e-5
+    assert sharding._quotas([[0, 4], [0, 0]], [9.0, 3.0])[0][1] == pytest.approx(0.75)
+
+
 def test_sharding_cuts_less_than_chance(spark):
     """Documents of many groups: communities of 30 gather, so far fewer links are cut than by placing at random."""
     rng = random.Random(5)
@@ -210,7 +228,45 @@ def test_decontamination_with_other_ids(spark, monkeypatch):
         assert left.columns == texts.columns and [tuple(r) for r in left.collect()] == [(2, "nothing here", 8, "k", "s")]
 
 
-def test_language(spark, docs, rows, none):
+def test_least_distance_of_periodic_items():
+    """Items that repeat themselves, in texts with several near places: the distance is the least over all of them."""
+    rng = random.Random(12)
+
+    def least(item, text):
+        row = [0] * (len(text) + 1)
+        for i, c in enumerate(item, 1):
+            new = [i]
+            for j, d in enumerate(text, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (c != d)))
+            row = new
+        return min(row)
+
+    def spoilt(text, edits):
+        for _ in range(edits):
+            p = rng.randrange(len(text))
+            text = rng.choice([text[:p] + text[p + 1 :], text[:p] + "q" + text[p:], text[:p] + "q" + text[p + 1 :]])
+        return text
+
+    for _ in range(400):
+        unit = "".join(rng.choice("abc") for _ in range(rng.randrange(2, 9)))
+        item = (unit * 60)[: rng.randrange(26, 90)]
+        text = "".join(rng.choice([spoilt(item, rng.randrange(5)), unit * rng.randrange(1, 6), "xyz", item[: rng.randrange(len(item))]]) for _ in range(rng.randrange(1, 6)))
+        budget = decontaminate.budget(item)
+        hits = decontaminate.Matcher([(1, item)]).hits(text)
+        want = least(item, text)
+        if want > budget:
+            assert not hits
+        else:
+            ((_, distance, start, end, count),) = hits
+            assert distance == want and count >= 1
+            assert least(item, text[start:end]) == want
+
+
+@pytest.mark.parametrize("block", [256, 2])
+def test_language(spark, docs, rows, none, monkeypatch, block):
+    """With two languages a block there are two passes."""
+    monkeypatch.setattr(language, "BLOCK_LANGUAGES", block)
+    monkeypatch.setattr(language, "COUNTED", block // 2)
     rng = random.Random(4)
     tongues = {"aa": "kal mon tiru sel", "bb": "über straße können", "cc": "привет как дела"}
     train = [(i, " ".join(rng.choices(tongues[k].split(), k=30)), k) for i, k in enumerate(sorted(tongues) * 10)]
