@@ -8,7 +8,7 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.functions.normalize import number, xy_from_text
+from gridloom.functions.normalize import number, token, xy_from_text
 
 #: Beyond this a coordinate can't be degrees, so the layer is in metres.
 DEGREES = 1000.0
@@ -107,31 +107,26 @@ def materialise(layers: Mapping[str, DataFrame], buses: tuple[str, str, str] | N
     return out
 
 
-def parent_column(columns: Iterable[str]) -> str | None:
-    """The column that names a segment's parent: by a name of its own, else the last that holds one."""
-    best, names = None, {name_token(a) for a in PARENT}
-    for c in columns:
-        token = name_token(c)
-        if ("padre" in token and ("tramo" in token or "segment" in token)) or token in names:
-            return c
-        if any(name_token(a) in token for a in PARENT if len(a) >= 4):
-            best = c
-    return best
+def column_roles(catalog: DataFrame) -> DataFrame:
+    """(table, parent, feeder): of each table the columns that name a segment's parent and the feeder of its root segments.
 
-
-def feeder_column(columns: Iterable[str]) -> str | None:
-    """The column that names the feeder of root segments."""
-    names = {name_token(a) for a in FEEDER}
-    return next((c for c in columns if "salida" in name_token(c) or name_token(c) in names), None)
-
-
-def holds_endpoints(name: str) -> bool:
-    """Whether a column's name may hold ids of buses."""
-    token = name_token(name)
-    return not any(word in token for word in NO_ENDPOINT)
-
-
-def sound_endpoints(columns: Iterable[str], fields: Mapping[str, str]) -> dict[str, str]:
-    """A mapping's fields without ends of lines that lead to a column that isn't there or can't hold one."""
-    there = set(columns)
-    return {f: c for f, c in fields.items() if f not in ("from_bus", "to_bus") or (c in there and holds_endpoints(c))}
+    ``catalog``: a row for each column of any number of tables, (table, column, position). Each column gets a score: a
+    parent's by a name of its own or by the two words for a parent and a segment (the first such column wins), less by
+    a name that only holds one (the last wins); a feeder's by a name of its own or one that holds its outlet's word.
+    """
+    rows = catalog.withColumn("token", token(F.col("column")))
+    holds = lambda *words: F.greatest(*(F.col("token").contains(w) for w in words), F.lit(False))
+    parents = sorted({name_token(w) for w in PARENT})
+    sure = F.col("token").isin(*parents) | (holds("padre") & holds("tramo", "segment"))
+    likely = holds(*(w for w in parents if len(w) >= 4))
+    place = F.col("position").cast("long")
+    parent = F.when(sure, F.struct(F.lit(2).alias("score"), (-place).alias("place"))).when(likely, F.struct(F.lit(1).alias("score"), place.alias("place")))
+    feeder = F.when(holds("salida") | F.col("token").isin(*sorted({name_token(w) for w in FEEDER})), -place)
+    return rows.groupBy("table").agg(F.max_by("column", parent).alias("parent"), F.max_by("column", feeder).alias("feeder"))
+
+
+def sound_endpoints(mapping: DataFrame, catalog: DataFrame) -> DataFrame:
+    """The rows (table, field, column) of a mapping without ends of lines that lead to a column that isn't there or whose name says that it holds something else."""
+    there = mapping.join(catalog.select("table", "column").distinct(), ["table", "column"], "left_semi")
+    fit = there.where(~F.greatest(*(token(F.col("column")).contains(w) for w in NO_ENDPOINT)))
+    return mapping.where(~F.col("field").isin("from_bus", "to_bus")).unionByName(fit.where(F.col("field").isin("from_bus", "to_bus")))

@@ -57,8 +57,10 @@ def place_metric(spark, sf_dir):
 def hierarchy_detected(spark, sf_dir):
     """Ends of segments by the parent and feeder columns that the layer's column names give away."""
     raw = _raw(spark, sf_dir)
-    fields = P.sound_endpoints(raw.columns, {"from_bus": "zona", "to_bus": "nowhere", "id": "codtramo"})
-    parent, feeder = P.parent_column(raw.columns), P.feeder_column(raw.columns)
+    catalog = spark.createDataFrame([("raw", c, i) for i, c in enumerate(raw.columns)], "table string, column string, position int")
+    mapping = spark.createDataFrame([("raw", "from_bus", "zona"), ("raw", "to_bus", "nowhere"), ("raw", "id", "codtramo")], "table string, field string, column string")
+    fields = {r["field"]: r["column"] for r in P.sound_endpoints(mapping, catalog).collect()}  # a row for each mapped column
+    _, parent, feeder = P.column_roles(catalog).first()
     from gridloom.functions.normalize import parent_reference
 
     none = F.lit(None).cast("string")

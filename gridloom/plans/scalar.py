@@ -81,6 +81,13 @@ def x_output_value(spark, sf_dir):
     )
 
 
+#: Labels of columns, and the units that they stand for as a length, an active and a reactive power.
+LABELS = {
+    "Longitud_m": "m MW Mvar", "Longitudkm": "km MW Mvar", "LargoM": "m MW Mvar", "Largo (m)": "m MW Mvar", "metros total": "m MW Mvar", "Longitud": "km MW Mvar", "Potencia (kW)": "km kW Mvar", "P MW": "km MW Mvar", "W": "km W Mvar",
+    "PAC": "km kW Mvar", "Demanda": "km kW Mvar", "Q kvar": "km MW kvar", "Qac": "km MW kvar", "Reactiva": "km MW kvar", "Var": "km MW var", "Q (MVAr)": "km MW Mvar", "Dato": "km MW Mvar", "Potencia MW": "km MW Mvar", "mwkw": "km kW Mvar",
+}
+
+
 def x_header_parts(spark, sf_dir):
     label = F.concat(F.when(F.col("k") % 3 == 0, "loc_name").when(F.col("k") % 3 == 1, "dline").otherwise("bad"), F.when(F.col("k") % 3 == 2, "").otherwise(F.concat(F.lit("("), F.when(F.col("k") % 2 == 0, "a:40").otherwise("r"), F.lit(")"))))
     name, kind, size = normalize.header_parts(F.col("label"))
@@ -88,8 +95,10 @@ def x_header_parts(spark, sf_dir):
 
 
 def x_unit_label(spark, sf_dir):
-    label = F.concat(F.when(F.col("k") % 4 == 0, "Longitud_").when(F.col("k") % 4 == 1, "Potencia (").when(F.col("k") % 4 == 2, "Q ").otherwise("Dato"), F.when(F.col("k") % 5 == 0, "m").when(F.col("k") % 5 == 1, "kW)").when(F.col("k") % 5 == 2, "kvar").when(F.col("k") % 5 == 3, "km").otherwise(""))
-    return _raw(spark, sf_dir).withColumn("label", label).select("k", normalize.unit_of_label(F.col("label")).alias("unit"))
+    words = F.element_at(F.array(*(F.lit(w) for w in LABELS)), (F.col("k") % len(LABELS) + 1).cast("int"))
+    label = F.concat(words, F.when(F.col("k") % 3 == 0, F.lit(" ")).otherwise(F.lit("")))
+    rows = _raw(spark, sf_dir).withColumn("label", label)
+    return rows.select("k", *(normalize.unit_of_label(F.col("label"), q).alias(q) for q in ("length", "active", "reactive")))
 
 
 def x_wkt_length(spark, sf_dir):
@@ -150,7 +159,7 @@ SQL = {
 FROM (SELECT *, CASE WHEN pf >= 0 THEN 1.0 ELSE -1.0 END AS sign_, greatest(abs(pf), 1e-9) AS near FROM (SELECT *, greatest(-1.0, least(1.0, value_2 / 100)) AS pf FROM raw))""", "raw"),
     "x_output_value": with_grid("SELECT k, CASE raw_unit WHEN 'kW' THEN '1' WHEN 'w' THEN '2' ELSE raw_unit END AS mapped, printf('T%06d', k) AS formatted, CAST(k % 2 = 0 AS INTEGER) AS flag, round(value_2 * 2.5 + 1, 6) AS scaled FROM raw", "raw"),
     "x_header_parts": with_grid("SELECT k, CASE k % 3 WHEN 0 THEN 'loc_name' WHEN 1 THEN 'dline' ELSE '' END AS name, CASE WHEN k % 3 = 2 THEN '' WHEN k % 2 = 0 THEN 'a' ELSE 'r' END AS kind, CASE WHEN k % 3 <> 2 AND k % 2 = 0 THEN 40 ELSE 0 END::INTEGER AS size FROM raw", "raw"),
-    "x_unit_label": with_grid("SELECT k, CASE WHEN k % 4 = 3 AND k % 5 <> 4 THEN NULL ELSE CASE k % 5 WHEN 0 THEN 'm' WHEN 1 THEN 'kW' WHEN 2 THEN 'kvar' WHEN 3 THEN 'km' END END AS unit FROM raw", "raw"),
+    "x_unit_label": with_grid("SELECT k, u[1] AS length, u[2] AS active, u[3] AS reactive FROM (SELECT k, string_split([" + ", ".join(f"'{u}'" for u in LABELS.values()) + f"][k % {len(LABELS)} + 1], ' ') AS u FROM raw)", "raw"),
     "x_wkt_length": with_grid("SELECT k, CASE k % 3 WHEN 0 THEN 3 ELSE 1 END::INTEGER AS n_points, round(CASE k % 3 WHEN 0 THEN sqrt((k % 100 - 3) * (k % 100 - 3) + 16.0) + abs(k % 50 + 0.5 - 4) ELSE 0 END, 6) AS length, CAST(k % 100 AS DOUBLE) AS x1, CASE k % 3 WHEN 0 THEN k % 50 + 0.5 ELSE 7 END::DOUBLE AS y2 FROM raw WHERE k % 3 <> 2", "raw"),
 }
 

@@ -82,10 +82,14 @@ def test_library(spark, tmp_path):
         library.read_library(spark, str(tmp_path / "bad.json"))
 
 
-def test_column_names():
-    assert coordinates.parent_column(["a", "CodTramoBTPadre"]) == "CodTramoBTPadre" and coordinates.parent_column(["a"]) is None
-    assert coordinates.feeder_column(["x", "CodSalidaBT"]) == "CodSalidaBT"
-    assert coordinates.sound_endpoints(["A", "Distrito"], {"from_bus": "Distrito", "to_bus": "gone", "id": "A"}) == {"id": "A"}
+def test_column_names(spark):
+    tables = {"a": ["x", "CodTramoBTPadre", "Padre", "CodSalidaBT", "Salida2"], "b": ["a"], "c": ["mi_origen", "su_origen", "Alimentador"], "d": ["Bus 1", "Segmento Padre"]}
+    catalog = spark.createDataFrame([(t, c, i) for t, names in tables.items() for i, c in enumerate(names)], "table string, column string, position int")
+    got = {r[0]: r[1:] for r in coordinates.column_roles(catalog).collect()}
+    assert got == {"a": ("CodTramoBTPadre", "CodSalidaBT"), "b": (None, None), "c": ("su_origen", "Alimentador"), "d": ("Bus 1", None)}
+    names = spark.createDataFrame([("t", "A", 0), ("t", "Distrito", 1), ("t", "Nodo", 2)], "table string, column string, position int")
+    fields = spark.createDataFrame([("t", "from_bus", "Distrito"), ("t", "to_bus", "gone"), ("t", "id", "A"), ("u", "from_bus", "Nodo"), ("t", "to_bus", "Nodo")], "table string, field string, column string")
+    assert sorted(map(tuple, coordinates.sound_endpoints(fields, names).collect())) == [("t", "id", "A"), ("t", "to_bus", "Nodo")]
     assert coordinates.span_columns(["X 1", "y1", "X2", "Y-2", "z"]) == ("X 1", "y1", "X2", "Y-2") and coordinates.span_columns(["x1"]) is None
 
 
