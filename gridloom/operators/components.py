@@ -139,7 +139,90 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", c
     return members.unionAll(current.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
+#: Edges of a graph, or of what contraction has left of it, that one task joins at once.
+FINISH = 1 << 17
+#: Rows of a round that one task takes, and edges from which a node may be a hub.
+TASK_ROWS = 1 << 13
+LEAST_HUB = 64
+
+
+def _whole(pairs: DataFrame) -> DataFrame:
+    """(node, component) of at most FINISH edges (u, v), in one task."""
+    stars = pairs.coalesce(1).mapInArrow(_contract, pairs.schema).select(F.col("u").alias("node"), F.col("v").alias("component"))
+    return stars.unionAll(stars.select(F.col("component").alias("node"), "component").distinct())
+
+
+def _beside(rows: DataFrame, facts: DataFrame, key: str, hubs: DataFrame | None, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``facts`` by ``key``; those of hubs, of which there are no more than tasks, by a broadcast."""
+    if hubs is None:
+        return rows.join(facts, key, how)
+    few = F.broadcast(hubs.select(F.col("hub").alias(key)))
+    return rows.join(F.broadcast(facts.join(few, key, "left_semi")), key).unionByName(rows.join(few, key, "left_anti").join(facts, key, how), allowMissingColumns=True)
+
+
+def _hubs(counted: DataFrame, key: str, total: int) -> DataFrame | None:
+    """(hub): the keys of ``counted`` (key, n) that hold more than a task's mean of ``total`` rows, so fewer than tasks."""
+    spark = counted.sparkSession
+    most = max(LEAST_HUB, total / int(spark.conf.get("spark.sql.shuffle.partitions")))
+    found = counted.where(F.col("n") > most).select(F.col(key).alias("hub"))
+    rows = found.collect()  # fewer than tasks
+    return spark.createDataFrame(rows, found.schema) if rows else None
+
+
+def _fit(df: DataFrame, rows: int) -> DataFrame:
+    """Few rows in few tasks: each of them leaves files behind."""
+    return df.coalesce(max(1, -(-rows // TASK_ROWS)))
+
+
+def joined(edges: DataFrame, src: str = "src", dst: str = "dst", scattered: bool = False) -> DataFrame:
+    """(node, component) as ``connected_components``, by local contraction (Lacki et al., 2018): each round halves the graph.
+
+    Nodes are numbered once in random order. In a round every node takes the least number among itself and its
+    neighbours; nodes of one number are one node of the next round, and an edge within it is gone. So all rounds together
+    cost about twice the first, and components that are whole take no further part. What is left, FINISH edges at most,
+    is joined in one task, as a graph of that size is from the start.
+
+    ``scattered``: nodes are hashes, so in random order already, and any of a component's nodes may name it; then rounds
+    go on to the end, without a last task.
+    """
+    u, v = F.col(f"`{src}`"), F.col(f"`{dst}`")
+    pairs = settle(edges.select(F.greatest(u, v).alias("a"), F.least(u, v).alias("b")).where(u.isNotNull() & v.isNotNull() & (u != v)).distinct())
+    left, least = pairs.count(), 0 if scattered else FINISH
+    if left <= least and not scattered:
+        return settle(_whole(pairs.toDF("u", "v")))
+    current = _fit(pairs, left)
+    if not scattered:
+        nodes = pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).distinct()
+        names = settle(numbered(settle(nodes.withColumn("_order", F.xxhash64("node"))), "_order", "node").select("node", "number"))
+        one, two = (names.select(F.col("node").alias(c), F.col("number").alias(f"_{c}")) for c in ("a", "b"))
+        current = settle(pairs.join(one, "a").join(two, "b").select(F.greatest("_a", "_b").alias("a"), F.least("_a", "_b").alias("b")))
+    rounds = []
+    while left > least:
+        both = current.unionAll(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        taken = both.groupBy("a").agg(F.min("b").alias("b"), F.count("*").alias("n")).select(F.col("a").alias("node"), F.least("a", "b").alias("into"), "n")
+        taken = settle(_fit(taken, 2 * left))
+        hubs = _hubs(taken, "node", left)
+        one, two = (taken.select(F.col("node").alias(c), F.col("into").alias(f"_{c}")) for c in ("a", "b"))
+        moved = _beside(_beside(current, one, "a", hubs), two, "b", hubs).where("_a != _b")
+        current = settle(_fit(moved.select(F.greatest("_a", "_b").alias("a"), F.least("_a", "_b").alias("b")).distinct(), left))
+        left = current.count()
+        current = _fit(current, left)
+        rounds.append((taken.select("node", "into"), hubs))
+    members = _whole(current.toDF("u", "v")) if left else None
+    for taken, hubs in reversed(rounds):
+        if members is None:
+            members = taken.select("node", F.col("into").alias("component"))
+        else:
+            known = members.select(F.col("node").alias("into"), "component")
+            members = _beside(taken, known, "into", hubs, "left").select("node", F.coalesce("component", "into").alias("component"))
+    if scattered:
+        return pairs.select(F.col("a").alias("node"), F.col("b").alias("component")) if members is None else members
+    named = settle(names.select(F.col("node").alias("name"), F.col("number").alias("node")).join(members, "node").select(F.col("name").alias("node"), "component"))
+    least = settle(named.groupBy("component").agg(F.min("node").alias("least"), F.count("*").alias("n")))
+    return _beside(named, least.select("component", "least"), "component", _hubs(least, "component", named.count())).select("node", F.col("least").alias("component"))
+
+
 def components_of(spark: SparkSession, nodes: DataFrame, edges: DataFrame, node: str, src: str = "src", dst: str = "dst") -> DataFrame:
     """(node, component) for every row of ``nodes``; one without edges is its own component."""
-    found = connected_components(edges, src, dst)
+    found = joined(edges, src, dst)
     return nodes.select(F.col(node).alias("node")).join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))

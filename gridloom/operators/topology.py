@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.operators.components import Frontiers, connected_components, numbered, settle
+from gridloom.operators.components import Frontiers, joined, numbered, settle
 
 EDGE = ("key", "object_type", "object_id", "src", "dst", "conductive")
 
@@ -42,7 +42,7 @@ def ends(edge: DataFrame) -> DataFrame:
 
 def islands_of_buses(bus: DataFrame, edge: DataFrame) -> DataFrame:
     """(bus, component): the component is its smallest bus id."""
-    found = connected_components(conductive(edge))
+    found = joined(conductive(edge))
     return bus.select(F.col("id").alias("bus")).join(found.withColumnRenamed("node", "bus"), "bus", "left").select("bus", F.coalesce("component", "bus").alias("component"))
 
 
@@ -134,7 +134,7 @@ class Feeders:
         self.stops = sources.select("bus").distinct()
         self.sources, self.allowed, self.wires = sources, allowed, wires
         inner = allowed.join(self.stops.withColumnRenamed("bus", "src"), "src", "left_anti").join(self.stops.withColumnRenamed("bus", "dst"), "dst", "left_anti")
-        found = connected_components(inner)
+        found = joined(inner)
         interior = bus.select(F.col("id").alias("bus")).join(self.stops, "bus", "left_anti")
         self.labels = settle(interior.join(found.withColumnRenamed("node", "bus"), "bus", "left").select("bus", F.coalesce("component", "bus").alias("component")))
         side = ends(allowed)
@@ -198,7 +198,7 @@ def unstopped_feeders(labels: DataFrame, edge: DataFrame, sources: DataFrame, cr
     wide = allowed.join(labels.withColumnRenamed("bus", "src"), "src").join(of, "component")
     name = lambda c: F.concat("source_id", F.lit("|"), c)
     inner = wide.where((F.col("src") != F.col("at")) & (F.col("dst") != F.col("at")))
-    found = settle(connected_components(inner.select(name("src").alias("src"), name("dst").alias("dst"))))
+    found = settle(joined(inner.select(name("src").alias("src"), name("dst").alias("dst"))))
     side = ends(allowed).join(of.select("source_id", F.col("at").alias("bus")), "bus")
     roots = side.select(name("key").alias("feeder"), "source_id", F.col("bus").alias("at"), "other", name("other").alias("node"))
     near = roots.join(found, "node", "left").select("feeder", "source_id", "at", "other", F.coalesce("component", "node").alias("component"))
@@ -216,7 +216,7 @@ def branches(edge: DataFrame, stops: DataFrame) -> DataFrame:
     side = ends(wires)
     shape = side.groupBy("bus").agg(F.count("*").alias("degree"), F.countDistinct("other").alias("neighbours"), F.max((F.col("object_type") != "line").cast("int")).alias("split"), F.min("key").alias("a"), F.max("key").alias("b"))
     inner = shape.where("degree = 2 AND neighbours = 2 AND split = 0").join(stops.select("bus"), "bus", "left_anti")
-    found = connected_components(inner.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    found = joined(inner.select(F.col("a").alias("src"), F.col("b").alias("dst")))
     return wires.select("key").join(found.withColumnRenamed("node", "key"), "key", "left").select("key", F.coalesce("component", "key").alias("branch"))
 
 
@@ -236,7 +236,7 @@ def propagate_labels(edge: DataFrame, labels: DataFrame) -> DataFrame:
 
     Components with one label take it by a join; only the others go through rounds, until one adds nothing.
     """
-    parts = connected_components(edge)
+    parts = joined(edge)
     marked = labels.join(parts.withColumnRenamed("node", "bus"), "bus")
     kinds = marked.groupBy("component").agg(F.min("label").alias("label"), F.countDistinct("label").alias("n"))
     single = parts.join(kinds.where("n = 1"), "component").select(F.col("node").alias("bus"), "label")
@@ -293,7 +293,7 @@ def feeder_membership(bus: DataFrame, line: DataFrame, transformer: DataFrame, s
     A head's feeder is its own feeder id or its bus. In a geometry inventory, or without a line or transformer, no bus has a feeder.
     """
     wires = line.select(F.col("from_bus").alias("src"), F.col("to_bus").alias("dst")).unionAll(transformer.select("hv_bus", "lv_bus"))
-    found = connected_components(wires)
+    found = joined(wires)
     labels = settle(bus.select(F.col("id").alias("bus"), "feeder_id").join(found.withColumnRenamed("node", "bus"), "bus", "left").withColumn("component", F.coalesce("component", "bus")))
     heads = feeder_heads(bus, line, source).join(labels, "bus").groupBy("component").agg(F.min_by(F.coalesce("feeder_id", "bus"), "bus").alias("head"))
     bare = geometry_inventory(bus).crossJoin(wires.agg(F.count("*").alias("n"))).select((F.col("inventory") | (F.col("n") == 0)).alias("bare"))  # one row
