@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm.common import as_bytes, mix, partitions, settle, slices, span_hashes, spread_join, table, trim, trimmed, word_spans
-from gridloom.operators.components import connected_components
+from gridloom.operators.components import joined
 
 WORDS = 5
 #: Similarity of 0.8 or more, as a fraction, so that no rounding decides.
@@ -230,7 +230,7 @@ def join_similar(docs: DataFrame, key: str = "doc_id", text: str = "text", extra
     entries = sets.select("gid", F.posexplode("bands").alias("band", "hash"))
     buckets = entries.groupBy("band", "hash").agg(F.count("*").alias("n"), F.min("gid").alias("least")).where("n > 1").drop("n")
     near = entries.join(buckets, ["band", "hash"]).where("gid != least").select(F.col("gid").alias("src"), F.col("least").alias("dst")).distinct()
-    candidates = connected_components(near).withColumnRenamed("node", "gid")
+    candidates = joined(near, scattered=True).withColumnRenamed("node", "gid")
 
     firsts = candidates.join(sets.select("gid", "first"), "gid").select("gid", "component", F.col("first._key").alias("_key"), F.col("first._hash").alias("_hash"))
     held = docs.select(F.col(key).alias("_key"), F.xxhash64(F.col(text)).alias("_hash"), F.col(text).alias("text")).where("text is not null")
@@ -245,7 +245,7 @@ def join_similar(docs: DataFrame, key: str = "doc_id", text: str = "text", extra
     found = settle(tasks.groupBy("bundle").applyInArrow(_verify, "gid binary, links long, other binary"))
 
     links = found.groupBy("gid").agg(F.sum("links").alias("n_links"))
-    classes = connected_components(found.select(F.col("gid").alias("src"), F.col("other").alias("dst"))).withColumnRenamed("node", "gid")
+    classes = joined(found.select(F.col("gid").alias("src"), F.col("other").alias("dst")), scattered=True).withColumnRenamed("node", "gid")
     known = sets.select("gid", "n_copies").join(links, "gid", "left").join(classes, "gid", "left")
     known = known.select("gid", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component", "gid").alias("class_gid"))
     return signed.drop("bands").join(known, "gid", "left").withColumnRenamed("_key", key).drop("_hash")
