@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gridloom.operators import topology as T
+from gridloom.operators.loops import loops
 from gridloom.plans.testbed import Grid, with_grid
 
 
@@ -129,7 +130,13 @@ def graph_label_propagation(spark, sf_dir):
     return T.propagate_labels(wires, n.bus.where("feeder_id IS NOT NULL").select(F.col("id").alias("bus"), F.col("feeder_id").alias("label")))
 
 
-QUERIES = {f.__name__: f for f in (graph_edges, graph_components, graph_islands, graph_isolated, graph_energized, graph_deenergized, graph_source_trace_buses, graph_source_trace_edges, graph_feeder_buses, graph_feeder_edges, graph_feeder_boundaries, graph_feeder_overlaps, graph_feeder_buses_crossing, graph_open_boundaries, graph_parallel_groups, graph_degrees, graph_branches, graph_feeder_membership, graph_label_propagation)}
+def graph_loops(spark, sf_dir):
+    """The buses of each independent loop, in order."""
+    n = Net(spark, sf_dir)
+    return loops(n.edge, n.labels)
+
+
+QUERIES = {f.__name__: f for f in (graph_loops, graph_edges, graph_components, graph_islands, graph_isolated, graph_energized, graph_deenergized, graph_source_trace_buses, graph_source_trace_edges, graph_feeder_buses, graph_feeder_edges, graph_feeder_boundaries, graph_feeder_overlaps, graph_feeder_buses_crossing, graph_open_boundaries, graph_parallel_groups, graph_degrees, graph_branches, graph_feeder_membership, graph_label_propagation)}
 
 _E = """edge AS (
   SELECT concat('line:', id) AS key, 'line' AS object_type, id AS object_id, from_bus AS src, to_bus AS dst, TRUE AS conductive FROM line WHERE in_service

@@ -112,7 +112,7 @@ SQL = {
     "rule_lib": with_grid(_LIB, "line", "transformer", "line_type", "transformer_type"),
     "rule_top": with_grid(
         _TOPO + _i("TOP001", "WARNING", "topology", "bus", "id") + "bus WHERE id NOT IN (SELECT bus FROM side) UNION ALL " + _i("TOP002", "WARNING", "topology", "bus", "id") + "bus WHERE id NOT IN (SELECT bus FROM live) AND EXISTS (SELECT 1 FROM source) UNION ALL "
-        + _i("TOP003", "WARNING", "topology", "island", "component", "CAST(loop_count AS VARCHAR)") + "isl WHERE loop_count > 0 UNION ALL " + _i("TOP006", "INFO", "topology", "island", "component", "source_ids") + "isl WHERE source_count > 1 UNION ALL "
+        + _i("TOP003", "WARNING", "topology", "loop", "concat(component, '#', CAST(number AS VARCHAR))") + "(SELECT component, unnest(range(1, loop_count + 1)) AS number FROM isl) UNION ALL " + _i("TOP006", "INFO", "topology", "island", "component", "source_ids") + "isl WHERE source_count > 1 UNION ALL "
         + _i("TOP004", "INFO", "topology", "bus", "least(src, dst)", "string_agg(key, ',' ORDER BY key)") + "wire GROUP BY least(src, dst), greatest(src, dst) HAVING count(*) > 1 UNION ALL "
         + _i("TOP007", "INFO", "topology", "switch", "id") + "switch WHERE in_service AND NOT closed AND (from_bus IN (SELECT bus FROM live)) <> (to_bus IN (SELECT bus FROM live)) UNION ALL " + _i("TOP005", "WARNING", "topology", "bus", "bus", "CAST(n_feeders AS VARCHAR)") + "over_", *_ALL),
     "rule_rdy": with_grid(
