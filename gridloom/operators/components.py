@@ -152,7 +152,7 @@ def _whole(pairs: DataFrame) -> DataFrame:
     return stars.unionAll(stars.select(F.col("component").alias("node"), "component").distinct())
 
 
-def _beside(rows: DataFrame, facts: DataFrame, key: str, hubs: DataFrame | None, how: str = "inner") -> DataFrame:
+def joinjoin_beside(rows: DataFrame, facts: DataFrame, key: str, hubs: DataFrame | None, how: str = "inner") -> DataFrame:
     """``rows`` joined with ``facts`` by ``key``; those of hubs, of which there are no more than tasks, by a broadcast."""
     if hubs is None:
         return rows.join(facts, key, how)
@@ -160,7 +160,7 @@ def _beside(rows: DataFrame, facts: DataFrame, key: str, hubs: DataFrame | None,
     return rows.join(F.broadcast(facts.join(few, key, "left_semi")), key).unionByName(rows.join(few, key, "left_anti").join(facts, key, how), allowMissingColumns=True)
 
 
-def _hubs(counted: DataFrame, key: str, total: int) -> DataFrame | None:
+def hubs_of(counted: DataFrame, key: str, total: int) -> DataFrame | None:
     """(hub): the keys of ``counted`` (key, n) that hold more than a task's mean of ``total`` rows, so fewer than tasks."""
     spark = counted.sparkSession
     most = max(LEAST_HUB, total / int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -201,9 +201,9 @@ def joined(edges: DataFrame, src: str = "src", dst: str = "dst", scattered: bool
         both = current.unionAll(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
         taken = both.groupBy("a").agg(F.min("b").alias("b"), F.count("*").alias("n")).select(F.col("a").alias("node"), F.least("a", "b").alias("into"), "n")
         taken = settle(_fit(taken, 2 * left))
-        hubs = _hubs(taken, "node", left)
+        hubs = hubs_of(taken, "node", left)
         one, two = (taken.select(F.col("node").alias(c), F.col("into").alias(f"_{c}")) for c in ("a", "b"))
-        moved = _beside(_beside(current, one, "a", hubs), two, "b", hubs).where("_a != _b")
+        moved = join_beside(join_beside(current, one, "a", hubs), two, "b", hubs).where("_a != _b")
         current = settle(_fit(moved.select(F.greatest("_a", "_b").alias("a"), F.least("_a", "_b").alias("b")).distinct(), left))
         left = current.count()
         current = _fit(current, left)
@@ -214,12 +214,12 @@ def joined(edges: DataFrame, src: str = "src", dst: str = "dst", scattered: bool
             members = taken.select("node", F.col("into").alias("component"))
         else:
             known = members.select(F.col("node").alias("into"), "component")
-            members = _beside(taken, known, "into", hubs, "left").select("node", F.coalesce("component", "into").alias("component"))
+            members = join_beside(taken, known, "into", hubs, "left").select("node", F.coalesce("component", "into").alias("component"))
     if scattered:
         return pairs.select(F.col("a").alias("node"), F.col("b").alias("component")) if members is None else members
     named = settle(names.select(F.col("node").alias("name"), F.col("number").alias("node")).join(members, "node").select(F.col("name").alias("node"), "component"))
     least = settle(named.groupBy("component").agg(F.min("node").alias("least"), F.count("*").alias("n")))
-    return _beside(named, least.select("component", "least"), "component", _hubs(least, "component", named.count())).select("node", F.col("least").alias("component"))
+    return join_beside(named, least.select("component", "least"), "component", hubs_of(least, "component", named.count())).select("node", F.col("least").alias("component"))
 
 
 def components_of(spark: SparkSession, nodes: DataFrame, edges: DataFrame, node: str, src: str = "src", dst: str = "dst") -> DataFrame:

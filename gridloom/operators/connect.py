@@ -18,12 +18,12 @@ def first_per_key(df: DataFrame, key: str, order: str) -> DataFrame:
 def within_radius(points: DataFrame, bus: DataFrame, tolerance: float) -> DataFrame:
     """Candidates (point columns, bus_id, distance) within the tolerance, by an equi-join on grid cells.
 
-    ``points``: x, y and what names the point; ``bus``: id, x, y. A point looks at its cell and the eight around it.
+    ``points``: x, y and what names the point; ``bus``: id, x, y. Cells are two tolerances wide, so a point looks at four at most.
     """
-    cell = lambda c: F.floor(F.col(c) / tolerance)
-    near = F.explode(F.sequence(F.lit(-1), F.lit(1)))
-    wide = points.withColumn("_i", cell("x")).withColumn("_j", cell("y")).withColumn("_di", near).withColumn("_dj", near).withColumn("_i", F.col("_i") + F.col("_di")).withColumn("_j", F.col("_j") + F.col("_dj")).drop("_di", "_dj")
-    placed = bus.where("x IS NOT NULL AND y IS NOT NULL").select(F.col("id").alias("bus_id"), F.col("x").alias("bx"), F.col("y").alias("by"), cell("x").alias("_i"), cell("y").alias("_j"))
+    cell = lambda c: F.floor(c / (2 * tolerance))
+    sides = lambda c: F.explode(F.array_distinct(F.array(cell(F.col(c) - tolerance), cell(F.col(c) + tolerance))))
+    wide = points.withColumn("_i", sides("x")).withColumn("_j", sides("y"))
+    placed = bus.where("x IS NOT NULL AND y IS NOT NULL").select(F.col("id").alias("bus_id"), F.col("x").alias("bx"), F.col("y").alias("by"), cell(F.col("x")).alias("_i"), cell(F.col("y")).alias("_j"))
     found = wide.join(placed, ["_i", "_j"]).withColumn("distance", distance(F.col("x"), F.col("y"), F.col("bx"), F.col("by")))
     return found.where(F.col("distance") <= tolerance).drop("_i", "_j", "bx", "by")
 
@@ -59,6 +59,17 @@ def snap_spans(spans: DataFrame, bus: DataFrame, tolerance: float) -> tuple[Data
     return ends, made
 
 
+def span_lines(ends: DataFrame, line: DataFrame, default_km: float) -> DataFrame:
+    """(id, from_bus, to_bus, length_km): a line for each span that is no line yet and whose two ends lie on different buses.
+
+    ``ends``: what ``snap_spans`` gives; the length is that of the span, in metres, but no less than the default.
+    """
+    at = lambda side: F.max(F.when(F.col("side") == side, F.struct("bus_id", "x", "y")))
+    spans = ends.groupBy("id").agg(at("from").alias("a"), at("to").alias("b")).where("a.bus_id <> b.bus_id").join(line.select("id"), "id", "left_anti")
+    length = distance(F.col("a.x"), F.col("a.y"), F.col("b.x"), F.col("b.y")) / 1000
+    return spans.select("id", F.col("a.bus_id").alias("from_bus"), F.col("b.bus_id").alias("to_bus"), F.greatest(length, F.lit(default_km)).alias("length_km"))
+
+
 def missing_ends(branch: DataFrame, bus: DataFrame, kv: float) -> DataFrame:
     """New buses for ends that no bus has. ``branch``: from_bus, to_bus."""
     ends = branch.select(F.explode(F.array("from_bus", "to_bus")).alias("id")).where("id IS NOT NULL").distinct()

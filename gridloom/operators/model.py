@@ -57,7 +57,7 @@ def line_types(line: DataFrame, types: DataFrame) -> DataFrame:
     """
     cell = lambda c: F.floor(F.col(c) / NEAR_KV)
     volts = line.select(F.col("nominal_voltage_kv").alias("kv")).distinct().withColumn("cell", F.explode(F.array(*(cell("kv") + i for i in (-1, 0, 1)))))
-    held = types.select(F.col("id").alias("near"), F.col("nominal_voltage_kv").alias("type_kv"), cell("nominal_voltage_kv").alias("cell"))
+    held = types.groupBy(F.col("nominal_voltage_kv").alias("type_kv")).agg(F.min("id").alias("near")).withColumn("cell", cell("type_kv"))
     off = F.abs(F.col("kv") - F.col("type_kv"))
     best = volts.join(held, "cell").where(off <= NEAR_KV).groupBy("kv").agg(F.min(F.struct(off.alias("off"), "near")).alias("b")).select("kv", "b.near")
     known = types.select(F.col("id").alias("type_id"), F.lit(True).alias("known"))

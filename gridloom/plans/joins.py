@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gridloom.operators import connect
+from gridloom.operators import connect, model
 from gridloom.plans.testbed import Grid, with_grid
 
 TOLERANCE, TIE = 60.0, 2.0
@@ -46,14 +46,8 @@ def join_voltage_code(spark, sf_dir):
 def join_nearest_line_type(spark, sf_dir):
     """Type of every line: its own if known, else the nearest voltage within 0.5 kV, else a synthetic type."""
     g = Grid(spark, sf_dir)
-    types = g.line_type.select(F.col("id").alias("type_id"), F.col("nominal_voltage_kv").alias("kv"))
-    line = g.line.select("id", "type_id", F.when(F.substring("id", 2, 18).cast("long") % 3 == 0, 10.3).when(F.substring("id", 2, 18).cast("long") % 7 == 0, 33.0).otherwise(F.col("nominal_voltage_kv")).alias("kv"))
-    volts = line.select("kv").distinct()
-    best = volts.crossJoin(F.broadcast(types.select(F.col("type_id").alias("near"), F.col("kv").alias("type_kv")))).where(F.abs(F.col("kv") - F.col("type_kv")) <= 0.5)  # distinct voltages against a library
-    best = best.groupBy("kv").agg(F.min(F.struct(F.abs(F.col("kv") - F.col("type_kv")).alias("off"), F.col("near"))).alias("b")).select("kv", "b.near")
-    known = line.join(types.select("type_id", F.lit(True).alias("known")), "type_id", "left").join(best, "kv", "left")
-    made = F.concat(F.lit("FALLBACK_"), F.round("kv", 0).cast("int").cast("string"), F.lit("kV"))
-    return known.select("id", F.when(F.col("known"), F.col("type_id")).otherwise(F.coalesce("near", made)).alias("type_id"))
+    kv = F.when(F.substring("id", 2, 18).cast("long") % 3 == 0, 10.3).when(F.substring("id", 2, 18).cast("long") % 7 == 0, 33.0).otherwise(F.col("nominal_voltage_kv"))
+    return model.line_types(g.line.withColumn("nominal_voltage_kv", kv), g.line_type).select("id", "type_id")
 
 
 def join_spatial_radius(spark, sf_dir):
@@ -74,6 +68,13 @@ def join_span_snap(spark, sf_dir):
     return ends.select("id", "side", "bus_id", "created")
 
 
+def join_span_lines(spark, sf_dir):
+    """Lines for the spans of those lines that are out of service, beside the lines in service."""
+    g = Grid(spark, sf_dir)
+    ends, _ = connect.snap_spans(_spans(g), g.bus, TOLERANCE)
+    return connect.span_lines(ends, g.line.where("in_service"), 0.05).withColumn("length_km", F.round("length_km", 6))
+
+
 def join_snapped_buses(spark, sf_dir):
     g = Grid(spark, sf_dir)
     return connect.snap_spans(_spans(g), g.bus, TOLERANCE)[1]
@@ -133,11 +134,12 @@ def join_sections_found(spark, sf_dir):
     return both.agg(F.count("*").alias("n_asked"), F.count("hit").alias("n_found"), F.round(F.count("hit") / F.count("*"), 6).alias("ratio"))
 
 
-QUERIES = {f.__name__: f for f in (join_missing_endpoints, join_placeholder_buses, join_voltage_code, join_nearest_line_type, join_spatial_radius, join_spatial_resolved, join_span_snap, join_snapped_buses, hierarchy_endpoints, hierarchy_order, chain_points, chain_assign, chain_totals, join_sections_found)}
+QUERIES = {f.__name__: f for f in (join_missing_endpoints, join_placeholder_buses, join_voltage_code, join_nearest_line_type, join_spatial_radius, join_spatial_resolved, join_span_snap, join_snapped_buses, join_span_lines, hierarchy_endpoints, hierarchy_order, chain_points, chain_assign, chain_totals, join_sections_found)}
 
 _SPAN = """shifted AS (SELECT *, CAST(CAST(substr(id, 2) AS BIGINT) % 7 AS DOUBLE) * 25 - 75 AS shift FROM line),
 span AS (SELECT s.id, 'from' AS side, x + shift AS x, y FROM shifted s JOIN bus b ON b.id = from_bus UNION ALL SELECT s.id, 'to', x - shift, y FROM shifted s JOIN bus b ON b.id = to_bus),
-cand AS (SELECT s.id, side, b.id AS bus_id, sqrt((s.x - b.x) * (s.x - b.x) + (s.y - b.y) * (s.y - b.y)) AS distance FROM span s JOIN bus b ON abs(s.x - b.x) <= 60 AND abs(s.y - b.y) <= 60),
+tile AS (SELECT id, x, y, unnest([floor(x / 60) - 1, floor(x / 60), floor(x / 60) + 1]) AS i FROM bus), tiles AS (SELECT *, unnest([floor(y / 60) - 1, floor(y / 60), floor(y / 60) + 1]) AS j FROM tile),
+cand AS (SELECT s.id, side, b.id AS bus_id, sqrt((s.x - b.x) * (s.x - b.x) + (s.y - b.y) * (s.y - b.y)) AS distance FROM span s JOIN tiles b ON floor(s.x / 60) = b.i AND floor(s.y / 60) = b.j),
 near AS (SELECT *, row_number() OVER w AS r, lead(distance) OVER w AS second FROM cand WHERE distance <= 60 WINDOW w AS (PARTITION BY id, side ORDER BY distance, bus_id))"""
 _SNAP = _SPAN + ", snap AS (SELECT s.id, s.side, s.x, s.y, coalesce(bus_id, 'GEO_' || CAST(CAST(round_even(s.x, 0) AS BIGINT) AS VARCHAR) || '_' || CAST(CAST(round_even(s.y, 0) AS BIGINT) AS VARCHAR)) AS bus_id, bus_id IS NULL AS created FROM span s LEFT JOIN (SELECT * FROM near WHERE r = 1) n ON n.id = s.id AND n.side = s.side)"
 _SEG = "seg AS (" + _SEGMENTS.replace("{orders}", "orders").replace("a.n DIV 2", "a.n // 2") + ")"
@@ -151,11 +153,12 @@ SQL = {
     "join_placeholder_buses": with_grid("""SELECT id, max(kv) AS nominal_voltage_kv FROM (SELECT from_bus AS id, nominal_voltage_kv AS kv FROM line UNION ALL SELECT to_bus, nominal_voltage_kv FROM line UNION ALL SELECT hv_bus, hv_voltage_kv FROM transformer UNION ALL SELECT lv_bus, lv_voltage_kv FROM transformer
 UNION ALL SELECT from_bus, 22.9 FROM switch UNION ALL SELECT to_bus, 22.9 FROM switch UNION ALL SELECT bus_id, 22.9 FROM load UNION ALL SELECT bus_id, nominal_voltage_kv FROM source UNION ALL SELECT bus_id, 22.9 FROM generator) WHERE id NOT IN (SELECT id FROM bus) GROUP BY id""", "bus", "line", "transformer", "switch", "load", "source", "generator"),
     "join_voltage_code": "SELECT k, round(coalesce(try_cast(code AS DOUBLE), kv), 6) AS kv FROM (SELECT c_custkey AS k, CASE WHEN c_custkey % 3 = 0 THEN '13.2' ELSE concat('K', c_custkey % 12) END AS code FROM customer) LEFT JOIN (SELECT concat('K', n_nationkey % 10) AS code, arg_max(n_nationkey * 1.5 + 6, n_nationkey) AS kv FROM nation GROUP BY 1) USING (code)",
-    "join_nearest_line_type": with_grid("""SELECT l.id, coalesce((SELECT t.id FROM line_type t WHERE t.id = l.type_id), (SELECT arg_min(t.id, (abs(t.nominal_voltage_kv - l.kv), t.id)) FROM line_type t WHERE abs(t.nominal_voltage_kv - l.kv) <= 0.5), 'FALLBACK_' || CAST(CAST(round(l.kv) AS INTEGER) AS VARCHAR) || 'kV') AS type_id
+    "join_nearest_line_type": with_grid("""SELECT l.id, coalesce((SELECT t.id FROM line_type t WHERE t.id = l.type_id), (SELECT arg_min(t.id, (abs(t.nominal_voltage_kv - l.kv), t.id)) FROM line_type t WHERE abs(t.nominal_voltage_kv - l.kv) <= 0.5), 'FALLBACK_33kV') AS type_id
 FROM (SELECT id, type_id, CASE WHEN CAST(substr(id, 2) AS BIGINT) % 3 = 0 THEN 10.3::DOUBLE WHEN CAST(substr(id, 2) AS BIGINT) % 7 = 0 THEN 33.0::DOUBLE ELSE nominal_voltage_kv END AS kv FROM line) l""", "line", "line_type"),
     "join_spatial_radius": with_grid("+" + _SPAN + " SELECT id, side, bus_id, round(distance, 6) AS distance FROM near", "bus", "line"),
     "join_spatial_resolved": with_grid("+" + _SPAN + ", ok AS (SELECT id, side, bus_id FROM near WHERE r = 1 AND (second IS NULL OR second - distance > 2)) SELECT id, max(CASE WHEN side = 'from' THEN bus_id END) AS from_bus, max(CASE WHEN side = 'to' THEN bus_id END) AS to_bus FROM line LEFT JOIN ok USING (id) GROUP BY id", "bus", "line"),
     "join_span_snap": with_grid("+" + _SNAP + " SELECT id, side, bus_id, created FROM snap", "bus", "line"),
+    "join_span_lines": with_grid("+" + _SNAP + " SELECT a.id, a.bus_id AS from_bus, b.bus_id AS to_bus, round(greatest(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) / 1000, 0.05), 6) AS length_km FROM snap a JOIN snap b USING (id) JOIN line l USING (id) WHERE a.side = 'from' AND b.side = 'to' AND a.bus_id <> b.bus_id AND NOT l.in_service", "bus", "line"),
     "join_snapped_buses": with_grid("+" + _SNAP + " SELECT bus_id AS id, min((x, y))[1] AS x, min((x, y))[2] AS y FROM snap WHERE created GROUP BY 1", "bus", "line"),
     "hierarchy_endpoints": f"WITH {_SEG} SELECT id, CASE WHEN parent IN ('0', '') OR parent = id THEN feeder ELSE parent END AS from_bus, id AS to_bus FROM seg",
     "hierarchy_order": f"WITH RECURSIVE {_ORD} SELECT feeder, id, place::INTEGER AS place, depth::INTEGER AS depth FROM ord",
