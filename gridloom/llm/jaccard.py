@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm.common import as_bytes, mix, partitions, settle, slices, span_hashes, spread_join, table, trim, trimmed, word_spans
-from gridloom.operators.components import joined
+from gridloom.operators.components import hubs_of, join_beside, joined
 
 WORDS = 5
 #: Similarity of 0.8 or more, as a fraction, so that no rounding decides.
@@ -248,7 +248,10 @@ def join_similar(docs: DataFrame, key: str = "doc_id", text: str = "text", extra
     classes = joined(found.select(F.col("gid").alias("src"), F.col("other").alias("dst")), scattered=True).withColumnRenamed("node", "gid")
     known = sets.select("gid", "n_copies").join(links, "gid", "left").join(classes, "gid", "left")
     known = known.select("gid", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component", "gid").alias("class_gid"))
-    return signed.drop("bands").join(known, "gid", "left").withColumnRenamed("_key", key).drop("_hash")
+    rows = signed.drop("bands")
+    often = hubs_of(sets.select("gid", F.col("n_copies").alias("n")), "gid", rows.count())  # sets that many rows have
+    out = join_beside(rows.where("gid is not null"), known, "gid", often, "left").unionByName(rows.where("gid is null"), allowMissingColumns=True)
+    return out.withColumnRenamed("_key", key).drop("_hash")
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
