@@ -152,7 +152,7 @@ def _whole(pairs: DataFrame) -> DataFrame:
     return stars.unionAll(stars.select(F.col("component").alias("node"), "component").distinct())
 
 
-def joinjoin_beside(rows: DataFrame, facts: DataFrame, key: str, hubs: DataFrame | None, how: str = "inner") -> DataFrame:
+def join_beside(rows: DataFrame, facts: DataFrame, key: str, hubs: DataFrame | None, how: str = "inner") -> DataFrame:
     """``rows`` joined with ``facts`` by ``key``; those of hubs, of which there are no more than tasks, by a broadcast."""
     if hubs is None:
         return rows.join(facts, key, how)
