@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gridloom.operators import connect, model
+from gridloom.operators import connect, lookup, model
 from gridloom.plans.testbed import Grid, with_grid
 
 TOLERANCE, TIE = 60.0, 2.0
@@ -43,6 +43,20 @@ def join_voltage_code(spark, sf_dir):
     return rows.join(codes, "code", "left").select("k", F.round(F.coalesce(F.col("code").try_cast("double"), "kv"), 6).alias("kv"))
 
 
+def join_voltage_detected(spark, sf_dir):
+    """Codes looked up in the table that explains them best, among others that hold the codes or figures too."""
+    g = Grid(spark, sf_dir)
+    code = lambda c, n: F.concat(F.lit("K"), (F.col(c) % n).cast("string"))
+    tables = {
+        "tensiones": g.table("nation").select(F.col("n_nationkey").alias("row"), code("n_nationkey", 10).alias("cod"), (F.col("n_nationkey") * 1.5 + 6).alias("valor"), F.col("n_name").alias("nombre")),
+        "zonas": g.table("nation").select(F.col("n_nationkey").alias("row"), code("n_nationkey", 12).alias("cod"), F.col("n_name").alias("nombre")),
+        "saldos": g.table("supplier").select(F.col("s_suppkey").alias("row"), code("s_suppkey", 12).alias("cod"), F.col("s_acctbal").alias("saldo")),
+        "partes": g.table("part").select(F.col("p_partkey").alias("row"), F.col("p_brand").alias("marca"), F.col("p_size").alias("kv")),
+    }
+    rows = g.table("customer").select(F.col("c_custkey").alias("k"), F.when(F.col("c_custkey") % 3 == 0, F.lit("13.2")).otherwise(code("c_custkey", 12)).alias("code"))
+    return lookup.looked_up(rows, "code", tables, "row").select("k", F.round("found", 6).alias("kv"))
+
+
 def join_nearest_line_type(spark, sf_dir):
     """Type of every line: its own if known, else the nearest voltage within 0.5 kV, else a synthetic type."""
     g = Grid(spark, sf_dir)
@@ -134,7 +148,7 @@ def join_sections_found(spark, sf_dir):
     return both.agg(F.count("*").alias("n_asked"), F.count("hit").alias("n_found"), F.round(F.count("hit") / F.count("*"), 6).alias("ratio"))
 
 
-QUERIES = {f.__name__: f for f in (join_missing_endpoints, join_placeholder_buses, join_voltage_code, join_nearest_line_type, join_spatial_radius, join_spatial_resolved, join_span_snap, join_snapped_buses, join_span_lines, hierarchy_endpoints, hierarchy_order, chain_points, chain_assign, chain_totals, join_sections_found)}
+QUERIES = {f.__name__: f for f in (join_missing_endpoints, join_placeholder_buses, join_voltage_code, join_voltage_detected, join_nearest_line_type, join_spatial_radius, join_spatial_resolved, join_span_snap, join_snapped_buses, join_span_lines, hierarchy_endpoints, hierarchy_order, chain_points, chain_assign, chain_totals, join_sections_found)}
 
 _SPAN = """shifted AS (SELECT *, CAST(CAST(substr(id, 2) AS BIGINT) % 7 AS DOUBLE) * 25 - 75 AS shift FROM line),
 span AS (SELECT s.id, 'from' AS side, x + shift AS x, y FROM shifted s JOIN bus b ON b.id = from_bus UNION ALL SELECT s.id, 'to', x - shift, y FROM shifted s JOIN bus b ON b.id = to_bus),
@@ -153,6 +167,7 @@ SQL = {
     "join_placeholder_buses": with_grid("""SELECT id, max(kv) AS nominal_voltage_kv FROM (SELECT from_bus AS id, nominal_voltage_kv AS kv FROM line UNION ALL SELECT to_bus, nominal_voltage_kv FROM line UNION ALL SELECT hv_bus, hv_voltage_kv FROM transformer UNION ALL SELECT lv_bus, lv_voltage_kv FROM transformer
 UNION ALL SELECT from_bus, 22.9 FROM switch UNION ALL SELECT to_bus, 22.9 FROM switch UNION ALL SELECT bus_id, 22.9 FROM load UNION ALL SELECT bus_id, nominal_voltage_kv FROM source UNION ALL SELECT bus_id, 22.9 FROM generator) WHERE id NOT IN (SELECT id FROM bus) GROUP BY id""", "bus", "line", "transformer", "switch", "load", "source", "generator"),
     "join_voltage_code": "SELECT k, round(coalesce(try_cast(code AS DOUBLE), kv), 6) AS kv FROM (SELECT c_custkey AS k, CASE WHEN c_custkey % 3 = 0 THEN '13.2' ELSE concat('K', c_custkey % 12) END AS code FROM customer) LEFT JOIN (SELECT concat('K', n_nationkey % 10) AS code, arg_max(n_nationkey * 1.5 + 6, n_nationkey) AS kv FROM nation GROUP BY 1) USING (code)",
+    "join_voltage_detected": "SELECT k, round(coalesce(try_cast(code AS DOUBLE), kv), 6) AS kv FROM (SELECT c_custkey AS k, CASE WHEN c_custkey % 3 = 0 THEN '13.2' ELSE concat('K', c_custkey % 12) END AS code FROM customer) LEFT JOIN (SELECT concat('K', n_nationkey % 10) AS code, arg_max(n_nationkey * 1.5 + 6, n_nationkey) AS kv FROM nation GROUP BY 1) USING (code)",
     "join_nearest_line_type": with_grid("""SELECT l.id, coalesce((SELECT t.id FROM line_type t WHERE t.id = l.type_id), (SELECT arg_min(t.id, (abs(t.nominal_voltage_kv - l.kv), t.id)) FROM line_type t WHERE abs(t.nominal_voltage_kv - l.kv) <= 0.5), 'FALLBACK_33kV') AS type_id
 FROM (SELECT id, type_id, CASE WHEN CAST(substr(id, 2) AS BIGINT) % 3 = 0 THEN 10.3::DOUBLE WHEN CAST(substr(id, 2) AS BIGINT) % 7 = 0 THEN 33.0::DOUBLE ELSE nominal_voltage_kv END AS kv FROM line) l""", "line", "line_type"),
     "join_spatial_radius": with_grid("+" + _SPAN + " SELECT id, side, bus_id, round(distance, 6) AS distance FROM near", "bus", "line"),
