@@ -28,7 +28,9 @@ CORNERS = ("x1", "y1", "x2", "y2")
 
 
 def _literal_rows(rows: list[tuple], *names: str) -> Column:
-    return F.explode(F.array(*(F.struct(*(F.lit(v).alias(n) for v, n in zip(row, names, strict=True))) for row in rows)))
+    """A row for each of the rows given, as a struct of these names."""
+    text = lambda v: f"{v}D" if isinstance(v, float) else str(v).lower() if isinstance(v, bool) else f"r'{v}'" if isinstance(v, str) else str(v)
+    return F.expr("explode(array(" + ", ".join("struct(" + ", ".join(f"{text(v)} AS {n}" for v, n in zip(row, names, strict=True)) + ")" for row in rows) + "))")
 
 
 def _found(c: Column, pattern: str) -> Column:
