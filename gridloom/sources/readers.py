@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,6 +34,37 @@ def read_jdbc(spark: SparkSession, url: str, table: str | None = None, query: st
     return reader.load()
 
 
+def database_tables(spark: SparkSession, url: str, schema: str, **options: str) -> list[str]:
+    """Names of all tables of a database's schema, sorted, as Spark's own catalog of that database lists them."""
+    catalog = f"jdbc_{hashlib.sha256(repr((url, sorted(options.items()))).encode()).hexdigest()[:16]}"
+    spark.conf.set(f"spark.sql.catalog.{catalog}", "org.apache.spark.sql.execution.datasources.v2.jdbc.JDBCTableCatalog")
+    for key, value in {"url": url, **options}.items():
+        spark.conf.set(f"spark.sql.catalog.{catalog}.{key}", value)
+    return sorted(r["tableName"] for r in spark.sql(f"SHOW TABLES IN {catalog}.`{schema}`").collect())
+
+
+def read_database(spark: SparkSession, url: str, schema: str, tables: Iterable[str] | None = None, aliases: dict[str, str] | None = None, split: dict[str, tuple[str, int]] | None = None, **options: str) -> Catalog:
+    """Tables of a database's schema as a catalog, all of them where none are asked for; an unknown one is an error.
+
+    ``aliases``: other names by table; ``split``: by table a column of whole numbers and in how many parts to read it,
+    between bounds that one query for its least and largest value gives. Rows without a value come with the first part.
+    """
+    there = database_tables(spark, url, schema, **options)
+    asked = there if tables is None else list(tables)
+    unknown = sorted((set(asked) | set(aliases or {}) | set(split or {})) - set(there))
+    if unknown:
+        raise ValueError(f"no table {', '.join(unknown)} in {schema}")
+    out = Catalog()
+    for table in asked:
+        name, bounds = f'"{schema}"."{table}"', None
+        if split and table in split:
+            column, parts = split[table]
+            low, high = read_jdbc(spark, url, query=f'SELECT MIN("{column}") AS low, MAX("{column}") AS high FROM {name}', **options).first()
+            bounds = None if low is None else (f'"{column}"', int(low), int(high) + 1, parts)
+        out.add((aliases or {}).get(table, table), read_jdbc(spark, url, name, split=bounds, **options))
+    return out
+
+
 def read_points(df: DataFrame, x: str = "x", y: str = "y") -> tuple[DataFrame, DataFrame]:
     """(points, rejected): rows with both coordinates readable, as doubles, and the others."""
     missing = [c for c in (x, y) if c not in df.columns]

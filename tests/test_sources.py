@@ -143,3 +143,22 @@ def test_feeder_heads_fall_back(spark):
     assert {r["bus"]: r["feeder"] for r in topology.feeder_membership(bus, line, trafo, none).collect()} == {"a": topology.ORPHAN, "b": "b", "c": "b"}
     made = spark.createDataFrame([("GEO_1_1", None, 10.0), ("x", None, 10.0)], "id string, feeder_id string, nominal_voltage_kv double")
     assert [r["id"] for r in topology.equivalent_sources(made, line, none).collect()] == ["x"]
+
+
+def test_whole_database(spark):
+    url = "jdbc:derby:memory:whole;create=true"
+    try:
+        for name, n in (("NODES", 10), ("SPANS", 25), ("BLANK", 0)):
+            spark.range(n).select(F.col("id").cast("int").alias("K"), (F.col("id") * 2).alias("V")).write.format("jdbc").option("url", url).option("dbtable", name).mode("overwrite").save()
+    except Exception as error:
+        if "driver" not in str(error).lower() and "ClassNotFound" not in str(error):
+            raise
+        pytest.skip("no embedded database")
+    assert readers.database_tables(spark, url, "APP") == ["BLANK", "NODES", "SPANS"]
+    whole = readers.read_database(spark, url, "APP", split={"SPANS": ("K", 4), "BLANK": ("K", 4)})
+    assert {t: whole[t].count() for t in whole} == {"SPANS": 25, "NODES": 10, "BLANK": 0}
+    assert whole["SPANS"].rdd.getNumPartitions() == 4 and whole["SPANS"].agg(F.sum("V")).first()[0] == 600
+    some = readers.read_database(spark, url, "APP", ["NODES"], {"NODES": "buses"})
+    assert list(some) == ["buses"]
+    with pytest.raises(ValueError, match="WIRES"):
+        readers.read_database(spark, url, "APP", ["WIRES"])
