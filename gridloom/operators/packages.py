@@ -5,29 +5,35 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+
 def _date(parts: Column, at: Column) -> Column:
-    """The date that begins at a part of a name, and how many parts it takes: one of eight digits, or year, month, day or day, month, year in three."""
+    """The date that begins at a part of a name, and how many parts it takes: one of eight digits, or year, month, day or day, month, year in three.
+
+    Only digits that may be a date are parsed: a text that is none costs an exception each.
+    """
     one, three = F.get(parts, at), F.array_join(F.slice(parts, at + 1, 3), "-")
-    whole = F.when(F.length(one) == 8, F.try_to_date(one, "yyyyMMdd"))
-    parted = F.when(F.length(three) == 10, F.coalesce(F.try_to_date(three, "yyyy-MM-dd"), F.try_to_date(three, "dd-MM-yyyy")))
+    whole = F.when(one.rlike(r"^20\d{6}$"), F.try_to_date(one, "yyyyMMdd"))
+    parted = F.when(three.rlike(r"^20\d\d-\d\d-\d\d$"), F.try_to_date(three, "yyyy-MM-dd")).when(three.rlike(r"^\d\d-\d\d-20\d\d$"), F.try_to_date(three, "dd-MM-yyyy"))
     date = F.coalesce(whole, parted)
-    return F.when(F.year(date).between(2000, 2099), F.struct(date.alias("date"), at.alias("at"), F.when(whole.isNotNull(), 1).otherwise(3).alias("parts")))
+    return F.when(date.isNotNull(), F.struct(date.alias("date"), at.alias("at"), F.when(whole.isNotNull(), 1).otherwise(3).alias("parts")))
 
 
 def with_tokens(files: DataFrame, name: str = "name") -> DataFrame:
     """Adds stem, the name without date and suffix, and token, its first date of this century as year, month and day, or null.
 
     Parts of a name stand between blanks, dots, dashes and underscores; the date goes with the separator before it.
+    Both are the fields of one struct that is exploded, so that a filter on them doesn't have them worked out for each of its terms.
     """
     base = F.regexp_replace(F.lower(F.col(name)), r"\.[a-z]+[0-9]?$", "")
-    rows = files.withColumn("_base", base).withColumn("_parts", F.split(base, r"[_\s.-]"))
+    rows = files.withColumn("_base", base).withColumn("_parts", F.split("_base", r"[_\s.-]"))
     dates = F.filter(F.transform(F.sequence(F.lit(0), F.size("_parts") - 1), lambda i: _date(F.col("_parts"), i)), lambda d: d.isNotNull())
-    rows = rows.withColumn("_found", F.get(dates, F.lit(0)))
+    rows = rows.withColumn("_found", F.explode(F.array(F.get(dates, F.lit(0)))))
     text = lambda first, n: F.array_join(F.slice("_parts", first, n), " ")  # noqa: E731 each separator is one character
     before = F.when(F.col("_found.at") > 0, F.length(text(F.lit(1), F.col("_found.at")))).otherwise(0)
     after = F.length(text(F.lit(1), F.col("_found.at") + F.col("_found.parts"))) + 1
     stem = F.when(F.col("_found").isNull(), F.col("_base")).otherwise(F.concat(F.substring(F.col("_base"), F.lit(1), before), F.substring(F.col("_base"), after, F.length("_base"))))
-    return rows.withColumn("token", F.date_format("_found.date", "yyyyMMdd")).withColumn("stem", stem).drop("_base", "_parts", "_found")
+    made = F.explode(F.array(F.struct(F.date_format("_found.date", "yyyyMMdd").alias("token"), stem.alias("stem")))).alias("_made")
+    return rows.select(*(c for c in files.columns if c not in ("token", "stem")), made).select("*", "_made.token", "_made.stem").drop("_made")
 
 
 def newest_copies(files: DataFrame, name: str = "name") -> DataFrame:

@@ -71,3 +71,12 @@ def test_stream(spark, tmp_path):
     stream = spark.readStream.schema("id long").parquet(f"{tmp_path}/in")
     apply_to_stream(stream, lambda df: df.where("id > 2"), f"{tmp_path}/out", f"{tmp_path}/at").awaitTermination()
     assert spark.read.parquet(f"{tmp_path}/out").count() == 2
+
+
+def test_filters_on_tokens_read_a_name_once(spark):
+    """Terms of a filter don't repeat the search for dates."""
+    names = ["red_20241301.txt", "red_20240229.txt", "tramo 01.02.2024 b.csv", "carga_2024-13-01.txt", "foto_red_2024-01-01"]
+    files = packages.with_tokens(spark.createDataFrame([(n,) for n in names], "name string"))
+    assert [(r["stem"], r["token"]) for r in files.collect()] == [("red_20241301", None), ("red", "20240229"), ("tramo b", "20240201"), ("carga_2024-13-01", None), ("foto_red", "20240101")]
+    plan = packages.relevant(files, ("red", "tramo"), ("foto",))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("\\.[a-z]+[0-9]?$") == 1
