@@ -54,6 +54,19 @@ def test_contained_by_value_not_by_type(spark):
     assert got == {("ref", "k"): pytest.approx(2 / 3), ("ref", "name"): pytest.approx(1 / 3)}
 
 
+def test_exact_beyond_the_sketch(spark):
+    """Counts and shares of more values than a sketch holds, and of equal values in other types."""
+    n = 200_000
+    big = spark.range(n).select(F.col("id").alias("k"), F.concat(F.lit("t"), F.col("id") % 70_001).alias("t"))
+    part = spark.range(n // 2, n + n // 20).select(F.col("id").cast("string").alias("r"), F.lit(None).cast("double").alias("nothing"))
+    got = {(r["table"], r["column"]): r["distinct"] for r in shapes.facts(shapes.counted(big, "big").unionAll(shapes.counted(part, "part"))).collect()}
+    assert got == {("big", "k"): n, ("big", "t"): 70_001, ("part", "r"): n // 2 + n // 20, ("part", "nothing"): 0}
+    share = {(r["column"], r["in_column"]): r["share"] for r in shapes.contained_exactly({"big": big, "part": part}, 0.5).collect()}
+    assert share == {("k", "r"): 0.5, ("r", "k"): (n // 2) / (n // 2 + n // 20)}
+    wide = {f"w{i}": spark.range(50).select(*((F.col("id") + i).alias(f"c{j}") for j in range(40))) for i in range(2)}
+    assert {r["share"] for r in shapes.contained_exactly(wide, 0.98).collect()} == {0.98, 1.0} and shapes.contained_exactly(wide, 0.98).count() == 80 * 79
+
+
 def _facts(spark, tables):
     """Facts of tables given as {table: (rows, {column: (type, non_null, distinct)})}."""
     rows = [(t, c, i, kind, n, held, 0, None, None, distinct, kind == "double", kind == "date") for t, (n, cs) in tables.items() for i, (c, (kind, held, distinct)) in enumerate(cs.items())]
