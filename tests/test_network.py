@@ -221,3 +221,21 @@ def test_readers(spark, tmp_path):
     with pytest.raises(ValueError, match="there already"):
         c.add("t", spark.range(2))
     assert c.merge(Catalog({"t": spark.range(3)}), "union")["t"].agg(F.count("*")).first()[0] == 4
+
+
+def test_resolve_within_is_resolve(spark):
+    rng = random.Random(5)
+    at = lambda n, c: spark.createDataFrame([(f"{c}{i}", float(rng.randrange(60)), float(rng.randrange(60))) for i in range(n)], "id string, x double, y double")
+    bus, points = at(150, "b"), at(200, "p").unionAll(spark.createDataFrame([("far", 900.0, 900.0)], "id string, x double, y double"))
+    want = connect.resolve(connect.within_radius(points, bus, 6.0), ["id"], 0.5).collect()
+    got = connect.resolve_within(points, bus, 6.0, ["id"], 0.5).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(map(tuple, want), key=str) and any(r["bus_id"] is None for r in got) and any(r["bus_id"] for r in got)
+
+
+def test_radius_queries_run_on_one_field(spark):
+    """Buses past the first field lie among the others, so that they have them as candidates."""
+    from gridloom.plans.testbed import _dense_place, _place
+
+    far = spark.range(20000, 20001)
+    x = lambda place: far.selectExpr(place("id", "0").split(" AS x")[0] + " AS x").first()[0]
+    assert x(_dense_place) < 10007 <= x(_place)
