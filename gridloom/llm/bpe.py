@@ -29,6 +29,8 @@ from gridloom.llm.wordtable import assemble, by_bucket, pack_numbers, split, unp
 _loaded: dict = {}
 #: Words of a document that are put together at once.
 STEP = 1 << 18
+#: Words that are encoded at once: each answer is some kilobytes until its ids are taken.
+AT_ONCE = 1000
 #: Characters of the Latin blocks, for which the pattern's classes are spelt out.
 LATIN = [chr(c) for c in range(0x250)]
 
@@ -107,14 +109,14 @@ def _encoded(docs: DataFrame, path: str, pattern: str, key: str, text: str, fini
         tokenizer, ids_of = vocabulary(path), {}
         for w, s in zip(group["words"], group["sizes"], strict=True):
             fresh = [x for x in unpack_words(w.as_py(), s.as_py()) if x not in ids_of]
-            for i in range(0, len(fresh), 10_000):
-                part = fresh[i : i + 10_000]
+            for i in range(0, len(fresh), AT_ONCE):
+                part = fresh[i : i + AT_ONCE]
                 for x, e in zip(part, tokenizer.encode_batch([x.decode("utf-8", "surrogatepass") for x in part], add_special_tokens=False), strict=True):
-                    ids_of[x] = e.ids
+                    ids_of[x] = np.array(e.ids, np.uint32).tobytes()  # a tenth of a list of ids
         rows = []
         for block, bucket, w, s in zip(group["block"].to_pylist(), group["bucket"].to_pylist(), group["words"], group["sizes"], strict=True):
             ids = [ids_of[x] for x in unpack_words(w.as_py(), s.as_py())]
-            rows.append({"block": block, "bucket": bucket, "ids": pack_numbers(np.array([x for i in ids for x in i], np.uint32)), "n_ids": pack_numbers(np.array([len(i) for i in ids], np.uint32))})
+            rows.append({"block": block, "bucket": bucket, "ids": pack_numbers(np.frombuffer(b"".join(ids), np.uint32)), "n_ids": pack_numbers(np.fromiter(map(len, ids), np.uint32, len(ids)) // 4)})
         return pa.Table.from_pylist(rows, schema=pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("ids", pa.binary()), ("n_ids", pa.binary())]))
 
     def put_together(keys: list, places: np.ndarray, ends: np.ndarray, answers: list[dict]) -> pa.Table:
