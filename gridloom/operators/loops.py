@@ -93,11 +93,6 @@ def _lifted(rows: DataFrame, column: str, table: DataFrame, name: str) -> DataFr
     return rows.join(table.select(F.col("node").alias(column), F.col("up").alias(name)), column, "left")
 
 
-def _now_and_then(k: int, rows: DataFrame) -> DataFrame:
-    """Cuts the lineage in one round of four."""
-    return rows if k % 4 else settle(rows)
-
-
 def meetings(extra: DataFrame, tables: list[DataFrame], depth: DataFrame) -> DataFrame:
     """(key, a, b, n_a, n_b, top): of each edge the node where the ways of its ends to the root meet, and the steps to it."""
     rows = extra.select("key", "a", "b", F.col("a").alias("x"), F.col("b").alias("y"))
@@ -107,30 +102,33 @@ def meetings(extra: DataFrame, tables: list[DataFrame], depth: DataFrame) -> Dat
     for k in reversed(range(len(tables))):  # the deeper end to the other's depth
         rows = _lifted(_lifted(rows, "x", tables[k], "_x"), "y", tables[k], "_y")
         deep, low = F.col("apart") >= 1 << k, F.col("apart") <= -(1 << k)
-        rows = _now_and_then(k, rows.withColumn("x", F.when(deep, F.col("_x")).otherwise(F.col("x"))).withColumn("y", F.when(low, F.col("_y")).otherwise(F.col("y"))).withColumn("apart", F.col("apart") - F.when(deep, 1 << k).when(low, -(1 << k)).otherwise(0)).drop("_x", "_y"))
+        rows = settle(rows.withColumn("x", F.when(deep, F.col("_x")).otherwise(F.col("x"))).withColumn("y", F.when(low, F.col("_y")).otherwise(F.col("y"))).withColumn("apart", F.col("apart") - F.when(deep, 1 << k).when(low, -(1 << k)).otherwise(0)).drop("_x", "_y"))
     for k in reversed(range(len(tables))):  # both as far as they stay apart
         rows = _lifted(_lifted(rows, "x", tables[k], "_x"), "y", tables[k], "_y")
         on = F.coalesce(F.col("_x") != F.col("_y"), F.lit(False))
-        rows = _now_and_then(k, rows.withColumn("x", F.when(on, F.col("_x")).otherwise(F.col("x"))).withColumn("y", F.when(on, F.col("_y")).otherwise(F.col("y"))).drop("_x", "_y"))
+        rows = settle(rows.withColumn("x", F.when(on, F.col("_x")).otherwise(F.col("x"))).withColumn("y", F.when(on, F.col("_y")).otherwise(F.col("y"))).drop("_x", "_y"))
     rows = _lifted(rows, "x", tables[0], "_x").withColumn("top", F.when(F.col("x") == F.col("y"), F.col("x")).otherwise(F.col("_x")))
     rows = rows.join(depth.select(F.col("node").alias("top"), F.col("depth").alias("d")), "top")
     return settle(rows.select("key", "a", "b", (F.col("d_a") - F.col("d")).alias("n_a"), (F.col("d_b") - F.col("d")).alias("n_b"), "top"))
 
 
 def _ways(met: DataFrame, tables: list[DataFrame]) -> DataFrame:
-    """(key, side, node, at): the nodes of both ways below the meeting point, at 0 where the way begins."""
+    """(key, side, node, at): the nodes of both ways below the meeting point, at 0 where the way begins.
+
+    Each round is written: a plan of several would double with each, and the driver hold the tables broadcast in all of them.
+    """
     side = lambda c, n: met.select("key", F.lit(c).alias("side"), F.col(c).alias("node"), F.col(n).alias("left"), F.lit(0).cast("long").alias("at"))
     rest = side("a", "n_a").unionAll(side("b", "n_b")).where("left > 0")
     blocks = None
     for k in reversed(range(len(tables))):
         taken = F.col("left") >= 1 << k
         more = rest.where(taken).select("key", "side", "node", "at")
-        blocks = _now_and_then(k, more if blocks is None else blocks.unionAll(more))
+        blocks = settle(more if blocks is None else blocks.unionAll(more))
         rest = _lifted(rest, "node", tables[k], "_up")
-        rest = _now_and_then(k, rest.select("key", "side", F.when(taken, F.col("_up")).otherwise(F.col("node")).alias("node"), (F.col("left") - F.when(taken, 1 << k).otherwise(0)).alias("left"), (F.col("at") + F.when(taken, 1 << k).otherwise(0)).alias("at")))
+        rest = settle(rest.select("key", "side", F.when(taken, F.col("_up")).otherwise(F.col("node")).alias("node"), (F.col("left") - F.when(taken, 1 << k).otherwise(0)).alias("left"), (F.col("at") + F.when(taken, 1 << k).otherwise(0)).alias("at")))
         if k:  # a block of 2 ** k nodes is two of half as many
             half = _lifted(blocks, "node", tables[k - 1], "_up").select("key", "side", F.col("_up").alias("node"), (F.col("at") + (1 << k - 1)).alias("at"))
-            blocks = blocks.unionAll(half)
+            blocks = settle(blocks.unionAll(half))
     return blocks
 
 

@@ -81,3 +81,16 @@ def test_components_in_rounds(spark, monkeypatch, scattered):
     else:
         assert {r["node"]: r["component"] for r in got} == want
     assert components.joined(df.limit(0), scattered=scattered).agg(F.count("*")).first()[0] == 0
+
+
+def test_rounds_have_small_plans(spark, monkeypatch):
+    """No job of the search has more than a few joins, whose tables the driver may broadcast, however long the ways."""
+    from gridloom.operators import loops as L
+
+    most, settle = [], L.settle
+    monkeypatch.setattr(L, "settle", lambda df: most.append(df._jdf.queryExecution().optimizedPlan().toString().count("Join")) or settle(df))
+    pairs = GRAPHS["ring"]
+    edge = spark.createDataFrame([(f"line:{i}", a, b, True) for i, (a, b) in enumerate(pairs)], "key string, src string, dst string, conductive boolean")
+    labels = spark.createDataFrame(list(whole(pairs).items()), "bus string, component string")
+    assert L.loops(edge, labels).count() == 20
+    assert max(most) <= 4
