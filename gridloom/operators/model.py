@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions.normalize import object_key, output_value, safe_name
+from gridloom.operators.components import settle
 from gridloom.operators.objects import folder_of, network_folders
 from gridloom.operators.validate import issue
 
@@ -203,7 +204,7 @@ def unmapped(model: DataFrame, specs: list[ClassTable]) -> DataFrame:
     names = lambda column, kind: F.transform(F.map_keys(column), lambda k: F.struct(F.lit(kind).alias("kind"), k.alias("name")))
     used = F.concat(F.array(F.struct(F.lit("class").alias("kind"), F.lit("").alias("name"))), names("attributes", "attribute"), names("references", "reference"))
     held = model.select("class", F.explode(used).alias("u")).groupBy("class", "u.kind", "u.name").agg(F.count("*").alias("n"))
-    open_ = held.join(F.broadcast(rows), ["class", "kind", "name"], "left_anti")  # the schema is part of the program
+    open_ = settle(held.join(F.broadcast(rows), ["class", "kind", "name"], "left_anti"))  # the schema is part of the program; the model is read once
     missing = open_.where("kind = 'class'").select("class")
     return open_.where("kind = 'class'").unionAll(open_.where("kind <> 'class'").join(missing, "class", "left_anti"))
 

@@ -80,3 +80,12 @@ def test_filters_on_tokens_read_a_name_once(spark):
     assert [(r["stem"], r["token"]) for r in files.collect()] == [("red_20241301", None), ("red", "20240229"), ("tramo b", "20240201"), ("carga_2024-13-01", None), ("foto_red", "20240101")]
     plan = packages.relevant(files, ("red", "tramo"), ("foto",))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("\\.[a-z]+[0-9]?$") == 1
+
+
+def test_unmapped_reads_the_model_once(spark):
+    from gridloom.operators import model
+
+    rows = spark.sql("SELECT 'A' AS class, map('x', '1', 'y', '2') AS attributes, map('r', 'k') AS references UNION ALL SELECT 'B', map('z', '1'), map()")
+    found = model.unmapped(rows, [model.ClassTable("A", "A", "FID(a:40)", "loc_name(a:40)", None, {"x": model.Value("x(r)")})])
+    assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert {tuple(r) for r in found.collect()} == {("A", "attribute", "y", 1), ("A", "reference", "r", 1), ("B", "class", "", 1)}
