@@ -239,3 +239,25 @@ def test_radius_queries_run_on_one_field(spark):
     far = spark.range(20000, 20001)
     x = lambda place: far.selectExpr(place("id", "0").split(" AS x")[0] + " AS x").first()[0]
     assert x(_dense_place) < 10007 <= x(_place)
+
+
+def test_unstopped_feeders_lay_out_no_more_than_they_reach(spark, monkeypatch):
+    """Five stars that only transformers join: a source's feeders are laid out on its own star, not on the island."""
+    rows = [("line", f"s{i}", f"a{i}{j}") for i in range(5) for j in range(4)] + [("transformer", "n", f"s{i}") for i in range(5)]
+    bus, edge, sources = network(spark, [], rows, [(f"g{i}", f"s{i}") for i in range(5)])
+    labels = spark.createDataFrame([(b, "a") for b in {x for r in rows for x in r[1:]}], "bus string, component string")
+    seen = []
+    whole = topology.joined
+    monkeypatch.setattr(topology, "joined", lambda e, *a, **k: seen.append(e.count()) or whole(e, *a, **k))
+    got = {tuple(r) for r in topology.unstopped_feeders(labels, edge, sources).collect()}
+    assert got == {(f"g{i}|line:{i * 4 + j}", b) for i in range(5) for j in range(4) for b in (f"s{i}", f"a{i}{j}")}
+    assert sum(seen) <= 20
+
+
+def test_feeder_buses_are_not_shuffled_again(spark):
+    rows = [("line", "s", "a"), ("line", "a", "b"), ("line", "s", "t"), ("line", "b", "t"), ("line", "b", "s")]
+    bus, edge, sources = network(spark, "sabt", rows, [("g", "s"), ("h", "t")])
+    found = topology.Feeders(bus, edge, sources.unionAll(sources)).buses()
+    assert "Aggregate [feeder" not in found._jdf.queryExecution().optimizedPlan().toString()
+    got = [tuple(r) for r in found.collect()]
+    assert len(got) == len(set(got)) and {b for f, b in got if f == "g|line:0"} == set("sabt")
