@@ -109,7 +109,7 @@ def graph_feeder_facts(spark, sf_dir):
 def graph_feeder_unstopped(spark, sf_dir):
     """Feeders that other sources don't stop."""
     n = Net(spark, sf_dir)
-    return T.unstopped_feeders(n.labels, n.edge, n.sources)
+    return T.unstopped_feeders(None, n.edge, n.sources)
 
 
 def graph_inventory(spark, sf_dir):
