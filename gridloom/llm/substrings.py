@@ -175,8 +175,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", eve
 
 
 def op10_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A row for each document that repeats a passage: what it loses, the rest of its text, and whose passages they were."""
-    return remove_repeats(table(spark, sf_dir, "documents"), every_row=False)
+    """A row for each document: what it loses, the rest of its text, and whose passages they were."""
+    return remove_repeats(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {"op10_sentence_spans": op10_sentence_spans}

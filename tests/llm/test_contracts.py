@@ -69,3 +69,13 @@ def test_toxicity_held_out(spark):
 
     area = sum((bisect.bisect_left(zero, x) + bisect.bisect_right(zero, x)) / 2 for x in one) / (len(one) * len(zero))
     assert area >= 0.94
+
+
+def test_spans_give_every_document(spark):
+    """Documents that repeat nothing come back as they are."""
+    from gridloom.llm.substrings import op10_sentence_spans
+
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
+    got = {r["doc_id"]: r for r in op10_sentence_spans(spark, SF).collect()}
+    assert got.keys() == docs.keys() and any(r["n_removed"] for r in got.values())
+    assert all(r["clean_text"] == docs[k] for k, r in got.items() if not r["n_removed"])
