@@ -94,3 +94,19 @@ def test_rounds_have_small_plans(spark, monkeypatch):
     labels = spark.createDataFrame(list(whole(pairs).items()), "bus string, component string")
     assert L.loops(edge, labels).count() == 20
     assert max(most) <= 4
+
+
+@pytest.mark.parametrize("shared", [False, True])
+def test_components_by_hashes(spark, monkeypatch, shared):
+    """Nodes go by hashes without being joined to their edges; where hashes are shared, the result is the same."""
+    for name, n in (("FINISH", 10), ("LEAST_HUB", 5), ("TASK_ROWS", 64)):
+        monkeypatch.setattr(components, name, n)
+    if shared:
+        monkeypatch.setattr(components, "_code", lambda node: F.length(node).cast("long"))
+    ordered, numbered = [], components.numbered
+    monkeypatch.setattr(components, "numbered", lambda *a: ordered.append(1) or numbered(*a))
+    pairs = [("hub", f"m{i}") for i in range(100)] + [(f"c{i}", f"c{i + 1}") for i in range(100)] + GRAPHS["random"]
+    got = components.joined(spark.createDataFrame(pairs, "src string, dst string").repartition(4)).collect()
+    want = whole(p for p in pairs if p[0] != p[1])
+    assert {r["node"]: r["component"] for r in got} == want and len(got) == len(want)
+    assert bool(ordered) == shared
