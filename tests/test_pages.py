@@ -1,3 +1,6 @@
+import random
+from collections import defaultdict
+
 import pytest
 
 from gridloom.operators import diagrams, matching, packages
@@ -89,3 +92,28 @@ def test_unmapped_reads_the_model_once(spark):
     found = model.unmapped(rows, [model.ClassTable("A", "A", "FID(a:40)", "loc_name(a:40)", None, {"x": model.Value("x(r)")})])
     assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()
     assert {tuple(r) for r in found.collect()} == {("A", "attribute", "y", 1), ("A", "reference", "r", 1), ("B", "class", "", 1)}
+
+
+def test_levels_of_many_pages(spark):
+    """More pages than a number has bits, some with one root, against a plain search; a level of a block is one row for each bus."""
+    rng = random.Random(7)
+    pairs = [(f"b{rng.randrange(60):02}", f"b{rng.randrange(60):02}") for _ in range(70)]
+    near = defaultdict(set)
+    for a, b in pairs:
+        near[a].add(b), near[b].add(a)
+    roots = {f"p{i}": f"b{rng.randrange(60):02}" for i in range(140)}
+    want = {}
+    for page, root in roots.items():
+        depth, now = {root: 0}, [root]
+        while now:
+            fresh = sorted({o for b in now for o in near[b]} - set(depth))
+            depth |= {b: depth[now[0]] + 1 for b in fresh}
+            now = fresh
+        want |= {(page, b): (d, d * 80.0, sorted(o for o in depth if depth[o] == d).index(b) * 40.0) for b, d in depth.items()}
+    side = spark.createDataFrame(pairs + [(b, a) for a, b in pairs], "bus string, other string")
+    root = spark.createDataFrame(list(roots.items()), "page string, bus string")
+    got = diagrams.placed_levels(side, root).collect()
+    assert {(r["page"], r["bus"]): (r["depth"], r["x"], r["y"]) for r in got} == want and len(got) == len(want)
+    reached, blocks = diagrams.level_blocks(side, root)
+    assert blocks.count() == 140 and blocks.select("block").distinct().count() == 3
+    assert reached.count() == reached.select("bus", "block", "depth").distinct().count() < len(want) / 3
