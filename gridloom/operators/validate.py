@@ -204,6 +204,13 @@ def duplicate_keys(df: DataFrame, keys: list[str], code: str, kind: str) -> Data
     return issue(twice, code, "ERROR", "objects", kind, F.concat_ws("/", *keys), F.col("n"))
 
 
+def filled_columns(df: DataFrame, table: str) -> DataFrame:
+    """(table, column, rows, non_null) of every column, from one aggregation of all rows: counts alone, which need no shuffle of values."""
+    flat = df.agg(F.count("*").alias("rows"), *(F.count(F.col(f"`{c}`")).alias(f"n{i}") for i, c in enumerate(df.columns)))
+    items = F.array(*(F.struct(F.lit(c).alias("column"), F.col("rows"), F.col(f"n{i}").alias("non_null")) for i, c in enumerate(df.columns)))
+    return flat.select(F.explode(items).alias("x")).select(F.lit(table).alias("table"), "x.*")
+
+
 def profile_columns(df: DataFrame, table: str, approximate: bool = False) -> DataFrame:
     """(table, column, type, rows, non_null, distinct) of every column, from one aggregation."""
     distinct = F.approx_count_distinct if approximate else F.countDistinct

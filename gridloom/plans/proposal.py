@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from gridloom.operators import library as L
 from gridloom.operators import proposal as P
 from gridloom.operators import validate as V
+from gridloom.operators.components import settle
 from gridloom.plans.ranking import ALIASES, _aliases
 from gridloom.plans.testbed import Grid
 
@@ -18,8 +19,9 @@ MAPPING = (("buses", "id", "customer", "c_custkey"), ("buses", "name", "customer
 
 
 def _catalog(spark, sf_dir):
+    """How far each column is filled, counted over all rows once; no proposal asks for its distinct values."""
     g = Grid(spark, sf_dir)
-    return reduce(lambda a, b: a.unionAll(b), (V.profile_columns(g.table(t), t).drop("type") for t in TABLES))
+    return settle(reduce(lambda a, b: a.unionAll(b), (V.filled_columns(g.table(t), t) for t in TABLES)))
 
 
 def _mapping(spark):
@@ -50,7 +52,8 @@ def prop_sound(spark, sf_dir):
 
 
 def prop_warnings(spark, sf_dir):
-    return P.warnings(P.sound(_mapping(spark), _catalog(spark, sf_dir), _mapping(spark)), _catalog(spark, sf_dir), _mapping(spark).select(F.lit("buses").alias("entity"), F.lit("nominal_voltage_kv").alias("field")))
+    catalog = _catalog(spark, sf_dir)
+    return P.warnings(P.sound(_mapping(spark), catalog, _mapping(spark)), catalog, _mapping(spark).select(F.lit("buses").alias("entity"), F.lit("nominal_voltage_kv").alias("field")))
 
 
 def prop_strategies(spark, sf_dir):
