@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import as_bytes, run_hashes, settle, sieve, sifted, slices, span_hashes, spread_join, store, table, word_spans
+from gridloom.llm.common import as_bytes, run_hashes, settle, sieve, sifted, slices, span_hashes, spread_join, store, table, trimmed, word_spans
 
 #: Words that a span reaches at least.
 SPAN_WORDS = 25
@@ -37,6 +37,8 @@ SPAN_SENTENCES = 2
 #: Words of the longest sentence that is not cut, and of the runs that have a cut each. A passage of 2 * WHOLE_WORDS + SPAN_WORDS words holds a span if WHOLE_WORDS is 2 * CUT_WORDS - 1 or more.
 WHOLE_WORDS = 13
 CUT_WORDS = 7
+#: Bytes of text that are cut into sentences at once, unless a single text is longer; a worker's arrays take some 60 times as much.
+SLICE_BYTES = 1 << 18
 
 
 def sentences(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -78,10 +80,11 @@ def spans(owner: np.ndarray, bounds: np.ndarray, words: np.ndarray) -> tuple[np.
     return first, last, run_hashes(words, bounds[first], bounds[last + 1]).view(np.int64)
 
 
+@trimmed
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(hash, how often it occurs) of the spans of each slice."""
     for batch in batches:
-        for part in slices(batch, "_text"):
+        for part in slices(batch, "_text", SLICE_BYTES):
             owner, _, _, bounds, words = sentences(part.column(0))
             values, times = np.unique(spans(owner, bounds, words)[2], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(times.astype(np.int64))], ["span", "n"])
@@ -94,10 +97,11 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     counts = lean.select("_text").mapInArrow(_counts, "span long, n long").groupBy("span").agg(F.sum("n").alias("n"))
     repeated = sieve(counts.where("n > 1"), "span")
 
+    @trimmed
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(document, hash of each span that may be repeated, its first and last sentence)."""
         for batch in batches:
-            for part in slices(batch, "_text"):
+            for part in slices(batch, "_text", SLICE_BYTES):
                 owner, _, _, bounds, words = sentences(part.column(2))
                 first, last, hashes = spans(owner, bounds, words)
                 keep = sifted(repeated.value, hashes)
@@ -113,10 +117,11 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     return again.select("_key", "_hash", "first", "last", F.col("least._key").alias("first_key"))
 
 
+@trimmed
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts without the sentences in ``runs``."""
     for whole in batches:
-        for batch in slices(whole, "_text"):
+        for batch in slices(whole, "_text", SLICE_BYTES):
             names = batch.schema.names
             column = batch.column(names.index("_text"))
             data, ends = as_bytes(column)
@@ -158,19 +163,27 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", eve
     kind = lean.schema["_key"].dataType.simpleString()
     marked = lean.select("_key", "_hash", "_text", F.xxhash64("_key", "_hash").alias("_id"))
 
-    def sift(wanted: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                yield batch.select([0, 1, 2]).filter(pa.array(sifted(asked.value, np.asarray(batch.column(3))) == wanted))
+    def asked_for(batch: pa.RecordBatch, wanted: bool) -> pa.RecordBatch:
+        return batch.select([0, 1, 2]).filter(pa.array(sifted(asked.value, np.asarray(batch.column(3))) == wanted))
 
-        return marked.mapInArrow(run, lean.schema)
+    @trimmed
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield asked_for(batch, True)
 
-    some = sift(True)
-    joined = some.join(runs.hint("merge"), some["_key"].eqNullSafe(runs["_key2"]) & (F.col("_hash") == F.col("_hash2")), "left" if every_row else "inner").select("_key", "_text", "runs", "first_ids")
+    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows without a run, sifted and cut by one worker."""
+        for batch in batches:
+            rest = asked_for(batch, False)
+            keys, none = rest.column(0), pa.nulls(rest.num_rows)
+            yield from _cut([pa.RecordBatch.from_arrays([keys, rest.column(2), none, none.cast(pa.list_(keys.type))], ["_key", "_text", "runs", "first_ids"])])
+
+    may = marked.mapInArrow(some, lean.schema)
+    joined = may.join(runs.hint("merge"), may["_key"].eqNullSafe(runs["_key2"]) & (F.col("_hash") == F.col("_hash2")), "left" if every_row else "inner").select("_key", "_text", "runs", "first_ids")
+    schema = f"_key {kind}, first_ids array<{kind}>, clean_text string, n_sentences long, n_removed long, removed array<string>"
+    out = joined.mapInArrow(_cut, schema)
     if every_row:
-        none = [F.lit(None).cast(runs.schema[c].dataType).alias(c) for c in ("runs", "first_ids")]
-        joined = joined.unionAll(sift(False).select("_key", "_text", *none))
-    out = joined.mapInArrow(_cut, f"_key {kind}, first_ids array<{kind}>, clean_text string, n_sentences long, n_removed long, removed array<string>")
+        out = out.unionAll(marked.mapInArrow(others, schema))
     return out.withColumnRenamed("_key", key)
 
 

@@ -609,3 +609,20 @@ def test_stages(spark, docs, rows, none, tmp_path):
 def test_pipeline_runs(spark):
     got = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert got.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and got.count() > 0
+
+
+def test_substrings_one_worker_a_task(spark):
+    """No task holds two workers: between two steps in Python there is an exchange."""
+    docs = spark.createDataFrame([(1, "a b. c d."), (2, "e f. g h.")], "doc_id long, text string")
+    plan, path = substrings.remove_repeats(docs)._jdf.queryExecution().executedPlan().toString(), []
+    seen = 0
+    for line in plan.splitlines():
+        depth = len(line) - len(line.lstrip(" :+-"))
+        path = [(d, kind) for d, kind in path if d < depth]
+        kind = "python" if "MapInArrow" in line else "exchange" if "Exchange" in line else ""
+        if kind == "python":
+            seen += 1
+            above = [k for _, k in path if k]
+            assert not above or above[-1] == "exchange", line
+        path.append((depth, kind))
+    assert seen == 3
