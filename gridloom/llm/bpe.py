@@ -31,6 +31,8 @@ _loaded: dict = {}
 STEP = 1 << 18
 #: Words that are encoded at once: each answer is some kilobytes until its ids are taken.
 AT_ONCE = 1000
+#: Bytes of text in a block, unless a single text is longer: less than other users of the table take, since a worker holds the vocabulary too.
+BLOCK_TEXT = 2 << 20
 #: Characters of the Latin blocks, for which the pattern's classes are spelt out.
 LATIN = [chr(c) for c in range(0x250)]
 
@@ -134,7 +136,7 @@ def _encoded(docs: DataFrame, path: str, pattern: str, key: str, text: str, fini
 
     key_type = to_arrow_type(docs.schema[key].dataType)
     kind = docs.schema[key].dataType.simpleString()
-    blocks = split(docs, words_of, key, text, kept=False)
+    blocks = split(docs, words_of, key, text, kept=False, block_text=BLOCK_TEXT)
     answers = by_bucket(blocks, encode_bucket, "block long, bucket int, ids binary, n_ids binary")
     return assemble(blocks, answers, put_together, f"_key {kind}, {more}").withColumnRenamed("_key", key)
 

@@ -70,7 +70,7 @@ SCHEMA = "block long, bucket int, keys array<{kind}>, places binary, ends binary
 _BINARY = ("places", "ends", "words", "sizes", "counts")
 
 
-def split(docs: DataFrame, words_of: Callable[[str], Iterable], key: str = "doc_id", text: str = "text", counted: str | None = None, kept: bool = True) -> DataFrame:
+def split(docs: DataFrame, words_of: Callable[[str], Iterable], key: str = "doc_id", text: str = "text", counted: str | None = None, kept: bool = True, block_text: int = BLOCK_TEXT) -> DataFrame:
     """Blocks of ``docs``: rows with bucket -1 hold documents, the others a block's words of one bucket.
 
     ``words_of`` gives a text's words, as str or bytes. ``counts`` holds how often a word stands in the block's
@@ -82,7 +82,7 @@ def split(docs: DataFrame, words_of: Callable[[str], Iterable], key: str = "doc_
     @trimmed
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "_text", BLOCK_TEXT):
+            for part in slices(batch, "_text", block_text):
                 own: dict = defaultdict(count().__next__)
                 found = [np.fromiter(map(own.__getitem__, words_of(t)), np.uint32) for t in part.column(1).to_pylist()]
                 words = [w if isinstance(w, bytes) else w.encode("utf-8", "surrogatepass") for w in own]

@@ -626,3 +626,14 @@ def test_substrings_one_worker_a_task(spark):
             assert not above or above[-1] == "exchange", line
         path.append((depth, kind))
     assert seen == 3
+
+
+def test_bpe_blocks_are_small(spark, monkeypatch):
+    """What a worker holds beside its vocabulary is bounded by its block, here 2 MB of text."""
+    held, cut = [], bpe.split
+    monkeypatch.setattr(bpe, "split", lambda *a, **k: held.append(cut(*a, **k)) or held[-1])
+    size = 1 << 19
+    docs = spark.createDataFrame([(i, f"w{i} " * (size // len(f"w{i} "))) for i in range(8)], "doc_id long, text string").coalesce(1)
+    got = bpe.round_trip(docs).collect()
+    assert sorted(r["doc_id"] for r in got) == list(range(8))
+    assert max(len(r["keys"]) * size for r in held[0].where("bucket < 0").select("keys").collect()) <= 2 << 20
