@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gridloom.operators import enrich as E
+from gridloom.operators.components import store
 from gridloom.plans.testbed import Grid
 
 #: Name: (SELECT, tables). Section ids repeat now and then, and so do nodes of sources and networks.
@@ -54,7 +55,8 @@ def enrich_section_configuration(spark, sf_dir):
 
 def _stamped(spark, sf_dir, heads):
     head = _t(spark, sf_dir, "source").where("NetworkID IS NOT NULL").select("ord", "NodeID", "NetworkID") if heads else None
-    return E.stamp_networks(_t(spark, sf_dir, "node"), _t(spark, sf_dir, "section"), _t(spark, sf_dir, "source"), head, ["ord"])
+    sections = store(_t(spark, sf_dir, "section").select("ord", "SectionID", "FromNodeID", "ToNodeID", "NetworkID"))  # read by each step
+    return E.stamp_networks(_t(spark, sf_dir, "node"), sections, _t(spark, sf_dir, "source"), head, ["ord"])
 
 
 def enrich_node_networks(spark, sf_dir):

@@ -54,3 +54,10 @@ def test_held_of(spark):
     held = spark.createDataFrame([("a",), ("d",), (None,)], "k string")
     for tasks in (None, 3):
         assert {tuple(r) for r in connect.held_of(asked, held, "k", tasks).collect()} == {("a", True), ("b", False), (None, False)}
+
+
+@needs_tables
+def test_sections_are_worked_out_once(spark):
+    from gridloom.plans import enrich
+
+    assert "Window" not in plan(enrich.enrich_section_networks(spark, SF))
