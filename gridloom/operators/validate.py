@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.operators import topology as T
-from gridloom.operators.loops import loops, numbered_loops
+from gridloom.operators.loops import closing_edges, numbered_names
 
 ISSUE = ("code", "severity", "category", "object_type", "object_id", "detail")
 #: Order of severities in reports.
@@ -149,7 +149,7 @@ def topology(g, labels: DataFrame, edge: DataFrame, sources: DataFrame, overlaps
     islands = T.island_sums(labels, edge, sources)
     crossing = T.open_boundaries(g.switch, live).where("from_energized <> to_energized")
     dead = labels.select("bus").join(live, "bus", "left_anti").crossJoin(F.broadcast(g.source.agg(F.count("*").alias("n")).where("n > 0")))  # one row
-    closed = numbered_loops(loops(edge, labels)).withColumn("loop_id", F.concat("component", F.lit("#"), F.col("number").cast("string")))
+    closed = numbered_names(closing_edges(edge).join(labels, "bus").select("component", "loop")).withColumn("loop_id", F.concat("component", F.lit("#"), F.col("number").cast("string")))
     parts = [
         issue(T.isolated(g.bus, edge), "TOP001", "WARNING", "topology", "bus", "bus"),
         issue(dead, "TOP002", "WARNING", "topology", "bus", "bus"),
