@@ -55,3 +55,12 @@ def test_jobs_do_not_grow_with_ways(spark):
         assert jobs(3000) <= jobs(3) < 60
     finally:
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_rules_name_loops_without_their_ways(spark, monkeypatch):
+    """rule_top numbers the loops of each component from the edges that close them."""
+    from gridloom.plans.rules import rule_top
+
+    monkeypatch.setattr(L, "_ways", None)
+    found = [r["object_id"] for r in rule_top(spark, "/root/testdata/sf0.001").where("code = 'TOP003'").collect()]
+    assert found and len(set(found)) == len(found)
