@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions.normalize import object_key, output_value, safe_name
-from gridloom.operators.components import settle
+from gridloom.operators.components import settle, store
+from gridloom.operators.connect import unheld
 from gridloom.operators.objects import folder_of, network_folders
 from gridloom.operators.validate import issue
 
@@ -52,20 +53,28 @@ def _objects(df: DataFrame, kind: str, key: Column, name: Column, parent: Column
 
 
 def line_types(line: DataFrame, types: DataFrame) -> DataFrame:
-    """(id, type_id, made, kv): each line's own type if the library has it, else the one of the nearest voltage within NEAR_KV, else one made up for its voltage.
+    """(id, type_id, made, kv): each line's own type if the library has it, else the one of the nearest voltage within NEAR_KV, else one made up for its voltage."""
+    return typed_lines(line, types).select("id", "type_id", "made", F.col("nominal_voltage_kv").alias("kv"))
 
-    Nearest types are found by cells of voltage, by an equi-join, for each voltage once.
+
+def typed_lines(line: DataFrame, types: DataFrame) -> DataFrame:
+    """``line`` with ``made`` and the type_id that ``line_types`` tells of.
+
+    Nearest types are found by cells of voltage, by an equi-join, for each voltage once; of the library only types that
+    lines ask for are joined with them. Both are written, so that the planner knows how small they are.
     """
     cell = lambda c: F.floor(F.col(c) / NEAR_KV)
     volts = line.select(F.col("nominal_voltage_kv").alias("kv")).distinct().withColumn("cell", F.explode(F.array(*(cell("kv") + i for i in (-1, 0, 1)))))
     held = types.groupBy(F.col("nominal_voltage_kv").alias("type_kv")).agg(F.min("id").alias("near")).withColumn("cell", cell("type_kv"))
     off = F.abs(F.col("kv") - F.col("type_kv"))
     best = volts.join(held, "cell").where(off <= NEAR_KV).groupBy("kv").agg(F.min(F.struct(off.alias("off"), "near")).alias("b")).select("kv", "b.near")
-    known = types.select(F.col("id").alias("type_id"), F.lit(True).alias("known"))
-    rows = line.select("id", "type_id", F.col("nominal_voltage_kv").alias("kv")).join(known, "type_id", "left").join(best, "kv", "left")
+    best = store(best)
+    known = store(types.select(F.col("id").alias("type_id")).join(line.select("type_id").distinct(), "type_id", "left_semi").withColumn("known", F.lit(True)))
+    rows = line.withColumn("kv", F.col("nominal_voltage_kv")).join(known, "type_id", "left").join(best, "kv", "left")
     text = F.regexp_replace(F.format_string("%.3f", "kv"), r"\.?0+$", "")
     made = F.concat(F.lit("FALLBACK_"), F.replace(text, F.lit("."), F.lit("p")), F.lit("kV"))
-    return rows.select("id", F.when(F.col("known"), F.col("type_id")).otherwise(F.coalesce("near", made)).alias("type_id"), (F.col("known").isNull() & F.col("near").isNull()).alias("made"), "kv")
+    chosen = F.when(F.col("known"), F.col("type_id")).otherwise(F.coalesce("near", made))
+    return rows.select(*(chosen.alias(c) if c == "type_id" else c for c in line.columns), (F.col("known").isNull() & F.col("near").isNull()).alias("made"))
 
 
 def types(lines: DataFrame, line_type: DataFrame, transformer_type: DataFrame) -> DataFrame:
@@ -85,7 +94,8 @@ def element(df: DataFrame, kind: str, bus: DataFrame, type_key: Column | None =
     short, sides, attributes = ELEMENTS[kind]
     key = object_key(short, F.col("id"))
     first = sides[0][0]
-    placed = df.join(bus.select(F.col("id").alias(first), F.col("system_id").alias("_system")), first, "left")
+    of = bus.where("system_id IS NOT NULL").select(F.col("id").alias(first), F.col("system_id").alias("_system"))  # the others' folder is the same as that of no bus
+    placed = df.join(of, first, "left")
     refs = {ref: object_key("cub", F.concat(key, F.lit(f":{side}"))) for _, side, ref in sides} | ({} if type_key is None else {"type": type_key})
     return _objects(placed, kind, key, F.col("name"), folder_of(F.col("_system")), {a: F.col(a) for a in attributes if a in df.columns}, refs, F.col("id"))
 
@@ -113,14 +123,13 @@ def build(g, switches: bool = False, out_of_service: bool = True) -> DataFrame:
     parent = F.when(F.col("_known"), object_key("sub", F.col("substation_id"))).otherwise(folder_of(F.col("system_id")))
     attributes = {"nominal_voltage_kv": F.col("nominal_voltage_kv"), "x": F.col("x"), "y": F.col("y"), "feeder_id": F.col("feeder_id"), "system_id": F.col("system_id")}
     out = out.unionAll(_objects(bus.join(known, "substation_id", "left"), "terminal", object_key("bus", F.col("id")), F.col("name"), parent, attributes, {}, F.col("id")))
-    line = keep(g.line)
-    chosen = line_types(line, g.line_type)
-    out = out.unionAll(types(chosen, g.line_type, g.transformer_type))
-    typed = line.drop("type_id").join(chosen.select("id", "type_id"), "id")
+    line = store(keep(g.line))  # read for voltages, types, elements and cubicles
+    typed = typed_lines(line, g.line_type)
+    out = out.unionAll(types(typed.withColumnRenamed("nominal_voltage_kv", "kv"), g.line_type, g.transformer_type))
     trafo = keep(g.transformer).join(g.transformer_type.select(F.col("id").alias("type_id"), F.lit(True).alias("_known")), "type_id", "left")
     out = out.unionAll(element(typed, "line", bus, object_key("ltype", F.col("type_id")))).unionAll(element(trafo, "transformer", bus, F.when(F.col("_known"), object_key("ttype", F.col("type_id")))))
     for kind in ELEMENTS:
-        df = keep(getattr(g, kind))
+        df = line if kind == "line" else keep(getattr(g, kind))
         if kind not in ("line", "transformer"):
             out = out.unionAll(element(df, kind, bus))
         out = out.unionAll(cubicles(df, kind, switches))
@@ -139,14 +148,21 @@ def union_of(parts: list[DataFrame]) -> DataFrame:
 
 
 def check(model: DataFrame) -> DataFrame:
-    """PFM001: a parent that isn't there; PFM002: a reference that leads nowhere; PFM003: an object whose name another in its folder had before."""
-    keys = model.select("key")
+    """PFM001: a parent that isn't there; PFM002: a reference that leads nowhere; PFM003: an object whose name another in its folder had before.
+
+    Keys asked for and held are summed up together; names are counted by their hashes first, and only those of a hash that
+    stands twice are compared.
+    """
     links = model.select("key", F.explode(F.map_concat(F.map_from_arrays(F.array(F.lit("")), F.array("parent")), "references")).alias("role", "target")).where("target IS NOT NULL")
-    lost = links.join(keys.withColumnRenamed("key", "target"), "target", "left_anti")
+    missing = store(unheld(links.select(F.col("target").alias("id")), model.select(F.col("key").alias("id")), F.count("*")).select(F.col("id").alias("target")))
+    lost = links.join(missing, "target")
     parent = F.col("role") == ""
     broken = lost.select(F.when(parent, "PFM001").otherwise("PFM002").alias("code"), F.lit("ERROR").alias("severity"), F.lit("objects").alias("category"), F.lit("object").alias("object_type"), F.col("key").alias("object_id"), F.when(parent, F.col("target")).otherwise(F.concat("role", F.lit("="), "target")).alias("detail"))
-    first = model.groupBy("class", "parent", "name").agg(F.min("key").alias("_first"), F.count("*").alias("_n")).where("_n > 1").select(F.col("class").alias("_c"), F.col("parent").alias("_p"), F.col("name").alias("_m"), "_first")
-    again = model.join(first, (F.col("class") == F.col("_c")) & F.col("parent").eqNullSafe(F.col("_p")) & (F.col("name") == F.col("_m"))).where("key <> _first")
+    named = model.select("class", "parent", "name", "key", F.xxhash64("class", "parent", "name").alias("_code"))
+    often = store(named.groupBy("_code").agg(F.count("*").alias("_n")).where("_n > 1").select("_code"))
+    alike = store(named.join(often, "_code", "left_semi").drop("_code"))
+    first = alike.groupBy("class", "parent", "name").agg(F.min("key").alias("_first"), F.count("*").alias("_n")).where("_n > 1").select(F.col("class").alias("_c"), F.col("parent").alias("_p"), F.col("name").alias("_m"), "_first")
+    again = alike.join(first, (F.col("class") == F.col("_c")) & F.col("parent").eqNullSafe(F.col("_p")) & (F.col("name") == F.col("_m"))).where("key <> _first")
     return broken.unionAll(issue(again, "PFM003", "ERROR", "objects", "object", "key", F.col("name")))
 
 
@@ -196,25 +212,46 @@ def class_rows(model: DataFrame, spec: ClassTable) -> DataFrame:
     return model.where(F.col("class") == spec.cls).select(*(cells.get(c, F.lit(None).cast("string")).alias(c) for c in spec.columns()))
 
 
-def unmapped(model: DataFrame, specs: list[ClassTable]) -> DataFrame:
-    """(class, kind, name, n): classes, attributes and references of the model that no table takes, and of how many objects."""
-    spark = model.sparkSession
+def uses(model: DataFrame) -> DataFrame:
+    """(class, kind, name, n): classes, attributes and references of the model, and of how many objects. Objects are counted by all their names at once, so that a row isn't laid out for each name."""
+    names = lambda column, kind: F.transform(column, lambda k: F.struct(F.lit(kind).alias("kind"), k.alias("name")))
+    alike = model.groupBy("class", F.map_keys("attributes").alias("_a"), F.map_keys("references").alias("_r")).agg(F.count("*").alias("n"))
+    used = F.concat(F.array(F.struct(F.lit("class").alias("kind"), F.lit("").alias("name"))), names("_a", "attribute"), names("_r", "reference"))
+    return alike.select("class", F.explode(used).alias("u"), "n").groupBy("class", "u.kind", "u.name").agg(F.sum("n").alias("n"))
+
+
+def _open(used: DataFrame, specs: list[ClassTable]) -> DataFrame:
     taken = [(s.cls, kind, n) for s in specs for kind, names in (("class", [""]), ("attribute", s.attributes), ("reference", s.references)) for n in names]
-    rows = spark.createDataFrame(taken or [("", "", "")], "class string, kind string, name string")
-    names = lambda column, kind: F.transform(F.map_keys(column), lambda k: F.struct(F.lit(kind).alias("kind"), k.alias("name")))
-    used = F.concat(F.array(F.struct(F.lit("class").alias("kind"), F.lit("").alias("name"))), names("attributes", "attribute"), names("references", "reference"))
-    held = model.select("class", F.explode(used).alias("u")).groupBy("class", "u.kind", "u.name").agg(F.count("*").alias("n"))
-    open_ = settle(held.join(F.broadcast(rows), ["class", "kind", "name"], "left_anti"))  # the schema is part of the program; the model is read once
+    rows = used.sparkSession.createDataFrame(taken or [("", "", "")], "class string, kind string, name string")
+    open_ = settle(used.join(F.broadcast(rows), ["class", "kind", "name"], "left_anti"))  # the schema is part of the program; the model is read once
     missing = open_.where("kind = 'class'").select("class")
     return open_.where("kind = 'class'").unionAll(open_.where("kind <> 'class'").join(missing, "class", "left_anti"))
 
 
+def unmapped(model: DataFrame, specs: list[ClassTable]) -> DataFrame:
+    """(class, kind, name, n): classes, attributes and references of the model that no table takes, and of how many objects."""
+    return _open(uses(model), specs)
+
+
+def _strict(open_: DataFrame) -> None:
+    first = open_.orderBy("class", "kind", "name").limit(1).collect()
+    if first:
+        raise ValueError(f"no table takes {first[0]['kind']} {first[0]['name']} of class {first[0]['class']}".replace("  ", " "))
+
+
+def sizes(model: DataFrame, specs: list[ClassTable]) -> DataFrame:
+    """(table, n): the rows of all tables that ``tables`` gives in strict mode, counted in one pass over the model."""
+    used = settle(uses(model))
+    _strict(_open(used, specs))
+    of = used.sparkSession.createDataFrame([(s.cls, s.table) for s in specs], "class string, `table` string")
+    held = used.where("kind = 'class'").select("class", "n")
+    return F.broadcast(of).join(held, "class", "left").groupBy("table").agg(F.sum(F.coalesce("n", F.lit(0))).alias("n"))
+
+
 def tables(model: DataFrame, specs: list[ClassTable], strict: bool = True) -> dict[str, DataFrame]:
     """The tables of all classes; in strict mode something that no table takes is an error. Classes may share a table."""
     if strict:
-        first = unmapped(model, specs).orderBy("class", "kind", "name").limit(1).collect()
-        if first:
-            raise ValueError(f"no table takes {first[0]['kind']} {first[0]['name']} of class {first[0]['class']}".replace("  ", " "))
+        _strict(unmapped(model, specs))
     out: dict[str, DataFrame] = {}
     for s in specs:
         rows = class_rows(model, s)
@@ -233,22 +270,22 @@ def check_tables(found: Mapping[str, DataFrame], specs: list[ClassTable]) -> Dat
     fixed = spark.createDataFrame(plan, "code string, id string, detail string")
     out = fixed.select("code", F.lit("ERROR").alias("severity"), F.lit("objects").alias("category"), F.lit("table").alias("object_type"), F.col("id").alias("object_id"), "detail")
     held = [(t, s, found[t]) for t, ss in of.items() if t in found for s in ss[:1]]
-    keys = None
-    for t, s, df in held:
-        part = df.select(F.lit(t).alias("table"), F.col(f"`{s.key}`").alias("key"))
-        keys = part if keys is None else keys.unionAll(part)
-    if keys is None:
+    if not held:
         return out
-    twice = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    out = out.unionAll(issue(twice, "DGS002", "ERROR", "objects", "object", "key", F.col("n")))
-    links = None
+    # a table is read once for its keys and what its rows ask for, and once for the rows that ask for what isn't there
+    items, links = None, None
     for t, s, df in held:
         columns = list(dict.fromkeys(c for x in of[t] for c in x.references.values() if c in df.columns))
+        own = F.struct(F.col(f"`{s.key}`").alias("id"), F.lit(1).alias("held"))
+        part = df.select(F.explode(F.array(own, *(F.struct(F.col(f"`{c}`").alias("id"), F.lit(0).alias("held")) for c in columns))).alias("i")).select("i.*").where("held = 1 OR trim(id) <> ''")
+        items = part if items is None else items.unionAll(part)
         if columns:
             part = df.select(F.lit(t).alias("table"), F.col(f"`{s.key}`").alias("id"), F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").alias("key")) for c in columns))).alias("r")).select("table", "id", "r.column", "r.key").where("trim(key) <> ''")
             links = part if links is None else links.unionAll(part)
+    odd = store(items.repartition("id").groupBy("id").agg(F.sum("held").alias("n")).where("n <> 1"))
+    out = out.unionAll(issue(odd.where("n > 1"), "DGS002", "ERROR", "objects", "object", "id", F.col("n")))
     if links is not None:
-        lost = links.join(keys.select("key").distinct(), "key", "left_anti")
+        lost = links.join(odd.where("n = 0").select(F.col("id").alias("key")), "key")
         out = out.unionAll(issue(lost, "DGS004", "ERROR", "objects", "object", "id", F.concat("column", F.lit("="), "key")))
     return out
 
